@@ -167,8 +167,8 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "traffic_snapshot": lambda p: p.traffic_snapshot,
     # prompts
     "alert_scores": lambda p: p.alert_scores,
-    "marketing_prompts": lambda p: p.prompts,
-    "prompt_messages": lambda p: p.messages.withColumn("messages", F.to_json("messages")),
+    "marketing_prompts": lambda p: p.drafts.select("region_key", "sgg", "alert_date", "alert_type", "prompt"),
+    "prompt_messages": lambda p: p.drafts.select("region_key", "sgg", "alert_date", "messages", "temperature"),
     "copy_text": lambda p: prompts.copy_text(p.responses).select("region_key", "alert_date", "marketing_copy"),
     "copy_check": lambda p: p.copy_check,
     "marketing_alerts": lambda p: p.marketing_alerts,

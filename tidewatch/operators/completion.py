@@ -1,4 +1,4 @@
-"""Row-wise text completion as a separate batch job with a pluggable client."""
+"""Row-wise text completion as a batch step with a pluggable client."""
 
 from __future__ import annotations
 
@@ -9,12 +9,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tidewatch.functions import fixed_values as fv
 
 # A client gets the message list and the options of one request and returns the reply as JSON text.
 Client = Callable[[list[dict], dict], str]
 
-RESPONSE_SCHEMA = "region_key string, alert_date date, prompt_hash string, response string"
+KEYS = ["region_key", "alert_date", "prompt_hash"]
 REGION_LINE = re.compile(r"^\[지역\] (.*) \([^)]*\)$", re.MULTILINE)
 SERVICE_LINE = re.compile(r"^\[서비스\] (.*)$", re.MULTILINE)
 
@@ -23,14 +24,17 @@ def template_client(messages: list[dict], options: dict) -> str:
     """Default client without a network: region and service of the prompt in one line of allowed length."""
     prompt = messages[-1]["content"]
     words = [m.group(1) for m in (REGION_LINE.search(prompt), SERVICE_LINE.search(prompt)) if m]
-    text = " ".join(words)[:40]
+    text = " ".join(words)[: fv.MAX_COPY_LENGTH]
     return json.dumps({"choices": [{"messages": text}]}, ensure_ascii=False)
 
 
-def complete(messages: DataFrame, client: Client = template_client, pause_seconds: float = 0.0) -> DataFrame:
-    """One reply per message row. ``pause_seconds`` spaces the requests of a task.
+def complete(
+    drafts: DataFrame, client: Client = template_client, parallelism: int = 8, pause_seconds: float = 0.0
+) -> DataFrame:
+    """The rows with a ``response`` column: one reply per row.
 
-    Replies are made batch by batch, so a task holds one Arrow batch of prompts at a time.
+    A row costs a model call, not bytes, so rows are spread over ``parallelism`` tasks, which is also the most
+    requests in flight; ``pause_seconds`` spaces the requests of a task. A task holds one Arrow batch at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,16 +44,12 @@ def complete(messages: DataFrame, client: Client = template_client, pause_second
                 replies.append(client(json.loads(sent), {"temperature": temperature}))
                 if pause_seconds:
                     time.sleep(pause_seconds)
-            yield batch[["region_key", "alert_date", "prompt_hash"]].assign(response=replies)
+            yield batch.assign(response=replies)
 
-    text = F.to_json("messages")
-    requests = messages.select(
-        "region_key", "alert_date", F.sha2(text, 256).alias("prompt_hash"), text.alias("messages"), "temperature"
-    )
-    return requests.mapInPandas(run, RESPONSE_SCHEMA)
+    schema = drafts.schema.add("response", "string")
+    return drafts.repartition(parallelism, "region_key", "alert_date").mapInPandas(run, schema)
 
 
-def missing_only(messages: DataFrame, done: DataFrame) -> DataFrame:
-    """Messages that have no stored reply yet: same region, month and prompt are not asked again."""
-    hashed = messages.withColumn("prompt_hash", F.sha2(F.to_json("messages"), 256))
-    return hashed.join(done, ["region_key", "alert_date", "prompt_hash"], "left_anti").drop("prompt_hash")
+def missing_only(drafts: DataFrame, done: DataFrame) -> DataFrame:
+    """Drafts without a stored reply: the same region, month and prompt are not asked again."""
+    return drafts.join(done, KEYS, "left_anti")

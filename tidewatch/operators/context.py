@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
@@ -54,21 +54,35 @@ def top_rentals_text(trend: DataFrame, context: ContextSpec) -> DataFrame:
 def call_center_context(calls: DataFrame, conversion: DataFrame, context: ContextSpec) -> DataFrame:
     """Calls of one division with their conversion figures, per month and category.
 
-    A repeated conversion row repeats the call row it matches, and so counts its calls again. The two tables are
-    compared on three keys; the division filter reaches both sides.
+    The tables are matched on month, category and division, and a repeated conversion row counts the calls it matches
+    once more. The division is fixed, so each group is one key of that match: both sides are summed first, and sums
+    and counts are multiplied by the rows they meet on the other side, instead of emitting every pair of a group.
     """
-    keys = ["ts", "main_category_name", "division_name"]
-    return (
-        calls.where(F.col("division_name") == context.call_division)
-        .join(conversion, keys, "left")
-        .groupBy("ts", "main_category_name")
-        .agg(
-            F.sum("call_count").alias("total_calls"),
-            X.exact_mean(F.col("connection_rate"), 10).alias("avg_connection_rate"),
-            X.exact_mean(F.col("avg_bill_minute")).alias("avg_call_minutes"),
-            X.exact_mean(F.col("call_to_contract_cvr"), 10).alias("call_to_contract_cvr"),
-            X.exact_mean(F.col("avg_leadtime_days")).alias("avg_leadtime_days"),
-        )
+    keys = ["ts", "main_category_name"]
+    here = F.col("division_name") == context.call_division
+
+    def summed(df: DataFrame, measures: dict[str, int]) -> DataFrame:
+        totals = [X.exact_sum(F.col(c), scale).alias(f"{c}_sum") for c, scale in measures.items()]
+        counts = [F.count(c).alias(f"{c}_n") for c in measures]
+        return df.where(here).groupBy(*keys).agg(*totals, *counts, F.count("*").alias("rows"))
+
+    def mean(c: str, scale: int, met: Column) -> Column:
+        total = F.col(f"{c}_sum").cast(f"decimal(28,{scale})") * met.cast("decimal(9,0)")
+        return total.cast("double") / F.nullif(F.col(f"{c}_n") * met, F.lit(0))
+
+    of_calls = {"call_count": 0, "connection_rate": 10, "avg_bill_minute": 6}
+    of_conversion = {"call_to_contract_cvr": 10, "avg_leadtime_days": 6}
+    answered = summed(calls, of_calls).withColumnRenamed("rows", "call_rows")
+    converted = summed(conversion, of_conversion).withColumnRenamed("rows", "conversion_rows")
+    per_call = F.coalesce("conversion_rows", F.lit(1))
+    per_conversion = F.col("call_rows")
+    return answered.join(converted, keys, "left").select(
+        *keys,
+        (F.col("call_count_sum").cast("bigint") * per_call).alias("total_calls"),
+        mean("connection_rate", 10, per_call).alias("avg_connection_rate"),
+        mean("avg_bill_minute", 6, per_call).alias("avg_call_minutes"),
+        mean("call_to_contract_cvr", 10, per_conversion).alias("call_to_contract_cvr"),
+        mean("avg_leadtime_days", 6, per_conversion).alias("avg_leadtime_days"),
     )
 
 

@@ -38,19 +38,22 @@ def _finish(scored: DataFrame, spec: DetectorSpec) -> DataFrame:
 def score_ecdf(series: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFrame:
     """Mid-rank of each value in its own training history; the forecast is the training mean.
 
-    Counting with running windows instead of a self-join keeps the work linear in the rows of a series. The three
-    windows need the same order, so Spark sorts once.
+    Counting with running windows instead of a self-join keeps the work linear in the rows of a series. All frames
+    share one order, so a single sort and a single window operator compute them.
     """
-    up_to_value = Window.partitionBy(*KEYS).orderBy("y").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same_value = Window.partitionBy(*KEYS, "y")
-    whole = Window.partitionBy(*KEYS)
+    by_value = Window.partitionBy(*KEYS).orderBy("y")
+    up_to_value = by_value.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    same_value = by_value.rangeBetween(Window.currentRow, Window.currentRow)
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     train = F.when(_usable_train(), 1).otherwise(0)
     train_y = F.when(_usable_train(), F.col("y"))
-    counted = (
-        series.withColumn("at_most", F.sum(train).over(up_to_value))
-        .withColumn("equal", F.sum(train).over(same_value))
-        .withColumn("n_train", F.sum(train).over(whole))
-        .withColumn("train_sum", F.sum(train_y.cast("decimal(28,6)")).over(whole))
+    counted = series.withColumns(
+        {
+            "at_most": F.sum(train).over(up_to_value),
+            "equal": F.sum(train).over(same_value),
+            "n_train": F.sum(train).over(whole),
+            "train_sum": F.sum(train_y.cast("decimal(28,6)")).over(whole),
+        }
     )
     place = (F.col("at_most") - F.col("equal") * F.lit(0.5)) / F.nullif(F.col("n_train"), F.lit(0))
     scored = counted.withColumn("percentile", F.when(F.col("y").isNotNull(), place)).withColumn(
@@ -80,14 +83,14 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
     same_month = Window.partitionBy(*KEYS, "month_of_year")
     x, train = F.col("x"), _usable_train()
     y = F.when(train, F.col("y"))
-    sums = (
-        series.withColumn("x", _month_index(F.col("ts")))
-        .withColumn("month_of_year", F.month("ts"))
-        .withColumn("n_train", F.count(y).over(whole))
-        .withColumn("sx", F.sum(F.when(train, x)).over(whole).cast("double"))
-        .withColumn("sy", _sum_of(y).over(whole).cast("double"))
-        .withColumn("sxy", _sum_of(y * x).over(whole).cast("double"))
-        .withColumn("sxx", F.sum(F.when(train, x * x)).over(whole).cast("double"))
+    sums = series.withColumns({"x": _month_index(F.col("ts")), "month_of_year": F.month("ts")}).withColumns(
+        {
+            "n_train": F.count(y).over(whole),
+            "sx": F.sum(F.when(train, x)).over(whole).cast("double"),
+            "sy": _sum_of(y).over(whole).cast("double"),
+            "sxy": _sum_of(y * x).over(whole).cast("double"),
+            "sxx": F.sum(F.when(train, x * x)).over(whole).cast("double"),
+        }
     )
     n = F.col("n_train").cast("double")
     slope, intercept = _line(n, F.col("sx"), F.col("sy"), F.col("sxy"), F.col("sxx"))
@@ -105,10 +108,12 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
         F.when(F.col("n_train") >= spec.seasonal_points, F.coalesce(month_mean, F.lit(0.0))).otherwise(0.0),
     )
     error = F.col("residual") - F.col("season")
-    spread = (
-        seasonal.withColumn("se", _sum_of(error).over(whole).cast("double"))
-        .withColumn("see", _sum_of(error * error).over(whole).cast("double"))
-        .withColumn("forecast", F.col("line") + F.col("season"))
+    spread = seasonal.withColumns(
+        {
+            "se": _sum_of(error).over(whole).cast("double"),
+            "see": _sum_of(error * error).over(whole).cast("double"),
+            "forecast": F.col("line") + F.col("season"),
+        }
     )
     variance = (F.col("see") - F.col("se") * F.col("se") / n) / F.nullif(n - 1, F.lit(0.0))
     scored = spread.withColumn("sigma", F.sqrt(F.greatest(variance, F.lit(0.0))))

@@ -7,27 +7,23 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions import fixed_values as fv
-from tidewatch.spec import Settings
 
 SCORE_SOURCES = ("price", "pop", "telecom", "card")
-
-
-def alert_scores(candidates: DataFrame, top_rental: DataFrame) -> DataFrame:
-    """Candidate alerts with rounded scores and the product text."""
-    return candidates.select(
-        "region_key",
-        "sgg",
-        "emd",
-        "district_code",
-        "district_geom",
-        "alert_date",
-        "alert_type",
-        X.half_up(F.col("combined_score"), 3).alias("combined_score"),
-        *[X.half_up(F.col(f"{s}_percentile"), 3).alias(f"{s}_score") for s in SCORE_SOURCES],
-        "dominant_age_group",
-        "income_profile",
-        top_rental.scalar().alias("trending_rentals"),
-    )
+SCORE_COLUMNS = tuple(f"{s}_score" for s in SCORE_SOURCES)
+ALERT_COLUMNS = (
+    "region_key",
+    "sgg",
+    "emd",
+    "district_code",
+    "district_geom",
+    "alert_date",
+    "alert_type",
+    "combined_score",
+    *SCORE_COLUMNS,
+    "dominant_age_group",
+    "income_profile",
+    "trending_rentals",
+)
 
 
 def _templates() -> Column:
@@ -70,8 +66,8 @@ def _optional(line: Column) -> Column:
     return F.coalesce(line, F.lit(""))
 
 
-def marketing_prompts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -> DataFrame:
-    """The user prompt of every candidate alert.
+def drafts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -> DataFrame:
+    """Candidate alerts with rounded scores, the product text, the prompt and the message list, in one pass.
 
     The two context texts are scalar subqueries: an empty context gives null and the fallback text, never fewer rows.
     """
@@ -82,11 +78,13 @@ def marketing_prompts(candidates: DataFrame, top_rental: DataFrame, call_text: D
         .withColumn("rental_products", top_rental.scalar())
         .withColumn("call_context", call_text.scalar())
     )
+    age = F.coalesce("dominant_age_group", F.lit(fv.AGE_FALLBACK))
+    income = F.coalesce("income_profile", "t.income")
     products = F.coalesce("rental_products", F.lit(fv.RENTAL_FALLBACK))
     prompt = F.concat(
         F.lit(fv.PROMPT_OPENING + "\n"),
         _line("지역", F.col("sgg"), " (", X.month_text(F.col("alert_date")), ")"),
-        _line("고객", F.coalesce("dominant_age_group", F.lit(fv.AGE_FALLBACK)), " / ", F.coalesce("income_profile", "t.income")),
+        _line("고객", age, " / ", income),
         _line("경보강도", _filled(F.col("t.strength"))),
         _optional(_line("시장신호", _filled(F.col("t.market")))),
         _line("수요강도", F.coalesce("call_context", "t.demand")),
@@ -95,21 +93,31 @@ def marketing_prompts(candidates: DataFrame, top_rental: DataFrame, call_text: D
         _optional(_line("조건", F.col("t.condition"))),
         _line("금지", F.col("t.ban")),
     )
-    return framed.select("region_key", "sgg", "alert_date", "alert_type", prompt.alias("prompt"))
+    drafted = framed.select(
+        *[c for c in ALERT_COLUMNS if c not in ("combined_score", "trending_rentals", *SCORE_COLUMNS)],
+        X.half_up(F.col("combined_score"), 3).alias("combined_score"),
+        *[X.half_up(F.col(f"{s}_percentile"), 3).alias(f"{s}_score") for s in SCORE_SOURCES],
+        F.col("rental_products").alias("trending_rentals"),
+        prompt.alias("prompt"),
+    )
+    messages = F.to_json(_messages(F.col("prompt")))
+    return (
+        drafted.withColumn("messages", messages)
+        .withColumn("temperature", F.lit(fv.TEMPERATURE))
+        .withColumn("prompt_hash", F.sha2("messages", 256))
+    )
+
+
+def alert_scores(drafted: DataFrame) -> DataFrame:
+    """The alert columns of the drafts; without a text column Spark does not build the texts."""
+    return drafted.select(*ALERT_COLUMNS)
 
 
-def prompt_messages(prompts: DataFrame) -> DataFrame:
-    """Message list of a chat request and the sampling temperature."""
-    messages = F.array(
+def _messages(prompt: Column) -> Column:
+    """Message list of a chat request."""
+    return F.array(
         F.struct(F.lit("system").alias("role"), F.lit(fv.SYSTEM_PROMPT).alias("content")),
-        F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content")),
-    )
-    return prompts.select(
-        "region_key",
-        "sgg",
-        "alert_date",
-        messages.alias("messages"),
-        F.lit(fv.TEMPERATURE).alias("temperature"),
+        F.struct(F.lit("user").alias("role"), prompt.alias("content")),
     )
 
 

@@ -100,40 +100,29 @@ class Pipeline:
     # Prompts and texts
 
     @cached_property
-    def alert_scores(self) -> DataFrame:
-        """Candidates with rounded scores, before any text is generated."""
-        return prompts.alert_scores(self.candidates, self.rentals_text)
-
-    @cached_property
-    def prompts(self) -> DataFrame:
-        return prompts.marketing_prompts(self.candidates, self.rentals_text, self.calls_text)
+    def drafts(self) -> DataFrame:
+        return self._table("drafts", prompts.drafts(self.candidates, self.rentals_text, self.calls_text))
 
-    @cached_property
-    def messages(self) -> DataFrame:
-        return prompts.prompt_messages(self.prompts)
+    @property
+    def alert_scores(self) -> DataFrame:
+        return prompts.alert_scores(self.drafts)
 
     @cached_property
     def responses(self) -> DataFrame:
-        """One reply per alert. With a store, only prompts without a stored reply are sent."""
+        """Drafts with one reply each. With a store, only drafts without a stored reply are sent."""
         if self.store is None:
-            return completion.complete(self.messages, self.client)
+            return completion.complete(self.drafts, self.client)
         done = self.store.read("responses")
-        todo = self.messages if done is None else completion.missing_only(self.messages, done)
-        return self.store.append("responses", completion.complete(todo, self.client))
+        todo = self.drafts if done is None else completion.missing_only(self.drafts, done)
+        replies = completion.complete(todo.select(*completion.KEYS, "messages", "temperature"), self.client)
+        stored = self.store.append("responses", replies.select(*completion.KEYS, "response"))
+        # A draft sent twice by overlapping runs has two replies; one of them is used.
+        one_each = stored.groupBy(*completion.KEYS).agg(F.min("response").alias("response"))
+        return self.drafts.join(one_each, completion.KEYS, "left")
 
     @cached_property
     def marketing_alerts(self) -> DataFrame:
-        keys = ["region_key", "alert_date", "prompt_hash"]
-        hashed = self.messages.select("region_key", "alert_date", F.sha2(F.to_json("messages"), 256).alias("prompt_hash"))
-        replies = prompts.copy_text(self.responses)
-        if self.store is None:
-            texts = replies.drop("prompt_hash", "response")
-        else:
-            # Replies of earlier prompts stay stored; take the one for today's prompt, once.
-            texts = hashed.join(replies, keys).groupBy("region_key", "alert_date").agg(
-                F.min("marketing_copy").alias("marketing_copy")
-            )
-        made = self.alert_scores.join(texts, ["region_key", "alert_date"], "left")
+        made = prompts.copy_text(self.responses).select(*prompts.ALERT_COLUMNS, "marketing_copy")
         return self._table("marketing_alerts", made)
 
     @property
