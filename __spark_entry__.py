@@ -35,7 +35,7 @@ def _scores_of(signal: str):
 
 
 def _series_of(signal: str):
-    return lambda p: p.series.where(F.col("signal") == signal)
+    return lambda p: p.series_of(signal)
 
 
 def _stored_model(p: Pipeline) -> DataFrame:
@@ -132,7 +132,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "anomaly_stored_model": _stored_model,
     "anomaly_trend": _trend,
     # fusion
-    "price_rollup": lambda p: fuse.price_rollup(p.scores, S),
+    "price_rollup": lambda p: fuse.price_rollup(p.scores_of("price"), S),
     "signal_flags": lambda p: fuse.signal_flags(p.scores, S),
     "signals_joined": lambda p: fuse.signals_joined(p.scores, S),
     "combined_score": _combined,

@@ -16,9 +16,14 @@ def month_of(c: Column) -> Column:
     return F.trunc(c, "month")
 
 
+def is_month_code(c: Column) -> Column:
+    return (c % 100).between(1, 12)
+
+
 def month_from_code(c: Column) -> Column:
     """Integer month code YYYYMM as the first day of the month; a bad code gives null."""
-    return F.try_to_date(F.concat(c.cast("string"), F.lit("01")), "yyyyMMdd")
+    month = c % 100
+    return F.when(is_month_code(c), F.make_date(((c - month) / 100).cast("int"), month, F.lit(1)))
 
 
 def month_code(c: Column) -> Column:

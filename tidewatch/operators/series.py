@@ -33,16 +33,26 @@ def filter_telecom(telecom: DataFrame, source: SourceFilter) -> DataFrame:
 
 
 def with_split(series: DataFrame, settings: Settings, signal: str) -> DataFrame:
-    """Add the cut-off of each district and the side of it a row falls on; rows of neither side are dropped."""
+    """Add the cut-off of each district and the side of it a row falls on."""
     cutoff = settings.signal(signal).cutoff
-    return (
-        series.withColumn("cut_group", X.cutoff_group(F.col("sgg"), cutoff))
-        .withColumn("cutoff", X.cutoff_day(F.col("sgg"), cutoff))
-        .withColumn("is_train", F.col("ts") < F.col("cutoff"))
-        .where(F.col("is_train").isNotNull())
+    day = X.cutoff_day(F.col("sgg"), cutoff)
+    return series.select(
+        "*",
+        X.cutoff_group(F.col("sgg"), cutoff).alias("cut_group"),
+        day.alias("cutoff"),
+        (F.col("ts") < day).alias("is_train"),
     )
 
 
+def _dated(df: DataFrame, settings: Settings, signal: str, is_dated: Column, sgg: str) -> DataFrame:
+    """Drop rows on neither side of a cut-off: without a month, or without a district where districts have groups.
+
+    The test is on source columns, because Catalyst repeats it for every source row.
+    """
+    grouped = bool(settings.signal(signal).cutoff.late_districts)
+    return df.where(is_dated & F.col(sgg).isNotNull() if grouped else is_dated)
+
+
 def _tagged(grouped: DataFrame, settings: Settings, signal: str, series: Column, emd: Column) -> DataFrame:
     tagged = grouped.select(
         F.lit(signal).alias("signal"),
@@ -59,26 +69,24 @@ def price_series(price: DataFrame, settings: Settings) -> DataFrame:
     """Mean price per sub-district and month."""
     is_money = dict(price.dtypes)["price"].startswith("decimal")
     mean = X.money_mean(F.col("price")) if is_money else X.exact_mean(F.col("price"))
-    grouped = filter_price(price, settings.source).groupBy("sgg", "emd", "ts").agg(mean.alias("y"))
+    rows = _dated(filter_price(price, settings.source), settings, "price", F.col("ts").isNotNull(), "sgg")
+    grouped = rows.groupBy("sgg", "emd", "ts").agg(mean.alias("y"))
     key = X.region_key(settings.key_delimiter, F.col("sgg"), F.col("emd"))
     return _tagged(grouped, settings, "price", key, F.col("emd"))
 
 
 def pop_series(population: DataFrame, settings: Settings) -> DataFrame:
     """Sum of in-migration per district and month."""
-    grouped = (
-        filter_population(population, settings.source).groupBy("sgg", "ts").agg(F.sum("population").alias("y"))
-    )
+    rows = _dated(filter_population(population, settings.source), settings, "pop", F.col("ts").isNotNull(), "sgg")
+    grouped = rows.groupBy("sgg", "ts").agg(F.sum("population").alias("y"))
     return _tagged(grouped, settings, "pop", F.col("sgg"), F.lit(None))
 
 
 def telecom_series(telecom: DataFrame, settings: Settings) -> DataFrame:
     """Sum of line openings per district and month."""
-    grouped = (
-        filter_telecom(telecom, settings.source)
-        .groupBy(F.col("install_city").alias("sgg"), "ts")
-        .agg(F.sum("open_count").alias("y"))
-    )
+    rows = filter_telecom(telecom, settings.source)
+    rows = _dated(rows, settings, "telecom", F.col("ts").isNotNull(), "install_city")
+    grouped = rows.groupBy(F.col("install_city").alias("sgg"), "ts").agg(F.sum("open_count").alias("y"))
     return _tagged(grouped, settings, "telecom", F.col("sgg"), F.lit(None))
 
 
@@ -95,8 +103,9 @@ def card_series(card: DataFrame, district: DataFrame, settings: Settings) -> Dat
         .agg(F.sum(spend).alias("y"))
     )
     names = district.select("district_code", F.col("city_kor_name").alias("sgg"))
+    named = per_code.join(names, "district_code")
     grouped = (
-        per_code.join(names, "district_code")
+        _dated(named, settings, "card", X.is_month_code(F.col("standard_year_month")), "sgg")
         .groupBy("sgg", X.month_from_code(F.col("standard_year_month")).alias("ts"))
         .agg(F.sum("y").alias("y"))
         .where(F.col("y") > 0)
@@ -104,15 +113,22 @@ def card_series(card: DataFrame, district: DataFrame, settings: Settings) -> Dat
     return _tagged(grouped, settings, "card", F.col("sgg"), F.lit(None))
 
 
+def series_of(signal: str, sources: Sources, settings: Settings) -> DataFrame:
+    """The series of one signal; only the sources it needs are opened."""
+    if signal == "price":
+        return price_series(sources["price"], settings)
+    if signal == "pop":
+        return pop_series(sources["population"], settings)
+    if signal == "telecom":
+        return telecom_series(sources["telecom"], settings)
+    if signal == "card":
+        return card_series(sources["card"], sources["district"], settings)
+    raise ValueError(f"unknown signal {signal!r}")
+
+
 def all_series(sources: Sources, settings: Settings) -> DataFrame:
-    """The four signals in one long frame."""
-    frames = [
-        price_series(sources["price"], settings),
-        pop_series(sources["population"], settings),
-        telecom_series(sources["telecom"], settings),
-        card_series(sources["card"], sources["district"], settings),
-    ]
-    return reduce(DataFrame.unionByName, frames)
+    """All signals in one long frame."""
+    return reduce(DataFrame.unionByName, [series_of(s.name, sources, settings) for s in settings.signals])
 
 
 def months_present(price: DataFrame, settings: Settings) -> DataFrame:

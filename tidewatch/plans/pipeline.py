@@ -43,7 +43,14 @@ class Pipeline:
     def scores(self) -> DataFrame:
         return self._table("scores", detect.score(self.series, self.settings.detector), ("signal",))
 
+    def series_of(self, signal: str) -> DataFrame:
+        if self.store is None:
+            return series.series_of(signal, self.sources, self.settings)
+        return self.series.where(F.col("signal") == signal)
+
     def scores_of(self, signal: str) -> DataFrame:
+        if self.store is None:
+            return detect.score(self.series_of(signal), self.settings.detector)
         return self.scores.where(F.col("signal") == signal)
 
     # Districts

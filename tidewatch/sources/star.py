@@ -9,8 +9,10 @@ shuffled for the look-up, so a supplier with a large share of all rows stays sma
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
@@ -50,23 +52,22 @@ def _money(c):
     return F.col(c).cast("decimal(18,2)")
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+Tables = Callable[[str], DataFrame]
 
 
 def _district_code():
     return (F.col("c_nationkey") * 10 + F.ascii("c_mktsegment") % 10).cast("bigint")
 
 
-def _customer_region(spark, sf_dir) -> DataFrame:
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("sgg"))
-    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("emd"))
+def _customer_region(table) -> DataFrame:
+    nation = table("nation").select("n_nationkey", F.col("n_name").alias("sgg"))
+    customer = table("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("emd"))
     return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "sgg", "emd")
 
 
-def price(spark, sf_dir) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    region = _customer_region(spark, sf_dir)
+def price(table: Tables) -> DataFrame:
+    orders = table("orders")
+    region = _customer_region(table)
     return orders.join(region, orders.o_custkey == region.c_custkey).select(
         X.month_of("o_orderdate").alias("ts"),
         F.lit(fv.CITY).alias("sd"),
@@ -77,9 +78,9 @@ def price(spark, sf_dir) -> DataFrame:
     )
 
 
-def population(spark, sf_dir) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders")
-    region = _customer_region(spark, sf_dir)
+def population(table: Tables) -> DataFrame:
+    orders = table("orders")
+    region = _customer_region(table)
     return orders.join(region, orders.o_custkey == region.c_custkey).select(
         X.month_of("o_orderdate").alias("ts"),
         F.lit(fv.CITY).alias("sd"),
@@ -90,10 +91,10 @@ def population(spark, sf_dir) -> DataFrame:
     )
 
 
-def telecom(spark, sf_dir) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem")
-    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    region = _customer_region(spark, sf_dir).drop("emd")
+def telecom(table: Tables) -> DataFrame:
+    lines = table("lineitem")
+    orders = table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    region = _customer_region(table).drop("emd")
     placed = orders.join(region, orders.o_custkey == region.c_custkey).select("o_orderkey", "o_orderpriority", "sgg")
     return lines.join(placed, lines.l_orderkey == placed.o_orderkey).select(
         X.month_of("l_shipdate").alias("ts"),
@@ -107,18 +108,24 @@ def telecom(spark, sf_dir) -> DataFrame:
     )
 
 
-def card(spark, sf_dir) -> DataFrame:
-    amount = _money("l_extendedprice")
+def card(table: Tables) -> DataFrame:
+    # Whole cents add up exactly, whatever the order, and stay primitive in the per-row aggregation.
+    cents = F.rint(F.col("l_extendedprice") * 100).cast("bigint")
+
+    def spent(flag: str) -> Column:
+        total = F.sum(F.when(F.col("l_returnflag") == flag, cents))
+        return (total.cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+
     monthly = (
-        _table(spark, sf_dir, "lineitem")
+        table("lineitem")
         .groupBy("l_suppkey", X.month_code(F.col("l_shipdate")).alias("standard_year_month"))
         .agg(
-            F.sum(F.when(F.col("l_returnflag") == "A", amount)).alias("electronics_furniture_sales"),
-            F.sum(F.when(F.col("l_returnflag") == "R", amount)).alias("home_life_service_sales"),
+            spent("A").alias("electronics_furniture_sales"),
+            spent("R").alias("home_life_service_sales"),
         )
     )
     digits = F.array(*[F.lit(d) for d in SEGMENT_DIGITS])
-    supplier = _table(spark, sf_dir, "supplier").select(
+    supplier = table("supplier").select(
         "s_suppkey",
         (F.col("s_nationkey") * 10 + F.element_at(digits, (F.col("s_suppkey") % 5 + 1).cast("int")))
         .cast("bigint")
@@ -134,9 +141,9 @@ def card(spark, sf_dir) -> DataFrame:
     )
 
 
-def district(spark, sf_dir) -> DataFrame:
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    places = _table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+def district(table: Tables) -> DataFrame:
+    nation = table("nation").select("n_nationkey", "n_name")
+    places = table("customer").select("c_nationkey", "c_mktsegment").distinct()
     code = _district_code()
     return places.join(nation, places.c_nationkey == nation.n_nationkey).select(
         code.alias("district_code"),
@@ -147,9 +154,9 @@ def district(spark, sf_dir) -> DataFrame:
     )
 
 
-def income(spark, sf_dir) -> DataFrame:
-    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate")
-    customer = _table(spark, sf_dir, "customer")
+def income(table: Tables) -> DataFrame:
+    orders = table("orders").select("o_custkey", "o_orderdate")
+    customer = table("customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").select(
         (F.year("o_orderdate") * 100 + 1).alias("standard_year_month"),
         _district_code().alias("district_code"),
@@ -159,9 +166,9 @@ def income(spark, sf_dir) -> DataFrame:
     )
 
 
-def rental(spark, sf_dir) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem")
-    part = _table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
+def rental(table: Tables) -> DataFrame:
+    lines = table("lineitem")
+    part = table("part").select("p_partkey", "p_type", "p_brand")
     return lines.join(part, lines.l_partkey == part.p_partkey, "left").select(
         X.month_of("l_shipdate").alias("ts"),
         F.col("p_type").alias("rental_main_category"),
@@ -176,8 +183,8 @@ def _division():
     return F.when(F.col("user_id") % 2 == 0, fv.CALL_INBOUND).otherwise("발신")
 
 
-def calls(spark, sf_dir) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
+def calls(table: Tables) -> DataFrame:
+    events = table("events")
     return (
         events.groupBy(
             F.to_date("ts").alias("ts"),
@@ -194,8 +201,8 @@ def calls(spark, sf_dir) -> DataFrame:
     )
 
 
-def call_conversion(spark, sf_dir) -> DataFrame:
-    events = _table(spark, sf_dir, "events")
+def call_conversion(table: Tables) -> DataFrame:
+    events = table("events")
     k = F.get_json_object("props", "$.k").cast("bigint")
     return (
         events.groupBy(
@@ -212,8 +219,8 @@ def call_conversion(spark, sf_dir) -> DataFrame:
     )
 
 
-def traffic(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "events").select(
+def traffic(table: Tables) -> DataFrame:
+    return table("events").select(
         X.month_of("ts").alias("ts"),
         F.col("event_type").alias("road_name"),
         F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("node_name"),
@@ -237,12 +244,12 @@ ADAPTERS = {
 
 
 class StarSources(dict):
-    """The ten sources over one directory of parquet tables, each opened when first asked for."""
+    """The ten sources over one directory of parquet tables; tables and sources are opened when first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self._spark, self._sf_dir = spark, sf_dir
+        self.table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
     def __missing__(self, name: str) -> DataFrame:
-        self[name] = ADAPTERS[name](self._spark, self._sf_dir)
+        self[name] = ADAPTERS[name](self.table)
         return self[name]
