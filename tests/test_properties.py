@@ -1,0 +1,127 @@
+"""Properties of random inputs."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+
+import pytest
+from conftest import SF_SMALL
+from pyspark.sql import functions as F
+
+from tidewatch.functions import fixed_values as fv
+from tidewatch.operators import detect, fuse, select
+from tidewatch.plans.pipeline import Pipeline
+from tidewatch.sources.star import STAR_SETTINGS, StarSources
+from tidewatch.spec import DetectorSpec, SelectionSpec, Settings
+
+S = Settings()
+SERIES = "signal string, series string, sgg string, emd string, ts date, y double, is_train boolean"
+
+
+@pytest.fixture(scope="module")
+def series_rows():
+    rng = random.Random(7)
+    rows = []
+    for signal in ("price", "pop", "telecom", "card"):
+        for d in range(6):
+            for emd in ("x", "y", "z") if signal == "price" else (None,):
+                key = f"D{d}" if emd is None else f"D{d}_{emd}"
+                for m in range(60):
+                    if rng.random() < 0.1:
+                        continue
+                    y = None if rng.random() < 0.03 else float(rng.randint(0, 12))
+                    rows.append((signal, key, f"D{d}", emd, dt.date(2018 + m // 12, m % 12 + 1, 1), y, m < 40))
+    return rows
+
+
+def alerts_of(spark, rows, partitions):
+    series = spark.createDataFrame(rows, SERIES).repartition(partitions)
+    scores = detect.score_ecdf(series, DetectorSpec(min_points=5))
+    geometry = spark.createDataFrame([("D0", 1, "g")], "sgg string, district_code bigint, district_geom string")
+    people = spark.createDataFrame([("D0", "a", "i")], "sgg string, dominant_age_group string, income_profile string")
+    return scores, fuse.region_alerts(scores, geometry, people, S)
+
+
+def sorted_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_order_and_partitioning_do_not_matter(spark, series_rows):
+    scores, alerts = alerts_of(spark, series_rows, 3)
+    shuffled = list(series_rows)
+    random.Random(1).shuffle(shuffled)
+    again_scores, again_alerts = alerts_of(spark, shuffled, 11)
+    assert sorted_rows(scores) == sorted_rows(again_scores)
+    assert sorted_rows(alerts) == sorted_rows(again_alerts)
+
+
+def test_scores_against_brute_force(spark, series_rows):
+    scores, _ = alerts_of(spark, series_rows, 4)
+    history = {}
+    for signal, key, _, _, _, y, is_train in series_rows:
+        if is_train and y is not None:
+            history.setdefault((signal, key), []).append(y)
+    got = {(r.signal, r.series, r.ts): r.percentile for r in scores.collect()}
+    want = {}
+    for signal, key, _, _, ts, y, is_train in series_rows:
+        train = history.get((signal, key), [])
+        if not is_train and len(train) >= 5:
+            place = None if y is None else (sum(t < y for t in train) + 0.5 * sum(t == y for t in train)) / len(train)
+            want[(signal, key, ts)] = place
+    assert got == want
+
+
+def test_alerts_against_brute_force(spark, series_rows):
+    scores, alerts = alerts_of(spark, series_rows, 4)
+    by_key = {}
+    for r in scores.collect():
+        by_key.setdefault((r.sgg, r.ts), {}).setdefault(r.signal, []).append(r.percentile)
+    names = {frozenset(members): label for members, label in fv.ALERT_LABELS}
+    want = {}
+    for key, signals in by_key.items():
+        if "pop" not in signals:
+            continue
+        place, flags = {}, set()
+        for s in fv.SIGNAL_WEIGHTS:
+            values = [v for v in signals.get(s, []) if v is not None]
+            place[s] = sum(values) / len(values) if values else (None if s == "pop" else 0.5)
+            tested = values if s == "price" else [place[s]] if place[s] is not None else []
+            if any(v > 0.75 or v < 0.25 for v in tested):
+                flags.add(s)
+        if flags:
+            parts = [None if place[s] is None else abs(place[s] - 0.5) * 2 * w for s, w in fv.SIGNAL_WEIGHTS.items()]
+            want[key] = (None if None in parts else sum(parts), names[frozenset(flags)])
+    got = {(r.sgg, r.alert_date): (r.combined_score, r.alert_type) for r in alerts.collect()}
+    assert set(got) == set(want)
+    for key, (score, label) in want.items():
+        assert got[key][1] == label
+        assert got[key][0] == (None if score is None else pytest.approx(score, abs=1e-8))
+
+
+def test_ranges_and_uniqueness(spark, series_rows):
+    scores, alerts = alerts_of(spark, series_rows, 4)
+    assert scores.where("percentile < 0 or percentile > 1").count() == 0
+    assert alerts.where("combined_score < 0 or combined_score > 1").count() == 0
+    assert alerts.groupBy("sgg", "alert_date").count().where("count > 1").count() == 0
+    chosen = select.alert_candidates(alerts, SelectionSpec())
+    assert chosen.where("combined_score <= 0.25").count() == 0
+    assert chosen.groupBy("region_key").count().where("count > 1").count() == 0
+
+
+def test_train_and_detect_cover_every_row_once(spark):
+    pipeline = Pipeline(StarSources(spark, SF_SMALL), STAR_SETTINGS)
+    rows = pipeline.series
+    assert rows.where("is_train is null").count() == 0
+    wrong = rows.where((F.col("is_train") & (F.col("ts") >= F.col("cutoff"))) | (~F.col("is_train") & (F.col("ts") < F.col("cutoff"))))
+    assert wrong.count() == 0
+    assert rows.groupBy("signal", "series", "ts").count().where("count > 1").count() == 0
+
+
+def test_window_and_stored_model_agree(spark, series_rows):
+    series = spark.createDataFrame(series_rows, SERIES)
+    spec = DetectorSpec(min_points=5)
+    by_window = detect.score_ecdf(series, spec)
+    by_model = detect.score_with_model(series.where(~F.col("is_train")), detect.fit(series), spec)
+    columns = ["signal", "series", "ts", "y", "percentile", "is_anomaly"]
+    assert sorted_rows(by_window.select(columns)) == sorted_rows(by_model.select(columns))

@@ -30,7 +30,7 @@ def age_band_counts(income: DataFrame) -> DataFrame:
         )
         for low in (20, 30, 40, 50)
     ]
-    rate = X.exact_mean(F.col("rate_income_over_70m")).alias("rate_income_over_70m")
+    rate = X.exact_mean(F.col("rate_income_over_70m"), 10).alias("rate_income_over_70m")
     return latest_period(income, "standard_year_month").groupBy("district_code").agg(*bands, rate)
 
 
