@@ -38,6 +38,19 @@ def _series_of(signal: str):
     return lambda p: p.series_of(signal)
 
 
+def _price_fallback(p: Pipeline) -> DataFrame:
+    """Districts stay at sub-district grain only when all their series have 60 months, so that some fall back."""
+    strict = replace(S, grain_points=60)
+    choice = series_ops.grain_choice(p.sources["price"], strict, min_share=1.0)
+    return series_ops.price_series(p.sources["price"], strict, choice)
+
+
+def _series_key_parts(p: Pipeline) -> DataFrame:
+    """Score rows rebuilt from a result table that only has the series key."""
+    results = p.scores_of("price").drop("signal", "sgg", "emd")
+    return fuse.scores_from_results(results, "price", S)
+
+
 def _stored_model(p: Pipeline) -> DataFrame:
     detect_rows = p.series.where(~F.col("is_train"))
     return detect.score_with_model(detect_rows, p.model, S.detector)
@@ -82,7 +95,8 @@ def _top_k(p: Pipeline) -> DataFrame:
 
 
 def _month_key(p: Pipeline) -> DataFrame:
-    months = p.sources["price"].groupBy(F.col("ts").alias("month_start")).agg(F.count("*").alias("row_count"))
+    started = X.month_of(F.col("o_orderdate")).alias("month_start")
+    months = p.sources.table("orders").groupBy(started).agg(F.count("*").alias("row_count"))
     code = X.month_code(F.col("month_start"))
     return months.select(
         "month_start",
@@ -123,6 +137,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "split_violations": lambda p: series_ops.split_check(p.series),
     "series_length": lambda p: series_ops.series_length(p.sources["price"], S),
     "grain_choice": lambda p: series_ops.grain_choice(p.sources["price"], S),
+    "price_series_fallback": _price_fallback,
     # scores
     "model_params": _model_params,
     "anomaly_price": _scores_of("price"),
@@ -132,6 +147,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "anomaly_stored_model": _stored_model,
     "anomaly_trend": _trend,
     # fusion
+    "series_key_parts": _series_key_parts,
     "price_rollup": lambda p: fuse.price_rollup(p.scores_of("price"), S),
     "signal_flags": lambda p: fuse.signal_flags(p.scores, S),
     "signals_joined": lambda p: fuse.signals_joined(p.scores, S),
@@ -150,9 +166,11 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "dedup_best": lambda p: select.dedup_best(p.region_alerts, S.selection),
     "topk_per_group": _top_k,
     "alert_candidates": lambda p: p.candidates,
-    "top_alerts": lambda p: marts.top_alerts(p.region_alerts),
+    "top_alerts": lambda p: marts.top_alerts(p.alerts),
     # context
-    "last_n_months": lambda p: profile.last_n_months(p.sources["rental"], "ts", 3)
+    "last_n_months": lambda p: profile.last_n_months(
+        p.sources.table("lineitem").select(X.month_of(F.col("l_shipdate")).alias("ts")), "ts", 3
+    )
     .groupBy("ts")
     .agg(F.count("*").alias("row_count")),
     "rental_trend": lambda p: p.rental_trend,
@@ -177,21 +195,21 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "signal_timeseries": lambda p: p.signal_timeseries,
     "sgg_summary": lambda p: p.sgg_summary,
     "telecom_trend": lambda p: p.telecom_trend,
-    "alert_type_counts": lambda p: marts.alert_type_counts(p.region_alerts),
+    "alert_type_counts": lambda p: marts.alert_type_counts(p.alerts),
     "alerts_mart": lambda p: marts.alerts_mart(p.marketing_alerts),
     "alerts_filtered": lambda p: marts.alerts_filtered(p.alert_scores, alert_type="4중 동시 경보", score_min=0.6),
-    "alert_kpis": lambda p: marts.alert_kpis(p.alert_scores),
-    "top_regions": lambda p: marts.top_regions(p.alert_scores),
-    "score_long": lambda p: marts.score_long(p.alert_scores),
-    "score_distribution": lambda p: marts.score_distribution(p.alert_scores),
-    "type_summary": lambda p: marts.type_summary(p.alert_scores),
-    "type_summary_long": lambda p: marts.type_summary_long(marts.type_summary(p.alert_scores)),
+    "alert_kpis": lambda p: marts.alert_kpis(p.alert_points),
+    "top_regions": lambda p: marts.top_regions(p.alert_points),
+    "score_long": lambda p: marts.score_long(p.alert_points),
+    "score_distribution": lambda p: marts.score_distribution(p.alert_points),
+    "type_summary": lambda p: marts.type_summary(p.alert_points),
+    "type_summary_long": lambda p: marts.type_summary_long(marts.type_summary(p.alert_points)),
     "signal_heatmap": lambda p: marts.signal_heatmap(p.sgg_summary),
     "alert_list": lambda p: marts.alert_list(p.alert_scores),
     "alert_detail": lambda p: marts.alert_detail(p.marketing_alerts, "NATION_1", dt.date(2001, 3, 1)),
-    "labels_present": lambda p: marts.labels_present(p.alert_scores),
+    "labels_present": lambda p: marts.labels_present(p.alert_points),
     "alerts_by_label": lambda p: marts.alerts_by_label(p.marketing_alerts),
-    "filter_options": lambda p: marts.filter_options(p.alert_scores),
+    "filter_options": lambda p: marts.filter_options(p.alert_points),
     "signal_lookup": lambda p: marts.signal_lookup(p.signal_timeseries, "NATION_3"),
     "signal_lookup_district": lambda p: marts.signal_lookup_district(p.signal_timeseries, "NATION_3"),
     "telecom_lookup": lambda p: marts.telecom_lookup(p.telecom_trend, "NATION_7"),
@@ -199,7 +217,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "table_profile": lambda p: checks.table_profile(p.series),
     "score_validation": lambda p: checks.score_validation(p.scores),
     "expectations": lambda p: p.expectations,
-    "score_range": lambda p: checks.score_range(p.region_alerts),
+    "score_range": lambda p: checks.score_range(p.alerts),
     "profile_coverage": lambda p: checks.profile_coverage(p.customer_profile),
     "key_mismatches": lambda p: checks.key_mismatches(
         p.sources["card"], F.col("district_code"), p.sources["district"], F.col("district_code")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, half_up, mean, month
+from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, half_up, mean, money_mean, month
 
 SCORE_COLUMNS = ("signal", "series", "sgg", "emd", "ts", "y", "forecast", "percentile", "is_anomaly")
 FIVE = ("combined_score", "price_score", "pop_score", "telecom_score", "card_score")
@@ -49,6 +49,16 @@ STATEMENTS: dict[str, str] = {
         SELECT sgg, count(*) AS n_series, count(*) FILTER (WHERE n >= 24) AS n_long_enough, min(n) AS min_points,
                CASE WHEN count(*) FILTER (WHERE n >= 24) * 2 >= count(*) THEN 'emd' ELSE 'sgg' END AS grain
         FROM (SELECT sgg, emd, count(DISTINCT ts) AS n FROM price_src GROUP BY sgg, emd) GROUP BY sgg""",
+    "price_series_fallback": f"""
+        SELECT 'price' AS signal, CASE WHEN whole THEN sgg ELSE sgg || '|' || emd END AS series, sgg,
+               CASE WHEN whole THEN NULL ELSE emd END AS emd, ts, {money_mean("price")} AS y,
+               CASE WHEN sgg IN {LATE} THEN 'late' ELSE 'main' END AS cut_group,
+               CASE WHEN sgg IN {LATE} THEN DATE '2000-01-01' ELSE DATE '1999-01-01' END AS cutoff,
+               ts < CASE WHEN sgg IN {LATE} THEN DATE '2000-01-01' ELSE DATE '1999-01-01' END AS is_train
+        FROM price_src JOIN (
+          SELECT sgg, min(n) < 60 AS whole
+          FROM (SELECT sgg, emd, count(DISTINCT ts) AS n FROM price_src GROUP BY sgg, emd) GROUP BY sgg) USING (sgg)
+        GROUP BY ALL""",
     # scores
     "model_params": f"""
         SELECT f.signal, f.series, CAST(f.n AS BIGINT) AS n_train, min(t.ts) AS first_ts, max(t.ts) AS last_ts,
@@ -66,6 +76,9 @@ STATEMENTS: dict[str, str] = {
         SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
         FROM trend_scores""",
     # fusion
+    "series_key_parts": """
+        SELECT signal, series, split_part(series, '|', 1) AS sgg, split_part(series, '|', 2) AS emd, ts, y, forecast,
+               percentile, is_anomaly FROM scores WHERE signal = 'price'""",
     "price_rollup": "SELECT * FROM price_of",
     "signal_flags": f"""
         SELECT signal, series, sgg, ts, percentile, {OUT.format("percentile")} AS flagged,

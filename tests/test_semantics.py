@@ -601,3 +601,23 @@ def test_parameters_change_results(frame):
     assert not fuse.signal_flags(rows, wide).first().flagged
     assert fuse.signal_flags(rows, S).first().flagged and fuse.signal_flags(rows, S).first().direction == "up"
     assert Cutoff(M).late_districts == ()
+
+
+def test_short_districts_fall_back_to_one_series(frame):
+    def months(n):
+        return [dt.date(2000 + i // 12, i % 12 + 1, 1) for i in range(n)]
+
+    rows = [(d, "서울", "A", e, "emd", p) for d in months(24) for e, p in (("x", 1.0), ("y", 2.0), ("y", 6.0))]
+    rows += [(d, "서울", "B", e, "emd", p) for d in months(3) for e, p in (("x", 1.0), ("y", 2.0), ("y", 6.0))]
+    price = frame(rows, PRICE)
+    got = series.price_series(price, S, series.grain_choice(price, S)).where("ts = date '2000-01-01'").collect()
+    assert sorted((r.series, r.sgg, r.emd, r.y) for r in got if r.emd) == [("A_x", "A", "x", 1.0), ("A_y", "A", "y", 4.0)]
+    assert [(r.series, r.sgg, r.emd, r.y) for r in got if r.emd is None] == [("B", "B", None, 3.0)]
+
+
+def test_result_tables_with_a_series_key(frame):
+    results = frame([("A_x", M, 1.0, 2.0, 0.9, False)], "series string, ts date, y double, forecast double, percentile double, is_anomaly boolean")
+    price = fuse.scores_from_results(results, "price", S).first()
+    pop = fuse.scores_from_results(results, "pop", S).first()
+    assert (price.signal, price.sgg, price.emd) == ("price", "A", "x")
+    assert (pop.signal, pop.sgg, pop.emd) == ("pop", "A_x", None)

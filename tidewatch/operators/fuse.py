@@ -107,23 +107,23 @@ def labelled(regions: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def region_alerts(scores: DataFrame, geometry: DataFrame, profile: DataFrame, settings: Settings) -> DataFrame:
-    """Alert rows: at least one flagged signal, with district code, geometry and customer profile."""
+def alert_rows(scores: DataFrame, settings: Settings) -> DataFrame:
+    """Districts and months with at least one flagged signal, with score and label."""
     regions = scored_regions(signals_joined(scores, settings), settings)
     alerts = labelled(regions.where(reduce(lambda a, b: a | b, _flags(settings))), settings)
     per_signal = [
         f"{s.name}_{c}" for s in settings.signals for c in ("percentile", "actual", "forecast", "is_anomaly")
     ]
+    return alerts.select("region_key", "sgg", "emd", "alert_date", *per_signal, "combined_score", "alert_type")
+
+
+def enriched(alerts: DataFrame, geometry: DataFrame, profile: DataFrame) -> DataFrame:
+    """Alerts with district code, geometry and customer profile; districts without them keep their alerts."""
     return (
         alerts.join(geometry, "sgg", "left")
         .join(profile, "sgg", "left")
         .select(
-            "region_key",
-            "sgg",
-            "emd",
-            "alert_date",
-            *per_signal,
-            "combined_score",
+            *[alerts[c] for c in alerts.columns if c != "alert_type"],
             "district_code",
             "district_geom",
             "dominant_age_group",
@@ -131,3 +131,28 @@ def region_alerts(scores: DataFrame, geometry: DataFrame, profile: DataFrame, se
             "alert_type",
         )
     )
+
+
+def region_alerts(scores: DataFrame, geometry: DataFrame, profile: DataFrame, settings: Settings) -> DataFrame:
+    """The complete alert table."""
+    return enriched(alert_rows(scores, settings), geometry, profile)
+
+
+def scores_from_results(results: DataFrame, signal: str, settings: Settings) -> DataFrame:
+    """Score rows from a result table that has only the series key: the key is taken apart at the delimiter."""
+    parts = settings.signal(signal).grain == "emd"
+
+    def part(n: int) -> Column:
+        return F.split_part("series", F.lit(settings.key_delimiter), F.lit(n))
+
+    return results.select(
+        F.lit(signal).alias("signal"),
+        "series",
+        (part(1) if parts else F.col("series")).alias("sgg"),
+        (part(2) if parts else F.lit(None).cast("string")).alias("emd"),
+        "ts",
+        "y",
+        "forecast",
+        "percentile",
+        "is_anomaly",
+    )

@@ -66,6 +66,17 @@ def _optional(line: Column) -> Column:
     return F.coalesce(line, F.lit(""))
 
 
+def rounded_scores() -> list[Column]:
+    """Combined score and the place of each signal, with three digits."""
+    combined = X.half_up(F.col("combined_score"), 3).alias("combined_score")
+    return [combined, *[X.half_up(F.col(f"{s}_percentile"), 3).alias(f"{s}_score") for s in SCORE_SOURCES]]
+
+
+def alert_points(candidates: DataFrame) -> DataFrame:
+    """Candidate alerts with their rounded scores only, for figures that need neither profile nor text."""
+    return candidates.select("region_key", "sgg", "alert_date", "alert_type", *rounded_scores())
+
+
 def drafts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -> DataFrame:
     """Candidate alerts with rounded scores, the product text, the prompt and the message list, in one pass.
 
@@ -95,8 +106,7 @@ def drafts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -
     )
     drafted = framed.select(
         *[c for c in ALERT_COLUMNS if c not in ("combined_score", "trending_rentals", *SCORE_COLUMNS)],
-        X.half_up(F.col("combined_score"), 3).alias("combined_score"),
-        *[X.half_up(F.col(f"{s}_percentile"), 3).alias(f"{s}_score") for s in SCORE_SOURCES],
+        *rounded_scores(),
         F.col("rental_products").alias("trending_rentals"),
         prompt.alias("prompt"),
     )

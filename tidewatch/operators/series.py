@@ -65,14 +65,27 @@ def _tagged(grouped: DataFrame, settings: Settings, signal: str, series: Column,
     return with_split(tagged, settings, signal)
 
 
-def price_series(price: DataFrame, settings: Settings) -> DataFrame:
-    """Mean price per sub-district and month."""
+def price_series(price: DataFrame, settings: Settings, grain: DataFrame | None = None) -> DataFrame:
+    """Mean price per sub-district and month.
+
+    With the districts of :func:`grain_choice`, those with short histories get one series of the whole district. Sums
+    and counts per month are made first, so only they meet the choice.
+    """
     is_money = dict(price.dtypes)["price"].startswith("decimal")
-    mean = X.money_mean(F.col("price")) if is_money else X.exact_mean(F.col("price"))
+    total = X.money_sum(F.col("price")) if is_money else X.exact_sum(F.col("price"))
     rows = _dated(filter_price(price, settings.source), settings, "price", F.col("ts").isNotNull(), "sgg")
-    grouped = rows.groupBy("sgg", "emd", "ts").agg(mean.alias("y"))
+    monthly = rows.groupBy("sgg", "emd", "ts").agg(total.alias("total"), F.count("price").alias("n"))
     key = X.region_key(settings.key_delimiter, F.col("sgg"), F.col("emd"))
-    return _tagged(grouped, settings, "price", key, F.col("emd"))
+    if grain is not None:
+        falls_back = grain.where(F.col("grain") == "sgg").select("sgg", F.lit(True).alias("whole"))
+        monthly = (
+            monthly.join(falls_back, "sgg", "left")
+            .groupBy("sgg", "ts", "whole", F.when(F.col("whole").isNull(), F.col("emd")).alias("emd"))
+            .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        )
+        key = F.when(F.col("whole"), F.col("sgg")).otherwise(key)
+    mean = F.col("total").cast("double") / F.nullif(F.col("n"), F.lit(0))
+    return _tagged(monthly.withColumn("y", mean), settings, "price", key, F.col("emd"))
 
 
 def pop_series(population: DataFrame, settings: Settings) -> DataFrame:

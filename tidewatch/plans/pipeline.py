@@ -70,14 +70,31 @@ class Pipeline:
 
     # Alerts
 
+    @cached_property
+    def alerts(self) -> DataFrame:
+        """Alerts without district columns, for figures that do not need them."""
+        return fuse.alert_rows(self.scores, self.settings) if self.store is None else self.region_alerts
+
     @cached_property
     def region_alerts(self) -> DataFrame:
         made = fuse.region_alerts(self.scores, self.sgg_geometry, self.sgg_profile, self.settings)
         return self._table("region_alerts", made)
 
+    @cached_property
+    def best_alerts(self) -> DataFrame:
+        """Candidate alerts without district columns."""
+        return select.alert_candidates(self.alerts, self.settings.selection)
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return select.alert_candidates(self.region_alerts, self.settings.selection)
+        if self.store is not None:
+            return self.best_alerts
+        # Choose first: the district columns are then joined to a few rows.
+        return fuse.enriched(self.best_alerts, self.sgg_geometry, self.sgg_profile)
+
+    @property
+    def alert_points(self) -> DataFrame:
+        return prompts.alert_points(self.best_alerts)
 
     # Context
 
@@ -118,10 +135,11 @@ class Pipeline:
     def responses(self) -> DataFrame:
         """Drafts with one reply each. With a store, only drafts without a stored reply are sent."""
         if self.store is None:
-            return completion.complete(self.drafts, self.client)
+            return completion.complete(self.drafts, self.client, self.settings.request_parallelism)
         done = self.store.read("responses")
         todo = self.drafts if done is None else completion.missing_only(self.drafts, done)
-        replies = completion.complete(todo.select(*completion.KEYS, "messages", "temperature"), self.client)
+        requests = todo.select(*completion.KEYS, "messages", "temperature")
+        replies = completion.complete(requests, self.client, self.settings.request_parallelism)
         stored = self.store.append("responses", replies.select(*completion.KEYS, "response"))
         # A draft sent twice by overlapping runs has two replies; one of them is used.
         one_each = stored.groupBy(*completion.KEYS).agg(F.min("response").alias("response"))
@@ -144,7 +162,7 @@ class Pipeline:
 
     @cached_property
     def sgg_summary(self) -> DataFrame:
-        return self._table("sgg_summary", marts.sgg_summary(self.region_alerts))
+        return self._table("sgg_summary", marts.sgg_summary(self.alerts))
 
     @cached_property
     def telecom_trend(self) -> DataFrame:

@@ -91,7 +91,8 @@ def default_signals(
 
 @dataclass(frozen=True)
 class Settings:
-    """``driver`` names the signal a district and month must have a score of to be able to alert."""
+    """``driver`` names the signal a district and month must have a score of to be able to alert;
+    ``request_parallelism`` is the most text requests in flight."""
 
     signals: tuple[SignalSpec, ...] = field(default_factory=default_signals)
     driver: str = "pop"
@@ -101,6 +102,7 @@ class Settings:
     selection: SelectionSpec = SelectionSpec()
     key_delimiter: str = "_"
     grain_points: int = 24
+    request_parallelism: int = 8
 
     def signal(self, name: str) -> SignalSpec:
         return next(s for s in self.signals if s.name == name)
