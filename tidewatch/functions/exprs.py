@@ -52,14 +52,26 @@ def exact_mean(c: Column, scale: int = 6) -> Column:
     return exact_sum(c, scale).cast("double") / F.nullif(F.count(c), F.lit(0))
 
 
+def _whole_sum(c: Column, digits: int) -> Column:
+    """Exact sum of a column with so many decimals, over whole numbers: a primitive sum, checked for overflow."""
+    whole = F.sum(F.rint(c * 10**digits).cast("bigint"))
+    return (whole.cast("decimal(20,0)") / 10**digits).cast(f"decimal(28,{digits})")
+
+
 def money_sum(c: Column) -> Column:
-    return F.sum(c.cast("decimal(18,2)"))
+    """Exact sum of amounts with at most two decimals, up to 9e16 per group."""
+    return _whole_sum(c, 2)
 
 
 def money_mean(c: Column) -> Column:
     return money_sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
 
 
+def percent_mean(c: Column) -> Column:
+    """Mean of percentages and like small numbers from an exact sum of six decimals, for up to 9e10 rows per group."""
+    return _whole_sum(c, 6).cast("double") / F.nullif(F.count(c), F.lit(0))
+
+
 def half_up(c: Column, digits: int) -> Column:
     """Half-up rounding on the decimal value, as DOUBLE."""
     return F.round(c.cast("decimal(28,8)"), digits).cast("double")

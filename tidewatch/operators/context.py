@@ -23,8 +23,6 @@ def rental_trend(rental: DataFrame, context: ContextSpec) -> DataFrame:
     order = Window.orderBy(
         F.col("total_open").desc_nulls_last(), F.col("rental_main_category"), F.col("rental_sub_category")
     )
-    is_money = dict(rental.dtypes)["avg_policy_amount"].startswith("decimal")
-    amount = F.col("avg_policy_amount")
     return (
         last_n_months(rental, "ts", context.window_months)
         .where(
@@ -34,8 +32,8 @@ def rental_trend(rental: DataFrame, context: ContextSpec) -> DataFrame:
         .groupBy("rental_main_category", "rental_sub_category")
         .agg(
             F.sum("open_count").alias("total_open"),
-            (X.money_mean(amount) if is_money else X.exact_mean(amount)).alias("avg_policy_amt"),
-            X.half_up(X.exact_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
+            X.money_mean(F.col("avg_policy_amount")).alias("avg_policy_amt"),
+            X.half_up(X.percent_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
         )
         .withColumn("rank_num", F.row_number().over(order).cast("bigint"))
     )
@@ -168,6 +166,6 @@ def traffic_snapshot(traffic: DataFrame, context: ContextSpec) -> DataFrame:
         .withColumn("sgg", place)
         .where(F.col("sgg").isNotNull())
         .groupBy("sgg", "ts")
-        .agg(X.exact_mean(speed).alias("avg_speed_kmph"), F.sum("probe_count").alias("probe_count"))
+        .agg(X.percent_mean(speed).alias("avg_speed_kmph"), F.sum("probe_count").alias("probe_count"))
         .withColumn("status", status.when(speed.isNotNull(), fast))
     )

@@ -71,8 +71,7 @@ def price_series(price: DataFrame, settings: Settings, grain: DataFrame | None =
     With the districts of :func:`grain_choice`, those with short histories get one series of the whole district. Sums
     and counts per month are made first, so only they meet the choice.
     """
-    is_money = dict(price.dtypes)["price"].startswith("decimal")
-    total = X.money_sum(F.col("price")) if is_money else X.exact_sum(F.col("price"))
+    total = X.money_sum(F.col("price")) if settings.price_is_money else X.exact_sum(F.col("price"))
     rows = _dated(filter_price(price, settings.source), settings, "price", F.col("ts").isNotNull(), "sgg")
     monthly = rows.groupBy("sgg", "emd", "ts").agg(total.alias("total"), F.count("price").alias("n"))
     key = X.region_key(settings.key_delimiter, F.col("sgg"), F.col("emd"))
@@ -91,7 +90,7 @@ def price_series(price: DataFrame, settings: Settings, grain: DataFrame | None =
 def pop_series(population: DataFrame, settings: Settings) -> DataFrame:
     """Sum of in-migration per district and month."""
     rows = _dated(filter_population(population, settings.source), settings, "pop", F.col("ts").isNotNull(), "sgg")
-    grouped = rows.groupBy("sgg", "ts").agg(F.sum("population").alias("y"))
+    grouped = rows.groupBy("sgg", "ts").agg(X.money_sum(F.col("population")).alias("y"))
     return _tagged(grouped, settings, "pop", F.col("sgg"), F.lit(None))
 
 
@@ -113,7 +112,7 @@ def card_series(card: DataFrame, district: DataFrame, settings: Settings) -> Dat
     per_code = (
         card.where(F.col("province_code") == settings.source.province_code)
         .groupBy("district_code", "standard_year_month")
-        .agg(F.sum(spend).alias("y"))
+        .agg(X.money_sum(spend).alias("y"))
     )
     names = district.select("district_code", F.col("city_kor_name").alias("sgg"))
     named = per_code.join(names, "district_code")

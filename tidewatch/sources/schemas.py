@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Canonical columns of each source.
+# Canonical columns of each source. Counts and amounts of money have at most two decimals.
 SOURCES: dict[str, str] = {
     "price": "ts date, sd string, sgg string, emd string, region_level string, price double",
-    "population": "ts date, sd string, sgg string, region_level string, movement_type string, population decimal(18,2)",
+    "population": "ts date, sd string, sgg string, region_level string, movement_type string, population double",
     "telecom": "ts date, install_state string, install_city string, main_category_name string, "
-    "contract_count bigint, open_count bigint, open_cvr double, total_net_sales decimal(18,2)",
-    "card": "standard_year_month int, province_code int, district_code bigint, electronics_furniture_sales decimal(18,2), "
-    "home_life_service_sales decimal(18,2), large_discount_store_sales decimal(18,2)",
+    "contract_count bigint, open_count bigint, open_cvr double, total_net_sales double",
+    "card": "standard_year_month int, province_code int, district_code bigint, electronics_furniture_sales double, "
+    "home_life_service_sales double, large_discount_store_sales double",
     "district": "district_code bigint, province_code int, city_kor_name string, district_kor_name string, "
     "district_geom string",
     "income": "standard_year_month int, district_code bigint, age_group int, customer_count bigint, "

@@ -92,7 +92,8 @@ def default_signals(
 @dataclass(frozen=True)
 class Settings:
     """``driver`` names the signal a district and month must have a score of to be able to alert;
-    ``request_parallelism`` is the most text requests in flight."""
+    ``request_parallelism`` is the most text requests in flight; ``price_is_money`` says that prices have at most two
+    decimals, which makes their exact sums cheaper."""
 
     signals: tuple[SignalSpec, ...] = field(default_factory=default_signals)
     driver: str = "pop"
@@ -103,6 +104,7 @@ class Settings:
     key_delimiter: str = "_"
     grain_points: int = 24
     request_parallelism: int = 8
+    price_is_money: bool = False
 
     def signal(self, name: str) -> SignalSpec:
         return next(s for s in self.signals if s.name == name)
