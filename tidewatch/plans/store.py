@@ -7,6 +7,14 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder below the one the session names in spark.checkpoint.dir, which all executors share."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return f"{shared.rstrip('/')}/{name}"
+
+
 class Store(Protocol):
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame: ...
 
@@ -21,6 +29,10 @@ class PathStore:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
+    @classmethod
+    def shared(cls, spark: SparkSession, name: str) -> PathStore:
+        return cls(spark, shared_folder(spark, name))
+
     def _path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
