@@ -13,7 +13,7 @@ LABELS = (
     "시세+전입인구 경보", "시세+통신 경보", "시세+카드 경보", "전입인구+통신 경보", "전입인구+카드 경보", "통신+카드 경보",
     "시세 경보", "전입인구 경보", "통신 경보", "카드소비 경보",
 )
-ORDINAL = "CASE alert_type " + " ".join(f"WHEN '{x}' THEN {i + 1}" for i, x in enumerate(LABELS)) + " END"
+ORDINAL = "CAST(CASE alert_type " + " ".join(f"WHEN '{x}' THEN {i + 1}" for i, x in enumerate(LABELS)) + " END AS BIGINT)"
 
 
 def _series(signal: str) -> str:
@@ -30,7 +30,9 @@ STATEMENTS: dict[str, str] = {
     "pop_series": _series("pop"),
     "telecom_series": _series("telecom"),
     "card_series": _series("card"),
-    "filter_level": "SELECT ts, sgg, movement_type, population FROM population_src WHERE movement_type = 'F'",
+    "filter_level": """
+        SELECT ts, sgg, movement_type, CAST(population AS DOUBLE) AS population FROM population_src
+        WHERE movement_type = 'F'""",
     "month_key": f"""
         SELECT month_start, CAST(strftime(month_start, '%Y%m') AS INTEGER) AS month_code,
                strftime(month_start, '%Y-%m') AS ym, month_start AS from_code, count(*) AS row_count
@@ -272,7 +274,7 @@ STATEMENTS: dict[str, str] = {
         SELECT count(*) AS row_count, min(ts) AS min_ts, max(ts) AS max_ts FROM price_src WHERE sgg IN {LATE}""",
     "distinct_values": "SELECT DISTINCT install_city AS value FROM telecom_src",
     "sample_scan": """
-        SELECT ts, sgg, emd, price FROM price_src WHERE sgg = 'NATION_3' ORDER BY ts, emd, price LIMIT 3""",
+        SELECT ts, sgg, emd, CAST(price AS DOUBLE) AS price FROM price_src WHERE sgg = 'NATION_3' ORDER BY ts, emd, price LIMIT 3""",
 }
 
 

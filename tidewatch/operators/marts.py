@@ -54,7 +54,7 @@ def telecom_trend(telecom: DataFrame, source: SourceFilter) -> DataFrame:
             F.sum("contract_count").alias("contracts"),
             F.sum("open_count").alias("opens"),
             X.half_up(X.percent_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
-            X.money_sum(F.col("total_net_sales")).alias("net_sales"),
+            X.money_sum(F.col("total_net_sales")).cast("double").alias("net_sales"),
         )
     )
 
