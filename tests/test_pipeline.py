@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from dataclasses import replace
 
 import pytest
 from conftest import SF, SF_SMALL
@@ -12,8 +13,9 @@ from tidewatch.operators import completion
 from tidewatch.plans.pipeline import Pipeline
 from tidewatch.plans.store import PathStore, TableStore
 from tidewatch.sources import catalog
-from tidewatch.sources.schemas import assert_schema, conform
+from tidewatch.sources.schemas import SOURCES, assert_schema, conform
 from tidewatch.sources.star import ADAPTERS, STAR_SETTINGS, StarSources
+from tidewatch.spec import DetectorSpec
 
 
 def sorted_rows(df):
@@ -94,6 +96,34 @@ def test_provider_columns_and_dates(spark, day):
     assert tuple(df.first()) == (dt.date(2024, 3, 1), "서울", "강남구", "역삼동", "emd", 5000.0)
 
 
+EVERY_TABLE = (
+    "series", "model", "scores", "customer_profile", "region_alerts", "rental_trend", "call_center", "traffic_snapshot",
+    "drafts", "marketing_alerts", "signal_timeseries", "sgg_summary", "telecom_trend", "expectations",
+)
+
+
+def test_all_sources_empty(spark):
+    empty = {name: spark.createDataFrame([], schema) for name, schema in SOURCES.items()}
+    pipeline = Pipeline(empty, STAR_SETTINGS)
+    assert {name: getattr(pipeline, name).count() for name in EVERY_TABLE} == dict.fromkeys(EVERY_TABLE, 0)
+
+
+@pytest.mark.parametrize("absent", list(SOURCES))
+def test_one_source_empty(spark, absent):
+    class Sources(StarSources):
+        def __missing__(self, name):
+            if name == absent:
+                self[name] = spark.createDataFrame([], SOURCES[name])
+                return self[name]
+            return super().__missing__(name)
+
+    # The smallest tables have short series.
+    short = replace(STAR_SETTINGS, detector=DetectorSpec(min_points=6))
+    drafts = Pipeline(Sources(spark, SF_SMALL), short).drafts.select("region_key", "prompt").collect()
+    assert (len(drafts) == 0) == (absent == "population")
+    assert all(r.prompt for r in drafts)
+
+
 def test_missing_columns_are_an_error(spark):
     with pytest.raises(ValueError, match="missing columns"):
         conform(spark.createDataFrame([(1,)], ["SD"]), "price")
