@@ -9,8 +9,7 @@ dimension key before the look-up was measured and is slower: keys and months are
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from functools import cache
+from functools import cache, cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,22 +48,30 @@ STAR_SETTINGS = Settings(
 )
 
 
-Tables = Callable[[str], DataFrame]
+class Tables:
+    """The parquet tables of a directory, each opened once."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._open = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
-def _district_code():
-    return (F.col("c_nationkey") * 10 + F.ascii("c_mktsegment") % 10).cast("bigint")
+    def __call__(self, name: str) -> DataFrame:
+        return self._open(name)
 
+    @cached_property
+    def customer_region(self) -> DataFrame:
+        """District and sub-district of every customer."""
+        nation = self("nation").select("n_nationkey", F.col("n_name").alias("sgg"))
+        customer = self("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("emd"))
+        return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "sgg", "emd")
 
-def _customer_region(table) -> DataFrame:
-    nation = table("nation").select("n_nationkey", F.col("n_name").alias("sgg"))
-    customer = table("customer").select("c_custkey", "c_nationkey", F.col("c_mktsegment").alias("emd"))
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "sgg", "emd")
+
+def _district_code():
+    return (F.col("c_nationkey") * 10 + F.ascii("c_mktsegment") % 10).cast("bigint")
 
 
 def price(table: Tables) -> DataFrame:
     orders = table("orders")
-    region = _customer_region(table)
+    region = table.customer_region
     return orders.join(region, orders.o_custkey == region.c_custkey).select(
         X.month_of("o_orderdate").alias("ts"),
         F.lit(fv.CITY).alias("sd"),
@@ -77,7 +84,7 @@ def price(table: Tables) -> DataFrame:
 
 def population(table: Tables) -> DataFrame:
     orders = table("orders")
-    region = _customer_region(table)
+    region = table.customer_region
     return orders.join(region, orders.o_custkey == region.c_custkey).select(
         X.month_of("o_orderdate").alias("ts"),
         F.lit(fv.CITY).alias("sd"),
@@ -91,7 +98,7 @@ def population(table: Tables) -> DataFrame:
 def telecom(table: Tables) -> DataFrame:
     lines = table("lineitem")
     orders = table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    region = _customer_region(table).drop("emd")
+    region = table.customer_region.drop("emd")
     placed = orders.join(region, orders.o_custkey == region.c_custkey).select("o_orderkey", "o_orderpriority", "sgg")
     return lines.join(placed, lines.l_orderkey == placed.o_orderkey).select(
         X.month_of("l_shipdate").alias("ts"),
@@ -235,7 +242,7 @@ class StarSources(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         super().__init__()
-        self.table = cache(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        self.table = Tables(spark, sf_dir)
 
     def __missing__(self, name: str) -> DataFrame:
         self[name] = ADAPTERS[name](self.table)
