@@ -587,7 +587,10 @@ def test_filters_are_optional(frame):
 
 
 def test_detail_placeholders(frame):
-    schema = ALERT + ", price_score double, pop_score double, telecom_score double, card_score double, dominant_age_group string, income_profile string, trending_rentals string, marketing_copy string"
+    schema = ALERT + (
+        ", price_score double, pop_score double, telecom_score double, card_score double, dominant_age_group string"
+        ", income_profile string, trending_rentals string, marketing_copy string"
+    )
     df = frame([("A_x", "A", M, "t", 0.5, 0.1, 0.2, 0.3, 0.4, None, "", "r", None)], schema)
     (r,) = marts.alert_detail(df, "A_x", M).collect()
     assert (r.region, r.title) == ("A x", "A_x  2024-03  (0.500)  [t]")
@@ -615,7 +618,8 @@ def test_short_districts_fall_back_to_one_series(frame):
 
 
 def test_result_tables_with_a_series_key(frame):
-    results = frame([("A_x", M, 1.0, 2.0, 0.9, False)], "series string, ts date, y double, forecast double, percentile double, is_anomaly boolean")
+    schema = "series string, ts date, y double, forecast double, percentile double, is_anomaly boolean"
+    results = frame([("A_x", M, 1.0, 2.0, 0.9, False)], schema)
     price = fuse.scores_from_results(results, "price", S).first()
     pop = fuse.scores_from_results(results, "pop", S).first()
     assert (price.signal, price.sgg, price.emd) == ("price", "A", "x")
