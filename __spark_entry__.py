@@ -21,6 +21,19 @@ from tidewatch.plans.pipeline import Pipeline  # noqa: E402
 from tidewatch.sources.catalog import sample_scan  # noqa: E402
 from tidewatch.sources.star import STAR_SETTINGS, StarSources  # noqa: E402
 
+try:  # the operators of a training-data pipeline, with their own queries, may be absent
+    import corpus_pipeline
+    from tidewatch.llm.queries import ORACLE as LLM_ORACLE
+    from tidewatch.llm.queries import QUERIES as LLM_QUERIES
+
+    LLM_QUERIES = {**LLM_QUERIES, "pipeline": corpus_pipeline.run}
+    if corpus_pipeline.ORACLE_SQL:
+        LLM_ORACLE = {**LLM_ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
+except ModuleNotFoundError as absent:
+    if (absent.name or "").partition(".llm")[0] not in ("corpus_pipeline", "tidewatch"):
+        raise
+    LLM_QUERIES, LLM_ORACLE = {}, {}
+
 S = STAR_SETTINGS
 
 
@@ -238,9 +251,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(build):
         return lambda spark, sf_dir: build(Pipeline(StarSources(spark, sf_dir), S))
 
-    return {name: bind(build) for name, build in QUERIES.items()}
+    return {name: bind(build) for name, build in QUERIES.items()} | LLM_QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL with the same result for each query."""
-    return {name: statement(name) for name in QUERIES if name in STATEMENTS}
+    return {name: statement(name) for name in QUERIES if name in STATEMENTS} | LLM_ORACLE
