@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from tidewatch.llm import simhash
+from tidewatch.llm.shared import Scratch, with_roots
+
+DOCS = "doc_id long, text string, lang string, component_id string, fp long"
+
+
+def plain_fingerprint(text):
+    """The definition, word by word."""
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for white in "\t\n\x0b\x0c\r":
+        words = words.replace(white, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    width = min(4, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + width]).encode(), 42) for i in range(len(words) - width + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, radius):
+    """Smallest id reachable, by comparing all pairs."""
+    label = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for a in prints:
+            for b in prints:
+                if (prints[a] ^ prints[b]).bit_count() <= radius and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    return label
+
+
+def as_dict(df):
+    return {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in df.collect()}
+
+
+def test_matches_brute_force_on_real_and_changed_texts(spark, frame):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    draw = random.Random(3)
+    rows = []
+    for i, text in enumerate(texts):
+        words = text.split(" ")
+        if i % 3 == 0 and len(words) > 3:
+            words[draw.randrange(len(words))] = "changed"
+        rows += [(2 * i, text, "en", "x", 0), (2 * i + 1, " ".join(words), "en", "x", 0)]
+    found = as_dict(simhash.near_duplicates(frame(rows, DOCS)))
+    prints = {r[0]: plain_fingerprint(r[1]) for r in rows}
+    label = plain_components(prints, 4)
+    assert found == {i: (f"{prints[i]:016x}", label[i]) for i in prints}
+
+
+def test_null_empty_repeated_and_missing_ids(frame):
+    rows = [
+        (5, None, "en", "x", 1), (3, "", "en", "x", 1), (9, " \t\n", None, "x", 1), (7, "one two", "en", "x", 1),
+        (7, "one two", "en", "x", 1), (None, "ONE  TWO", "en", "x", 1), (None, "alone in its group", "en", None, 1),
+    ]
+    found = sorted(map(tuple, simhash.near_duplicates(frame(rows, DOCS)).collect()), key=str)
+    two = f"{plain_fingerprint('one two'):016x}"
+    zero, alone = "0" * 16, f"{plain_fingerprint('alone in its group'):016x}"
+    expected = [(5, zero, 3), (3, zero, 3), (9, zero, 3), (7, two, 7), (7, two, 7), (None, two, 7), (None, alone, None)]
+    assert found == sorted(expected, key=str)
+    kept = simhash.first_of_group(frame(rows, DOCS)).select("doc_id", "component_id").collect()
+    assert sorted(map(str, (r["doc_id"] for r in kept))) == ["3", "7", "None", "None"]
+    assert simhash.near_duplicates(frame([], DOCS)).count() == 0
+    assert simhash.first_of_group(frame([], DOCS)).columns == frame([], DOCS).columns
+
+
+def test_letters_beyond_a_to_z_keep_their_case():
+    assert simhash.fingerprint_of("Él Él Él Él uno") != simhash.fingerprint_of("él él él él uno")
+    assert simhash.fingerprint_of("EL EL EL EL UNO") == simhash.fingerprint_of("el el el el uno")
+    assert simhash.fingerprint_of("a b c") == simhash.fingerprint_of("A b  c")
+
+
+def test_long_text_in_chunks(monkeypatch):
+    text = " ".join(f"w{i % 977}" for i in range(5_000))
+    whole = simhash.fingerprint_of(text)
+    monkeypatch.setattr(simhash, "CHUNK", 64)
+    assert simhash.fingerprint_of(text) == whole
+
+
+@pytest.mark.parametrize("variants", [200, 20_000, 6_000_000])
+def test_split_balls_meet_exactly_within_the_radius(monkeypatch, variants):
+    monkeypatch.setattr(simhash, "VARIANTS", variants)
+    draw = np.random.default_rng(1)
+    values = [int(x) for x in draw.integers(0, 2**16, 12)]
+    values += [v ^ sum(1 << int(b) for b in draw.choice(16, 1 + i % 5, replace=False)) for i, v in enumerate(values)]
+    values = np.array(sorted(set(values)), dtype=np.uint64)
+    a, b = simhash.meetings(values, np.full(len(values), 2), list(range(16)))
+    root = simhash.roots_of(a, b, len(values))
+    label = plain_components({i: int(v) for i, v in enumerate(values)}, 4)
+    assert root.tolist() == [label[i] for i in range(len(values))]
+
+
+def test_routed_links_equal_all_pairs(spark, frame, monkeypatch):
+    monkeypatch.setattr(simhash, "PER_BUCKET", 4)
+    draw = np.random.default_rng(2)
+    seeds = draw.integers(-(2**63), 2**63 - 1, 60, dtype=np.int64)
+    near = [int(s) ^ sum(1 << int(b) for b in draw.choice(63, 1 + i % 6, replace=False)) for i, s in enumerate(seeds)]
+    fps = sorted({int(s) for s in seeds} | set(near))
+    edges = simhash.links(frame([(f,) for f in fps], "fp long"), 4)
+    roots = {r["node"]: r["root"] for r in with_roots(edges, Scratch(spark)).collect()}
+    label = plain_components({f: f & (2**64 - 1) for f in fps}, 4)
+    smallest = {f: min(g for g in fps if label[g] == label[f]) for f in fps}
+    assert {f: roots.get(f, f) for f in fps} == smallest
+
+
+def test_components_of_a_chain_a_star_and_a_loop(spark, frame):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, 100 + i) for i in range(1, 30)]
+    loop = [(200, 201), (201, 202), (202, 200), (203, 203), (None, 5)]
+    roots = with_roots(frame(chain + star + loop, "a long, b long"), Scratch(spark))
+    found = {r["node"]: r["root"] for r in roots.collect()}
+    assert found == {
+        **{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}, 201: 200, 202: 200,
+    }
+    assert with_roots(frame([], "a long, b long"), Scratch(spark)).count() == 0
