@@ -1,0 +1,89 @@
+from __future__ import annotations
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import mixing as M
+from tidewatch.llm import queries
+
+DOCS = "doc_id long, text string, lang string, whole string, posterior long"
+
+
+def sums(rows, weights):
+    p = np.array([r["posterior"] for r in rows])
+    t = np.array([r["n_tokens"] for r in rows], dtype=float)
+    rate = np.array([r["rate"] for r in rows])
+    assert np.allclose(p.sum(axis=1), 1) and (rate >= 0).all()
+    return (p * (t * rate)[:, None]).sum(axis=0), t.sum(), p, t
+
+
+def plain_rates(p, t, target):
+    """Projected gradient over an array of rates, one by one."""
+    rate, solve = np.ones(len(t)), np.linalg.inv((p * t[:, None]).T @ p + 1e-9 * np.trace((p * t[:, None]).T @ p) * np.eye(p.shape[1]))
+    for _ in range(M.STEPS):
+        gap = (p * (t * rate)[:, None]).sum(axis=0) - target
+        if np.abs(gap).max() <= M.CLOSE * t.sum():
+            break
+        rate = np.maximum(0, rate - p @ (solve @ gap))
+    return rate
+
+
+def test_expected_tokens_meet_the_weights(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = M.rates(docs, queries.domains(labels), queries.WEIGHTS).collect()
+    assert len(rows) == docs.count()
+    reached, total, p, t = sums(rows, queries.WEIGHTS)
+    target = np.array(list(queries.WEIGHTS.values())) * total
+    assert np.allclose(reached, target, rtol=1e-6)
+    assert np.allclose([r["rate"] for r in rows], plain_rates(p, t, target), atol=1e-6)
+    known = {r["doc_id"]: r["domain"] for r in queries.domains(labels).collect()}
+    right = [list(queries.WEIGHTS)[int(np.argmax(r["posterior"]))] == known[r["doc_id"]] for r in rows if r["doc_id"] in known]
+    assert np.mean(right) > 0.8
+
+
+def test_rates_stay_at_zero_where_the_target_needs_it(frame):
+    words = {"a": "apple pear plum", "b": "iron zinc lead"}
+    rows = [(i, words["ab"[i % 2]] + f" w{i}", "", "", 0) for i in range(200)]
+    labels = frame([(i, "ab"[i % 2]) for i in range(200)], "doc_id long, domain string")
+    found = M.rates(frame(rows, DOCS), labels, {"a": 1.0, "b": 0.0}).collect()
+    reached, total, p, t = sums(found, None)
+    assert np.allclose([r["rate"] for r in found], plain_rates(p, t, np.array([total, 0.0])), atol=1e-6)
+    assert min(r["rate"] for r in found) == 0.0 and reached[1] < 0.05 * total
+
+
+def test_no_python_on_the_main_path(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    fitted = M.plan(docs, queries.domains(labels), queries.WEIGHTS)
+    for df in (fitted.rows, M.taken(docs, fitted), M.rates(docs, queries.domains(labels), queries.WEIGHTS)):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in text for word in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("domains", [[], [("zzz", 1)], [("good", 1)]])
+def test_edge_cases(frame, domains):
+    rows = [(1, None, "", "", 0), (2, "", "", "", 0), (3, "a b", "", "", 0), (3, "a b", "", "", 0), (None, "c d e", "", "", 0)]
+    labels = frame([(3, d) for d, _ in domains] + [(None, "good"), (3, None)], "doc_id long, domain string")
+    docs = frame(rows, DOCS)
+    found = M.rates(docs, labels, {"good": 0.5, "bad": 0.5}).collect()
+    assert sorted(r["n_tokens"] for r in found) == [0, 0, 2, 2, 3]
+    assert all(np.isfinite(r["rate"]) and r["rate"] >= 0 for r in found)
+    assert M.rates(frame([], DOCS), labels, {"good": 0.5, "bad": 0.5}).count() == 0
+    fitted = M.plan(docs, labels, {"good": 0.5, "bad": 0.5})
+    assert M.taken(docs, fitted).columns == docs.columns
+    assert M.taken(frame([], DOCS), M.plan(frame([], DOCS), labels, {"good": 1.0})).count() == 0
+
+
+def test_copies_follow_the_rate(spark):
+    rows = spark.range(20_000).select("id", M.copies(F.lit(1.3), F.col("id")).alias("n"))
+    assert rows.agg(F.avg("n")).first()[0] == pytest.approx(1.3, abs=0.02)
+    assert {r[0] for r in rows.select("n").distinct().collect()} == {1, 2}
+    same = rows.select(F.sum("n")).first()[0]
+    assert rows.repartition(7).select(F.sum("n")).first()[0] == same
+
+
+def test_a_hot_id_and_long_texts(frame):
+    rows = [(7, "hot words", "", "", 0)] * 500 + [(8, "long " * 30_000, "", "", 0)]
+    labels = frame([(7, "good")] * 300 + [(8, "bad")], "doc_id long, domain string")
+    found = M.rates(frame(rows, DOCS), labels, {"good": 0.5, "bad": 0.5}).collect()
+    assert len(found) == 501 and max(r["n_tokens"] for r in found) == 30_000
