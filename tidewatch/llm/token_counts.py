@@ -74,7 +74,7 @@ def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndar
     end, ascending; an empty section gets no tokens.
     """
     sections = len(bounds) - 1
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     first = np.searchsorted(bounds, starts, "right") - 1
     last = np.searchsorted(bounds, ends, "left") - 1
     owner = last if rule == "last" else first
