@@ -38,11 +38,11 @@ def test_forward_sums_equal_all_segmentations(monkeypatch):
     assert np.isfinite(scorer.log_likelihoods(["ab" * 4000])).all()
     counted = L.Counter(words)
     total = sum(n * scorer.log_likelihoods([w])[0] for w, n in counted.items())
-    assert np.allclose(L.Scorer(pieces, probs, unknown).total(counted), total)
+    assert np.allclose(L.Scorer(pieces, probs, unknown).totals([counted, counted]), total)
     monkeypatch.setattr(L, "REMEMBERED", 3)
     forgetful = L.Scorer(pieces, probs, unknown)
-    assert np.allclose(forgetful.total(L.Counter(["a", "ab"])), found[0] + scorer.log_likelihoods(["ab"])[0])
-    assert np.allclose(forgetful.total(counted), total)
+    assert np.allclose(forgetful.totals([L.Counter(["a", "ab"])])[0], found[0] + scorer.log_likelihoods(["ab"])[0])
+    assert np.allclose(forgetful.totals([counted])[0], total)
 
 
 def test_held_out_accuracy(spark):

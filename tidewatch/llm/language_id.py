@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 VOCABULARY = "piece_bpe_32k.model"
-#: Words remembered by a task, each with its likelihood per language.
-REMEMBERED = 200_000
+#: Words remembered by a task, each with its likelihood per language, and characters of text whose words are scored together.
+REMEMBERED, TOGETHER = 400_000, 2_000_000
 SCORE = "lang_pred string, score double"
 
 
@@ -41,58 +41,85 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def _can_occur(piece: str) -> bool:
+    """Whether a piece can be cut from a lower-case word with a mark before it."""
+    rest = piece.removeprefix("▁")
+    return not rest or (rest == rest.lower() and regex.fullmatch(r"[\p{L}\p{M}]+", rest) is not None)
+
+
 class Scorer:
     """Log-likelihoods of words for each language, from piece probabilities."""
 
     def __init__(self, pieces: list[str], probs: np.ndarray, unknown: np.ndarray):
         """probs: one row per piece, one column per language. unknown: what a character outside the vocabulary has."""
-        self.index = {piece: i for i, piece in enumerate(pieces)}
-        self.table = np.vstack([probs, unknown, np.zeros_like(unknown)])
-        self.unknown, self.none = len(pieces), len(pieces) + 1
-        self.longest = max(map(len, pieces), default=1)
+        own = {piece: i for i, piece in enumerate(pieces) if _can_occur(piece)}
+        self.table = np.vstack([probs, unknown])
+        self.unknown = len(pieces)
+        self.longest = max(map(len, own), default=1)
+        # Ends of pieces are kept too, as -1: where a text's end is none of them, no longer piece ends there either.
+        self.index = {piece[i:]: -1 for piece in own for i in range(1, len(piece))} | own
         self.rows: dict[str, int] = {}
         self.logs = np.zeros((0, probs.shape[1]))
 
     def log_likelihoods(self, words: list[str]) -> np.ndarray:
-        """One row per word: the log of the summed probability of all segmentations, per language."""
+        """One row per word: the log of the summed probability of all segmentations, per language.
+
+        The forward sum at a place depends on the letters before it only, so it is taken once for all words that begin
+        alike: letter by letter, over the different beginnings. Each has a scale of its own, so that long words don't
+        vanish.
+        """
         out = np.zeros((len(words), self.table.shape[1]))
-        by_length: dict[int, list[int]] = {}
-        for i, word in enumerate(words):
-            by_length.setdefault(len(word) + 1, []).append(i)
-        for length, members in by_length.items():
-            step = max(1, 200_000 // (length * min(length, self.longest)))
-            for at in range(0, len(members), step):
-                part = members[at : at + step]
-                out[part] = self._forward(["▁" + words[i] for i in part], length)
+        lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        going, beginning = np.arange(len(words)), np.zeros(len(words), dtype=np.int64)
+        sums, scales = [np.ones((1, out.shape[1]))], [np.zeros(1)]
+        back: list[np.ndarray] = []  # for each beginning, where it was 1, 2, ... letters ago
+        for length in range(1, int(lengths.max(initial=0)) + 1):
+            going = going[lengths[going] >= length]
+            numbers: dict[str, int] = {}
+            own = np.array([numbers.setdefault(words[i][: length - 1], len(numbers)) for i in going.tolist()])
+            parent = np.empty(len(numbers), dtype=np.int64)
+            parent[own] = beginning[going]
+            beginning[going] = own
+            back = [parent, *[b[parent] for b in back[: self.longest - 1]]]
+            marked = ["▁" + text for text in numbers]
+            total, scale = np.zeros((len(marked), out.shape[1])), scales[-1][parent]
+            alive = np.arange(len(marked))
+            for k, before in enumerate(back, start=1):
+                missing = self.unknown if k == 1 else -2
+                ids = np.array([self.index.get(marked[i][-k:], missing) for i in alive.tolist()], dtype=np.int64)
+                if k == 1:
+                    ids[ids == -1] = self.unknown
+                known = ids >= 0
+                here, at = alive[known], before[alive[known]]
+                factor = np.exp(scales[-k][at] - scale[here])[:, None]
+                total[here] += sums[-k][at] * factor * self.table[ids[known]]
+                alive = alive[ids != -2]
+                if not len(alive):
+                    break
+            top = total.max(axis=1, keepdims=True)
+            sums, scales = [*sums, total / top][-self.longest :], [*scales, scale + np.log(top[:, 0])][-self.longest :]
+            ending = lengths[going] == length
+            with np.errstate(divide="ignore"):
+                out[going[ending]] = np.log(sums[-1][own[ending]]) + scales[-1][own[ending]][:, None]
         return out
 
-    def _forward(self, marked: list[str], length: int) -> np.ndarray:
-        """Forward sums of words of one length. What ends before a position is scaled by its largest value."""
-        get, none, unknown = self.index.get, self.none, self.unknown
-        alpha = np.zeros((length + 1, len(marked), self.table.shape[1]))
-        alpha[0] = 1.0
-        scale = np.zeros((len(marked), 1))
-        for end in range(1, length + 1):
-            for start in range(max(0, end - self.longest), end):
-                missing = unknown if end - start == 1 else none
-                ids = [get(w[start:end], missing) for w in marked]
-                alpha[end] += alpha[start] * self.table[ids]
-            if end % 8 == 0:
-                top = alpha[max(0, end - self.longest) : end + 1].max(axis=(0, 2))[:, None]
-                alpha[max(0, end - self.longest) : end + 1] /= top
-                scale += np.log(top)
-        return np.log(np.maximum(alpha[length], 1e-300)) + scale
-
-    def total(self, words: Counter) -> np.ndarray:
-        """Summed log-likelihood of counted words. New words are scored together; the memory is emptied when full."""
-        new = [w for w in words if w not in self.rows]
+    def totals(self, texts: list[Counter]) -> np.ndarray:
+        """Summed log-likelihood of each text's counted words.
+
+        Words not seen before are scored together, for all texts at once; the memory is emptied when it is full.
+        """
+        new = {w for words in texts for w in words if w not in self.rows}
+        if len(self.rows) + len(new) > REMEMBERED:
+            self.rows, self.logs, new = {}, self.logs[:0], {w for words in texts for w in words}
         if new:
-            if len(self.rows) + len(new) > REMEMBERED:
-                self.rows, self.logs, new = {}, self.logs[:0], list(words)
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self._append(self.log_likelihoods(new), len(self.rows))
-        at = np.fromiter((self.rows[w] for w in words), np.int64, len(words))
-        return np.fromiter(words.values(), np.float64, len(words)) @ self.logs[at]
+            listed = sorted(new)
+            self.rows.update(zip(listed, range(len(self.rows), len(self.rows) + len(listed)), strict=True))
+            self._append(self.log_likelihoods(listed), len(self.rows))
+        out = np.zeros((len(texts), self.table.shape[1]))
+        for i, words in enumerate(texts):
+            at = np.fromiter((self.rows[w] for w in words), np.int64, len(words))
+            out[i] = np.fromiter(words.values(), np.float64, len(words)) @ self.logs[at]
+        return out
 
     def _append(self, scored: np.ndarray, used: int) -> None:
         """Rows are kept in an array that grows by half, so that adding words copies little."""
@@ -122,18 +149,37 @@ class LanguageModel:
         def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             scorer = Scorer(pieces, probs, unknown)
             for batch in batches:
-                yield pd.DataFrame([_predict(scorer, languages, prior, t) for t in batch], columns=["lang_pred", "score"])
+                found = [x for texts in _portions(batch) for x in _predict(scorer, languages, prior, texts)]
+                yield pd.DataFrame(found, columns=["lang_pred", "score"])
 
         return predict(text)
 
 
-def _predict(scorer: Scorer, languages: list[str], prior: np.ndarray, text: str | None) -> tuple[str, float]:
-    words = Counter(words_of(text))
-    if not words or not languages:
-        return UNDETERMINED, 0.0
-    logs = prior + scorer.total(words)
-    best = int(np.argmax(logs))
-    return languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
+def _portions(texts: pd.Series) -> Iterator[list[str | None]]:
+    """Neighbouring texts of some TOGETHER characters, at least one."""
+    part: list[str | None] = []
+    held = 0
+    for text in texts:
+        if part and held + len(text or "") > TOGETHER:
+            yield part
+            part, held = [], 0
+        part.append(text)
+        held += len(text or "")
+    if part:
+        yield part
+
+
+def _predict(scorer: Scorer, languages: list[str], prior: np.ndarray, texts: list[str | None]) -> list[tuple[str, float]]:
+    counted = [Counter(words_of(t)) if languages else Counter() for t in texts]
+    out = []
+    for words, total in zip(counted, scorer.totals(counted), strict=True):
+        if words:
+            logs = prior + total
+            best = int(np.argmax(logs))
+            out.append((languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())))
+        else:
+            out.append((UNDETERMINED, 0.0))
+    return out
 
 
 def held_out(doc_id: Column) -> Column:
