@@ -55,7 +55,7 @@ def clusters(many, dim, noise, seed=0):
 
 
 @pytest.mark.parametrize(("noise", "block"), [(0.1, 1024), (0.17, 16), (0.15, 5)])
-def test_links_match_all_pairs(frame, monkeypatch, noise, block):
+def test_links_match_all_pairs(frame, monkeypatch, many_partitions, noise, block):
     monkeypatch.setattr(P, "BLOCK", block)
     rows = clusters(60, 24, noise)
     found = P.near_duplicates(frame(rows, VECTORS)).collect()
@@ -112,7 +112,18 @@ def test_neighbours_reach_the_recall(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
-def test_recall_of_several_shards_and_lengths(frame, monkeypatch):
+@pytest.fixture
+def many_partitions(spark):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_recall_of_several_shards_and_lengths(frame, monkeypatch, many_partitions):
     monkeypatch.setattr(I, "SHARD", 300)
     monkeypatch.setattr(I, "QUERY_BLOCK", 16)
     draw = np.random.default_rng(2)

@@ -106,8 +106,9 @@ def nearest(
         columns = {name: np.concatenate([o[i] for o in out]) for i, name in enumerate(("query_id", "vec_id", "score")) if out}
         return pd.DataFrame(columns, columns=["query_id", "vec_id", "score"])
 
-    own_shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards))
-    own_block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks))
+    # Both sides' keys have one type: grouped sides meet by the hash of their keys, which differs between types.
+    own_shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).cast("int")
+    own_block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     indexed = rows.select(
         "vec_id", "embedding", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
