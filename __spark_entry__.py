@@ -35,12 +35,12 @@ except ModuleNotFoundError as absent:
     LLM_QUERIES, LLM_ORACLE = {}, {}
 
 S = STAR_SETTINGS
+SMALLEST = "/root/testdata/sf0.001"
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    """Fused alerts on the smallest tables. Their series are sparse, so fewer training months are asked for."""
-    sources = StarSources(spark, "/root/testdata/sf0.001")
-    return Pipeline(sources, replace(S, detector=replace(S.detector, min_points=6))).region_alerts
+    """Fused alerts on the smallest tables."""
+    return Pipeline(StarSources(spark, SMALLEST), S).region_alerts
 
 
 def _scores_of(signal: str):
@@ -53,9 +53,7 @@ def _series_of(signal: str):
 
 def _price_fallback(p: Pipeline) -> DataFrame:
     """Districts stay at sub-district grain only when all their series have 60 months, so that some fall back."""
-    strict = replace(S, grain_points=60)
-    choice = series_ops.grain_choice(p.sources["price"], strict, min_share=1.0)
-    return series_ops.price_series(p.sources["price"], strict, choice)
+    return series_ops.price_series(p.sources["price"], replace(S, grain_fallback=True, grain_points=60), min_share=1.0)
 
 
 def _series_key_parts(p: Pipeline) -> DataFrame:
@@ -79,8 +77,19 @@ def _model_params(p: Pipeline) -> DataFrame:
     )
 
 
+TREND = replace(S.detector, method="trend")
+
+
 def _trend(p: Pipeline) -> DataFrame:
-    return detect.score_trend(p.series, replace(S.detector, method="trend")).select(
+    return _rounded_scores(detect.score_trend(p.series, TREND))
+
+
+def _trend_stored_model(p: Pipeline) -> DataFrame:
+    return _rounded_scores(detect.score_with_model(p.series.where(~F.col("is_train")), p.model, TREND))
+
+
+def _rounded_scores(scores: DataFrame) -> DataFrame:
+    return scores.select(
         "signal",
         "series",
         "ts",
@@ -90,6 +99,13 @@ def _trend(p: Pipeline) -> DataFrame:
     )
 
 
+def _alert_detail(p: Pipeline) -> DataFrame:
+    """One alert; the key goes to the drafts, so no other text is asked for."""
+    region, month = "NATION_1", dt.date(2001, 3, 1)
+    picked = p.marketing_of(F.col("region_key") == region, F.col("alert_date") == month)
+    return marts.alert_detail(picked, region, month)
+
+
 def _combined(p: Pipeline) -> DataFrame:
     regions = fuse.scored_regions(fuse.signals_joined(p.scores, S), S)
     return regions.select("sgg", "alert_date", *[f"{s.name}_part" for s in S.signals], "combined_score")
@@ -151,6 +167,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "series_length": lambda p: series_ops.series_length(p.sources["price"], S),
     "grain_choice": lambda p: series_ops.grain_choice(p.sources["price"], S),
     "price_series_fallback": _price_fallback,
+    "series_densified": lambda p: series_ops.densified(p.series, S).select("signal", "series", "ts", "y", "is_train"),
     # scores
     "model_params": _model_params,
     "anomaly_price": _scores_of("price"),
@@ -159,9 +176,11 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "anomaly_card": _scores_of("card"),
     "anomaly_stored_model": _stored_model,
     "anomaly_trend": _trend,
+    "anomaly_trend_stored_model": _trend_stored_model,
     # fusion
     "series_key_parts": _series_key_parts,
     "price_rollup": lambda p: fuse.price_rollup(p.scores_of("price"), S),
+    "price_rollup_by_share": lambda p: fuse.price_rollup(p.scores_of("price"), replace(S, flag_share=0.6)),
     "signal_flags": lambda p: fuse.signal_flags(p.scores, S),
     "signals_joined": lambda p: fuse.signals_joined(p.scores, S),
     "combined_score": _combined,
@@ -181,9 +200,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "alert_candidates": lambda p: p.candidates,
     "top_alerts": lambda p: marts.top_alerts(p.alerts),
     # context
-    "last_n_months": lambda p: profile.last_n_months(
-        p.sources.table("lineitem").select(X.month_of(F.col("l_shipdate")).alias("ts")), "ts", 3
-    )
+    "last_n_months": lambda p: profile.last_n_months(p.sources["rental"], "ts", 3)
     .groupBy("ts")
     .agg(F.count("*").alias("row_count")),
     "rental_trend": lambda p: p.rental_trend,
@@ -207,6 +224,10 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     # marts
     "signal_timeseries": lambda p: p.signal_timeseries,
     "sgg_summary": lambda p: p.sgg_summary,
+    "sgg_summary_sorted": lambda p: marts.sgg_summary_sorted(p.sgg_summary),
+    "sgg_summary_top10": lambda p: marts.sgg_summary_sorted(p.sgg_summary, 10),
+    "sgg_summary_by_flags": lambda p: marts.sgg_summary(p.alerts, by_flags=True),
+    "telecom_trend_profile": lambda p: marts.telecom_trend_profile(p.telecom_trend),
     "telecom_trend": lambda p: p.telecom_trend,
     "alert_type_counts": lambda p: marts.alert_type_counts(p.alerts),
     "alerts_mart": lambda p: marts.alerts_mart(p.marketing_alerts),
@@ -219,9 +240,10 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "type_summary_long": lambda p: marts.type_summary_long(marts.type_summary(p.alert_points)),
     "signal_heatmap": lambda p: marts.signal_heatmap(p.sgg_summary),
     "alert_list": lambda p: marts.alert_list(p.alert_scores),
-    "alert_detail": lambda p: marts.alert_detail(p.marketing_alerts, "NATION_1", dt.date(2001, 3, 1)),
+    "alert_detail": _alert_detail,
     "labels_present": lambda p: marts.labels_present(p.alert_points),
     "alerts_by_label": lambda p: marts.alerts_by_label(p.marketing_alerts),
+    "marketing_type_counts": lambda p: marts.alert_type_counts(p.marketing_alerts),
     "filter_options": lambda p: marts.filter_options(p.alert_points),
     "signal_lookup": lambda p: marts.signal_lookup(p.signal_timeseries, "NATION_3"),
     "signal_lookup_district": lambda p: marts.signal_lookup_district(p.signal_timeseries, "NATION_3"),

@@ -4,15 +4,12 @@ from __future__ import annotations
 
 import re
 
-from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, half_up, mean, money_mean, month
+from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, half_up, mean, month
+from tidewatch.functions import fixed_values as fv
 
 SCORE_COLUMNS = ("signal", "series", "sgg", "emd", "ts", "y", "forecast", "percentile", "is_anomaly")
 FIVE = ("combined_score", "price_score", "pop_score", "telecom_score", "card_score")
-LABELS = (
-    "4중 동시 경보", "3중 동시 경보", "시세+전입인구+카드 경보", "시세+통신+카드 경보", "전입인구+통신+카드 경보",
-    "시세+전입인구 경보", "시세+통신 경보", "시세+카드 경보", "전입인구+통신 경보", "전입인구+카드 경보", "통신+카드 경보",
-    "시세 경보", "전입인구 경보", "통신 경보", "카드소비 경보",
-)
+LABELS = tuple(label for _, label in fv.ALERT_LABELS)
 ORDINAL = "CAST(CASE alert_type " + " ".join(f"WHEN '{x}' THEN {i + 1}" for i, x in enumerate(LABELS)) + " END AS BIGINT)"
 
 
@@ -53,7 +50,7 @@ STATEMENTS: dict[str, str] = {
         FROM (SELECT sgg, emd, count(DISTINCT ts) AS n FROM price_src GROUP BY sgg, emd) GROUP BY sgg""",
     "price_series_fallback": f"""
         SELECT 'price' AS signal, CASE WHEN whole THEN sgg ELSE sgg || '|' || emd END AS series, sgg,
-               CASE WHEN whole THEN NULL ELSE emd END AS emd, ts, {money_mean("price")} AS y,
+               CASE WHEN whole THEN NULL ELSE emd END AS emd, ts, {mean("price")} AS y,
                CASE WHEN sgg IN {LATE} THEN 'late' ELSE 'main' END AS cut_group,
                CASE WHEN sgg IN {LATE} THEN DATE '2000-01-01' ELSE DATE '1999-01-01' END AS cutoff,
                ts < CASE WHEN sgg IN {LATE} THEN DATE '2000-01-01' ELSE DATE '1999-01-01' END AS is_train
@@ -61,6 +58,12 @@ STATEMENTS: dict[str, str] = {
           SELECT sgg, min(n) < 60 AS whole
           FROM (SELECT sgg, emd, count(DISTINCT ts) AS n FROM price_src GROUP BY sgg, emd) GROUP BY sgg) USING (sgg)
         GROUP BY ALL""",
+    "series_densified": """
+        SELECT k.signal, k.series, k.ts, s.y, k.ts < k.cutoff AS is_train
+        FROM (SELECT signal, series, any_value(cutoff) AS cutoff,
+                     unnest(generate_series(min(ts), max(ts), INTERVAL 1 MONTH))::DATE AS ts
+              FROM series GROUP BY signal, series) k
+        LEFT JOIN series s ON k.signal = s.signal AND k.series = s.series AND k.ts = s.ts""",
     # scores
     "model_params": f"""
         SELECT f.signal, f.series, CAST(f.n AS BIGINT) AS n_train, min(t.ts) AS first_ts, max(t.ts) AS last_ts,
@@ -77,11 +80,19 @@ STATEMENTS: dict[str, str] = {
     "anomaly_trend": f"""
         SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
         FROM trend_scores""",
+    "anomaly_trend_stored_model": f"""
+        SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
+        FROM trend_scores""",
     # fusion
     "series_key_parts": """
         SELECT signal, series, split_part(series, '|', 1) AS sgg, split_part(series, '|', 2) AS emd, ts, y, forecast,
                percentile, is_anomaly FROM scores WHERE signal = 'price'""",
     "price_rollup": "SELECT * FROM price_of",
+    "price_rollup_by_share": f"""
+        SELECT sgg, ts, {mean("percentile")} AS percentile, {mean("y")} AS actual, {mean("forecast")} AS forecast,
+               coalesce(count(*) FILTER (WHERE {OUT.format("percentile")}) >= CAST(0.6 AS DOUBLE) * nullif(count(percentile), 0), false)
+                 AS is_anomaly
+        FROM scores WHERE signal = 'price' GROUP BY sgg, ts""",
     "signal_flags": f"""
         SELECT signal, series, sgg, ts, percentile, {OUT.format("percentile")} AS flagged,
                CASE WHEN percentile > 0.75 THEN 'up' WHEN percentile < 0.25 THEN 'down' END AS direction
@@ -148,10 +159,13 @@ STATEMENTS: dict[str, str] = {
         FROM prompts""",
     "copy_text": "SELECT region_key, alert_date, marketing_copy FROM copies",
     "copy_check": """
-        SELECT region_key, sgg, alert_date, marketing_copy,
-               marketing_copy <> '' AND marketing_copy LIKE '%' || sgg || '%' AND length(marketing_copy) <= 40 AS is_valid,
-               '' AS reasons
-        FROM copies""",
+        SELECT region_key, sgg, alert_date, marketing_copy, reasons = '' AS is_valid, reasons
+        FROM (SELECT *, concat_ws(',', CASE WHEN marketing_copy IS NULL OR marketing_copy = '' THEN 'empty' END,
+                CASE WHEN NOT contains(marketing_copy, sgg) THEN 'no_region' END,
+                CASE WHEN length(marketing_copy) > 40 THEN 'too_long' END,
+                CASE WHEN contains(marketing_copy, chr(10)) OR contains(marketing_copy, chr(13)) THEN 'many_lines' END,
+                CASE WHEN contains(marketing_copy, '"') THEN 'quotes' END) AS reasons
+              FROM copies)""",
     "marketing_alerts": "SELECT * FROM copies",
     "copy_preview": f"""
         SELECT sgg, alert_type, {half_up("combined_score", 2)} AS score, dominant_age_group, trending_rentals,
@@ -159,7 +173,17 @@ STATEMENTS: dict[str, str] = {
     # marts
     "signal_timeseries": "SELECT * FROM timeseries",
     "sgg_summary": "SELECT * FROM summary",
+    "sgg_summary_sorted": "SELECT * FROM summary",
+    "sgg_summary_top10": "SELECT * FROM summary ORDER BY total_alerts DESC, sgg LIMIT 10",
+    "sgg_summary_by_flags": f"""
+        SELECT sgg, count(*) AS total_alerts, count(*) FILTER (WHERE alert_type = '{fv.QUAD_LABEL}') AS quad_alerts,
+               count(*) FILTER (WHERE alert_type = '{fv.TRIPLE_LABEL}') AS triple_alerts,
+               {", ".join(f"count(*) FILTER (WHERE {x}_is_anomaly) AS {x}_alerts" for x in fv.SIGNAL_WEIGHTS)},
+               {half_up("max(combined_score)", 3)} AS max_score, {half_up(mean("combined_score"), 3)} AS avg_score
+        FROM alerts GROUP BY sgg""",
     "telecom_trend": "SELECT * FROM trend",
+    "telecom_trend_profile": "SELECT count(*) AS row_count, count(DISTINCT sgg) AS sgg_count FROM trend",
+    "marketing_type_counts": "SELECT alert_type, count(*) AS cnt FROM copies GROUP BY alert_type",
     "alert_type_counts": "SELECT alert_type, count(*) AS cnt FROM alerts GROUP BY alert_type",
     "alerts_mart": """
         SELECT sgg, region_key, district_code, CAST(alert_date AS VARCHAR) AS alert_date, alert_type, combined_score,
@@ -225,7 +249,7 @@ STATEMENTS: dict[str, str] = {
         FROM timeseries WHERE region_key = 'NATION_3'""",
     "signal_lookup_district": f"""
         SELECT signal_type, ts, {mean("actual_value")} AS actual_value, {mean("forecast_value")} AS forecast_value,
-               {mean("percentile", 10)} AS percentile, bool_or(is_anomaly) AS is_anomaly
+               {mean("percentile")} AS percentile, bool_or(is_anomaly) AS is_anomaly
         FROM timeseries WHERE sgg = 'NATION_3' GROUP BY signal_type, ts""",
     "telecom_lookup": """
         SELECT CAST(year_month AS VARCHAR) AS ym, main_category_name, opens, contracts FROM trend WHERE sgg = 'NATION_7'""",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from dataclasses import replace
 
 import pytest
 from conftest import SF, SF_SMALL
+from pyspark.sql import functions as F
 
-from tidewatch.operators import completion
+from tidewatch.operators import completion, marts, prompts
 from tidewatch.plans.pipeline import Pipeline
 from tidewatch.plans.store import PathStore, TableStore
 from tidewatch.sources import catalog
@@ -34,7 +36,7 @@ def test_catalog_run_equals_the_lazy_result(spark):
     names = catalog.list_tables(spark, "tidewatch_test")
     assert set(names) == {
         "series", "model_params", "scores", "customer_profile", "region_alerts", "rental_trend", "call_center_context",
-        "traffic_snapshot", "drafts", "responses", "marketing_alerts", "signal_timeseries", "sgg_summary", "telecom_trend",
+        "traffic_snapshot", "drafts", "marketing_alerts", "signal_timeseries", "sgg_summary", "telecom_trend",
     }
     assert catalog.list_tables(spark, "tidewatch_test", "sgg*") == ["sgg_summary"]
     lazy = Pipeline(StarSources(spark, SF), STAR_SETTINGS)
@@ -52,7 +54,7 @@ def test_a_second_run_asks_nothing_again(spark, tmp_path):
         name = str(abs(hash(messages[-1]["content"])))
         with open(f"{asked}/{name}", "a") as f:
             f.write("x")
-        return completion.template_client(messages, options)
+        return '{"choices": [{"messages": "a text"}]}'
 
     store = PathStore(spark, str(tmp_path / "store"))
     first = Pipeline(StarSources(spark, SF), STAR_SETTINGS, store, client).marketing_alerts
@@ -64,18 +66,88 @@ def test_a_second_run_asks_nothing_again(spark, tmp_path):
     assert sum(len(p.read_text()) for p in asked.iterdir()) == calls
 
 
-def test_broken_replies_keep_the_alert(spark):
-    pipeline = Pipeline(StarSources(spark, SF), STAR_SETTINGS, client=lambda messages, options: "{broken")
+def test_broken_replies_keep_the_alert(spark, tmp_path):
+    store = PathStore(spark, str(tmp_path))
+    pipeline = Pipeline(StarSources(spark, SF), STAR_SETTINGS, store, lambda messages, options: "{broken")
     rows = pipeline.marketing_alerts.collect()
     assert rows and all(r.marketing_copy is None for r in rows)
     assert all(r.reasons == "empty" and not r.is_valid for r in pipeline.copy_check.collect())
 
 
-def test_template_client_stays_within_the_rules():
+def test_template_reply_is_whole_and_can_break_a_rule(spark):
     prompt = "x\n\n[지역] 서초구 (2024-03)\n[서비스] " + "가" * 60
-    reply = json.loads(completion.template_client([{"role": "user", "content": prompt}], {}))
-    text = reply["choices"][0]["messages"]
-    assert text.startswith("서초구 가") and len(text) == 40
+    drafted = spark.createDataFrame([("서초구", prompt), ("중구", "[지역] 중구 (2024-03)\n[서비스] 짧은 글")], "sgg string, prompt string")
+    drafted = drafted.selectExpr("sgg as region_key", "sgg", "date '2024-03-01' as alert_date", "prompt")
+    replied = drafted.withColumn("response", completion.template_reply(drafted["prompt"]))
+    rows = {r.sgg: r for r in prompts.copy_check(prompts.copy_text(replied)).collect()}
+    assert rows["서초구"].marketing_copy == "서초구 " + "가" * 60 and rows["서초구"].reasons == "too_long"
+    assert rows["중구"].marketing_copy == "중구 짧은 글" and rows["중구"].is_valid
+
+
+def test_every_rule_can_be_broken(spark):
+    texts = {"empty": "", "no_region": "elsewhere", "too_long": "A" + "x" * 40, "many_lines": "A\nx", "quotes": 'A "x"'}
+    rows = spark.createDataFrame([("A", t) for t in texts.values()], "sgg string, marketing_copy string")
+    rows = rows.selectExpr("sgg as region_key", "sgg", "date '2024-03-01' as alert_date", "marketing_copy")
+    found = {r.marketing_copy: r.reasons.split(",") for r in prompts.copy_check(rows).collect()}
+    assert all(rule in found[text] for rule, text in texts.items())
+
+
+def counting(folder, fails_at=None):
+    """A client that writes a letter to a file for every request, and the number of requests so far."""
+    folder.mkdir()
+    place = str(folder)
+
+    def client(messages, options):
+        if fails_at and fails_at in messages[-1]["content"]:
+            raise RuntimeError("no answer")
+        with open(f"{place}/{hashlib.sha256(messages[-1]['content'].encode()).hexdigest()}", "a") as f:
+            f.write("x")
+        return '{"choices": [{"messages": "a text"}]}'
+
+    return client, lambda: sum(len(p.read_text()) for p in folder.iterdir())
+
+
+@pytest.mark.parametrize("read", ["alerts_mart", "copy_preview", "alerts_by_label"])
+def test_each_draft_is_asked_once(spark, tmp_path, read):
+    client, calls = counting(tmp_path / "asked")
+    pipeline = Pipeline(StarSources(spark, SF), STAR_SETTINGS, PathStore(spark, str(tmp_path / "store")), client)
+    rows = getattr(marts, read)(pipeline.marketing_alerts).collect()
+    assert calls() == len(rows) > 0
+
+
+def test_one_alert_asks_for_one_text(spark, tmp_path):
+    client, calls = counting(tmp_path / "asked")
+    pipeline = Pipeline(StarSources(spark, SF), STAR_SETTINGS, PathStore(spark, str(tmp_path / "store")), client)
+    key = pipeline.drafts.select("region_key", "alert_date").first()
+    picked = pipeline.marketing_of(F.col("region_key") == key[0], F.col("alert_date") == key[1])
+    assert len(marts.alert_detail(picked, *key).collect()) == 1 and calls() == 1
+
+
+def test_replies_of_earlier_waves_survive_a_failure(spark, tmp_path):
+    store, waves = PathStore(spark, str(tmp_path / "store")), replace(STAR_SETTINGS, request_waves=4)
+    last = completion.in_waves(Pipeline(StarSources(spark, SF), waves).drafts, 4)[3].select("sgg").first()[0]
+    failing, _ = counting(tmp_path / "asked", fails_at=f"[지역] {last} (")
+    with pytest.raises(Exception, match="no answer"):
+        Pipeline(StarSources(spark, SF), waves, store, failing).marketing_alerts
+    kept = store.read("responses").count()
+    assert kept > 0
+    client, calls = counting(tmp_path / "asked_again")
+    rows = Pipeline(StarSources(spark, SF), waves, store, client).marketing_alerts.count()
+    assert calls() == rows - kept
+
+
+def test_a_client_needs_a_store(spark):
+    with pytest.raises(ValueError, match="store"):
+        Pipeline(StarSources(spark, SF), STAR_SETTINGS, client=lambda messages, options: "")
+
+
+def test_stored_marts_are_read_without_sources(spark, tmp_path):
+    store = PathStore(spark, str(tmp_path))
+    made = Pipeline(StarSources(spark, SF_SMALL), STAR_SETTINGS, store).run()
+    again = Pipeline({}, STAR_SETTINGS, store, reuse=True)
+    for name in ("region_alerts", "marketing_alerts", "signal_timeseries", "sgg_summary", "telecom_trend", "rental_trend"):
+        assert sorted_rows(getattr(again, name)) == sorted_rows(made[name]), name
+    assert sorted_rows(marts.alerts_mart(again.marketing_of())) == sorted_rows(marts.alerts_mart(made["marketing_alerts"]))
 
 
 def test_requests_get_messages_and_options(spark):

@@ -14,9 +14,6 @@ from tidewatch.operators import context, series
 from tidewatch.plans.pipeline import Pipeline
 from tidewatch.sources.star import STAR_SETTINGS, StarSources
 
-USES_PYTHON = {"copy_text", "copy_check", "marketing_alerts", "copy_preview", "alerts_mart", "alert_detail", "alerts_by_label"}
-
-
 def physical(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -27,8 +24,7 @@ def scans(plan: str, table: str) -> int:
 
 @pytest.fixture(scope="module")
 def plans(spark):
-    registered = entry_module.queries()
-    return {name: physical(build(spark, SF)) for name, build in registered.items()}
+    return {name: physical(entry_module.queries()[name](spark, SF)) for name in entry_module.QUERIES}
 
 
 def test_no_cross_joins(plans):
@@ -36,9 +32,31 @@ def test_no_cross_joins(plans):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
 
-def test_python_only_where_text_is_completed(plans):
+def test_no_python_without_a_text_client(plans):
     for name, plan in plans.items():
-        assert bool(re.search("MapInPandas|ArrowEval|BatchEvalPython", plan)) == (name in USES_PYTHON), name
+        assert not re.search("MapInPandas|ArrowEval|BatchEvalPython", plan), name
+
+
+def test_newest_periods_are_pushed_to_the_scan(plans):
+    bounds = {
+        "rental_trend": "l_shipdate", "top_rentals": "l_shipdate", "last_n_months": "l_shipdate", "customer_profile": "o_orderdate",
+        "age_band_counts": "o_orderdate", "latest_period": "o_orderdate", "traffic_snapshot": "ts",
+    }
+    for name, column in bounds.items():
+        assert re.search(rf"PushedFilters: \[[^\]]*GreaterThanOrEqual\({column},ScalarSubquery", plans[name]), name
+
+
+def test_the_district_master_reads_no_customer(spark):
+    assert scans(physical(StarSources(spark, SF)["district"]), "customer") == 0
+
+
+def test_each_side_is_scanned_once(spark, plans):
+    assert scans(plans["key_mismatches"], "lineitem") == 1
+    assert scans(plans["price_series_fallback"], "orders") == 1
+    one = physical(Pipeline(StarSources(spark, SF), STAR_SETTINGS).series)
+    scored = physical(Pipeline(StarSources(spark, SF), STAR_SETTINGS).scores)
+    both = {t: scans(one, t) + scans(scored, t) for t in ("orders", "lineitem")}
+    assert {t: scans(plans["expectations"], t) for t in both} == both
 
 
 def test_one_scan_of_the_fact_table_per_signal(plans):

@@ -612,7 +612,7 @@ def test_short_districts_fall_back_to_one_series(frame):
     rows = [(d, "서울", "A", e, "emd", p) for d in months(24) for e, p in (("x", 1.0), ("y", 2.0), ("y", 6.0))]
     rows += [(d, "서울", "B", e, "emd", p) for d in months(3) for e, p in (("x", 1.0), ("y", 2.0), ("y", 6.0))]
     price = frame(rows, PRICE)
-    got = series.price_series(price, S, series.grain_choice(price, S)).where("ts = date '2000-01-01'").collect()
+    got = series.price_series(price, replace(S, grain_fallback=True)).where("ts = date '2000-01-01'").collect()
     assert sorted((r.series, r.sgg, r.emd, r.y) for r in got if r.emd) == [("A_x", "A", "x", 1.0), ("A_y", "A", "y", 4.0)]
     assert [(r.series, r.sgg, r.emd, r.y) for r in got if r.emd is None] == [("B", "B", None, 3.0)]
 

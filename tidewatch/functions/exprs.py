@@ -42,34 +42,18 @@ def region_key(delimiter: str, *parts: Column) -> Column:
     return F.concat(*pieces)
 
 
-def exact_sum(c: Column, scale: int = 6) -> Column:
-    """Sum over DECIMAL, so that row order, partitioning and task retries do not change the result."""
-    return F.sum(c.cast(f"decimal(28,{scale})"))
+def exact_sum(c: Column) -> Column:
+    """Sum over DECIMAL, so that row order, partitioning and task retries do not change the result.
 
-
-def exact_mean(c: Column, scale: int = 6) -> Column:
-    """Mean from an exact sum; null for an empty group."""
-    return exact_sum(c, scale).cast("double") / F.nullif(F.count(c), F.lit(0))
-
-
-def _whole_sum(c: Column, digits: int) -> Column:
-    """Exact sum of a column with so many decimals, over whole numbers: a primitive sum, checked for overflow."""
-    whole = F.sum(F.rint(c * 10**digits).cast("bigint"))
-    return (whole.cast("decimal(20,0)") / 10**digits).cast(f"decimal(28,{digits})")
-
-
-def money_sum(c: Column) -> Column:
-    """Exact sum of amounts with at most two decimals, up to 9e16 per group."""
-    return _whole_sum(c, 2)
-
-
-def money_mean(c: Column) -> Column:
-    return money_sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
+    A number counts with the digits it prints with, up to 18 decimals. A total of 1e20 or more is an error, never a
+    wrong number.
+    """
+    return F.sum(c.cast("decimal(38,18)"))
 
 
-def percent_mean(c: Column) -> Column:
-    """Mean of percentages and like small numbers from an exact sum of six decimals, for up to 9e10 rows per group."""
-    return _whole_sum(c, 6).cast("double") / F.nullif(F.count(c), F.lit(0))
+def exact_mean(c: Column) -> Column:
+    """Mean from an exact sum; null for an empty group."""
+    return exact_sum(c).cast("double") / F.nullif(F.count(c), F.lit(0))
 
 
 def half_up(c: Column, digits: int) -> Column:

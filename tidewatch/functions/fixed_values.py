@@ -60,6 +60,7 @@ ALERT_LIST_NAMES = {
     "dominant_age_group": "주요연령대",
     "income_profile": "소득수준",
 }
+DIRECTION_TAG, DIRECTION_UP, DIRECTION_DOWN = "방향", "상승", "하락"
 MISSING_TEXT = "-"
 MISSING_COPY_TEXT = "문구 없음"
 

@@ -20,7 +20,7 @@ def table_profile(series: DataFrame) -> DataFrame:
         series.groupBy("signal", "series", "cut_group", "is_train")
         .agg(F.count("*").alias("n"))
         .groupBy(F.concat("signal", F.lit("_"), split, late).alias("tbl"))
-        .agg(F.sum("n").alias("row_count"), F.count("*").alias("regions"))
+        .agg(F.sum("n").alias("row_count"), F.count("series").alias("regions"))
     )
 
 
@@ -68,23 +68,24 @@ def date_range(price: DataFrame, districts: list[str]) -> DataFrame:
     )
 
 
-def key_reconciliation(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
-    """Keys of two sources compared: how many are in both, only left, only right.
-
-    Each side is reduced to its distinct keys first; one grouping then serves both directions.
-    """
+def _keys_of(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
+    """Every key of each pair of sources, and which of them has it: one scan of each side and one grouping."""
 
     def side(pair: str, df: DataFrame, key: Column, left: bool) -> DataFrame:
         return df.select(F.lit(pair).alias("pair"), key.cast("string").alias("key"), F.lit(left).alias("left"))
 
     frames = [f for pair, a, ka, b, kb in pairs for f in (side(pair, a, ka, True), side(pair, b, kb, False))]
-    keyed = (
+    return (
         reduce(DataFrame.unionAll, frames)
         .where(F.col("key").isNotNull())
         .groupBy("pair", "key")
         .agg(F.bool_or("left").alias("in_left"), F.bool_or(~F.col("left")).alias("in_right"))
     )
-    return keyed.groupBy("pair").agg(
+
+
+def key_reconciliation(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
+    """Keys of two sources compared: how many are in both, only left, only right."""
+    return _keys_of(pairs).groupBy("pair").agg(
         F.count_if(F.col("in_left") & F.col("in_right")).alias("in_both"),
         F.count_if(~F.col("in_right")).alias("left_only"),
         F.count_if(~F.col("in_left")).alias("right_only"),
@@ -93,26 +94,27 @@ def key_reconciliation(pairs: list[tuple[str, DataFrame, Column, DataFrame, Colu
 
 def key_mismatches(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column) -> DataFrame:
     """Keys that only one of two sources has, with the side that has them."""
-    a = left.select(left_key.cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
-    b = right.select(right_key.cast("string").alias("key")).where(F.col("key").isNotNull()).distinct()
-    only_left = a.join(b, "key", "left_anti").withColumn("side", F.lit("left"))
-    only_right = b.join(a, "key", "left_anti").withColumn("side", F.lit("right"))
-    return only_left.unionAll(only_right)
+    keyed = _keys_of([("", left, left_key, right, right_key)])
+    side = F.when(~F.col("in_right"), "left").when(~F.col("in_left"), "right")
+    return keyed.select("key", side.alias("side")).where(F.col("side").isNotNull())
 
 
 def expectations(profile: DataFrame, validation: DataFrame, max_regions: int = 25) -> DataFrame:
     """The expectations of a good run as rows: name and whether it holds."""
-    tables = profile.select(
-        F.concat(F.lit("rows in "), "tbl").alias("expectation"), (F.col("row_count") > 0).alias("holds")
-    )
-    regions = profile.where(F.col("tbl").startswith("telecom")).select(
-        F.concat(F.lit("regions of "), "tbl").alias("expectation"), (F.col("regions") <= max_regions).alias("holds")
-    )
+
+    def expected(text: str, holds: Column) -> Column:
+        return F.struct(F.concat(F.lit(text), "tbl").alias("expectation"), holds.alias("holds"))
+
+    # Both rows of a table come from one read of its profile.
+    rows = expected("rows in ", F.col("row_count") > 0)
+    regions = expected("regions of ", F.col("regions") <= max_regions)
+    both = F.when(F.col("tbl").startswith("telecom"), F.array(rows, regions)).otherwise(F.array(rows))
+    tables = profile.select(F.inline(both))
     scores = validation.select(
         F.concat(F.lit("percentiles of "), "signal").alias("expectation"),
         ((F.col("total") > 0) & (F.col("min_pct") >= 0) & (F.col("max_pct") <= 1)).alias("holds"),
     )
-    return tables.unionAll(regions).unionAll(scores)
+    return tables.unionAll(scores)
 
 
 def group_split(price: DataFrame, settings: Settings) -> DataFrame:

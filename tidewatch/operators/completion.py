@@ -3,34 +3,29 @@
 from __future__ import annotations
 
 import json
-import re
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-
-from tidewatch.functions import fixed_values as fv
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # A client gets the message list and the options of one request and returns the reply as JSON text.
 Client = Callable[[list[dict], dict], str]
 
 KEYS = ["region_key", "alert_date", "prompt_hash"]
-REGION_LINE = re.compile(r"^\[지역\] (.*) \([^)]*\)$", re.MULTILINE)
-SERVICE_LINE = re.compile(r"^\[서비스\] (.*)$", re.MULTILINE)
+REGION_LINE = r"^\[지역\] (.*) \([^)]*\)$"
+SERVICE_LINE = r"^\[서비스\] (.*)$"
 
 
-def template_client(messages: list[dict], options: dict) -> str:
-    """Default client without a network: region and service of the prompt in one line of allowed length."""
-    prompt = messages[-1]["content"]
-    words = [m.group(1) for m in (REGION_LINE.search(prompt), SERVICE_LINE.search(prompt)) if m]
-    text = " ".join(words)[: fv.MAX_COPY_LENGTH]
-    return json.dumps({"choices": [{"messages": text}]}, ensure_ascii=False)
+def template_reply(prompt: Column) -> Column:
+    """The reply used without a client: region and service of the prompt in one line, of whatever length that is."""
+    words = [F.regexp_extract(prompt, f"(?m){line}", 1) for line in (REGION_LINE, SERVICE_LINE)]
+    text = F.concat_ws(" ", *[F.nullif(w, F.lit("")) for w in words])
+    return F.to_json(F.struct(F.array(F.struct(text.alias("messages"))).alias("choices")))
 
 
-def complete(
-    drafts: DataFrame, client: Client = template_client, parallelism: int = 8, pause_seconds: float = 0.0
-) -> DataFrame:
+def complete(drafts: DataFrame, client: Client, parallelism: int = 8, pause_seconds: float = 0.0) -> DataFrame:
     """The rows with a ``response`` column: one reply per row.
 
     A row costs a model call, not bytes, so rows are spread over ``parallelism`` tasks, which is also the most
@@ -50,6 +45,12 @@ def complete(
     return drafts.repartition(parallelism, "region_key", "alert_date").mapInPandas(run, schema)
 
 
+def in_waves(drafts: DataFrame, waves: int) -> list[DataFrame]:
+    """The drafts in parts by a hash of their key, so that the replies of a part can be stored before the next."""
+    part = F.pmod(F.xxhash64(*KEYS), F.lit(waves))
+    return [drafts.where(part == w) for w in range(waves)] if waves > 1 else [drafts]
+
+
 def missing_only(drafts: DataFrame, done: DataFrame) -> DataFrame:
     """Drafts without a stored reply: the same region, month and prompt are not asked again."""
     return drafts.join(done, KEYS, "left_anti")

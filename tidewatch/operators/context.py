@@ -32,8 +32,8 @@ def rental_trend(rental: DataFrame, context: ContextSpec) -> DataFrame:
         .groupBy("rental_main_category", "rental_sub_category")
         .agg(
             F.sum("open_count").alias("total_open"),
-            X.money_mean(F.col("avg_policy_amount")).alias("avg_policy_amt"),
-            X.half_up(X.percent_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
+            X.exact_mean(F.col("avg_policy_amount")).alias("avg_policy_amt"),
+            X.half_up(X.exact_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
         )
         .withColumn("rank_num", F.row_number().over(order).cast("bigint"))
     )
@@ -53,34 +53,30 @@ def call_center_context(calls: DataFrame, conversion: DataFrame, context: Contex
     """Calls of one division with their conversion figures, per month and category.
 
     The tables are matched on month, category and division, and a repeated conversion row counts the calls it matches
-    once more. The division is fixed, so each group is one key of that match: both sides are summed first, and sums
-    and counts are multiplied by the rows they meet on the other side, instead of emitting every pair of a group.
+    once more. The division is fixed, so each group is one key of that match: both sides are summed first instead of
+    emitting every pair of a group. The calls are multiplied by the rows they meet; a mean stays as it is, because all
+    its rows are repeated alike.
     """
     keys = ["ts", "main_category_name"]
     here = F.col("division_name") == context.call_division
 
-    def summed(df: DataFrame, measures: dict[str, int]) -> DataFrame:
-        totals = [X.exact_sum(F.col(c), scale).alias(f"{c}_sum") for c, scale in measures.items()]
-        counts = [F.count(c).alias(f"{c}_n") for c in measures]
-        return df.where(here).groupBy(*keys).agg(*totals, *counts, F.count("*").alias("rows"))
-
-    def mean(c: str, scale: int, met: Column) -> Column:
-        total = F.col(f"{c}_sum").cast(f"decimal(28,{scale})") * met.cast("decimal(9,0)")
-        return total.cast("double") / F.nullif(F.col(f"{c}_n") * met, F.lit(0))
-
-    of_calls = {"call_count": 0, "connection_rate": 10, "avg_bill_minute": 6}
-    of_conversion = {"call_to_contract_cvr": 10, "avg_leadtime_days": 6}
-    answered = summed(calls, of_calls).withColumnRenamed("rows", "call_rows")
-    converted = summed(conversion, of_conversion).withColumnRenamed("rows", "conversion_rows")
-    per_call = F.coalesce("conversion_rows", F.lit(1))
-    per_conversion = F.col("call_rows")
+    def means(*columns: str) -> list[Column]:
+        return [X.exact_mean(F.col(c)).alias(c) for c in columns]
+
+    calls, conversion = calls.where(here), conversion.where(here)
+    answered = calls.groupBy(*keys).agg(
+        F.sum("call_count").alias("calls"), *means("connection_rate", "avg_bill_minute")
+    )
+    converted = conversion.groupBy(*keys).agg(
+        F.count("*").alias("met"), *means("call_to_contract_cvr", "avg_leadtime_days")
+    )
     return answered.join(converted, keys, "left").select(
         *keys,
-        (F.col("call_count_sum").cast("bigint") * per_call).alias("total_calls"),
-        mean("connection_rate", 10, per_call).alias("avg_connection_rate"),
-        mean("avg_bill_minute", 6, per_call).alias("avg_call_minutes"),
-        mean("call_to_contract_cvr", 10, per_conversion).alias("call_to_contract_cvr"),
-        mean("avg_leadtime_days", 6, per_conversion).alias("avg_leadtime_days"),
+        (F.col("calls") * F.coalesce("met", F.lit(1))).alias("total_calls"),
+        F.col("connection_rate").alias("avg_connection_rate"),
+        F.col("avg_bill_minute").alias("avg_call_minutes"),
+        "call_to_contract_cvr",
+        "avg_leadtime_days",
     )
 
 
@@ -166,6 +162,6 @@ def traffic_snapshot(traffic: DataFrame, context: ContextSpec) -> DataFrame:
         .withColumn("sgg", place)
         .where(F.col("sgg").isNotNull())
         .groupBy("sgg", "ts")
-        .agg(X.percent_mean(speed).alias("avg_speed_kmph"), F.sum("probe_count").alias("probe_count"))
+        .agg(X.exact_mean(speed).alias("avg_speed_kmph"), F.sum("probe_count").alias("probe_count"))
         .withColumn("status", status.when(speed.isNotNull(), fast))
     )

@@ -52,7 +52,7 @@ def score_ecdf(series: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFr
             "at_most": F.sum(train).over(up_to_value),
             "equal": F.sum(train).over(same_value),
             "n_train": F.sum(train).over(whole),
-            "train_sum": F.sum(train_y.cast("decimal(28,6)")).over(whole),
+            "train_sum": X.exact_sum(train_y).over(whole),
         }
     )
     place = (F.col("at_most") - F.col("equal") * F.lit(0.5)) / F.nullif(F.col("n_train"), F.lit(0))
@@ -73,22 +73,23 @@ def _line(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> tuple[
     return slope, (sy - slope * sx) / F.nullif(n, F.lit(0.0))
 
 
-def _sum_of(c: Column) -> Column:
-    return F.sum(c.cast("decimal(38,6)"))
-
-
 def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="trend")) -> DataFrame:
     """Straight line plus month-of-year mean residual (when the history is long enough), normal residuals."""
-    whole = Window.partitionBy(*KEYS)
-    same_month = Window.partitionBy(*KEYS, "month_of_year")
+    # Sums run in the order of the months, so they come out the same wherever they run.
+    whole = Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same_month = (
+        Window.partitionBy(*KEYS, "month_of_year")
+        .orderBy("ts")
+        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     x, train = F.col("x"), _usable_train()
     y = F.when(train, F.col("y"))
     sums = series.withColumns({"x": _month_index(F.col("ts")), "month_of_year": F.month("ts")}).withColumns(
         {
             "n_train": F.count(y).over(whole),
             "sx": F.sum(F.when(train, x)).over(whole).cast("double"),
-            "sy": _sum_of(y).over(whole).cast("double"),
-            "sxy": _sum_of(y * x).over(whole).cast("double"),
+            "sy": F.sum(y).over(whole),
+            "sxy": F.sum(y * x).over(whole),
             "sxx": F.sum(F.when(train, x * x)).over(whole).cast("double"),
         }
     )
@@ -100,9 +101,7 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
         .withColumn("line", F.col("intercept") + F.col("slope") * x)
         .withColumn("residual", F.when(train, F.col("y") - F.col("line")))
     )
-    month_mean = _sum_of(F.col("residual")).over(same_month).cast("double") / F.nullif(
-        F.count("residual").over(same_month), F.lit(0)
-    )
+    month_mean = F.avg("residual").over(same_month)
     seasonal = lined.withColumn(
         "season",
         F.when(F.col("n_train") >= spec.seasonal_points, F.coalesce(month_mean, F.lit(0.0))).otherwise(0.0),
@@ -110,17 +109,22 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
     error = F.col("residual") - F.col("season")
     spread = seasonal.withColumns(
         {
-            "se": _sum_of(error).over(whole).cast("double"),
-            "see": _sum_of(error * error).over(whole).cast("double"),
+            "se": F.sum(error).over(whole),
+            "see": F.sum(error * error).over(whole),
             "forecast": F.col("line") + F.col("season"),
         }
     )
     variance = (F.col("see") - F.col("se") * F.col("se") / n) / F.nullif(n - 1, F.lit(0.0))
     scored = spread.withColumn("sigma", F.sqrt(F.greatest(variance, F.lit(0.0))))
+    return _finish(scored.withColumn("percentile", _normal_place()), spec)
+
+
+def _normal_place() -> Column:
+    """Place of the gap to the forecast in a normal distribution; without spread only its sign counts."""
     gap = F.col("y") - F.col("forecast")
     by_sign = F.when(gap > 0, 1.0).when(gap < 0, 0.0).when(gap == 0, 0.5)
-    percentile = F.when(F.col("sigma") > 0, X.normal_cdf(gap / F.nullif(F.col("sigma"), F.lit(0.0)))).otherwise(by_sign)
-    return _finish(scored.withColumn("percentile", percentile), spec)
+    by_spread = X.normal_cdf(gap / F.nullif(F.col("sigma"), F.lit(0.0)))
+    return F.when(F.col("sigma") > 0, by_spread).otherwise(by_sign)
 
 
 def score(series: DataFrame, spec: DetectorSpec) -> DataFrame:
@@ -131,10 +135,11 @@ def score(series: DataFrame, spec: DetectorSpec) -> DataFrame:
     raise ValueError(f"unknown detector {spec.method!r}")
 
 
-def fit(series: DataFrame) -> DataFrame:
-    """Model table: one row per series with the moments, the line and the sorted training values.
+def fit(series: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFrame:
+    """Model table: one row per series with the moments, the sorted training values, and the trend's line, season and spread.
 
-    The value array is bounded by the number of months in the training period.
+    The value array is bounded by the number of months in the training period. ``grain`` says whether the values are
+    those of months or of days.
     """
     train = series.where(_usable_train()).withColumn("x", _month_index(F.col("ts")))
     y, x = F.col("y"), F.col("x")
@@ -146,40 +151,75 @@ def fit(series: DataFrame) -> DataFrame:
         F.max("ts").alias("last_ts"),
         F.sum(x).cast("double").alias("sx"),
         F.sum(x * x).cast("double").alias("sxx"),
-        _sum_of(y).cast("double").alias("sy"),
-        _sum_of(y * x).cast("double").alias("sxy"),
-        _sum_of(y * y).cast("double").alias("syy"),
-        F.array_sort(F.collect_list(y)).alias("history"),
+        X.exact_sum(y).cast("double").alias("total"),
+        F.array_sort(F.collect_list(F.struct("ts", "x", "y"))).alias("months"),
+    )
+
+    def summed(array, value) -> Column:
+        # In the order of the months, so that a retried task gives the same digits.
+        return F.aggregate(array, F.lit(0.0), lambda total, m: total + value(m))
+
+    sums = sums.withColumns(
+        {
+            "sy": summed("months", lambda m: m["y"]),
+            "sxy": summed("months", lambda m: m["y"] * m["x"]),
+            "syy": summed("months", lambda m: m["y"] * m["y"]),
+            "history": F.array_sort(F.transform("months", lambda m: m["y"])),
+        }
     )
     n = F.col("n_train").cast("double")
     slope, intercept = _line(n, F.col("sx"), F.col("sy"), F.col("sxy"), F.col("sxx"))
-    variance = (F.col("syy") - F.col("sy") * F.col("sy") / n) / F.nullif(n - 1, F.lit(0.0))
+    sums = sums.withColumns({"slope": slope, "intercept": intercept})
+
+    def residual(m) -> Column:
+        gap = m["y"] - (F.col("intercept") + F.col("slope") * m["x"])
+        return F.struct(F.month(m["ts"]).alias("month"), gap.alias("gap"))
+
+    sums = sums.withColumn("residuals", F.transform("months", residual))
+
+    def season_of(month) -> Column:
+        own = F.filter("residuals", lambda r: r["month"] == month)
+        mean = summed(own, lambda r: r["gap"]) / F.nullif(F.size(own), F.lit(0))
+        return F.when(F.col("n_train") >= spec.seasonal_points, F.coalesce(mean, F.lit(0.0))).otherwise(0.0)
+
+    sums = sums.withColumn("season", F.transform(F.sequence(F.lit(1), F.lit(12)), season_of))
+    errors = F.transform("residuals", lambda r: r["gap"] - F.element_at("season", r["month"]))
+    sums = sums.withColumn("errors", errors)
+    se, see = summed("errors", lambda e: e), summed("errors", lambda e: e * e)
+
+    def spread(total: Column, squares: Column) -> Column:
+        return F.sqrt(F.greatest((squares - total * total / n) / F.nullif(n - 1, F.lit(0.0)), F.lit(0.0)))
+
+    first_days = F.forall("months", lambda m: F.dayofmonth(m["ts"]) == 1)
     return sums.select(
         *KEYS,
         "sgg",
         "emd",
+        F.when(first_days, "month").otherwise("day").alias("grain"),
         "n_train",
         "first_ts",
         "last_ts",
-        (F.col("sy") / n).alias("mean_y"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("stddev_y"),
-        slope.alias("slope"),
-        intercept.alias("intercept"),
+        (F.col("total") / n).alias("mean_y"),
+        spread(F.col("sy"), F.col("syy")).alias("stddev_y"),
+        "slope",
+        "intercept",
+        "season",
+        spread(se, see).alias("sigma"),
         "history",
     )
 
 
 def score_with_model(observations: DataFrame, model: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFrame:
-    """Score ``signal, series, ts, y`` rows against a stored model table; the same result as :func:`score_ecdf`."""
+    """Score ``signal, series, ts, y`` rows against a stored model table; the same result as :func:`score`."""
     joined = observations.select(*KEYS, "ts", "y").join(model, list(KEYS))
     y = F.col("y")
     below = F.size(F.filter("history", lambda v: v < y))
     equal = F.size(F.filter("history", lambda v: v == y))
     place = (below + equal * F.lit(0.5)) / F.nullif(F.col("n_train"), F.lit(0))
-    scored = (
-        joined.where(F.col("ts") > F.col("last_ts"))
-        .withColumn("is_train", F.lit(False))
-        .withColumn("forecast", F.col("mean_y"))
-        .withColumn("percentile", F.when(y.isNotNull(), place))
-    )
+    later = joined.where(F.col("ts") > F.col("last_ts")).withColumn("is_train", F.lit(False))
+    if spec.method == "trend":
+        line = F.col("intercept") + F.col("slope") * _month_index(F.col("ts"))
+        scored = later.withColumn("forecast", line + F.element_at("season", F.month("ts")))
+        return _finish(scored.withColumn("percentile", _normal_place()), spec)
+    scored = later.withColumn("forecast", F.col("mean_y")).withColumn("percentile", F.when(y.isNotNull(), place))
     return _finish(scored, spec)

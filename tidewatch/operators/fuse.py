@@ -28,34 +28,46 @@ def signal_flags(scores: DataFrame, settings: Settings) -> DataFrame:
 def price_rollup(scores: DataFrame, settings: Settings, signal: str = "price") -> DataFrame:
     """District view of a sub-district signal: mean place, mean values, flagged when any sub-district is."""
     s = settings.signal(signal)
+    outside = X.outside_band(F.col("percentile"), s.low, s.high)
     return (
         scores.where(F.col("signal") == signal)
         .groupBy("sgg", "ts")
         .agg(
-            X.exact_mean(F.col("percentile"), 10).alias("percentile"),
+            X.exact_mean(F.col("percentile")).alias("percentile"),
             X.exact_mean(F.col("y")).alias("actual"),
             X.exact_mean(F.col("forecast")).alias("forecast"),
-            F.coalesce(F.bool_or(X.outside_band(F.col("percentile"), s.low, s.high)), F.lit(False)).alias("is_anomaly"),
+            F.coalesce(_any_flagged(outside, settings.flag_share), F.lit(False)).alias("is_anomaly"),
         )
     )
 
 
-def _signal_aggregates(s: SignalSpec) -> list[Column]:
+def _signal_columns(s: SignalSpec) -> list[Column]:
+    names = ("percentile", "actual", "forecast")
+    if s.grain == "emd":
+        return [F.col(f"{s.name}_{n}") for n in (*names, "any")]
+    fields = ("percentile", "y", "forecast")
+    return [F.col(f"{s.name}_score.{f}").alias(f"{s.name}_{n}") for f, n in zip(fields, names, strict=True)]
+
+
+def _any_flagged(outside: Column, share: float | None) -> Column:
+    """Whether any, or at least a share of, the scores is outside the band; null when there is none."""
+    if share is None:
+        return F.bool_or(outside)
+    return F.nullif(F.count(outside), F.lit(0)) * share <= F.count_if(outside)
+
+
+def _signal_aggregates(s: SignalSpec, share: float | None) -> list[Column]:
     here = F.col("signal") == s.name
     percentile, actual, forecast = (F.when(here, F.col(c)) for c in ("percentile", "y", "forecast"))
     if s.grain == "emd":
         return [
-            X.exact_mean(percentile, 10).alias(f"{s.name}_percentile"),
+            X.exact_mean(percentile).alias(f"{s.name}_percentile"),
             X.exact_mean(actual).alias(f"{s.name}_actual"),
             X.exact_mean(forecast).alias(f"{s.name}_forecast"),
-            F.bool_or(X.outside_band(percentile, s.low, s.high)).alias(f"{s.name}_any"),
+            _any_flagged(X.outside_band(percentile, s.low, s.high), share).alias(f"{s.name}_any"),
         ]
-    # One score per district and month: max picks it.
-    return [
-        F.max(percentile).alias(f"{s.name}_percentile"),
-        F.max(actual).alias(f"{s.name}_actual"),
-        F.max(forecast).alias(f"{s.name}_forecast"),
-    ]
+    # One score per district and month. Should there be more, all values are those of the highest.
+    return [F.max(F.when(here, F.struct("percentile", "y", "forecast"))).alias(f"{s.name}_score")]
 
 
 def signals_joined(scores: DataFrame, settings: Settings) -> DataFrame:
@@ -63,11 +75,15 @@ def signals_joined(scores: DataFrame, settings: Settings) -> DataFrame:
 
     The scores are one long frame, so a conditional aggregation does the work of a chain of left joins in a single
     shuffle with map-side combine.
+
+    A join matches no null key, so only the driving signal keeps scores without a district or month.
     """
-    aggregates = [c for s in settings.signals for c in _signal_aggregates(s)]
-    has_driver = F.bool_or(F.col("signal") == settings.driver).alias("has_driver")
-    wide = scores.groupBy("sgg", "ts").agg(*aggregates, has_driver)
-    return wide.where("has_driver").drop("has_driver")
+    aggregates = [c for s in settings.signals for c in _signal_aggregates(s, settings.flag_share)]
+    is_driver = F.col("signal") == settings.driver
+    keyed = scores.where(is_driver | (F.col("sgg").isNotNull() & F.col("ts").isNotNull()))
+    wide = keyed.groupBy("sgg", "ts").agg(*aggregates, F.bool_or(is_driver).alias("has_driver"))
+    columns = [c for s in settings.signals for c in _signal_columns(s)]
+    return wide.where("has_driver").select("sgg", "ts", *columns)
 
 
 def scored_regions(joined: DataFrame, settings: Settings) -> DataFrame:

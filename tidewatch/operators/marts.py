@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions import fixed_values as fv
 from tidewatch.operators.series import filter_telecom
-from tidewatch.spec import SourceFilter
+from tidewatch.spec import SignalSpec, SourceFilter
 
 SCORES = ["combined_score", "price_score", "pop_score", "telecom_score", "card_score"]
 
@@ -31,17 +33,24 @@ def signal_timeseries(scores: DataFrame) -> DataFrame:
     )
 
 
-def sgg_summary(alerts: DataFrame) -> DataFrame:
-    """Alert counts and scores per district. The per-signal counts go by the words in the label."""
+def sgg_summary(alerts: DataFrame, by_flags: bool = False) -> DataFrame:
+    """Alert counts and scores per district.
+
+    The per-signal counts go by the words in the label, and labels of several signals don't name them all; by_flags
+    counts what is flagged.
+    """
     label = F.col("alert_type")
-    words = [F.count_if(label.contains(w)).alias(f"{s}_alerts") for s, w in fv.LABEL_WORDS.items()]
+    words = [
+        F.count_if(F.col(f"{s}_is_anomaly") if by_flags else label.contains(w)).alias(f"{s}_alerts")
+        for s, w in fv.LABEL_WORDS.items()
+    ]
     return alerts.groupBy("sgg").agg(
         F.count("*").alias("total_alerts"),
         F.count_if(label == fv.QUAD_LABEL).alias("quad_alerts"),
         F.count_if(label == fv.TRIPLE_LABEL).alias("triple_alerts"),
         *words,
         X.half_up(F.max("combined_score"), 3).alias("max_score"),
-        X.half_up(X.exact_mean(F.col("combined_score"), 10), 3).alias("avg_score"),
+        X.half_up(X.exact_mean(F.col("combined_score")), 3).alias("avg_score"),
     )
 
 
@@ -53,12 +62,23 @@ def telecom_trend(telecom: DataFrame, source: SourceFilter) -> DataFrame:
         .agg(
             F.sum("contract_count").alias("contracts"),
             F.sum("open_count").alias("opens"),
-            X.half_up(X.percent_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
-            X.money_sum(F.col("total_net_sales")).cast("double").alias("net_sales"),
+            X.half_up(X.exact_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
+            X.exact_sum(F.col("total_net_sales")).cast("double").alias("net_sales"),
         )
     )
 
 
+def sgg_summary_sorted(summary: DataFrame, n: int | None = None) -> DataFrame:
+    """District summary, districts with most alerts first; the first n or all."""
+    ordered = summary.orderBy(F.col("total_alerts").desc_nulls_last(), "sgg")
+    return ordered if n is None else ordered.limit(n)
+
+
+def telecom_trend_profile(trend: DataFrame) -> DataFrame:
+    """Rows and districts of the telecom mart."""
+    return trend.agg(F.count("*").alias("row_count"), F.countDistinct("sgg").alias("sgg_count"))
+
+
 def top_alerts(alerts: DataFrame, n: int = 15) -> DataFrame:
     return (
         alerts.orderBy(F.col("combined_score").desc_nulls_last(), "sgg", "alert_date")
@@ -259,8 +279,17 @@ def copy_preview(marketing: DataFrame, length: int = 80) -> DataFrame:
 # ---- parameterised reads -------------------------------------------------------------------------------------------
 
 
-def signal_lookup(timeseries: DataFrame, region_key: str, signal_type: str | None = None) -> DataFrame:
-    """Score points of one region, oldest first. The key filter reaches the scan of the stored table."""
+def signal_lookup(
+    timeseries: DataFrame, region_key: str, signal_type: str | None = None, signals: Sequence[SignalSpec] = ()
+) -> DataFrame:
+    """Score points of one region with the lines of its signal's band, oldest first.
+
+    The key filter reaches the scan of the stored table.
+    """
+    high, low = F.lit(fv.BAND_HIGH), F.lit(fv.BAND_LOW)
+    for s in signals:
+        here = F.col("signal_type") == s.name
+        high, low = F.when(here, F.lit(s.high)).otherwise(high), F.when(here, F.lit(s.low)).otherwise(low)
     picked = timeseries.where(F.col("region_key") == region_key)
     if signal_type is not None:
         picked = picked.where(F.col("signal_type") == signal_type)
@@ -272,8 +301,8 @@ def signal_lookup(timeseries: DataFrame, region_key: str, signal_type: str | Non
         "forecast_value",
         "percentile",
         "is_anomaly",
-        F.lit(fv.BAND_HIGH).alias("high_line"),
-        F.lit(fv.BAND_LOW).alias("low_line"),
+        high.alias("high_line"),
+        low.alias("low_line"),
     ).orderBy("ts", "signal_type")
 
 
@@ -285,7 +314,7 @@ def signal_lookup_district(timeseries: DataFrame, sgg: str) -> DataFrame:
         .agg(
             X.exact_mean(F.col("actual_value")).alias("actual_value"),
             X.exact_mean(F.col("forecast_value")).alias("forecast_value"),
-            X.exact_mean(F.col("percentile"), 10).alias("percentile"),
+            X.exact_mean(F.col("percentile")).alias("percentile"),
             F.bool_or("is_anomaly").alias("is_anomaly"),
         )
         .orderBy("ts", "signal_type")

@@ -2,24 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions import fixed_values as fv
+from tidewatch.sources.schemas import PERIOD_DAY
 from tidewatch.spec import Settings
 
 
+def _since(df: DataFrame, column: str, first: Column) -> DataFrame:
+    """Rows from ``first`` on, an aggregate over the frame. A column compared with a scalar subquery of its own type is a
+    form that reaches the scan as a pushed filter, when the column is one of a table."""
+    return df.where(F.col(column) >= df.select(first.cast(df.schema[column].dataType)).scalar())
+
+
 def latest_period(df: DataFrame, period: str) -> DataFrame:
-    """Rows of the newest period. The scalar subquery reads only the period column."""
-    newest = df.select(F.max(period)).scalar()
-    return df.where(F.col(period) == newest)
+    """Rows of the newest period, a date or a month code. The scalar subquery reads only the period column.
+
+    Where the frame has the day that a period was cut from, the newest period is all days from its first one on.
+    """
+    if PERIOD_DAY not in df.columns:
+        return _since(df, period, F.max(period))
+    is_date = isinstance(df.schema[period].dataType, DateType)
+    first_day = F.max(period) if is_date else X.month_from_code(F.max(period))
+    return _since(df, PERIOD_DAY, first_day).drop(PERIOD_DAY)
 
 
 def last_n_months(df: DataFrame, ts: str, months: int) -> DataFrame:
     """Rows from ``months`` before the newest month on, both ends included."""
-    newest = df.select(F.max(ts)).scalar()
-    return df.where(F.col(ts) >= F.add_months(newest, -months))
+    first_month = F.add_months(F.max(ts), -months)
+    if PERIOD_DAY not in df.columns:
+        return _since(df, ts, first_month)
+    return _since(df, PERIOD_DAY, first_month).drop(PERIOD_DAY)
 
 
 def age_band_counts(income: DataFrame) -> DataFrame:
@@ -30,7 +46,7 @@ def age_band_counts(income: DataFrame) -> DataFrame:
         )
         for low in (20, 30, 40, 50)
     ]
-    rate = X.exact_mean(F.col("rate_income_over_70m"), 10).alias("rate_income_over_70m")
+    rate = X.exact_mean(F.col("rate_income_over_70m")).alias("rate_income_over_70m")
     return latest_period(income, "standard_year_month").groupBy("district_code").agg(*bands, rate)
 
 

@@ -77,9 +77,22 @@ def alert_points(candidates: DataFrame) -> DataFrame:
     return candidates.select("region_key", "sgg", "alert_date", "alert_type", *rounded_scores())
 
 
-def drafts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -> DataFrame:
+def _directions() -> Column:
+    """Which way each flagged signal went, as one text; null when none is flagged."""
+    words = []
+    for s in SCORE_SOURCES:
+        way = F.when(F.col(f"{s}_percentile") > fv.NEUTRAL, fv.DIRECTION_UP).otherwise(fv.DIRECTION_DOWN)
+        name = F.concat(F.lit(fv.SCORE_NAMES[f"{s}_score"] + " "), way)
+        words.append(F.when(F.col(f"{s}_is_anomaly") & F.col(f"{s}_percentile").isNotNull(), name))
+    return F.nullif(F.concat_ws(" / ", *words), F.lit(""))
+
+
+def drafts(
+    candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame, with_direction: bool = False
+) -> DataFrame:
     """Candidate alerts with rounded scores, the product text, the prompt and the message list, in one pass.
 
+    The texts speak of rises whichever way a signal went; with_direction adds a line that says it.
     The two context texts are scalar subqueries: an empty context gives null and the fallback text, never fewer rows.
     """
     known = F.col("alert_type").isin(*[label for _, label in fv.ALERT_LABELS])
@@ -102,6 +115,7 @@ def drafts(candidates: DataFrame, top_rental: DataFrame, call_text: DataFrame) -
         F.when(F.col("t.rental"), _line("인기상품", products, fv.RENTAL_MUST_MENTION)).otherwise(""),
         _line("서비스", F.col("t.service")),
         _optional(_line("조건", F.col("t.condition"))),
+        _optional(_line(fv.DIRECTION_TAG, _directions())) if with_direction else F.lit(""),
         _line("금지", F.col("t.ban")),
     )
     drafted = framed.select(

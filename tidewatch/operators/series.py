@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
@@ -65,21 +65,20 @@ def _tagged(grouped: DataFrame, settings: Settings, signal: str, series: Column,
     return with_split(tagged, settings, signal)
 
 
-def price_series(price: DataFrame, settings: Settings, grain: DataFrame | None = None) -> DataFrame:
+def price_series(price: DataFrame, settings: Settings, min_share: float = 0.5) -> DataFrame:
     """Mean price per sub-district and month.
 
-    With the districts of :func:`grain_choice`, those with short histories get one series of the whole district. Sums
-    and counts per month are made first, so only they meet the choice.
+    With ``grain_fallback``, districts that :func:`grain_choice` finds too short get one series of the whole district.
+    Sums and counts per month are made first; the choice is a window over them, so the source is read once.
     """
-    total = X.money_sum(F.col("price")) if settings.price_is_money else X.exact_sum(F.col("price"))
+    total = X.exact_sum(F.col("price"))
     rows = _dated(filter_price(price, settings.source), settings, "price", F.col("ts").isNotNull(), "sgg")
     monthly = rows.groupBy("sgg", "emd", "ts").agg(total.alias("total"), F.count("price").alias("n"))
     key = X.region_key(settings.key_delimiter, F.col("sgg"), F.col("emd"))
-    if grain is not None:
-        falls_back = grain.where(F.col("grain") == "sgg").select("sgg", F.lit(True).alias("whole"))
+    if settings.grain_fallback:
         monthly = (
-            monthly.join(falls_back, "sgg", "left")
-            .groupBy("sgg", "ts", "whole", F.when(F.col("whole").isNull(), F.col("emd")).alias("emd"))
+            monthly.withColumn("whole", _falls_back(settings.grain_points, min_share))
+            .groupBy("sgg", "ts", "whole", F.when(~F.col("whole"), F.col("emd")).alias("emd"))
             .agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
         )
         key = F.when(F.col("whole"), F.col("sgg")).otherwise(key)
@@ -87,10 +86,35 @@ def price_series(price: DataFrame, settings: Settings, grain: DataFrame | None =
     return _tagged(monthly.withColumn("y", mean), settings, "price", key, F.col("emd"))
 
 
+def _falls_back(points: int, min_share: float) -> Column:
+    """Whether too few sub-districts of a row's district have enough months; over one row per sub-district and month."""
+    of_series = Window.partitionBy("sgg", "emd")
+    months = F.count("ts").over(of_series)
+    first = F.row_number().over(of_series.orderBy("ts")) == 1
+    long_enough = F.count_if(first & (months >= points)).over(Window.partitionBy("sgg"))
+    return long_enough < min_share * F.count_if(first).over(Window.partitionBy("sgg"))
+
+
+def densified(series: DataFrame, settings: Settings) -> DataFrame:
+    """The series with a row for every month from their first to their last; added months have no value.
+
+    The months are counted per series, so the rows added grow with the series' length, not with the source.
+    """
+    keys = ["signal", "series", "sgg", "emd"]
+    span = series.groupBy(*keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    months = F.explode(F.sequence("first", "last", F.expr("interval 1 month"))).alias("ts")
+    every = span.select(*keys, months)
+    known = series.select(*[F.col(k).alias(f"own_{k}") for k in keys], F.col("ts").alias("own_ts"), "y")
+    same = [F.equal_null(F.col(k), F.col(f"own_{k}")) for k in (*keys, "ts")]
+    dense = every.join(known, reduce(lambda a, b: a & b, same), "left").select(*keys, "ts", "y")
+    parts = [with_split(dense.where(F.col("signal") == s.name), settings, s.name) for s in settings.signals]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def pop_series(population: DataFrame, settings: Settings) -> DataFrame:
     """Sum of in-migration per district and month."""
     rows = _dated(filter_population(population, settings.source), settings, "pop", F.col("ts").isNotNull(), "sgg")
-    grouped = rows.groupBy("sgg", "ts").agg(X.money_sum(F.col("population")).alias("y"))
+    grouped = rows.groupBy("sgg", "ts").agg(X.exact_sum(F.col("population")).alias("y"))
     return _tagged(grouped, settings, "pop", F.col("sgg"), F.lit(None))
 
 
@@ -112,7 +136,7 @@ def card_series(card: DataFrame, district: DataFrame, settings: Settings) -> Dat
     per_code = (
         card.where(F.col("province_code") == settings.source.province_code)
         .groupBy("district_code", "standard_year_month")
-        .agg(X.money_sum(spend).alias("y"))
+        .agg(X.exact_sum(spend).alias("y"))
     )
     names = district.select("district_code", F.col("city_kor_name").alias("sgg"))
     named = per_code.join(names, "district_code")
@@ -140,7 +164,8 @@ def series_of(signal: str, sources: Sources, settings: Settings) -> DataFrame:
 
 def all_series(sources: Sources, settings: Settings) -> DataFrame:
     """All signals in one long frame."""
-    return reduce(DataFrame.unionByName, [series_of(s.name, sources, settings) for s in settings.signals])
+    every = reduce(DataFrame.unionByName, [series_of(s.name, sources, settings) for s in settings.signals])
+    return densified(every, settings) if settings.densify else every
 
 
 def months_present(price: DataFrame, settings: Settings) -> DataFrame:

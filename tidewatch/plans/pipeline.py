@@ -5,9 +5,10 @@ A written table is where lineage ends: a lost executor costs the tasks of the ta
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import checks, completion, context, detect, fuse, marts, profile, prompts, select, series
@@ -22,26 +23,37 @@ class Pipeline:
         sources: Sources,
         settings: Settings = Settings(),
         store: Store | None = None,
-        client: completion.Client = completion.template_client,
+        client: completion.Client | None = None,
+        reuse: bool = False,
     ):
+        """client asks a text model; without one a template makes the texts, inside the plan. A client needs a store, since
+        a plan may run a step again for a sort or a retry, and a stored reply is asked for once. With reuse, a table that
+        the store has is read instead of made.
+        """
+        if client is not None and store is None:
+            raise ValueError("a client needs a store, so that no draft is sent twice")
         self.sources, self.settings, self.store, self.client = sources, settings, store, client
+        self.reuse = reuse
 
-    def _table(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        return df if self.store is None else self.store.write(name, df, partition_by)
+    def _table(self, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
+        if self.store is None:
+            return make()
+        stored = self.store.read(name) if self.reuse else None
+        return self.store.write(name, make(), partition_by) if stored is None else stored
 
     # Series and scores
 
     @cached_property
     def series(self) -> DataFrame:
-        return self._table("series", series.all_series(self.sources, self.settings), ("signal",))
+        return self._table("series", lambda: series.all_series(self.sources, self.settings), ("signal",))
 
     @cached_property
     def model(self) -> DataFrame:
-        return self._table("model_params", detect.fit(self.series), ("signal",))
+        return self._table("model_params", lambda: detect.fit(self.series, self.settings.detector), ("signal",))
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._table("scores", detect.score(self.series, self.settings.detector), ("signal",))
+        return self._table("scores", lambda: detect.score(self.series, self.settings.detector), ("signal",))
 
     def series_of(self, signal: str) -> DataFrame:
         if self.store is None:
@@ -57,8 +69,10 @@ class Pipeline:
 
     @cached_property
     def customer_profile(self) -> DataFrame:
-        made = profile.customer_profile(self.sources["district"], self.sources["income"], self.settings)
-        return self._table("customer_profile", made)
+        return self._table(
+            "customer_profile",
+            lambda: profile.customer_profile(self.sources["district"], self.sources["income"], self.settings),
+        )
 
     @cached_property
     def sgg_geometry(self) -> DataFrame:
@@ -77,8 +91,10 @@ class Pipeline:
 
     @cached_property
     def region_alerts(self) -> DataFrame:
-        made = fuse.region_alerts(self.scores, self.sgg_geometry, self.sgg_profile, self.settings)
-        return self._table("region_alerts", made)
+        return self._table(
+            "region_alerts",
+            lambda: fuse.region_alerts(self.scores, self.sgg_geometry, self.sgg_profile, self.settings),
+        )
 
     @cached_property
     def best_alerts(self) -> DataFrame:
@@ -100,18 +116,22 @@ class Pipeline:
 
     @cached_property
     def rental_trend(self) -> DataFrame:
-        return self._table("rental_trend", context.rental_trend(self.sources["rental"], self.settings.context))
+        return self._table("rental_trend", lambda: context.rental_trend(self.sources["rental"], self.settings.context))
 
     @cached_property
     def call_center(self) -> DataFrame:
-        made = context.call_center_context(
-            self.sources["calls"], self.sources["call_conversion"], self.settings.context
+        return self._table(
+            "call_center_context",
+            lambda: context.call_center_context(
+                self.sources["calls"], self.sources["call_conversion"], self.settings.context
+            ),
         )
-        return self._table("call_center_context", made)
 
     @cached_property
     def traffic_snapshot(self) -> DataFrame:
-        return self._table("traffic_snapshot", context.traffic_snapshot(self.sources["traffic"], self.settings.context))
+        return self._table(
+            "traffic_snapshot", lambda: context.traffic_snapshot(self.sources["traffic"], self.settings.context)
+        )
 
     @property
     def rentals_text(self) -> DataFrame:
@@ -125,7 +145,12 @@ class Pipeline:
 
     @cached_property
     def drafts(self) -> DataFrame:
-        return self._table("drafts", prompts.drafts(self.candidates, self.rentals_text, self.calls_text))
+        return self._table(
+            "drafts",
+            lambda: prompts.drafts(
+                self.candidates, self.rentals_text, self.calls_text, self.settings.direction_in_prompts
+            ),
+        )
 
     @property
     def alert_scores(self) -> DataFrame:
@@ -133,22 +158,39 @@ class Pipeline:
 
     @cached_property
     def responses(self) -> DataFrame:
-        """Drafts with one reply each. With a store, only drafts without a stored reply are sent."""
-        if self.store is None:
-            return completion.complete(self.drafts, self.client, self.settings.request_parallelism)
-        done = self.store.read("responses")
-        todo = self.drafts if done is None else completion.missing_only(self.drafts, done)
-        requests = todo.select(*completion.KEYS, "messages", "temperature")
-        replies = completion.complete(requests, self.client, self.settings.request_parallelism)
-        stored = self.store.append("responses", replies.select(*completion.KEYS, "response"))
+        """All drafts with one reply each."""
+        return self.responses_to(self.drafts)
+
+    def responses_to(self, drafts: DataFrame) -> DataFrame:
+        """Drafts with one reply each. Only drafts without a stored reply are sent, and replies are read back.
+
+        Each wave's replies are stored before the next is sent, so a run that fails later has not lost them.
+        """
+        if self.client is None:
+            return drafts.withColumn("response", completion.template_reply(F.col("prompt")))
+        settings, keys = self.settings, completion.KEYS
+        for wave in completion.in_waves(drafts, settings.request_waves):
+            done = self.store.read("responses")
+            todo = wave if done is None else completion.missing_only(wave, done)
+            requests = todo.select(*keys, "messages", "temperature")
+            replies = completion.complete(
+                requests, self.client, settings.request_parallelism, settings.request_pause_seconds
+            )
+            self.store.append("responses", replies.select(*keys, "response"))
         # A draft sent twice by overlapping runs has two replies; one of them is used.
-        one_each = stored.groupBy(*completion.KEYS).agg(F.min("response").alias("response"))
-        return self.drafts.join(one_each, completion.KEYS, "left")
+        stored = self.store.read("responses").groupBy(*keys).agg(F.min("response").alias("response"))
+        return drafts.join(stored, keys, "left")
 
     @cached_property
     def marketing_alerts(self) -> DataFrame:
-        made = prompts.copy_text(self.responses).select(*prompts.ALERT_COLUMNS, "marketing_copy")
-        return self._table("marketing_alerts", made)
+        return self._table("marketing_alerts", self.marketing_of)
+
+    def marketing_of(self, *conditions: Column) -> DataFrame:
+        """Alerts with their texts; of all drafts, or only of those that meet the conditions."""
+        if self.store is not None and self.reuse and self.store.read("marketing_alerts") is not None:
+            return reduce(DataFrame.where, conditions, self.store.read("marketing_alerts"))
+        answered = self.responses_to(reduce(DataFrame.where, conditions, self.drafts))
+        return prompts.copy_text(answered).select(*prompts.ALERT_COLUMNS, "marketing_copy")
 
     @property
     def copy_check(self) -> DataFrame:
@@ -158,15 +200,17 @@ class Pipeline:
 
     @cached_property
     def signal_timeseries(self) -> DataFrame:
-        return self._table("signal_timeseries", marts.signal_timeseries(self.scores), ("signal_type",))
+        return self._table("signal_timeseries", lambda: marts.signal_timeseries(self.scores), ("signal_type",))
 
     @cached_property
     def sgg_summary(self) -> DataFrame:
-        return self._table("sgg_summary", marts.sgg_summary(self.alerts))
+        return self._table("sgg_summary", lambda: marts.sgg_summary(self.alerts))
 
     @cached_property
     def telecom_trend(self) -> DataFrame:
-        return self._table("telecom_trend", marts.telecom_trend(self.sources["telecom"], self.settings.source))
+        return self._table(
+            "telecom_trend", lambda: marts.telecom_trend(self.sources["telecom"], self.settings.source)
+        )
 
     @property
     def expectations(self) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Canonical columns of each source. Counts and amounts of money have at most two decimals.
+# An optional column: the date or time that a row's period was cut from, the period being that of its first day. Only the
+# choice of the newest periods reads it, and its bound reaches the scan.
+PERIOD_DAY = "period_day"
+
+# Canonical columns of each source.
 SOURCES: dict[str, str] = {
     "price": "ts date, sd string, sgg string, emd string, region_level string, price double",
     "population": "ts date, sd string, sgg string, region_level string, movement_type string, population double",
@@ -61,13 +65,15 @@ def conform(df: DataFrame, name: str) -> DataFrame:
         c = F.col(f"`{have.name}`")
         c = _as_date(c, have.dataType) if isinstance(f.dataType, T.DateType) else c.cast(f.dataType)
         columns.append(c.alias(f.name))
+    if PERIOD_DAY in present:
+        columns.append(F.col(f"`{present[PERIOD_DAY].name}`").alias(PERIOD_DAY))
     return df.select(*columns)
 
 
 def assert_schema(df: DataFrame, name: str) -> DataFrame:
     """Check that a frame has the canonical column names and kinds of a source."""
     want = {f.name: f.dataType for f in schema_of(name).fields}
-    have = {f.name: f.dataType for f in df.schema.fields}
+    have = {f.name: f.dataType for f in df.schema.fields if f.name != PERIOD_DAY}
     if set(want) != set(have):
         raise ValueError(f"source {name}: expected columns {sorted(want)}, found {sorted(have)}")
     for column, data_type in want.items():

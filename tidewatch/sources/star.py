@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions import fixed_values as fv
+from tidewatch.sources.schemas import PERIOD_DAY
 from tidewatch.spec import ContextSpec, Cutoff, Settings, SourceFilter, default_signals
 
-# Last digits that the five segment names give, used to place suppliers in districts.
-SEGMENT_DIGITS = (0, 2, 5, 6, 7)
+# The market segments, which are the sub-districts of every nation. Their first letters tell them apart.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+# Last digits that the segment names give, used to place suppliers in districts.
+SEGMENT_DIGITS = tuple(sorted(ord(name[0]) % 10 for name in SEGMENTS))
 
 STAR_SETTINGS = Settings(
     signals=default_signals(
@@ -44,7 +47,6 @@ STAR_SETTINGS = Settings(
         fast_from=50.0,
     ),
     key_delimiter="|",
-    price_is_money=True,
 )
 
 
@@ -65,8 +67,8 @@ class Tables:
         return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select("c_custkey", "sgg", "emd")
 
 
-def _district_code():
-    return (F.col("c_nationkey") * 10 + F.ascii("c_mktsegment") % 10).cast("bigint")
+def _district_code(nation: str, segment: str) -> Column:
+    return (F.col(nation) * 10 + F.ascii(segment) % 10).cast("bigint")
 
 
 def price(table: Tables) -> DataFrame:
@@ -136,15 +138,16 @@ def card(table: Tables) -> DataFrame:
 
 
 def district(table: Tables) -> DataFrame:
-    nation = table("nation").select("n_nationkey", "n_name")
-    places = table("customer").select("c_nationkey", "c_mktsegment").distinct()
-    code = _district_code()
-    return places.join(nation, places.c_nationkey == nation.n_nationkey).select(
+    """Every nation with every segment, whichever of them have customers."""
+    segments = F.explode(F.array(*[F.lit(name) for name in SEGMENTS])).alias("segment")
+    places = table("nation").select("n_nationkey", "n_name", segments)
+    code = _district_code("n_nationkey", "segment")
+    return places.select(
         code.alias("district_code"),
         F.lit(fv.PROVINCE_CODE).alias("province_code"),
         F.col("n_name").alias("city_kor_name"),
-        F.col("c_mktsegment").alias("district_kor_name"),
-        F.concat(F.lit("POINT("), F.col("c_nationkey"), F.lit(" "), code % 10, F.lit(")")).alias("district_geom"),
+        F.col("segment").alias("district_kor_name"),
+        F.concat(F.lit("POINT("), F.col("n_nationkey"), F.lit(" "), code % 10, F.lit(")")).alias("district_geom"),
     )
 
 
@@ -153,10 +156,11 @@ def income(table: Tables) -> DataFrame:
     customer = table("customer")
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left").select(
         (F.year("o_orderdate") * 100 + 1).alias("standard_year_month"),
-        _district_code().alias("district_code"),
+        _district_code("c_nationkey", "c_mktsegment").alias("district_code"),
         (F.lit(20) + F.col("c_custkey") % 40).cast("int").alias("age_group"),
         F.lit(1).cast("bigint").alias("customer_count"),
         F.when(F.col("c_acctbal") > 8500, 1.0).otherwise(0.0).alias("rate_income_over_70m"),
+        F.col("o_orderdate").alias(PERIOD_DAY),
     )
 
 
@@ -170,6 +174,7 @@ def rental(table: Tables) -> DataFrame:
         F.lit(1).cast("bigint").alias("open_count"),
         F.col("l_extendedprice").alias("avg_policy_amount"),
         (F.col("l_discount") * 100).alias("open_cvr"),
+        F.col("l_shipdate").alias(PERIOD_DAY),
     )
 
 
@@ -189,7 +194,7 @@ def calls(table: Tables) -> DataFrame:
         .agg(
             F.count("*").alias("call_count"),
             (F.count_if(F.col("value") > 5) / F.count("*")).alias("connection_rate"),
-            X.money_mean(F.col("value")).alias("avg_bill_minute"),
+            X.exact_mean(F.col("value")).alias("avg_bill_minute"),
         )
         .drop("queue")
     )
@@ -207,7 +212,7 @@ def call_conversion(table: Tables) -> DataFrame:
         )
         .agg(
             (F.sum(k).cast("double") / F.count(k) / 100).alias("call_to_contract_cvr"),
-            X.money_mean(F.col("value")).alias("avg_leadtime_days"),
+            X.exact_mean(F.col("value")).alias("avg_leadtime_days"),
         )
         .drop("queue")
     )
@@ -220,6 +225,7 @@ def traffic(table: Tables) -> DataFrame:
         F.concat(F.lit("node-"), F.col("user_id").cast("string")).alias("node_name"),
         F.col("value").alias("avg_speed_kmph"),
         F.lit(1).cast("bigint").alias("probe_count"),
+        F.col("ts").alias(PERIOD_DAY),
     )
 
 

@@ -92,8 +92,11 @@ def default_signals(
 @dataclass(frozen=True)
 class Settings:
     """``driver`` names the signal a district and month must have a score of to be able to alert;
-    ``request_parallelism`` is the most text requests in flight; ``price_is_money`` says that prices have at most two
-    decimals, which makes their exact sums cheaper."""
+    ``grain_fallback`` gives districts whose sub-districts mostly have fewer than ``grain_points`` months one price
+    series; ``densify`` fills months without rows; ``flag_share`` asks for that share of flagged sub-districts before a
+    district's price is flagged, None for any one; ``direction_in_prompts`` adds to a prompt which way each flagged
+    signal went. ``request_parallelism`` is the most text requests in flight, ``request_pause_seconds`` the pause after
+    each in a task, ``request_waves`` the parts whose replies are stored one after the other."""
 
     signals: tuple[SignalSpec, ...] = field(default_factory=default_signals)
     driver: str = "pop"
@@ -103,8 +106,13 @@ class Settings:
     selection: SelectionSpec = SelectionSpec()
     key_delimiter: str = "_"
     grain_points: int = 24
+    grain_fallback: bool = False
+    densify: bool = False
+    flag_share: float | None = None
+    direction_in_prompts: bool = False
     request_parallelism: int = 8
-    price_is_money: bool = False
+    request_pause_seconds: float = 0.0
+    request_waves: int = 1
 
     def signal(self, name: str) -> SignalSpec:
         return next(s for s in self.signals if s.name == name)

@@ -7,6 +7,8 @@ open day; the model is a static side of the join, read again when the query star
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidewatch.functions import exprs as X
 from tidewatch.operators import detect
 from tidewatch.plans.store import shared_folder
-from tidewatch.spec import DetectorSpec
+from tidewatch.spec import DetectorSpec, SignalSpec
 
 
 def daily_totals(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -22,17 +24,30 @@ def daily_totals(arrivals: DataFrame, delay: str = "1 day") -> DataFrame:
     return (
         arrivals.withWatermark("event_time", delay)
         .groupBy(F.window("event_time", "1 day").alias("day"), "signal", "series")
-        .agg(X.money_sum(F.col("value")).cast("double").alias("y"))
+        .agg(X.exact_sum(F.col("value")).cast("double").alias("y"))
         .select("signal", "series", F.to_date("day.start").alias("ts"), "y")
     )
 
 
 def score_arrivals(
-    arrivals: DataFrame, model: DataFrame, spec: DetectorSpec = DetectorSpec(), delay: str = "1 day"
+    arrivals: DataFrame,
+    model: DataFrame,
+    spec: DetectorSpec = DetectorSpec(),
+    delay: str = "1 day",
+    signals: Sequence[SignalSpec] = (),
 ) -> DataFrame:
-    """Scores with the band flag of every closed day of a series the model knows."""
+    """Scores with the band flag of every closed day of a series the model knows.
+
+    Days are compared with days only: a model of months is an error. A signal's own band is used where it is given.
+    """
+    if not model.where("grain <> 'day'").isEmpty():
+        raise ValueError("arrivals are summed by day: fit the model on daily values, not on months")
     scored = detect.score_with_model(daily_totals(arrivals, delay), model, spec)
-    return scored.withColumn("flagged", X.outside_band(F.col("percentile")))
+    percentile = F.col("percentile")
+    flagged = X.outside_band(percentile)
+    for s in signals:
+        flagged = F.when(F.col("signal") == s.name, X.outside_band(percentile, s.low, s.high)).otherwise(flagged)
+    return scored.withColumn("flagged", flagged)
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
