@@ -245,7 +245,8 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "alerts_by_label": lambda p: marts.alerts_by_label(p.marketing_alerts),
     "marketing_type_counts": lambda p: marts.alert_type_counts(p.marketing_alerts),
     "filter_options": lambda p: marts.filter_options(p.alert_points),
-    "signal_lookup": lambda p: marts.signal_lookup(p.signal_timeseries, "NATION_3"),
+    "signal_lookup": lambda p: marts.signal_lookup(p.signal_timeseries, "NATION_3", signals=S.signals),
+    "signal_chart": lambda p: marts.signal_chart(marts.signal_lookup(p.signal_timeseries, "NATION_3", "pop")),
     "signal_lookup_district": lambda p: marts.signal_lookup_district(p.signal_timeseries, "NATION_3"),
     "telecom_lookup": lambda p: marts.telecom_lookup(p.telecom_trend, "NATION_7"),
     # checks

@@ -247,6 +247,10 @@ STATEMENTS: dict[str, str] = {
                ts, actual_value, forecast_value, percentile, is_anomaly,
                CAST(0.75 AS DOUBLE) AS high_line, CAST(0.25 AS DOUBLE) AS low_line
         FROM timeseries WHERE region_key = 'NATION_3'""",
+    "signal_chart": """
+        SELECT signal_type, '👥 전입인구' AS signal_title, CAST(ts AS TIMESTAMP) AS ts, actual_value, forecast_value, percentile,
+               is_anomaly, CAST(0.75 AS DOUBLE) AS high_line, CAST(0.25 AS DOUBLE) AS low_line
+        FROM timeseries WHERE region_key = 'NATION_3' AND signal_type = 'pop'""",
     "signal_lookup_district": f"""
         SELECT signal_type, ts, {mean("actual_value")} AS actual_value, {mean("forecast_value")} AS forecast_value,
                {mean("percentile")} AS percentile, bool_or(is_anomaly) AS is_anomaly

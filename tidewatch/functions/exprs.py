@@ -34,6 +34,11 @@ def month_text(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM")
 
 
+def to_datetime(c: Column) -> Column:
+    """A date as the time at its start, without a zone."""
+    return c.cast("timestamp_ntz")
+
+
 def region_key(delimiter: str, *parts: Column) -> Column:
     """Parts joined by the delimiter; null when any part is null."""
     pieces = [parts[0]]

@@ -306,6 +306,11 @@ def signal_lookup(
     ).orderBy("ts", "signal_type")
 
 
+def signal_chart(lookup: DataFrame) -> DataFrame:
+    """Points of a lookup with their month as a time, for a time axis."""
+    return lookup.withColumn("ts", X.to_datetime(F.col("ts")))
+
+
 def signal_lookup_district(timeseries: DataFrame, sgg: str) -> DataFrame:
     """All signals of a district: sub-district points are averaged, so a price line is shown too."""
     return (
