@@ -17,17 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import over_texts
+
 #: A word is a run of letters, with the marks that follow them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 VOCABULARY = "piece_bpe_32k.model"
-#: Words remembered by a task, each with its likelihood per language, and characters of text whose words are scored together.
-REMEMBERED, TOGETHER = 400_000, 2_000_000
+#: Words remembered by a task, each with its likelihood per language, and texts whose new words are scored together.
+REMEMBERED, TOGETHER = 250_000, 1024
 SCORE = "lang_pred string, score double"
+KIND = pa.struct({"lang_pred": pa.string(), "score": pa.float64()})
 
 
 def vocabulary_path() -> str:
@@ -145,40 +149,24 @@ class LanguageModel:
         """Struct of lang_pred and score for a text column."""
         languages, pieces, probs, unknown, prior = self.languages, self.pieces, self.probs, self.unknown, self.log_prior
 
-        @F.pandas_udf(SCORE)
-        def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        def start():
             scorer = Scorer(pieces, probs, unknown)
-            for batch in batches:
-                found = [x for texts in _portions(batch) for x in _predict(scorer, languages, prior, texts)]
-                yield pd.DataFrame(found, columns=["lang_pred", "score"])
-
-        return predict(text)
-
+            return lambda texts: _predict(scorer, languages, prior, texts)
 
-def _portions(texts: pd.Series) -> Iterator[list[str | None]]:
-    """Neighbouring texts of some TOGETHER characters, at least one."""
-    part: list[str | None] = []
-    held = 0
-    for text in texts:
-        if part and held + len(text or "") > TOGETHER:
-            yield part
-            part, held = [], 0
-        part.append(text)
-        held += len(text or "")
-    if part:
-        yield part
+        return over_texts(text, SCORE, KIND, start, TOGETHER)
 
 
-def _predict(scorer: Scorer, languages: list[str], prior: np.ndarray, texts: list[str | None]) -> list[tuple[str, float]]:
+def _predict(scorer: Scorer, languages: list[str], prior: np.ndarray, texts: list[str | None]) -> list[dict]:
     counted = [Counter(words_of(t)) if languages else Counter() for t in texts]
     out = []
     for words, total in zip(counted, scorer.totals(counted), strict=True):
         if words:
             logs = prior + total
             best = int(np.argmax(logs))
-            out.append((languages[best], float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())))
+            score = float(1 / np.exp(np.minimum(logs - logs[best], 0)).sum())
+            out.append({"lang_pred": languages[best], "score": score})
         else:
-            out.append((UNDETERMINED, 0.0))
+            out.append({"lang_pred": UNDETERMINED, "score": 0.0})
     return out
 
 

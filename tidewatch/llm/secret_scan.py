@@ -15,12 +15,13 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import over_texts
+
 # The kinds in the order of the report, and the base patterns.
 KINDS = ("assign", "access", "hex", "jwt", "key_base64", "key_hex", "key_openssh")
 ASSIGN = re.compile(
@@ -46,6 +47,11 @@ SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
 RESULT = """n_assign long, n_access long, n_hex long, base_sha256 string, spans string,
     found array<struct<kind:string,first:int,last:int>>"""
+NAMES = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "found")
+SPAN = pa.struct({"kind": pa.string(), "first": pa.int32(), "last": pa.int32()})
+KIND = pa.struct(
+    dict(zip(NAMES, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(SPAN)), strict=True))
+)
 
 
 def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -195,19 +201,17 @@ def scan_text(text: str | None) -> tuple:
     base = _ordered(base_spans(text or ""))
     spans = _ordered([*base, *confirmed_spans(text or "")])
     counts = [sum(kind == k for kind, _, _ in base) for k in KINDS[:3]]
-    return (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), spans)
+    found = [dict(zip(("kind", "first", "last"), span, strict=True)) for span in spans]
+    return (*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), found)
 
 
 def scan(text: Column) -> Column:
     """Struct of counts, digest, span text and spans (code points, end exclusive) for a text column."""
 
-    @F.pandas_udf(RESULT)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans", "found"]
-        for batch in batches:
-            yield pd.DataFrame([scan_text(t) for t in batch], columns=names)
+    def start():
+        return lambda texts: [dict(zip(NAMES, scan_text(t), strict=True)) for t in texts]
 
-    return found(text)
+    return over_texts(text, RESULT, KIND, start)
 
 
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,9 +238,7 @@ def _redact(text: str | None, mark: str) -> str | None:
 def redacted(text: Column, mark: str = "[secret]") -> Column:
     """The text with every reported span, overlapping ones as one, replaced by mark; null stays null."""
 
-    @F.pandas_udf("string")
-    def redact(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_redact(t, mark) for t in batch], dtype=object)
+    def start():
+        return lambda texts: [_redact(t, mark) for t in texts]
 
-    return redact(text)
+    return over_texts(text, "string", pa.string(), start)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Texts that are Python strings at the same time, unless a column asks for more.
+PORTION = 256
+
 
 class Scratch:
     """Intermediate tables as Parquet below spark.checkpoint.dir, where a written table ends the lineage.
@@ -37,6 +42,26 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def over_texts(
+    text: Column, result: str, kind: pa.DataType, start: Callable[[], Callable[[list], list]], portion: int = PORTION
+) -> Column:
+    """A column computed from a text column, a portion of texts at a time.
+
+    start is called once in each task and gives a function from a list of texts (or nulls) to a list of results, of the
+    SQL type result and the Arrow type kind. A batch stays in Arrow's form; only a portion of it becomes Python strings.
+    The column counts as nondeterministic, so that Spark doesn't compute it again for a filter on it.
+    """
+
+    @F.arrow_udf(result)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of_texts = start()
+        for batch in batches:
+            parts = (of_texts(batch.slice(at, portion).to_pylist()) for at in range(0, len(batch), portion))
+            yield pa.array([x for part in parts for x in part], type=kind)
+
+    return run.asNondeterministic()(text)
+
+
 def hex64(number):
     """A 64-bit number as 16 lowercase hex digits; a negative one by its two's complement."""
     return F.lower(F.lpad(F.hex(number), 16, "0"))

@@ -20,17 +20,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Scratch, free_name, hex64, with_roots
+from tidewatch.llm.shared import Scratch, free_name, hex64, over_texts, with_roots
 
 SEED = 42
 #: Shingles hashed at once, so that a very long text takes bounded memory.
 CHUNK = 1 << 16
 #: Fingerprints that a bucket has on average, and variants made at once.
-PER_BUCKET, VARIANTS = 1_500, 6_000_000
+PER_BUCKET, VARIANTS = 700, 2_000_000
 
 
 def shingle_hashes(text: str, words_per_shingle: int) -> Iterator[np.ndarray]:
@@ -63,12 +64,10 @@ def fingerprint_of(text: str | None, words_per_shingle: int = 4) -> int:
 def fingerprint(text: Column, words_per_shingle: int = 4) -> Column:
     """64-bit SimHash of a text column as a long. Null counts as empty."""
 
-    @F.pandas_udf("long")
-    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([fingerprint_of(t, words_per_shingle) for t in batch], dtype="int64")
+    def start():
+        return lambda texts: [fingerprint_of(t, words_per_shingle) for t in texts]
 
-    return simhash(text)
+    return over_texts(text, "long", pa.int64(), start)
 
 
 def _flips(bits: list[int], most: int) -> list[np.ndarray]:
