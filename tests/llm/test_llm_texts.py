@@ -198,6 +198,35 @@ def test_passages_inside_long_lines_are_found_and_clean_documents_left(frame):
         assert found[i]["n_words"] >= 20 and (found[i]["n_removed"] == 0) == (i < 12 and i == min(j for j in planted if j % 4 == i % 4))
 
 
+def test_planted_passages_are_covered_whole(frame):
+    draw = random.Random(17)
+    wide = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for group in range(12):
+        passage = wide(draw.choice((45, 51, 60, 120)))
+        for _ in range(3):
+            before = wide(draw.randrange(40, 200))
+            planted[len(rows)] = (group, len(before), len(before) + len(passage))
+            rows.append(doc(len(rows), " ".join(before + passage + wide(50))))
+    found = {r["doc_id"]: r for r in D.repeated(frame(rows, DOCS)).collect()}
+    assert set(found) == set(planted)
+    for i, (group, first, behind) in planted.items():
+        assert [tuple(s) for s in found[i]["repeated"]] == [(first, behind)]
+        gone = [] if i == 3 * group else [(first, behind)]
+        assert [tuple(s) for s in found[i]["removed"]] == gone
+
+
+def test_a_longer_match_with_a_later_document_is_covered_too(frame):
+    draw = random.Random(18)
+    wide = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    passage = wide(60)
+    texts = [wide(30) + passage[:46] + wide(30), wide(40) + passage + wide(40), wide(50) + passage + wide(50)]
+    found = {r["doc_id"]: r for r in D.repeated(frame([doc(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)).collect()}
+    spans = {i: ([tuple(s) for s in r["repeated"]], [tuple(s) for s in r["removed"]]) for i, r in found.items()}
+    assert spans[0] == ([(30, 76)], []) and spans[1] == ([(40, 100)], [(40, 86)])
+    assert spans[2] == ([(50, 110)], [(50, 110)])
+
+
 def test_units_of_a_text_cover_every_passage():
     draw = random.Random(9)
     for _ in range(200):
