@@ -216,6 +216,28 @@ def test_planted_passages_are_covered_whole(frame):
         assert [tuple(s) for s in found[i]["removed"]] == gone
 
 
+def test_short_lines_wrapped_paragraphs_and_monotonous_lines_count(frame):
+    draw = random.Random(19)
+    wide = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    short, few, paragraph = wide(18), wide(6), wide(120)
+    near = [f"{w}x" if k % 61 == 20 else w for k, w in enumerate(paragraph)]
+    changed = [*short[:17], "other"]
+    texts = [
+        wide(40), short, wide(30), short, wide(30), changed, few, few, wrap(paragraph, 13), wrap(near, 11),
+        ["ha"] * 30, ["ha"] * 30, ["ha"] * 31, wide(4), [],
+    ]
+    rows = []
+    for i, body in enumerate(texts):
+        own = body if isinstance(body, str) else " ".join(body)
+        rows.append(doc(i, " ".join(wide(30)) + "\n" + own + "\n" + " ".join(wide(30))))
+    found = {r["doc_id"]: r for r in D.repeated(frame(rows, DOCS)).collect()}
+    assert set(found) == {1, 3, 5, 6, 7, 8, 9, 10, 11}
+    spans = {i: [tuple(s) for s in found[i]["repeated"]] for i in (1, 5, 6, 9, 10)}
+    assert spans == {i: [(30, 30 + n)] for i, n in ((1, 18), (5, 18), (6, 6), (9, 120), (10, 30))}
+    assert [found[i]["n_removed"] for i in (1, 3, 5, 6, 7, 8, 9, 10, 11)] == [0, 18, 18, 0, 6, 0, 120, 0, 30]
+
+
 def test_a_longer_match_with_a_later_document_is_covered_too(frame):
     draw = random.Random(18)
     wide = lambda n: [f"v{draw.randrange(10**9)}" for _ in range(n)]
