@@ -141,6 +141,28 @@ def test_recall_of_several_shards_and_lengths(frame, monkeypatch, many_partition
     assert hits / (5 * 75) >= 0.9
 
 
+def test_a_third_of_equal_rows_hides_no_neighbour(frame, monkeypatch):
+    monkeypatch.setattr(I, "SHARD", 300)
+    draw = np.random.default_rng(4)
+    vectors = draw.standard_normal((900, 16))
+    vectors[draw.permutation(900)[:300]] = vectors[0]
+    vectors = vectors.astype(np.float32).astype(float)
+    df = frame([row(i, v, 0) for i, v in enumerate(vectors)], VECTORS)
+    found = {}
+    for r in I.nearest(df, df["vec_id"] % 20 == 0, k=5, pivots=64, represent=32).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    hits = 0
+    for q in range(0, 900, 20):
+        scores = (vectors * vectors[q]).sum(axis=1)
+        scores[q] = -np.inf
+        best = np.lexsort((np.arange(900), -scores))[:5].tolist()
+        own = [i for _, i in sorted(found[q])]
+        if (vectors[q] == vectors[0]).all():
+            assert own == best
+        hits += len(set(own) & set(best))
+    assert hits / (5 * 45) >= 0.9
+
+
 def test_neighbours_edge_cases(frame):
     nan = float("nan")
     rows = [

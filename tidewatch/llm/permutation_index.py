@@ -8,6 +8,9 @@ The index is cut into shards by a hash of the id, the queries into blocks; a tas
 and answers one block. Both sizes are parameters, so memory is bounded, whatever the table; the best of each shard are
 merged by query. Inner products are turned into nearness by one more component that gives all indexed vectors the same
 length. Pivots are a bounded sample; every row is indexed.
+
+Equal vectors are one entry with their smallest ids, as many as an answer can name, so a large group of copies neither
+fills the share that is reranked nor hides other vectors, and the smaller ids are always the ones named.
 """
 
 from __future__ import annotations
@@ -58,8 +61,9 @@ class InvertedFiles:
         return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
     def by_footrule(self, order: np.ndarray, many: int) -> np.ndarray:
-        """The many vectors with the least footrule distance to an order; an absent pivot counts as just behind the last.
+        """The many vectors with the least footrule distance to an order, and all that are as near as the last of them.
 
+        An absent pivot counts as just behind the last.
         Starting from the distance of a vector with none of the query's pivots, each posting takes off what it saves.
         """
         saved = np.zeros(len(self.vectors), dtype=np.int32)
@@ -68,7 +72,7 @@ class InvertedFiles:
             saved[self.posted[at]] += (self.nearest - place) + (self.nearest - self.place[at]) - np.abs(self.place[at] - place)
         if many >= len(saved):
             return np.arange(len(saved))
-        return np.argpartition(-saved, many - 1)[:many]
+        return np.flatnonzero(saved >= np.partition(saved, len(saved) - many)[len(saved) - many])
 
 
 def nearest(
@@ -91,13 +95,18 @@ def nearest(
     rows = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     asked = F.sum(F.when(is_query, 1).otherwise(0))
-    n, n_queries, dim, longest = rows.agg(
-        F.count("*"), F.coalesce(asked, F.lit(0)), F.max(F.size("embedding")), F.sqrt(F.max(squares))
+    n_queries, dim, longest = rows.agg(
+        F.coalesce(asked, F.lit(0)), F.max(F.size("embedding")), F.sqrt(F.max(squares))
     ).first()
+    alike = Window.partitionBy("embedding").orderBy("vec_id")
+    smallest = rows.withColumn("rank", F.row_number().over(alike)).where(F.col("rank") <= k + 1)
+    entries = smallest.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = entries.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding")
+    n = entries.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shards, blocks = -(-n // SHARD), max(1, -(-n_queries // QUERY_BLOCK))
-    sample = rows.orderBy(F.xxhash64(F.lit("pivot"), "vec_id")).limit(pivots).collect()
+    sample = entries.orderBy(F.xxhash64(F.lit("pivot"), "vec_id")).limit(pivots).collect()
     chosen = matrix([r["embedding"] for r in sample], dim)
     chosen = np.hstack([chosen, np.sqrt(np.maximum(longest**2 - (chosen * chosen).sum(axis=1), 0.0))[:, None]])
 
@@ -109,8 +118,8 @@ def nearest(
     # Both sides' keys have one type: grouped sides meet by the hash of their keys, which differs between types.
     own_shard = F.pmod(F.xxhash64(F.lit("shard"), "vec_id"), F.lit(shards)).cast("int")
     own_block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
-    indexed = rows.select(
-        "vec_id", "embedding", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    indexed = entries.select(
+        "ids", "embedding", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
     asking = rows.where(is_query).select(
         "vec_id", "embedding", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
@@ -129,17 +138,22 @@ def _answers(index, asking, pivots, dim, longest, represent, share, k) -> Iterat
     """(query ids, vector ids, scores) of each query's best of one shard."""
     if not len(index) or not len(asking):
         return
-    ids = index["vec_id"].to_numpy()
+    groups = [np.asarray(g) for g in index["ids"]]
+    ids = np.array([g[0] for g in groups])
     files = InvertedFiles(matrix(index["embedding"], dim), pivots, longest, represent)
     queries = matrix(asking["embedding"], dim)
     orders = files.orders(np.hstack([queries, np.zeros((len(queries), 1))]))
     many = max(int(np.ceil(share * len(ids))), 8 * k)
     for own, query, order in zip(asking["vec_id"].to_numpy(), queries, orders, strict=True):
         some = files.by_footrule(order, many)
-        some = some[ids[some] != own]
         scores = (files.vectors[some] * query).sum(axis=1)
-        best = np.lexsort((ids[some], -scores))[:k] if len(some) <= 4 * k else _best(ids[some], scores, k)
-        yield np.full(len(best), own), ids[some][best], scores[best]
+        # One entry more than asked for, as an entry may hold no id but the query's own.
+        best = _best(ids[some], scores, min(k + 1, len(some)))
+        named = np.concatenate([groups[e] for e in some[best]])
+        score = np.repeat(scores[best], [len(groups[e]) for e in some[best]])
+        named, score = named[named != own], score[named != own]
+        first = np.lexsort((named, -score))[:k]
+        yield np.full(len(first), own), named[first], score[first]
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
