@@ -92,6 +92,26 @@ def test_structures_are_confirmed_and_lookalikes_are_not():
     assert kinds(base64.b64encode(certificate).decode()) == []
 
 
+def test_wrapped_escaped_and_listed_keys_are_found():
+    for key in (PKCS1, PKCS8, SEC1):
+        packed = base64.b64encode(key).decode()
+        for width in (30, 64, 76):
+            lines = re.findall(f".{{1,{width}}}", packed)
+            forms = ["\\n".join(lines), "\\r\\n".join(lines), "\\\\n".join(lines), "\n    ".join(lines), "\n> ".join(lines)]
+            forms += ['" +\n  "'.join(lines), "',\n'".join(lines), "\\n".join(lines).replace("/", "\\/")]
+            for form in forms:
+                text = f'é "-----BEGIN PRIVATE KEY-----\\n{form}\\n-----END PRIVATE KEY-----"'
+                (span,) = S.confirmed_spans(text)
+                assert span[0] == "key_base64" and text[span[1] : span[2]] == form
+    first, second = (base64.b64encode(k).decode() for k in (PKCS8, SEC1))
+    assert [k for k, _, _ in S.confirmed_spans(f"{first}\n{second}\n{first}")] == ["key_base64"] * 3
+    other = base64.b64encode(bytes(range(200)) * 2).decode().rstrip("=")
+    spans = S.confirmed_spans(f"{other}\n{second}")
+    assert spans == [("key_base64", len(other) + 1, len(other) + 1 + len(second))]
+    opened = "\\n".join(re.findall(".{1,70}", base64.b64encode(OPENSSH).decode()))
+    assert [(k, b - a) for k, a, b in S.confirmed_spans(f"x\\n{opened}\\n-----END")] == [("key_openssh", len(opened))]
+
+
 def test_null_empty_repeated_rows_and_clashing_columns(frame):
     token = "token=abcdefgh"
     rows = [(1, None, "x", 9), (2, "", "x", 9), (3, token, "x", 9), (3, token, "x", 9), (None, token, "x", 9)]

@@ -31,17 +31,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 
-#: Shortest runs that are decoded: the smallest private keys in DER have some 48 bytes.
+#: Shortest runs that are decoded, all lines together: the smallest private keys in DER have some 48 bytes.
 MIN_BASE64, MIN_KEY_HEX = 44, 64
-BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{44,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+#: How the letters of a DER sequence or an OpenSSH key file begin, at the start of a run.
+KEY_START = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNz)")
+#: Letters of one line (JSON may escape a slash), and what may stand between lines: quotes, a sign that goes on, line ends,
+#: indentation and quote marks. Escaped line ends are made real ones of the same length before.
+BASE64_LINE = re.compile(r"(?:[A-Za-z0-9+/]|\\/)++={0,2}+")
+BETWEEN = re.compile(r"""[ \t]*+["'`]?+[ \t]*+[+,;]?+[ \t]*+\\?+[\r\n](?:[\r\n \t"'`>|#*]*+)""")
+ESCAPED_END = re.compile(r"\\+[rn]")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
 JWT_RUN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)")
 
 #: One byte per class, so that a run of a class can be looked for at the speed of a byte search.
 _HEX_CLASS = bytes(ord("h") if chr(c) in "0123456789abcdefABCDEF" else ord(" ") for c in range(256))
-_B64_CLASS = bytes(
-    ord("b") if (chr(c).isascii() and chr(c).isalnum()) or chr(c) in "+/" else ord(" ") for c in range(256)
-)
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
 
@@ -97,37 +100,66 @@ def _starts_with_oid(data: bytes) -> bool:
 
 
 def _decoded(run: str) -> bytes | None:
-    packed = re.sub(r"[\r\n=]", "", run)
+    packed = re.sub(r"[^A-Za-z0-9+/]", "", run)
     try:
         return base64.b64decode(packed + "=" * (-len(packed) % 4))
     except binascii.Error:
         return None
 
 
-def _base64_key(run: str) -> tuple[str, int] | None:
-    """Kind and length of the key at the start of a run, which may go on over words of the next lines.
+def _base64_lines(text: str, at: int):
+    """(letters, end) of each line of the run that begins at a place, as far as it goes on over following lines."""
+    line = BASE64_LINE.match(text, at)
+    while line:
+        yield line[0].rstrip("=").replace("\\", ""), line.end()
+        between = None if line[0].endswith("=") else BETWEEN.match(text, line.end())
+        line = between and BASE64_LINE.match(text, between.end())
+
+
+def _base64_key(text: str, at: int) -> tuple[str, int] | None:
+    """Kind and end of the key that begins at a place, which may go on over following lines.
 
     The outer DER length says how many bytes, and so how many lines, belong to the key.
     """
-    head = _decoded(run[:8]) or b"\0"
-    if head[0] == SEQUENCE:
-        size = head[1] & 0x7F if head[1] & 0x80 else 0
-        if size > 4:
-            return None
-        total = 2 + size + (int.from_bytes(head[2 : 2 + size]) if size else head[1])
-        letters, missing = 0, -(-total * 4 // 3)
-        for line in re.finditer(r"[A-Za-z0-9+/]+={0,2}", run):
-            letters += len(line[0].rstrip("="))
-            if letters >= missing:
-                data = _decoded(run[: line.end()])
-                return ("key_base64", line.end()) if data and is_private_key(data) else None
-        return None
-    for end in (len(run), len(re.match(r"[A-Za-z0-9+/]+={0,2}", run)[0])):
-        if is_openssh_key(_decoded(run[:end]) or b""):
-            return "key_openssh", end
+    parts: list[str] = []
+    ends: list[int] = []
+    letters, missing = 0, None
+    for part, end in _base64_lines(text, at):
+        parts.append(part)
+        ends.append(end)
+        letters += len(part)
+        if missing is None and letters >= 24:
+            start = "".join(parts)[:24]
+            if start.startswith("b3BlbnNz"):
+                missing = float("inf")
+            else:
+                missing = _der_letters(_decoded(start) or b"\0")
+            if missing is None:
+                return None
+        if missing is not None and letters >= missing:
+            data = _decoded("".join(parts)) if missing >= MIN_BASE64 else None
+            return ("key_base64", end) if data and is_private_key(data) else None
+    if missing == float("inf"):
+        for many in (len(parts), 1):
+            if is_openssh_key(_decoded("".join(parts[:many])) or b""):
+                return "key_openssh", ends[many - 1]
     return None
 
 
+def _der_letters(head: bytes) -> int | None:
+    """How many letters a private key with this beginning has, or None if it can't be one."""
+    if head[0] != SEQUENCE:
+        return None
+    size = head[1] & 0x7F if head[1] & 0x80 else 0
+    if size > 4:
+        return None
+    inner = head[2 + size]
+    if inner not in (SEQUENCE, INTEGER) or (inner == INTEGER and head[3 + size] != 1):
+        return None
+    total = 2 + size + (int.from_bytes(head[2 : 2 + size]) if size else head[1])
+    return -(-total * 4 // 3)
+
+
 def is_openssh_key(data: bytes) -> bool:
     """An OpenSSH private key file: the magic, then length-prefixed cipher, key derivation and its options."""
     magic = b"openssh-key-v1\0"
@@ -176,11 +208,13 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     out = []
     if b"eyJ" in raw:
         out += [("jwt", m.start(), m.end()) for m in JWT_RUN.finditer(text) if is_signed_token(m[1], m[2])]
-    if b"b" * MIN_BASE64 in raw.translate(_B64_CLASS):
-        for m in BASE64_RUN.finditer(text):
-            found = _base64_key(m[0])
-            if found:
-                out.append((found[0], m.start(), m.start() + found[1]))
+    plain = ESCAPED_END.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
+    start = KEY_START.search(plain)
+    while start:
+        found = _base64_key(plain, start.start())
+        if found:
+            out.append((found[0], start.start(), found[1]))
+        start = KEY_START.search(plain, found[1] if found else start.start() + 1)
     if b"h" * MIN_KEY_HEX in raw.translate(_HEX_CLASS):
         for m in HEX_RUN.finditer(text):
             if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
