@@ -10,8 +10,9 @@ from tidewatch.llm.shared import Scratch, free_name
 
 #: Documents whose language is this uncertain go, as do those without a letter.
 MIN_LANGUAGE_SCORE = 0.5
-#: Expected tokens after mixing as a share of those before, so that clean documents stay at least once.
+#: Expected tokens after mixing as a share of those before; more where the clean domains need more to stay whole.
 MIX_BUDGET = 1.25
+CLEAN = ("good", "poor")
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,9 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says: none, once or more, so that the domains' tokens meet their weights."""
+    """Documents as often as their rate says, so that the domains' tokens come to their weights; clean ones at least once."""
     labels = queries.domains(queries.table(spark, sf_dir, "labels"))
-    plan = mixing.plan(docs, labels, queries.WEIGHTS, MIX_BUDGET)
+    plan = mixing.plan(docs, labels, queries.WEIGHTS, MIX_BUDGET, whole=CLEAN)
     return mixing.taken(docs, plan)
 
 

@@ -39,6 +39,18 @@ def test_each_stage_takes_effect(spark, tmp_path):
             assert all(r["bin_length"] in packing.LENGTHS for r in rows if r["bin_id"] is not None)
 
 
+def test_mixing_keeps_clean_documents_whatever_their_share(spark, tmp_path):
+    words = {"good": "alpha beta gamma", "poor": "lorem ipsum dolor", "toxic": "vile foul nasty"}
+    kinds = ["poor"] * 6 + ["good"] * 2 + ["toxic"] * 2
+    rows = [(i, f"{words[kinds[i % 10]]} " * 10, "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = [(i, int(kinds[i % 10] == "good"), int(kinds[i % 10] == "toxic")) for i in range(400)]
+    labelled = spark.createDataFrame(labels, "doc_id long, quality long, toxic long")
+    labelled.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r["doc_id"] for r in corpus_pipeline.mixed(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {i for i in range(400) if kinds[i % 10] != "toxic"}
+
+
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, SF)
     assert found.columns == ["doc_id", "piece", "first", "n_tokens", "bin_id", "bin_length", "bin_offset"]

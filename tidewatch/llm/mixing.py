@@ -78,20 +78,39 @@ def with_posteriors(
     return rows.select(*keep, "doc_id", word_count(F.col("text")).alias("n_tokens"), posterior.alias("posterior"))
 
 
-def fitted_rate(posterior: Column, gradients: Sequence[np.ndarray]) -> Column:
-    """The rate of a document after the given steps, each projected to rates of zero and above."""
+def least_rate(posterior: Column, domains: Sequence[str], whole: Sequence[str]) -> Column:
+    """1 for a document whose likeliest domain is one of whole, else 0."""
+    inside = [F.get(posterior, F.lit(k)) for k, name in enumerate(domains) if name in whole]
+    outside = [F.get(posterior, F.lit(k)) for k, name in enumerate(domains) if name not in whole]
+    if not inside or not outside:
+        return F.lit(1.0 if inside else 0.0)
+    best, other = (x[0] if len(x) == 1 else F.greatest(*x) for x in (inside, outside))
+    return F.when(best >= other, 1.0).otherwise(0.0)
+
+
+def fitted_rate(posterior: Column, gradients: Sequence[np.ndarray], least: Column | None = None) -> Column:
+    """The rate of a document after the given steps, each projected to rates of least (zero) and above."""
+    least = F.lit(0.0) if least is None else least
 
     def step(rate: Column, gradient: np.ndarray) -> Column:
         slope = reduce(lambda a, b: a + b, [F.get(posterior, F.lit(k)) * float(g) for k, g in enumerate(gradient)])
-        return F.greatest(F.lit(0.0), rate - slope)
+        return F.greatest(least, rate - slope)
 
     return reduce(step, gradients, F.lit(1.0))
 
 
-def gradients_for(rows: DataFrame, weights: Sequence[float]) -> list[np.ndarray]:
+def budget_for(rows: DataFrame, share: np.ndarray, domains: Sequence[str], whole: Sequence[str], budget: float) -> float:
+    """The smallest budget, of the given one or above, at which each domain of whole is aimed at with all its tokens."""
+    sums = [F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(len(domains))]
+    total, *natural = rows.agg(F.sum("n_tokens"), *sums).first()
+    parts = zip(domains, natural, share, strict=True)
+    return max([budget, *[n / (total * s) for name, n, s in parts if total and s > 0 and name in whole]])
+
+
+def gradients_for(rows: DataFrame, weights: Sequence[float], least: Column | None = None) -> list[np.ndarray]:
     """The steps of the projected gradient, for rows (n_tokens, posterior).
 
-    The targets are the weights times all tokens of rows.
+    The targets are the weights times all tokens of rows; no rate falls below least.
     """
     d = len(weights)
     p = [F.get("posterior", F.lit(k)) for k in range(d)]
@@ -107,7 +126,7 @@ def gradients_for(rows: DataFrame, weights: Sequence[float]) -> list[np.ndarray]
     solve = np.linalg.inv(gram + np.eye(d) * 1e-9 * gram.trace())
     target, taken = np.asarray(weights) * total, []
     for _ in range(STEPS):
-        rate = fitted_rate(F.col("posterior"), taken)
+        rate = fitted_rate(F.col("posterior"), taken, least)
         reached = np.array(rows.agg(*[F.sum(F.col("n_tokens") * rate * x) for x in p]).first(), dtype=float)
         if np.abs(reached - target).max() <= CLOSE * total:
             break
@@ -123,6 +142,7 @@ class Plan:
     domains: tuple[str, ...]
     gradients: tuple[np.ndarray, ...]
     rows: DataFrame
+    whole: tuple[str, ...] = ()
 
 
 def plan(
@@ -131,14 +151,23 @@ def plan(
     weights: dict[str, float],
     budget: float = 1.0,
     max_labelled: int = MAX_LABELLED,
+    whole: Sequence[str] = (),
 ) -> Plan:
-    """Learns the classifier and fits the rates; see rates."""
+    """Learns the classifier and fits the rates; see rates.
+
+    whole: domains that lose no document. The budget grows until it holds their tokens, whatever their share, and no
+    document that is likeliest in one of them gets a rate below 1.
+    """
     scratch = Scratch(docs.sparkSession)
     domains = list(weights)
     share = np.array([weights[k] for k in domains], dtype=float)
     model = classifier(docs, labels, domains, max_labelled)
     rows = scratch.keep(with_posteriors(docs.select("doc_id", "text"), model, domains), "posteriors")
-    return Plan(model, tuple(domains), tuple(gradients_for(rows, budget * share / share.sum())), rows)
+    share = share / share.sum()
+    if whole:
+        budget = budget_for(rows, share, domains, whole, budget)
+    least = least_rate(F.col("posterior"), domains, whole) if whole else None
+    return Plan(model, tuple(domains), tuple(gradients_for(rows, budget * share, least)), rows, tuple(whole))
 
 
 def rates(
@@ -171,7 +200,8 @@ def taken(docs: DataFrame, fitted: Plan) -> DataFrame:
     whole = free_name(docs, "whole")
     packed = docs.select(F.struct("*").alias(whole), F.col("doc_id"), F.col("text"))
     scored = with_posteriors(packed, fitted.model, fitted.domains, keep=(whole,))
-    rate = fitted_rate(F.col("posterior"), fitted.gradients)
+    least = least_rate(F.col("posterior"), fitted.domains, fitted.whole) if fitted.whole else None
+    rate = fitted_rate(F.col("posterior"), fitted.gradients, least)
     times = copies(rate, F.col(f"{whole}.doc_id"), F.col(f"{whole}.text"))
     return scored.select(whole, F.explode(F.array_repeat(F.lit(1), times))).select(f"{whole}.*")
 
