@@ -88,6 +88,19 @@ def test_edge_cases(frame):
     assert P.packed(frame([], DOCS)).count() == 0
 
 
+def test_the_query_counts_tokens_of_the_vocabulary(spark, tmp_path):
+    from tidewatch.llm import queries, token_counts
+
+    schema = "doc_id long, text string"
+    rows = [(1, "x" * 3 + "漢字かな" * 4000), (2, "unbelievableness of invented wordlings"), (3, None)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    sums, encoder = {}, token_counts.Vocabulary().encoder()
+    for r in queries.op7_packing(spark, str(tmp_path)).collect():
+        sums[r["doc_id"]] = sums.get(r["doc_id"], 0) + r["n_tokens"]
+        assert r["n_tokens"] <= max(P.LENGTHS)
+    assert sums == {i: len(token_counts.token_ends(t or "", encoder)) for i, t in rows} and sums[1] > 4096
+
+
 def test_small_lots_do_not_share_bins(frame):
     rows = [(i, "a b c", "", 3, "") for i in range(50)]
     found = P.packed(frame(rows, DOCS).repartition(3), lot=7, lengths=(8,)).collect()

@@ -17,9 +17,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import over_texts
+
 VOCABULARY = "byte_bpe_50k.tiktoken"
 RULES = ("first", "last", "most")
 #: Rows of results handed on at once.
@@ -169,6 +172,17 @@ def field_tokens(
     return rows.withColumn("tokens", count(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])))
 
 
+def token_count(text: Column, vocabulary: Vocabulary | None = None) -> Column:
+    """Tokens of each text, encoded whole; none for null."""
+    vocabulary = vocabulary or Vocabulary()
+
+    def start():
+        encoder = vocabulary.encoder()
+        return lambda texts: [len(token_ends(t or "", encoder)) for t in texts]
+
+    return over_texts(text, "long", pa.int64(), start)
+
+
 def _checked(vocabulary: Vocabulary | None, rule: str) -> Vocabulary:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
