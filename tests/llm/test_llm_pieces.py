@@ -1,0 +1,112 @@
+from __future__ import annotations
+
+import hashlib
+import random
+
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidewatch.llm import piece_codec as P
+
+LETTERS = "abcdehilnorstTHE  ▁\n\t0123.,éß日本語한글\x00‍😀မ<0x41>s/"
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return P.Model().codec()
+
+
+@pytest.fixture(scope="module")
+def library():
+    return sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+
+
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_all_documents_match_the_library(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    found = P.digests(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), digest(",".join(map(str, ids))))
+        assert r["decoded_sha256"] == digest(library.decode(ids))
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(LETTERS), st.characters(exclude_categories=["Cs"])), max_size=60))
+def test_any_text_matches_the_library(text):
+    codec = P.Model().codec()
+    library = _library()
+    ids = library.encode(text)
+    assert codec.encode(text) == ids
+    assert codec.decode(ids) == library.decode(ids)
+
+
+def _library(kept=[]):
+    if not kept:
+        kept.append(sentencepiece.SentencePieceProcessor(model_file=P.model_path()))
+    return kept[0]
+
+
+def test_pieces_in_a_row_and_runs_of_spaces_match_the_library(codec, library):
+    rng = random.Random(3)
+    pieces = [library.id_to_piece(i) for i in range(259, 32000)]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 8))).replace("▁", rng.choice([" ", "", "▁"]))
+        assert codec.encode(text) == library.encode(text)
+        text = "".join(rng.choice([" ", "  ", "▁", " " * 17, "the", "ing", "a", "\n"]) for _ in range(rng.randint(1, 9)))
+        assert codec.encode(text) == library.encode(text)
+
+
+def test_any_ids_decode_as_in_the_library(codec, library):
+    rng = random.Random(4)
+    kinds = [lambda: rng.randrange(32000), lambda: rng.randrange(3, 259), lambda: rng.choice([0, 1, 2, 29871])]
+    for _ in range(20_000):
+        ids = [rng.choice(kinds)() for _ in range(rng.randint(0, 8))]
+        assert codec.decode(ids) == library.decode(ids)
+
+
+def test_backtracking_gives_what_merging_gives(codec):
+    rng = random.Random(5)
+    alphabet = [c for c in codec.ids if len(c) == 1 and c.isascii() and c.isalpha()]
+    went_back = 0
+    for _ in range(3000):
+        part = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25)))
+        tokens = codec.tokens(part)
+        assert tokens == codec.merged(part)
+        greedy, at = [], 0
+        while at < len(part):
+            greedy.append(next(part[at:e] for e in range(len(part), at, -1) if part[at:e] in codec.ids))
+            at += len(greedy[-1])
+        went_back += greedy != tokens
+    assert went_back > 300  # the longest pieces alone would have been wrong
+
+
+def test_long_texts_are_whole(codec, library):
+    for text in ("a" * 50_000, " " * 50_000, "ab" * 30_000, "日" * 999 + "\n" * 5000, "x " * 20_000 + "é"):
+        assert codec.encode(text) == library.encode(text)
+
+
+def test_null_empty_repeated_rows_and_clashing_columns(frame):
+    rows = [(1, None, "x", 9), (2, "", "x", 9), (3, "to be", "x", 9), (3, "to be", "x", 9), (None, "to be", "x", 9)]
+    docs = frame(rows, "doc_id long, text string, ids string, decoded long")
+    found = sorted((str(r["doc_id"]), len(r["ids"]), r["decoded"]) for r in P.coded(docs).collect())
+    assert found == sorted([("1", 0, ""), ("2", 0, ""), ("3", 2, "to be"), ("3", 2, "to be"), ("None", 2, "to be")])
+    none = P.digests(docs.where("doc_id < 3")).first()
+    assert (none["n_tokens"], none["ids_sha256"], none["decoded_sha256"]) == (0, digest(""), digest(""))
+    assert P.digests(docs.where("doc_id > 9")).count() == 0
+    assert P.coded(docs.where("doc_id = 3")).select(P.decode(P.F.col("ids"))).first()[0] == "to be"
+
+
+def test_codec_keeps_its_memory_bounded(codec, monkeypatch):
+    monkeypatch.setattr(P, "REMEMBERED", 10)
+    monkeypatch.setattr(P, "PAIRS", 10)
+    text = " ".join(f"word{i}" for i in range(200))
+    assert codec.decode(codec.encode(text)) == text
+    assert len(codec.pairs) <= 10

@@ -14,9 +14,11 @@ from tidewatch.llm import (
     packing,
     paragraph_dedup,
     permutation_index,
+    piece_codec,
     projection_dedup,
     secret_scan,
     simhash,
+    source_divergence,
     token_counts,
 )
 
@@ -77,6 +79,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -88,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neighbours": op8_neighbours,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
+    "op11_pieces": op11_pieces,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -115,4 +127,5 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id
     """,
     "op5_licenses": license_scan.oracle(),
+    "op13_divergence": source_divergence.oracle(),
 }
