@@ -15,20 +15,21 @@ held whole, so memory follows the longest one. The model is read on the driver f
 from __future__ import annotations
 
 import codecs
+import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import over_texts
+from tidewatch.llm.shared import PORTION, over_texts
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: Parts of texts, and pairs of pieces, that a task remembers before it starts anew; parts up to this length.
-REMEMBERED, PAIRS, PART = 200_000, 1_000_000, 48
+#: Parts of texts (twice as many) and pairs of pieces that a process remembers at most; parts up to this length.
+REMEMBERED, PAIRS, PART = 80_000, 300_000, 40
 
 
 def model_path() -> str:
@@ -65,6 +66,8 @@ codecs.register_error("tidewatch-one-by-one", _one_by_one)
 class Codec:
     """Encodes and decodes single texts; made once in a process."""
 
+    never = math.inf
+
     def __init__(self, stored: bytes):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2
@@ -108,94 +111,147 @@ class Codec:
             self.ids[letter] = self._bytes(letter)
         known = "".join(map(re.escape, sorted(alphabet - {SPACE})))
         self.part = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]", re.DOTALL)
+        #: Tokens by number: as text, as ids, and the number of the next shorter one that it begins with, -1 for a letter.
+        self.tokens_of = list(self.ids)
+        self.token_ids = list(self.ids.values())
+        self.sizes = list(map(len, self.tokens_of))
+        number = {token: i for i, token in enumerate(self.tokens_of)}
+        beginnings = ([number.get(token[:n], -1) for n in range(len(token) - 1, 0, -1)] for token in self.tokens_of)
+        self.shorter = [next((i for i in shorter if i >= 0), -1) for shorter in beginnings]
         self.longest = ahocorasick.Automaton()
-        for token in self.ids:
-            self.longest.add_word(token[::-1], token)
+        for token, i in number.items():
+            self.longest.add_word(token[::-1], i)
         self.longest.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.parts: dict[str, list[int]] = {}
-        self.shorter: dict[str, str] = {}
+        self.former: dict[str, list[int]] = {}
 
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode("utf-8", "replace")]
 
+    def _best(self, parts: list[str]) -> tuple[float, int]:
+        """The best score of two neighbours, and where the leftmost with it begin; -1 if nothing merges."""
+        best, at, get = -self.never, -1, self.scores.get
+        for i in range(len(parts) - 1):
+            score = get(parts[i] + parts[i + 1])
+            if score is not None and (at < 0 or score > best):
+                best, at = score, i
+        return best, at
+
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by merging, as the vocabulary defines them."""
         parts = list(text)
         while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
+            _, at = self._best(parts)
             if at < 0:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def fits(self, before: str, token: str) -> bool:
-        """Whether merging leaves the two neighbours as they are; with nothing before, the token alone."""
-        known = self.pairs.get((before, token))
-        if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.merged(before + token) == ([before, token] if before else [token])
-            self.pairs[before, token] = known
-        return known
-
-    def _shorter(self, token: str) -> str:
-        """The next shorter token that this one begins with; there is one for each letter."""
-        found = self.shorter.get(token)
+    def _edges(self, token: str, right: bool) -> list[tuple[str, float]]:
+        """The symbols at one end of a token while it is merged, each with the lowest score merged until the next is there.
+
+        Empty for a token that merging doesn't give. Merges of lower scores wait, so that score is when the symbol goes.
+        """
+        kept = self.edges[right]
+        found = kept.get(token)
         if found is None:
-            found = next(token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids)
-            self.shorter[token] = found
+            parts, found, lowest = list(token), [], self.never
+            while True:
+                score, at = self._best(parts)
+                if at < 0:
+                    break
+                lowest = min(lowest, score)
+                if at == (len(parts) - 2 if right else 0):
+                    found.append((parts[-1 if right else 0], lowest))
+                    lowest = self.never
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            found = [*found, (token, -self.never)] if len(parts) == 1 else []
+            kept[token] = found
         return found
 
-    def tokens(self, part: str) -> list[str]:
-        """The tokens of a part that has letters of the alphabet only."""
+    def fits(self, before: str, token: str) -> bool:
+        """Whether merging leaves two neighbours as they are; with nothing before, the token alone.
+
+        Both tokens' own merges run again side by side, the better score first, the left one of equals. They stay apart
+        if at no time the symbols that meet would merge before either is merged away.
+        """
+        rights, lefts = self._edges(before, True) if before else [("", -self.never)], self._edges(token, False)
+        if not rights or not lefts:
+            return False
+        i = j = 0
+        while True:
+            (x, x_goes), (y, y_goes) = rights[i], lefts[j]
+            across = self.scores.get(x + y) if x else None
+            if across is not None and across > x_goes and across >= y_goes:
+                return False
+            if x_goes == y_goes == -self.never:
+                return True
+            if x_goes >= y_goes:
+                i += 1
+            else:
+                j += 1
+
+    def tokens(self, part: str) -> list[int]:
+        """The tokens, by number, of a part that has letters of the alphabet only."""
         size = len(part)
-        longest = [""] * size
-        for behind, token in self.longest.iter(part[::-1]):
-            at = size - 1 - behind
-            if len(token) > len(longest[at]):
-                longest[at] = token
+        longest, last = [], -1
+        for behind, token in self.longest.iter(part[::-1]):  # of each place, the longest token comes first
+            if behind != last:
+                longest.append(token)
+                last = behind
+        longest.reverse()
         failed = bytearray(size // 8 + 1)
-        taken: list[str] = []
-        at, token, before = 0, longest[0], ""
+        sizes, shorter, pairs, many = self.sizes, self.shorter, self.pairs, len(self.sizes)
+        taken: list[int] = []
+        at, token, before = 0, longest[0], -1
         while True:
-            end = at + len(token)
-            if not failed[end >> 3] >> (end & 7) & 1 and self.fits(before, token):
+            end = at + sizes[token]
+            fits = False
+            if not failed[end >> 3] >> (end & 7) & 1:
+                key = before * many + token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    names = self.tokens_of
+                    fits = pairs[key] = self.fits(names[before] if before >= 0 else "", names[token])
+            if fits:
                 taken.append(token)
                 if end == size:
                     return taken
                 at, before, token = end, token, longest[end]
-            elif len(token) > 1:
-                token = self._shorter(token)
+            elif shorter[token] >= 0:
+                token = shorter[token]
             else:  # nothing leads on from here: go back, where the token that came here is no longer taken
                 failed[at >> 3] |= 1 << (at & 7)
                 token = taken.pop()
-                at -= len(token)
-                before = taken[-1] if taken else ""
+                at -= sizes[token]
+                before = taken[-1] if taken else -1
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text, without begin or end; none for null or empty."""
         if not text:
             return []
         out: list[int] = []
-        parts = self.parts
         for part in self.part.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = parts.get(part)
-            if ids is None:
-                if part[-1] == SPACE or part[-1] in self.ids:
-                    ids = [i for token in self.tokens(part) for i in self.ids[token]]
-                else:
-                    ids = self._bytes(part)
-                if len(part) <= PART:
-                    if len(parts) >= REMEMBERED:
-                        parts.clear()
-                    parts[part] = ids
-            out += ids
+            out += self.parts.get(part) or self._part(part)
         return out
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of a part, which is remembered if it is short; what was used least lately is forgotten."""
+        ids = self.former.get(part)
+        if ids is None:
+            if part[-1] == SPACE or part[-1] in self.ids:
+                ids = [i for token in self.tokens(part) for i in self.token_ids[token]]
+            else:
+                ids = self._bytes(part)
+        if len(part) <= PART:
+            if len(self.parts) >= REMEMBERED:
+                self.former, self.parts = self.parts, {}
+            self.parts[part] = ids
+        return ids
+
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of token ids: the mark before a text goes, bytes that form no letter become U+FFFD one by one."""
         if ids is None:
@@ -242,8 +298,21 @@ def coded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table gives no rows.
     """
     model = model or Model()
-    ids = docs.select("doc_id", encode(F.col("text"), model).alias("ids"))
-    return ids.select("doc_id", "ids", decode(F.col("ids"), model).alias("decoded"))
+    kinds = [pa.list_(pa.int32()), pa.string()]
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = model.codec()
+        for batch in batches:
+            parts = []
+            for at in range(0, max(1, len(batch)), PORTION):
+                ids = [codec.encode(t) for t in batch.slice(at, PORTION).to_pylist()]
+                columns = [pa.array(ids, kinds[0]), pa.array([codec.decode(i) for i in ids], kinds[1])]
+                parts.append(pa.StructArray.from_arrays(columns, ["ids", "decoded"]))
+            yield pa.concat_arrays(parts)
+
+    rows = docs.select("doc_id", both.asNondeterministic()(F.col("text")).alias("code"))
+    return rows.select("doc_id", "code.ids", "code.decoded")
 
 
 def digests(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import (
+    collocations,
     language_id,
     license_scan,
     mixing,
@@ -83,6 +84,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
     "op11_pieces": op11_pieces,
+    "op12_collocations": op12_collocations,
     "op13_divergence": op13_divergence,
 }
 
@@ -127,5 +133,6 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = e.vec_id
     """,
     "op5_licenses": license_scan.oracle(),
+    "op12_collocations": collocations.oracle(),
     "op13_divergence": source_divergence.oracle(),
 }

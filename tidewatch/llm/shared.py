@@ -30,10 +30,10 @@ class Scratch:
             folder = f"file://{tempfile.mkdtemp(prefix='tidewatch-')}"
         self.base = f"{folder.rstrip('/')}/tidewatch-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """The rows of df, written once and read from the written table."""
+    def keep(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+        """The rows of df, written once and read from the written table; columns that part it come last in df."""
         path = f"{self.base}/{name}"
-        df.write.parquet(path)
+        df.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
