@@ -2,21 +2,24 @@
 
 The texts are written once in shards, and scanned shard after shard in a circle. Words are counted from the first shard on.
 A longer phrase is activated as soon as both its subphrases, without the last and without the first word, have reached the
-threshold in what is counted of them so far; it is then counted through one full circle, so that its count is exact, while
-shorter and longer ones are counted in the same scans. The scans end when nothing is active any more: mostly after little
-more than two circles, four at most.
+threshold in what is counted of them so far; it is then counted through one full circle, while shorter and longer ones are
+counted in the same scans. The scans end when nothing is active any more: mostly after little more than two circles, four
+at most.
 
 Which phrases have reached the threshold goes to the tasks as a filter of a fixed size, bits set by the phrases' hashes.
-Filters only gain bits, and a phrase is counted in a shard if the present filter has both its subphrases and the filter of
-one circle ago hadn't. So every phrase is counted in the shards of exactly one circle, also one that a filter lets through
-by chance: that costs time but no count is wrong, however full a filter is. Counting in a task is by numbers for words,
-exact, on the bytes of many texts at once; what leaves it is a row for each different phrase of a portion.
+Filters only gain bits, so a phrase that one lets through passes every later one. A phrase is active in a shard if the
+present filter has all its subphrases and the filter of one circle ago hadn't: the shards of exactly one circle, whether it
+passes rightly or by chance. While they are active, phrases are counted by their hashes. Two with the same hash are counted
+as one, so a count may be too high, never too low. The phrases of the hashes that reach the threshold are then spelled and
+counted in one last scan, which is exact; however full a filter is, that costs time but no count is wrong.
+
+Work in a task is on the bytes of many texts at once, by numbers for words; what leaves it is a row for each different
+phrase of a portion.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Scratch
+from tidewatch.llm.shared import Scratch, shuffles_released
 from tidewatch.llm.source_divergence import portions, text_bytes
 
 #: Occurrences that make a phrase a candidate, words of the longest, phrases reported for each language.
 THRESHOLD, LONGEST, TOP = 30, 4, 2000
-#: Shards of a circle.
-SHARDS = 4
+#: Shards of a circle. More let long phrases begin sooner, but sums are made anew after each.
+SHARDS = 2
 #: Bits of a filter, a power of two. Full filters cost time, not rows; 2^25 keep apart some five million phrases.
 FILTER_BITS = 1 << 25
 #: Score of a phrase whose words come only together; a longer candidate with this share in percent covers a shorter one.
@@ -49,7 +52,8 @@ KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-OBSERVED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+COUNTED = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("since", pa.int32()), ("n", pa.int64())])
+SPELLED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -117,79 +121,103 @@ class Words:
         self.lang = lang[row].astype(np.int64)
 
 
-def _ids(before: np.ndarray, after: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of the different pairs: both parts of each, how often it comes, and which pair stands at each place."""
-    different, which, n = np.unique(before * many + after, return_inverse=True, return_counts=True)
-    return different // many, different % many, n, which
-
-
-def observed(texts: pa.Array, lang: np.ndarray, names: list[str], words_too: bool, now: Filter, ago: Filter | None) -> Iterator[pa.RecordBatch]:
-    """Counts of the words, if asked for, and of the phrases that are active: lang, phrase, k, h, n."""
-    seen = Words(texts, lang)
-    size, many = len(seen.word), max(1, len(seen.dictionary))
-    if not size:
-        return
+def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length k: where phrases begin whose subphrases the first filter has, their hashes, and how many of the
+    other filters, older and older ones, have them too. The words come first, as if all filters had what they are made of.
+    """
     hashes = _hashes(seen.dictionary)
     seeds = _hashes(pa.array([n.encode() for n in names], pa.binary()))
-    h = _joined(seeds[seen.lang], hashes[seen.word])  # of the phrase of k words from each place on
-    if words_too:
-        of, word, n, which = _ids(seen.lang, seen.word, many)
-        at = np.zeros(len(of), dtype=np.int64)
-        at[which] = np.arange(size)
-        yield _rows(of, names, seen.dictionary.take(pa.array(word)), 1, h[at], n)
-    place = np.arange(size)  # where the phrases of k - 1 words begin that are counted or were
-    reached, former = now.has(h), ago.has(h) if ago else np.zeros(size, dtype=bool)
-    for k in range(2, LONGEST + 1):
-        if k == 2:
-            begins = np.flatnonzero(seen.together)
-        else:
-            begins = np.flatnonzero(np.diff(place) == 1)
-        begins = begins[reached[begins] & reached[begins + 1]]
+    place = np.arange(len(seen.word))
+    h = _joined(seeds[seen.lang], hashes[seen.word])
+    had = [np.ones(len(place), dtype=bool) for _ in filters]
+    for k in range(1, LONGEST + 1):
+        yield k, place, h, np.sum(had[1:], axis=0, dtype=np.int32) if len(had) > 1 else np.zeros(len(place), dtype=np.int32)
+        has = [over & f.has(h) for over, f in zip(had, filters, strict=True)]
+        begins = np.flatnonzero(seen.together if k == 1 else np.diff(place) == 1)
+        begins = begins[has[0][begins] & has[0][begins + 1]]
         if not len(begins):
             return
-        over = former[begins] & former[begins + 1]
-        h = _joined(h[begins], hashes[seen.word[place[begins] + k - 1]])
+        h = _joined(h[begins], hashes[seen.word[place[begins] + k]])
         place = place[begins]
-        active = np.flatnonzero(~over)
+        had = [x[begins] & x[begins + 1] for x in has]
+
+
+def counted(seen: Words, names: list[str], filters: list[Filter], step: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Counts of what is active in a step: h, k, since, n, with the step since when."""
+    for k, place, h, age in passing(seen, names, filters):
+        if k == 1:
+            age = np.full(len(place), step, dtype=np.int32)
+        active = np.flatnonzero(age < shards)
         if len(active):
-            yield _phrases(seen, names, place[active], k, h[active], many)
-        reached, former = now.has(h), over & ago.has(h) if ago else over
+            different, one, n = np.unique(h[active], return_index=True, return_counts=True)
+            columns = [different.view(np.int64), np.full(len(n), k, dtype=np.int32), step - age[active][one], n]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
+
+
+def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases that a filter has: lang, phrase, k, n."""
+    many = max(1, len(seen.dictionary))
+    for k, place, h, _ in passing(seen, names, [frequent]):
+        place = place[frequent.has(h)]
+        if not len(place):
+            continue
+        which = seen.lang[place]
+        columns: list[np.ndarray] = []
+        for i in range(k):
+            different, which, n = np.unique(which * many + seen.word[place + i], return_inverse=True, return_counts=True)
+            before, word = different // many, different % many
+            columns = [c[before] for c in columns] + [word] if i else [before, word]
+        words = [seen.dictionary.take(pa.array(c)) for c in columns[1:]]
+        phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, b" ")
+        langs = pa.array(names, pa.string()).take(pa.array(columns[0]))
+        length = pa.array(np.full(len(n), k, dtype=np.int32))
+        yield pa.record_batch([langs, phrase.cast(pa.string()), length, pa.array(n, pa.int64())], schema=SPELLED)
+
+
+def _each(batches: Iterator[pa.RecordBatch], of_words) -> Iterator[pa.RecordBatch]:
+    """What a function of the words, and of their languages' names, makes of each portion of rows (lang, text)."""
+    for batch in batches:
+        lang, text = batch.column("lang").dictionary_encode(), batch.column("text")
+        number, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
+        _, rows = text_bytes(text)
+        for a, b in portions(rows, PORTION):
+            seen = Words(text.slice(a, b - a), number[a:b])
+            if len(seen.word):
+                yield from of_words(seen, names)
+
+
+def _scan(shard: DataFrame, step: int, shards: int, filters: list) -> DataFrame:
+    """Counts of what is active, of a shard of rows (lang, text); the broadcast filters are newest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [Filter(f.value) for f in filters]
+        yield from _each(batches, lambda seen, names: counted(seen, names, known, step, shards))
+
+    return shard.mapInArrow(run, "h long, k int, since int, n long")
+
 
+def _spell(texts: DataFrame, frequent) -> DataFrame:
+    """lang, phrase, k, f of the phrases in a broadcast filter, if they reach the threshold."""
 
-def _phrases(seen: Words, names: list[str], place: np.ndarray, k: int, h: np.ndarray, many: int) -> pa.RecordBatch:
-    """One row for each different phrase of k words from the places on."""
-    which = seen.lang[place]
-    columns: list[np.ndarray] = []
-    for i in range(k):
-        before, word, n, inverse = _ids(which, seen.word[place + i], many)
-        columns = [c[before] for c in columns] + [word] if i else [before, word]
-        which = inverse
-    at = np.zeros(len(n), dtype=np.int64)
-    at[which] = np.arange(len(place))
-    words = [seen.dictionary.take(pa.array(c)) for c in columns[1:]]
-    return _rows(columns[0], names, pc.binary_join_element_wise(*words, b" "), k, h[at], n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(frequent.value)
+        yield from _each(batches, lambda seen, names: spelled(seen, names, known))
 
+    found = texts.mapInArrow(run, "lang string, phrase string, k int, n long")
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= THRESHOLD)
 
-def _rows(of: np.ndarray, names: list[str], phrase: pa.Array, k: int, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    langs = pa.array(names, pa.string()).take(pa.array(of))
-    whole = pa.array(np.full(len(n), k, dtype=np.int32))
-    return pa.record_batch([langs, phrase.cast(pa.string()), whole, pa.array(h.view(np.int64)), pa.array(n)], schema=OBSERVED)
 
+def _totals(texts: DataFrame) -> DataFrame:
+    """lang, n: all words of each language."""
 
-def _scan(shard: DataFrame, words_too: bool, now, ago) -> DataFrame:
-    """Counts of what is active, of a shard of rows (lang, text); the filters are broadcast."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def words(seen: Words, names: list[str]) -> Iterator[pa.RecordBatch]:
+            n = np.bincount(seen.lang, minlength=len(names))
+            yield pa.record_batch([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["lang", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present, former = Filter(now.value), Filter(ago.value) if ago is not None else None
-        for batch in batches:
-            lang, text = batch.column("lang").dictionary_encode(), batch.column("text")
-            number = lang.indices.to_numpy(zero_copy_only=False)
-            _, rows = text_bytes(text)
-            for a, b in portions(rows, PORTION):
-                yield from observed(text.slice(a, b - a), number[a:b], lang.dictionary.to_pylist(), words_too, present, former)
+        yield from _each(batches, words)
 
-    found = shard.mapInArrow(count, "lang string, phrase string, k int, h long, n long")
-    return found.groupBy("lang", "phrase", "k", "h").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def _with_bits(bits: np.ndarray, reached: DataFrame) -> np.ndarray:
@@ -216,39 +244,29 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, bits:
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
     texts = scratch.keep(rows, "shards", "shard")
-    filters = [np.zeros(bits // 8, dtype=np.uint8)]
+    none = np.zeros(bits // 8, dtype=np.uint8)
+    filters, frequent = [none], none  # newest first, one circle of them and one more
     active: DataFrame | None = None
-    complete, totals, step = [], [], 0
-    while step < shards or not np.array_equal(filters[step], filters[step - shards]):
+    step = 0
+    while step < shards or not np.array_equal(filters[0], filters[-1]):
         shard = texts.where(F.col("shard") == step % shards).select("lang", "text")
-        now = spark.sparkContext.broadcast(filters[step])
-        ago = spark.sparkContext.broadcast(filters[step - shards]) if step >= shards else None
-        found = _scan(shard, step < shards, now, ago).withColumn("since", F.lit(step))
-        if active is not None:
-            found = (
-                active.unionByName(found)
-                .groupBy("lang", "phrase", "k", "h")
-                .agg(F.sum("n").alias("n"), F.min("since").alias("since"))
-            )
-        # What has been counted for a circle is complete; a phrase first met later in its circle stays on a little longer.
-        counts = scratch.keep(found, f"counts-{step}")
-        over = F.when(F.col("k") == 1, F.lit(step >= shards - 1)).otherwise(F.col("since") <= step - shards + 1)
-        frequent = F.col("n") >= THRESHOLD
-        complete.append(counts.where(over & frequent))
-        if step == shards - 1:
-            totals.append(counts.where("k = 1").groupBy("lang").agg(F.sum("n").alias("n")))
-        active = counts.where(~over)
-        filters.append(_with_bits(filters[step], counts.where(frequent & (F.col("k") < LONGEST))))
-        if step >= shards:
-            filters[step - shards] = filters[step - shards][:0]  # no longer needed
-        now.unpersist()
-        if ago is not None:
-            ago.unpersist()
+        sent = [spark.sparkContext.broadcast(f) for f in filters]
+        found = _scan(shard, step, shards, sent)
+        found = found if active is None else found.unionAll(active)
+        counts = scratch.keep(found.groupBy("h", "k", "since").agg(F.sum("n").alias("n")), f"counts-{step}")
+        for f in sent:
+            f.unpersist()
+        if step:
+            scratch.drop(f"counts-{step - 1}")
+        # What has been counted for a circle is complete; the rest goes on.
+        reached, complete = F.col("n") >= THRESHOLD, F.col("since") <= step - shards + 1
+        frequent = _with_bits(frequent, counts.where(reached & complete))
+        filters = [_with_bits(filters[0], counts.where(reached & (F.col("k") < LONGEST))), *filters[:shards]]
+        active = counts.where(~complete)
         step += 1
-    if active is not None:
-        complete.append(active.where(F.col("n") >= THRESHOLD))
-    phrases = reduce(DataFrame.unionByName, complete).select("lang", "phrase", "k", F.col("n").alias("f"))
-    return scratch.keep(phrases, "phrases"), totals[0]
+    whole = texts.select("lang", "text")
+    phrases = scratch.keep(_spell(whole, spark.sparkContext.broadcast(frequent)), "phrases")
+    return phrases, _totals(whole)
 
 
 def _cut(k: str, first: bool) -> F.Column:
@@ -297,7 +315,8 @@ def collocations(docs: DataFrame, shards: int = SHARDS, bits: int = FILTER_BITS)
     counted whole, however long. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    phrases, words = phrase_counts(docs, scratch, shards, bits)
+    with shuffles_released(docs.sparkSession):
+        phrases, words = phrase_counts(docs, scratch, shards, bits)
     found = scratch.keep(uncovered(scored(phrases)), "scored")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
