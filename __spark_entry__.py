@@ -15,7 +15,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from oracle.statements import STATEMENTS, statement  # noqa: E402
 from tidewatch.functions import exprs as X  # noqa: E402
-from tidewatch.operators import checks, context, detect, fuse, marts, profile, prompts, select  # noqa: E402
+from tidewatch.operators import checks, context, detect, fuse, marts, partials, profile, prompts, select  # noqa: E402
+from tidewatch.operators import sketches, state_space  # noqa: E402
 from tidewatch.operators import series as series_ops  # noqa: E402
 from tidewatch.plans.pipeline import Pipeline  # noqa: E402
 from tidewatch.sources.catalog import sample_scan  # noqa: E402
@@ -88,6 +89,38 @@ def _trend_stored_model(p: Pipeline) -> DataFrame:
     return _rounded_scores(detect.score_with_model(p.series.where(~F.col("is_train")), p.model, TREND))
 
 
+STATE = replace(S.detector, method="state")
+
+
+def _state(p: Pipeline) -> DataFrame:
+    return _rounded_scores(state_space.score(p.series, STATE))
+
+
+def _state_stored_model(p: Pipeline) -> DataFrame:
+    """Scores from a model that was fitted with the first months and advanced by the others."""
+    train = p.series.where(F.col("is_train"))
+    first = F.col("ts") < dt.date(1997, 1, 1)
+    model = state_space.advance(state_space.fit(train.where(first), STATE), train.where(~first), STATE)
+    return _rounded_scores(state_space.score_with_model(p.series.where(~F.col("is_train")), model, STATE))
+
+
+def _sketched_model(p: Pipeline) -> DataFrame:
+    """Scores from sketches of two parts of the history, merged; histories of this length are exact in them."""
+    train = p.series.where(F.col("is_train"))
+    first = F.col("ts") < dt.date(1997, 1, 1)
+    parts = sketches.fit_history(train.where(first)).unionAll(sketches.fit_history(train.where(~first)))
+    detect_rows = p.series.where(~F.col("is_train"))
+    return _rounded_scores(sketches.score_with_history(detect_rows, sketches.merged_history(parts), S.detector))
+
+
+def _telecom_from_partials(p: Pipeline) -> DataFrame:
+    """The telecom mart from partial rows of odd and even months that were made apart and merged."""
+    telecom = p.sources["telecom"]
+    odd = F.month("ts") % 2 == 1
+    parts = [partials.telecom_partials(telecom.where(c), S.source) for c in (odd, ~odd)]
+    return partials.telecom_trend_of(parts[0].unionAll(parts[1]))
+
+
 def _rounded_scores(scores: DataFrame) -> DataFrame:
     return scores.select(
         "signal",
@@ -177,6 +210,9 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "anomaly_stored_model": _stored_model,
     "anomaly_trend": _trend,
     "anomaly_trend_stored_model": _trend_stored_model,
+    "anomaly_state": _state,
+    "anomaly_state_stored_model": _state_stored_model,
+    "anomaly_sketched_model": _sketched_model,
     # fusion
     "series_key_parts": _series_key_parts,
     "price_rollup": lambda p: fuse.price_rollup(p.scores_of("price"), S),
@@ -229,6 +265,8 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "sgg_summary_by_flags": lambda p: marts.sgg_summary(p.alerts, by_flags=True),
     "telecom_trend_profile": lambda p: marts.telecom_trend_profile(p.telecom_trend),
     "telecom_trend": lambda p: p.telecom_trend,
+    "telecom_trend_by_parts": _telecom_from_partials,
+    "sgg_summary_by_parts": lambda p: partials.sgg_summary_of(partials.alert_partials(p.alerts)),
     "alert_type_counts": lambda p: marts.alert_type_counts(p.alerts),
     "alerts_mart": lambda p: marts.alerts_mart(p.marketing_alerts),
     "alerts_filtered": lambda p: marts.alerts_filtered(p.alert_scores, alert_type="4중 동시 경보", score_min=0.6),
@@ -251,6 +289,7 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     "telecom_lookup": lambda p: marts.telecom_lookup(p.telecom_trend, "NATION_7"),
     # checks
     "table_profile": lambda p: checks.table_profile(p.series),
+    "table_profile_sketched": lambda p: sketches.profile_of(sketches.profile_sketches(p.series)),
     "score_validation": lambda p: checks.score_validation(p.scores),
     "expectations": lambda p: p.expectations,
     "score_range": lambda p: checks.score_range(p.alerts),

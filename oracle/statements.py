@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, half_up, mean, month
+from oracle.views import ALERT_COLUMNS, CTES, LATE, OUT, RECURSIVE, half_up, mean, month
 from tidewatch.functions import fixed_values as fv
 
 SCORE_COLUMNS = ("signal", "series", "sgg", "emd", "ts", "y", "forecast", "percentile", "is_anomaly")
@@ -83,6 +83,15 @@ STATEMENTS: dict[str, str] = {
     "anomaly_trend_stored_model": f"""
         SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
         FROM trend_scores""",
+    "anomaly_state": f"""
+        SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
+        FROM state_scores""",
+    "anomaly_state_stored_model": f"""
+        SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
+        FROM state_scores""",
+    "anomaly_sketched_model": f"""
+        SELECT signal, series, ts, y, {half_up("forecast", 4)} AS forecast, {half_up("percentile", 6)} AS percentile
+        FROM scores""",
     # fusion
     "series_key_parts": """
         SELECT signal, series, split_part(series, '|', 1) AS sgg, split_part(series, '|', 2) AS emd, ts, y, forecast,
@@ -306,11 +315,11 @@ STATEMENTS: dict[str, str] = {
 }
 
 
-def _needed(sql: str, found: list[str]) -> list[str]:
+def _needed(sql: str, found: list[str], of: str | None = None) -> list[str]:
     """Names of the common table expressions a statement needs, dependencies first."""
     for name in CTES:
-        if name not in found and re.search(rf"\b(FROM|JOIN) {name}\b", sql):
-            _needed(CTES[name], found)
+        if name != of and name not in found and re.search(rf"\b(FROM|JOIN) {name}\b", sql):
+            _needed(CTES[name], found, name)
             if name not in found:
                 found.append(name)
     return found
@@ -320,4 +329,11 @@ def statement(key: str) -> str:
     main = STATEMENTS[key]
     ctes = _needed(main, [])
     head = ",\n".join(f"{name} AS ({CTES[name].strip()})" for name in ctes)
-    return (f"WITH {head}\n" if head else "") + main.strip()
+    kind = "WITH RECURSIVE" if RECURSIVE.intersection(ctes) else "WITH"
+    return (f"{kind} {head}\n" if head else "") + main.strip()
+
+
+# The same results by another way.
+STATEMENTS["telecom_trend_by_parts"] = STATEMENTS["telecom_trend"]
+STATEMENTS["sgg_summary_by_parts"] = STATEMENTS["sgg_summary"]
+STATEMENTS["table_profile_sketched"] = STATEMENTS["table_profile"]

@@ -1,0 +1,66 @@
+"""A global order without a single task: numbers, ties, nulls, skew and plan."""
+
+from __future__ import annotations
+
+import random
+
+import pytest
+from conftest import SF
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewatch.operators import context, ranking
+from tidewatch.sources.star import STAR_SETTINGS, StarSources
+
+ROWS = "v bigint, a string, b string"
+ORDER = [("v", True), ("a", False), ("b", False)]
+
+
+def plain(df, order=ORDER):
+    columns = [F.col(c).desc_nulls_last() if d else F.col(c).asc_nulls_last() for c, d in order]
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*columns)).cast("bigint"))
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("ranges, sampled", [(64, 64), (2, 1), (5, 3)])
+def test_numbers_are_those_of_one_window(frame, ranges, sampled):
+    rng = random.Random(ranges)
+    rows = {(rng.choice([None, 1, 1, 1, 7, 9, 10**17, -3]), rng.choice(["x", "y", None, "é"]), str(i)) for i in range(3000)}
+    df = frame(sorted(rows, key=str), ROWS).repartition(7)
+    found = ranking.numbered(df, ORDER, "place", ranges, sampled)
+    assert found.columns == ["v", "a", "b", "place"]
+    assert rows_of(found) == rows_of(plain(df))
+
+
+def test_equal_rows_share_a_range_and_all_get_a_number(frame):
+    rows = [(1, "a", "b")] * 700 + [(2, "a", "b")] * 50
+    found = ranking.numbered(frame(rows, ROWS), ORDER, "place").collect()
+    assert sorted(r["place"] for r in found) == list(range(1, 751))
+    assert max(r["place"] for r in found if r["v"] == 2) == 50
+
+
+def test_empty_one_row_and_clashing_names(frame):
+    assert ranking.numbered(frame([], ROWS), ORDER, "place").count() == 0
+    assert [tuple(r) for r in ranking.numbered(frame([(1, "a", None)], ROWS), ORDER, "place").collect()] == [(1, "a", None, 1)]
+    with pytest.raises(ValueError, match="column A"):
+        ranking.numbered(frame([], ROWS), ORDER, "A")
+    with pytest.raises(ValueError, match="two ranges"):
+        ranking.numbered(frame([], ROWS), ORDER, "place", ranges=1)
+
+
+def test_ranges_hold_about_equal_shares(frame):
+    df = frame([(i % 5, str(i % 40), str(i)) for i in range(20_000)], ROWS)
+    counts = [r["n"] for r in ranking.range_sizes(df, ORDER, ranges=16).collect()]
+    assert sum(counts) == 20_000 and len(counts) == 16 and max(counts) < 3 * 20_000 / 16
+
+
+def test_the_product_rank_needs_no_single_task(spark):
+    trend = context.rental_trend(StarSources(spark, SF)["rental"], STAR_SETTINGS.context)
+    rank = [("total_open", True), ("rental_main_category", False), ("rental_sub_category", False)]
+    assert rows_of(trend) == rows_of(plain(trend.drop("rank_num"), rank).withColumnRenamed("place", "rank_num"))
+    plan = trend._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and all("__range" in line for line in windows)

@@ -1,0 +1,102 @@
+"""Replies that fail: sent again with growing pauses, kept as dead letters, asked once more by the next run."""
+
+from __future__ import annotations
+
+import hashlib
+import time
+from dataclasses import replace
+
+import pytest
+from conftest import SF
+
+from tidewatch.operators import completion
+from tidewatch.plans.pipeline import Pipeline
+from tidewatch.plans.store import PathStore
+from tidewatch.plans.versions import VersionedStore
+from tidewatch.sources.star import STAR_SETTINGS, StarSources
+
+KEEPING = replace(STAR_SETTINGS, keep_failures=True, request_attempts=3, request_backoff_seconds=0.01)
+
+
+def client_that(folder, fails):
+    """A client that writes a line for each request, and what was asked how often; fails says by prompt and try."""
+    folder.mkdir()
+    place = str(folder)
+
+    def client(messages, options):
+        text = messages[-1]["content"]
+        name = f"{place}/{hashlib.sha256(text.encode()).hexdigest()}"
+        with open(name, "a") as f:
+            f.write("x")
+        with open(name) as f:
+            tries = len(f.read())
+        if fails(text, tries):
+            raise TimeoutError("no answer in time")
+        return '{"choices": [{"messages": "a text"}]}'
+
+    return client, lambda: sorted(len(p.read_text()) for p in folder.iterdir())
+
+
+@pytest.fixture(scope="module")
+def picked(spark):
+    """Region line of one draft of a full run, and how many drafts there are."""
+    drafts = Pipeline(StarSources(spark, SF), STAR_SETTINGS).drafts.select("sgg").collect()
+    return f"[지역] {drafts[0][0]} (", len(drafts)
+
+
+def test_one_failing_draft_leaves_the_others_and_one_dead_letter(spark, tmp_path, picked):
+    line, n = picked
+    store = PathStore(spark, str(tmp_path / "store"))
+    client, asked = client_that(tmp_path / "asked", lambda text, tries: line in text)
+    first = Pipeline(StarSources(spark, SF), KEEPING, store, client)
+    rows = first.marketing_alerts.collect()
+    assert len(rows) == n and sum(r.marketing_copy is None for r in rows) == 1
+    assert store.read("responses").count() == n - 1
+    (letter,) = first.dead_letters.collect()
+    assert letter.attempts == 3 and letter.waves == 1 and letter.failure == "TimeoutError: no answer in time"
+    assert asked() == [1] * (n - 1) + [3]
+
+    well, asked_again = client_that(tmp_path / "again", lambda text, tries: False)
+    second = Pipeline(StarSources(spark, SF), KEEPING, store, well)
+    assert all(r.marketing_copy == "a text" for r in second.marketing_alerts.collect())
+    assert asked_again() == [1] and second.dead_letters.count() == 0
+    third = Pipeline(StarSources(spark, SF), KEEPING, store, well)
+    assert third.marketing_alerts.count() == n and asked_again() == [1]
+
+
+def test_a_request_that_fails_at_first_is_sent_again(spark, tmp_path, picked):
+    client, asked = client_that(tmp_path / "asked", lambda text, tries: tries < 3)
+    pipeline = Pipeline(StarSources(spark, SF), KEEPING, PathStore(spark, str(tmp_path / "store")), client)
+    assert all(r.marketing_copy == "a text" for r in pipeline.marketing_alerts.collect())
+    assert set(asked()) == {3} and pipeline.dead_letters.count() == 0
+
+
+def test_pauses_grow(spark, tmp_path, monkeypatch):
+    waited = []
+    monkeypatch.setattr(time, "sleep", waited.append)
+    asked = spark.createDataFrame([("k", "[]", 0.9)], "region_key string, messages string, temperature double")
+    asked = asked.selectExpr("region_key", "date '2024-01-01' as alert_date", "messages", "temperature")
+
+    def down(messages, options):
+        raise OSError(",".join(map(str, waited)))
+
+    kept = completion.complete(asked, down, 1, attempts=4, backoff_seconds=0.02, keep_failures=True)
+    started = time.perf_counter()
+    (row,) = kept.collect()
+    assert row.response is None and row.attempts == 4 and time.perf_counter() - started > 0.02 * (1 + 2 + 4)
+    with pytest.raises(ValueError, match="at least once"):
+        completion.complete(asked, down, attempts=0)
+    with pytest.raises(Exception, match="OSError"):
+        completion.complete(asked, down, 1, attempts=2, backoff_seconds=0.01).collect()
+
+
+def test_replies_of_an_unpublished_run_are_not_asked_for_again(spark, tmp_path, picked):
+    line, n = picked
+    store = VersionedStore(spark, str(tmp_path / "set"))
+    client, asked = client_that(tmp_path / "asked", lambda text, tries: False)
+    with pytest.raises(RuntimeError, match="stops here"), store.run() as run:
+        assert Pipeline(StarSources(spark, SF), KEEPING, run, client).marketing_alerts.count() == n
+        raise RuntimeError("stops here")
+    with store.run() as run:
+        assert Pipeline(StarSources(spark, SF), KEEPING, run, client).marketing_alerts.count() == n
+    assert asked() == [1] * n and store.snapshot().read("marketing_alerts").count() == n

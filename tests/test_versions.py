@@ -1,0 +1,269 @@
+"""Versions of a set of tables: published whole or not at all, kept in parts, read while a run writes."""
+
+from __future__ import annotations
+
+import datetime as dt
+import threading
+
+import pytest
+from compare import connect, differences
+from conftest import SF, SF_SMALL
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry_module
+from tidewatch.operators import marts
+from tidewatch.plans.pipeline import Pipeline, publish
+from tidewatch.plans.refresh import month_rows, refresh_months
+from tidewatch.plans.versions import Conflict, VersionedStore
+from tidewatch.sources.star import STAR_SETTINGS, StarSources
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return VersionedStore(spark, str(tmp_path / "set"), keep=2)
+
+
+def numbers(spark, n, tag):
+    return spark.range(n).withColumn("tag", F.lit(tag))
+
+
+def test_nothing_is_published_before_the_commit(spark, store):
+    run = store.begin()
+    run.write("a", numbers(spark, 3, "one"))
+    assert store.version() is None
+    with pytest.raises(LookupError, match="no version"):
+        store.snapshot()
+    assert run.commit() == 1
+    assert rows_of(store.snapshot().read("a")) == [(i, "one") for i in range(3)]
+
+
+def test_a_run_that_fails_half_way_leaves_the_former_set(spark, store):
+    with store.run() as run:
+        run.write("a", numbers(spark, 3, "one"))
+        run.write("b", numbers(spark, 2, "one"))
+    broken = numbers(spark, 4, "two").withColumn("x", F.raise_error(F.lit("the write fails")))
+    with pytest.raises(Exception, match="the write fails"), store.run() as run:
+        run.write("a", numbers(spark, 5, "two"))
+        assert run.read("a").count() == 5 and store.snapshot().read("a").count() == 3
+        run.write("b", broken)
+    now = store.snapshot()
+    assert now.number == 1
+    assert {t for name in ("a", "b") for _, t in rows_of(now.read(name))} == {"one"}
+    assert now.read("a").count() == 3 and now.read("b").count() == 2
+    assert store.vacuum(abandoned_after_hours=-1) == []  # the failed run has deleted its folders
+
+
+def test_a_killed_run_is_not_seen_and_its_folders_go_later(spark, store):
+    with store.run() as run:
+        run.write("a", numbers(spark, 3, "one"))
+    killed = store.begin()
+    killed.write("a", numbers(spark, 9, "killed"))  # and then nothing more happens
+    assert store.snapshot().read("a").count() == 3
+    assert store.vacuum() == []
+    assert store.vacuum(abandoned_after_hours=-1) == [f"a/{killed.id}"]
+    assert store.snapshot().read("a").count() == 3
+
+
+def test_a_record_that_was_not_finished_counts_as_not_published(spark, store):
+    with store.run() as run:
+        run.write("a", numbers(spark, 3, "one"))
+    assert store.files.create(store._record(2), '{"version": 2, "tab')
+    assert store.snapshot().number == 1
+    with store.run() as run:
+        run.write("a", numbers(spark, 4, "three"))
+    assert store.snapshot().number == 3 and store.snapshot().read("a").count() == 4
+
+
+def test_a_reader_never_mixes_two_runs(spark, store):
+    """A snapshot taken at any time has the same tag in all tables, also while runs publish."""
+    with store.run() as run:
+        for name in ("a", "b"):
+            run.write(name, numbers(spark, 2, "0"))
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            snapshot = store.snapshot()
+            seen.append(frozenset(t for name in ("a", "b") for _, t in rows_of(snapshot.read(name))))
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for i in range(1, 5):
+        with store.run() as run:
+            for name in ("a", "b"):
+                run.write(name, numbers(spark, 2, str(i)))
+    stop.set()
+    reader.join()
+    assert seen and all(len(tags) == 1 for tags in seen)
+
+
+def test_an_open_snapshot_stays_as_it_was(spark, store):
+    with store.run() as run:
+        run.write("a", numbers(spark, 3, "one"))
+    before = store.snapshot()
+    with store.run() as run:
+        run.write("a", numbers(spark, 7, "two"))
+    assert (before.read("a").count(), store.snapshot().read("a").count()) == (3, 7)
+    assert store.snapshot(1).read("a").count() == 3
+    with pytest.raises(LookupError, match="snapshot can't be written"):
+        before.write("a", numbers(spark, 1, "x"))
+
+
+def test_of_two_runs_at_the_same_time_one_is_published(spark, store):
+    first, second = store.begin(), store.begin()
+    first.write("a", numbers(spark, 1, "first"))
+    second.write("a", numbers(spark, 2, "second"))
+    first.commit()
+    with pytest.raises(Conflict):
+        second.commit()
+    second.abandon()
+    assert rows_of(store.snapshot().read("a")) == [(0, "first")]
+
+
+def test_old_versions_are_kept_by_count(spark, store):
+    for i in range(1, 5):
+        with store.run() as run:
+            run.write("a", numbers(spark, i, "a"))
+            if i == 1:
+                run.write("b", numbers(spark, 1, "b"))
+    assert store.numbers() == [1, 2, 3, 4]
+    assert len(store.vacuum()) == 2  # the first two of a; b is still that of the first run
+    assert store.numbers() == [3, 4]
+    assert store.snapshot(3).read("a").count() == 3 and store.snapshot().read("b").count() == 1
+    with pytest.raises(ValueError, match="at least one"):
+        VersionedStore(spark, "x", keep=0)
+
+
+def test_a_table_may_be_read_and_written_in_one_run(spark, store):
+    with store.run() as run:
+        run.write("a", numbers(spark, 3, "one"))
+    with store.run() as run:
+        run.write("a", run.read("a").unionAll(numbers(spark, 2, "two")))
+        run.write("a", run.read("a").where("tag = 'two'"))
+    assert rows_of(store.snapshot().read("a")) == [(0, "two"), (1, "two")]
+
+
+def test_parts_are_replaced_alone(spark, store):
+    rows = [(1, "2024-01-01"), (2, "2024-01-01"), (3, "2024-02-01"), (4, None)]
+    make = lambda rows: spark.createDataFrame(rows, "v int, month string").withColumn("month", F.col("month").cast("date"))
+    with store.run() as run:
+        found = run.replace_parts("p", make(rows), "month")
+        assert dict(found.dtypes)["month"] == "date" and found.count() == 4
+    first = store.snapshot()
+    with store.run() as run:
+        run.replace_parts("p", make([(9, "2024-02-01"), (8, "2024-03-01")]), "month")
+        run.replace_parts("p", make([]), "month")
+    now = store.snapshot()
+    assert sorted(r["v"] for r in now.read("p").collect()) == [1, 2, 4, 8, 9]
+    assert sorted(r["v"] for r in first.read("p").collect()) == [1, 2, 3, 4]
+    assert [r["v"] for r in now.read_parts("p", ["2024-02-01"]).collect()] == [9]
+    assert now.read_parts("p", ["1999-01-01"]) is None
+    old, new = first.parts("p"), now.parts("p")
+    assert old["2024-01-01"] == new["2024-01-01"] and old["2024-02-01"] != new["2024-02-01"]
+    with store.run() as run, pytest.raises(ValueError, match="not kept in parts"):
+        run.write("whole", numbers(spark, 1, "x"))
+        run.replace_parts("whole", make(rows), "month")
+
+
+def test_the_whole_pipeline_is_published_and_read_at_one_version(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "set"))
+    assert publish(StarSources(spark, SF), STAR_SETTINGS, store) == 1
+    con = connect(SF)
+    reader = Pipeline({}, STAR_SETTINGS, store.snapshot(), reuse=True)
+    for name in ("region_alerts", "sgg_summary", "telecom_trend", "rental_trend", "alert_kpis", "copy_preview", "signal_lookup"):
+        assert differences(entry_module.QUERIES[name](reader), con, entry_module.oracle_sql()[name]) is None, name
+
+    class Broken(StarSources):
+        def __missing__(self, name):
+            if name == "telecom":
+                raise RuntimeError("no such source")
+            return super().__missing__(name)
+
+    with pytest.raises(RuntimeError, match="no such source"):
+        publish(Broken(spark, SF_SMALL), STAR_SETTINGS, store)
+    again = Pipeline({}, STAR_SETTINGS, store.snapshot(), reuse=True)
+    assert store.numbers() == [1]
+    assert rows_of(again.sgg_summary) == rows_of(reader.sgg_summary)
+
+
+# ---- marts by month ------------------------------------------------------------------------------------------------
+
+
+class UpTo(StarSources):
+    """The sources as they were before a day: later shipments are not there yet."""
+
+    def __init__(self, spark, sf_dir, day):
+        super().__init__(spark, sf_dir)
+        self.day = day
+
+    def __missing__(self, name):
+        rows = super().__missing__(name)
+        self[name] = rows.where(F.col("ts") < F.lit(self.day)) if name == "telecom" else rows
+        return self[name]
+
+
+def test_appending_a_month_gives_the_rows_of_a_full_rebuild(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "set"))
+    last = StarSources(spark, SF)["telecom"].agg(F.max("ts")).first()[0]
+    publish(UpTo(spark, SF, last), STAR_SETTINGS, store)
+    before = store.snapshot()
+    assert before.read("telecom_trend").where(F.col("year_month") == last).count() == 0
+    refresh_months(StarSources(spark, SF), STAR_SETTINGS, store, [last])
+    now = store.snapshot()
+    assert differences(now.read("telecom_trend"), connect(SF), entry_module.oracle_sql()["telecom_trend"]) is None
+    old, new = before.parts("telecom_trend"), now.parts("telecom_trend")
+    assert {m: f for m, f in new.items() if m != str(last)} == old  # no earlier month was written again
+    assert set(new) - set(old) == {str(last)}
+    assert rows_of(before.read("sgg_summary")) == rows_of(now.read("sgg_summary"))
+
+
+def test_a_month_is_made_again_where_rows_came_late(spark, tmp_path):
+    store = VersionedStore(spark, str(tmp_path / "set"))
+    month = dt.date(2001, 2, 1)
+
+    class Late(StarSources):
+        def __missing__(self, name):
+            rows = super().__missing__(name)
+            self[name] = rows.where((F.col("ts") != F.lit(month)) | (F.col("open_count") % 2 == 0)) if name == "telecom" else rows
+            return self[name]
+
+    publish(Late(spark, SF), STAR_SETTINGS, store)
+    wrong = rows_of(store.snapshot().read("telecom_trend"))
+    refresh_months(StarSources(spark, SF), STAR_SETTINGS, store, [month])
+    assert rows_of(store.snapshot().read("telecom_trend")) != wrong
+    assert differences(store.snapshot().read("telecom_trend"), connect(SF), entry_module.oracle_sql()["telecom_trend"]) is None
+    gone = Late(spark, SF)
+    gone["telecom"] = gone["telecom"].where(F.col("ts") != F.lit(month))
+    refresh_months(gone, STAR_SETTINGS, store, [month])
+    assert store.snapshot().read("telecom_trend").where(F.col("year_month") == month).count() == 0
+
+
+def test_alerts_of_a_month_touch_one_part_of_the_summary(spark, tmp_path):
+    from tidewatch.operators import partials
+
+    store = VersionedStore(spark, str(tmp_path / "set"))
+    alerts = Pipeline(StarSources(spark, SF), STAR_SETTINGS).alerts
+    last = alerts.agg(F.max("alert_date")).first()[0]
+    with store.run() as run:
+        run.replace_parts("alert_partials", partials.alert_partials(alerts.where(F.col("alert_date") < last)), "alert_date")
+    with store.run() as run:
+        run.replace_parts("alert_partials", partials.alert_partials(alerts.where(F.col("alert_date") == last)), "alert_date")
+    made = partials.sgg_summary_of(store.snapshot().read("alert_partials"))
+    assert rows_of(made) == rows_of(marts.sgg_summary(alerts))
+
+
+def test_a_refresh_reads_only_its_months(spark):
+    month = dt.date(2001, 2, 1)
+    rows = month_rows(StarSources(spark, SF)["telecom"], [month], STAR_SETTINGS)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "l_shipdate" in line]
+    assert scans and all("GreaterThanOrEqual(l_shipdate,2001-02-01" in s and "LessThan(l_shipdate,2001-03-01" in s for s in scans)
+    assert month_rows(StarSources(spark, SF)["telecom"], [], STAR_SETTINGS).count() == 0

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
 from tidewatch.functions import fixed_values as fv
 from tidewatch.operators.profile import last_n_months, latest_period
+from tidewatch.operators.ranking import numbered
 from tidewatch.spec import ContextSpec
 
 SEPARATOR = "·"
@@ -18,12 +19,10 @@ SEPARATOR = "·"
 def rental_trend(rental: DataFrame, context: ContextSpec) -> DataFrame:
     """Openings, mean amount and mean conversion per category pair over the last months, ranked by openings.
 
-    The rank is a global order, taken over one row per category pair.
+    The rank is a global order over one row per category pair, numbered range by range.
     """
-    order = Window.orderBy(
-        F.col("total_open").desc_nulls_last(), F.col("rental_main_category"), F.col("rental_sub_category")
-    )
-    return (
+    order = [("total_open", True), ("rental_main_category", False), ("rental_sub_category", False)]
+    totals = (
         last_n_months(rental, "ts", context.window_months)
         .where(
             (F.col("rental_sub_category") != context.rental_sub_placeholder)
@@ -35,8 +34,8 @@ def rental_trend(rental: DataFrame, context: ContextSpec) -> DataFrame:
             X.exact_mean(F.col("avg_policy_amount")).alias("avg_policy_amt"),
             X.half_up(X.exact_mean(F.col("open_cvr")), 1).alias("avg_cvr_pct"),
         )
-        .withColumn("rank_num", F.row_number().over(order).cast("bigint"))
     )
+    return numbered(totals, order, "rank_num")
 
 
 def top_rentals(trend: DataFrame, n: int = 5) -> DataFrame:

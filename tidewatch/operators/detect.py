@@ -27,7 +27,7 @@ def _beyond(percentile: Column, spec: DetectorSpec) -> Column:
     return (percentile < tail) | (percentile > 1 - tail)
 
 
-def _finish(scored: DataFrame, spec: DetectorSpec) -> DataFrame:
+def finished(scored: DataFrame, spec: DetectorSpec) -> DataFrame:
     return (
         scored.where(~F.col("is_train") & (F.col("n_train") >= max(spec.min_points, 1)))
         .withColumn("is_anomaly", _beyond(F.col("percentile"), spec))
@@ -59,10 +59,10 @@ def score_ecdf(series: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFr
     scored = counted.withColumn("percentile", F.when(F.col("y").isNotNull(), place)).withColumn(
         "forecast", F.col("train_sum").cast("double") / F.nullif(F.col("n_train"), F.lit(0))
     )
-    return _finish(scored, spec)
+    return finished(scored, spec)
 
 
-def _month_index(ts: Column) -> Column:
+def month_index(ts: Column) -> Column:
     return (F.year(ts) - 2000) * 12 + F.month(ts)
 
 
@@ -84,7 +84,7 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
     )
     x, train = F.col("x"), _usable_train()
     y = F.when(train, F.col("y"))
-    sums = series.withColumns({"x": _month_index(F.col("ts")), "month_of_year": F.month("ts")}).withColumns(
+    sums = series.withColumns({"x": month_index(F.col("ts")), "month_of_year": F.month("ts")}).withColumns(
         {
             "n_train": F.count(y).over(whole),
             "sx": F.sum(F.when(train, x)).over(whole).cast("double"),
@@ -116,15 +116,16 @@ def score_trend(series: DataFrame, spec: DetectorSpec = DetectorSpec(method="tre
     )
     variance = (F.col("see") - F.col("se") * F.col("se") / n) / F.nullif(n - 1, F.lit(0.0))
     scored = spread.withColumn("sigma", F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return _finish(scored.withColumn("percentile", _normal_place()), spec)
+    return finished(scored.withColumn("percentile", normal_place()), spec)
 
 
-def _normal_place() -> Column:
+def normal_place() -> Column:
     """Place of the gap to the forecast in a normal distribution; without spread only its sign counts."""
     gap = F.col("y") - F.col("forecast")
     by_sign = F.when(gap > 0, 1.0).when(gap < 0, 0.0).when(gap == 0, 0.5)
     by_spread = X.normal_cdf(gap / F.nullif(F.col("sigma"), F.lit(0.0)))
-    return F.when(F.col("sigma") > 0, by_spread).otherwise(by_sign)
+    # A missing value has no place: least and greatest would pass over the null.
+    return F.when(gap.isNotNull(), F.when(F.col("sigma") > 0, by_spread).otherwise(by_sign))
 
 
 def score(series: DataFrame, spec: DetectorSpec) -> DataFrame:
@@ -132,6 +133,10 @@ def score(series: DataFrame, spec: DetectorSpec) -> DataFrame:
         return score_ecdf(series, spec)
     if spec.method == "trend":
         return score_trend(series, spec)
+    if spec.method == "state":
+        from tidewatch.operators import state_space
+
+        return state_space.score(series, spec)
     raise ValueError(f"unknown detector {spec.method!r}")
 
 
@@ -141,7 +146,7 @@ def fit(series: DataFrame, spec: DetectorSpec = DetectorSpec()) -> DataFrame:
     The value array is bounded by the number of months in the training period. ``grain`` says whether the values are
     those of months or of days.
     """
-    train = series.where(_usable_train()).withColumn("x", _month_index(F.col("ts")))
+    train = series.where(_usable_train()).withColumn("x", month_index(F.col("ts")))
     y, x = F.col("y"), F.col("x")
     sums = train.groupBy(*KEYS).agg(
         F.first("sgg").alias("sgg"),
@@ -218,8 +223,8 @@ def score_with_model(observations: DataFrame, model: DataFrame, spec: DetectorSp
     place = (below + equal * F.lit(0.5)) / F.nullif(F.col("n_train"), F.lit(0))
     later = joined.where(F.col("ts") > F.col("last_ts")).withColumn("is_train", F.lit(False))
     if spec.method == "trend":
-        line = F.col("intercept") + F.col("slope") * _month_index(F.col("ts"))
+        line = F.col("intercept") + F.col("slope") * month_index(F.col("ts"))
         scored = later.withColumn("forecast", line + F.element_at("season", F.month("ts")))
-        return _finish(scored.withColumn("percentile", _normal_place()), spec)
+        return finished(scored.withColumn("percentile", normal_place()), spec)
     scored = later.withColumn("forecast", F.col("mean_y")).withColumn("percentile", F.when(y.isNotNull(), place))
-    return _finish(scored, spec)
+    return finished(scored, spec)

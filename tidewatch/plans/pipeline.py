@@ -5,14 +5,29 @@ A written table is where lineage ends: a lost executor costs the tasks of the ta
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators import checks, completion, context, detect, fuse, marts, profile, prompts, select, series
+from tidewatch.operators import (
+    checks,
+    completion,
+    context,
+    detect,
+    fuse,
+    marts,
+    partials,
+    profile,
+    prompts,
+    select,
+    series,
+    state_space,
+)
 from tidewatch.plans.store import Store
+from tidewatch.plans.versions import Snapshot, VersionedStore
 from tidewatch.sources.catalog import Sources
 from tidewatch.spec import Settings
 
@@ -49,7 +64,9 @@ class Pipeline:
 
     @cached_property
     def model(self) -> DataFrame:
-        return self._table("model_params", lambda: detect.fit(self.series, self.settings.detector), ("signal",))
+        spec = self.settings.detector
+        fit = state_space.fit if spec.method == "state" else detect.fit
+        return self._table("model_params", lambda: fit(self.series, spec), ("signal",))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -174,13 +191,36 @@ class Pipeline:
             todo = wave if done is None else completion.missing_only(wave, done)
             requests = todo.select(*keys, "messages", "temperature")
             replies = completion.complete(
-                requests, self.client, settings.request_parallelism, settings.request_pause_seconds
+                requests,
+                self.client,
+                settings.request_parallelism,
+                settings.request_pause_seconds,
+                settings.request_attempts,
+                settings.request_backoff_seconds,
+                settings.keep_failures,
             )
+            if settings.keep_failures:
+                replies = self._kept(replies)
             self.store.append("responses", replies.select(*keys, "response"))
         # A draft sent twice by overlapping runs has two replies; one of them is used.
-        stored = self.store.read("responses").groupBy(*keys).agg(F.min("response").alias("response"))
+        stored = self.store.read("responses").where("response is not null").groupBy(*keys).agg(F.min("response").alias("response"))
         return drafts.join(stored, keys, "left")
 
+    def _kept(self, replies: DataFrame) -> DataFrame:
+        """The replies of a wave; what was tried is stored first, once, so that no request is sent again to tell both."""
+        wave, keys = uuid.uuid4().hex, completion.KEYS
+        outcome = replies.select(
+            *keys, "response", "failure", "attempts", F.lit(wave).alias("wave"), F.current_timestamp().alias("tried_at")
+        )
+        tried = self.store.append("attempts", outcome)
+        return tried.where((F.col("wave") == wave) & F.col("response").isNotNull())
+
+    @property
+    def dead_letters(self) -> DataFrame | None:
+        """Drafts that were tried and have no reply yet; None if no run has kept failures."""
+        tried = None if self.store is None else self.store.read("attempts")
+        return None if tried is None else completion.dead_letters(tried, self.store.read("responses"))
+
     @cached_property
     def marketing_alerts(self) -> DataFrame:
         return self._table("marketing_alerts", self.marketing_of)
@@ -208,8 +248,20 @@ class Pipeline:
 
     @cached_property
     def telecom_trend(self) -> DataFrame:
+        def whole() -> DataFrame:
+            return marts.telecom_trend(self.sources["telecom"], self.settings.source)
+
+        if not isinstance(self.store, Snapshot):
+            return self._table("telecom_trend", whole)
+        # By month, with the partial rows beside it, so that a month can be made again alone.
+        return self._table("telecom_trend", lambda: partials.telecom_trend_of(self.telecom_partials), ("year_month",))
+
+    @cached_property
+    def telecom_partials(self) -> DataFrame:
         return self._table(
-            "telecom_trend", lambda: marts.telecom_trend(self.sources["telecom"], self.settings.source)
+            "telecom_partials",
+            lambda: partials.telecom_partials(self.sources["telecom"], self.settings.source),
+            ("year_month",),
         )
 
     @property
@@ -223,3 +275,12 @@ class Pipeline:
             "marketing_alerts signal_timeseries sgg_summary telecom_trend"
         )
         return {name: getattr(self, name) for name in names.split()}
+
+
+def publish(
+    sources: Sources, settings: Settings, store: VersionedStore, client: completion.Client | None = None
+) -> int:
+    """Builds every table and publishes them as one version; a failed run publishes nothing."""
+    with store.run() as run:
+        Pipeline(sources, settings, run, client).run()
+    return run.number

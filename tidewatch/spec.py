@@ -36,12 +36,16 @@ class SignalSpec:
 
 @dataclass(frozen=True)
 class DetectorSpec:
-    """``method`` is "ecdf" (place in the own history) or "trend" (line, month of year, normal residual)."""
+    """``method`` is "ecdf" (place in the own history), "trend" (line, month of year, normal residual) or "state" (level,
+    trend and season carried along a series; the gains say how far a gap corrects each)."""
 
     method: str = "ecdf"
     min_points: int = 18
     seasonal_points: int = 24
     prediction_interval: float = 0.99
+    level_gain: float = 0.3
+    trend_gain: float = 0.02
+    season_gain: float = 0.2
 
 
 @dataclass(frozen=True)
@@ -96,7 +100,9 @@ class Settings:
     series; ``densify`` fills months without rows; ``flag_share`` asks for that share of flagged sub-districts before a
     district's price is flagged, None for any one; ``direction_in_prompts`` adds to a prompt which way each flagged
     signal went. ``request_parallelism`` is the most text requests in flight, ``request_pause_seconds`` the pause after
-    each in a task, ``request_waves`` the parts whose replies are stored one after the other."""
+    each in a task, ``request_waves`` the parts whose replies are stored one after the other. A request is sent up to
+    ``request_attempts`` times, after pauses that double from ``request_backoff_seconds``; then it fails the run, or with
+    ``keep_failures`` becomes a dead letter: its alert is published without a text, and the next run asks again."""
 
     signals: tuple[SignalSpec, ...] = field(default_factory=default_signals)
     driver: str = "pop"
@@ -113,6 +119,9 @@ class Settings:
     request_parallelism: int = 8
     request_pause_seconds: float = 0.0
     request_waves: int = 1
+    request_attempts: int = 1
+    request_backoff_seconds: float = 1.0
+    keep_failures: bool = False
 
     def signal(self, name: str) -> SignalSpec:
         return next(s for s in self.signals if s.name == name)
