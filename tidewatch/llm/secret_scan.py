@@ -15,6 +15,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,13 +42,17 @@ KEY_START = re.compile(r"(?<![A-Za-z0-9+/])(?:M[A-P]|b3BlbnNz)")
 BASE64_LINE = re.compile(r"(?:[A-Za-z0-9+/]|\\/)++={0,2}+")
 BETWEEN = re.compile(r"""[ \t]*+["'`]?+[ \t]*+[+,;]?+[ \t]*+\\?+[\r\n](?:[\r\n \t"'`>|#*]*+)""")
 ESCAPED_END = re.compile(r"\\+[rn]")
-HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}")
+HEX_START = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]")
+HEX_LINE = re.compile(r"[0-9A-Fa-f]++")
+#: A text is searched for keys in hex if it has a run of this many digits: the shortest line of a wrapped one.
+MIN_HEX_LINE = 16
 JWT_RUN = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)")
 
 #: One byte per class, so that a run of a class can be looked for at the speed of a byte search.
 _HEX_CLASS = bytes(ord("h") if chr(c) in "0123456789abcdefABCDEF" else ord(" ") for c in range(256))
 
 SEQUENCE, INTEGER, OCTETS, OID = 0x30, 0x02, 0x04, 0x06
+OPENSSH_MAGIC = b"openssh-key-v1\0"
 
 RESULT = """n_assign long, n_access long, n_hex long, base_sha256 string, spans string,
     found array<struct<kind:string,first:int,last:int>>"""
@@ -57,121 +63,168 @@ KIND = pa.struct(
 )
 
 
-def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
-    """The DER elements that fill data exactly, or None."""
-    out, at = [], 0
-    while at < len(data):
-        if at + 2 > len(data):
+Read = Callable[[int, int], bytes]
+#: Elements that a key or an algorithm has at most, by their definitions.
+KEY_PARTS, ALGORITHM_PARTS = 10, 2
+
+
+def _element(read: Read, at: int) -> tuple[int, int, int] | None:
+    """Tag, begin and end of the content of the DER element at a place."""
+    head = read(at, 6)
+    if len(head) < 2:
+        return None
+    length, size = head[1], 0
+    if length & 0x80:
+        size = length & 0x7F
+        if not 1 <= size <= 4 or len(head) < 2 + size:
             return None
-        tag, length, at = data[at], data[at + 1], at + 2
-        if length & 0x80:
-            size = length & 0x7F
-            if not 1 <= size <= 4 or at + size > len(data):
-                return None
-            length, at = int.from_bytes(data[at : at + size]), at + size
-        if at + length > len(data):
+        length = int.from_bytes(head[2 : 2 + size])
+    return head[0], at + 2 + size, at + 2 + size + length
+
+
+def _parts(read: Read, at: int, end: int, most: int) -> list[tuple[int, int, int]] | None:
+    """The elements that fill a range exactly, or None."""
+    out = []
+    while at < end:
+        found = _element(read, at)
+        if found is None or found[2] > end or len(out) == most:
             return None
-        out.append((tag, data[at : at + length]))
-        at += length
+        out.append(found)
+        at = found[2]
     return out
 
 
-def is_private_key(data: bytes) -> bool:
-    """DER of a PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1 private key: every length has to nest exactly."""
-    outer = _elements(data) if data[:1] == b"\x30" else None
-    parts = _elements(outer[0][1]) if outer and len(outer) == 1 else None
-    if not parts or len(parts) < 2:
-        return False
-    tags = [tag for tag, _ in parts]
-    if tags[0] == INTEGER and parts[0][1] in (b"\x00", b"\x01"):
-        if len(parts) >= 9 and set(tags[:9]) == {INTEGER}:
-            return True  # PKCS#1: version, modulus, exponents, primes
-        if tags[1] == SEQUENCE and len(parts) >= 3 and tags[2] == OCTETS:
-            return _starts_with_oid(parts[1][1])  # PKCS#8
-        if parts[0][1] == b"\x01" and tags[1] == OCTETS and len(parts[1][1]) >= 16:
-            return all(tag in (0xA0, 0xA1) for tag in tags[2:])  # SEC1
-        return False
-    return tags == [SEQUENCE, OCTETS] and _starts_with_oid(parts[0][1])  # encrypted PKCS#8
+def _names_algorithm(read: Read, part: tuple[int, int, int]) -> bool:
+    inner = _parts(read, part[1], part[2], ALGORITHM_PARTS)
+    return bool(inner) and inner[0][0] == OID and inner[0][2] - inner[0][1] >= 3
 
 
-def _starts_with_oid(data: bytes) -> bool:
-    inner = _elements(data)
-    return bool(inner) and inner[0][0] == OID and len(inner[0][1]) >= 3
+def key_length(read: Read) -> int | None:
+    """Bytes of the PKCS#1, PKCS#8, encrypted PKCS#8 or SEC1 private key in DER that begins here, None if there is none.
 
-
-def _decoded(run: str) -> bytes | None:
-    packed = re.sub(r"[^A-Za-z0-9+/]", "", run)
-    try:
-        return base64.b64decode(packed + "=" * (-len(packed) % 4))
-    except binascii.Error:
+    Every length has to nest exactly. Only the heads of the elements are read, so a refusal costs the same at any length.
+    """
+    outer = _element(read, 0)
+    if outer is None or outer[0] != SEQUENCE or not read(outer[2] - 1, 1):
         return None
+    parts = _parts(read, outer[1], outer[2], KEY_PARTS)
+    if not parts or len(parts) < 2:
+        return None
+    tags = [tag for tag, _, _ in parts]
+    version = read(parts[0][1], 1) if parts[0][2] - parts[0][1] == 1 else b""
+    found = tags == [SEQUENCE, OCTETS] and _names_algorithm(read, parts[0])  # encrypted PKCS#8
+    if tags[0] == INTEGER and version in (b"\x00", b"\x01"):
+        if len(parts) >= 9 and set(tags[:9]) == {INTEGER}:
+            found = True  # PKCS#1: version, modulus, exponents, primes
+        elif tags[1] == SEQUENCE and len(parts) >= 3 and tags[2] == OCTETS:
+            found = _names_algorithm(read, parts[1])  # PKCS#8
+        elif version == b"\x01" and tags[1] == OCTETS and parts[1][2] - parts[1][1] >= 16:
+            found = all(tag in (0xA0, 0xA1) for tag in tags[2:])  # SEC1
+    return outer[2] if found else None
 
 
-def _base64_lines(text: str, at: int):
-    """(letters, end) of each line of the run that begins at a place, as far as it goes on over following lines."""
-    line = BASE64_LINE.match(text, at)
-    while line:
-        yield line[0].rstrip("=").replace("\\", ""), line.end()
-        between = None if line[0].endswith("=") else BETWEEN.match(text, line.end())
-        line = between and BASE64_LINE.match(text, between.end())
-
-
-def _base64_key(text: str, at: int) -> tuple[str, int] | None:
-    """Kind and end of the key that begins at a place, which may go on over following lines.
+def openssh_length(read: Read) -> tuple[bool, int | None]:
+    """Whether an OpenSSH private key file begins here, and its bytes; None if they are not all there.
 
-    The outer DER length says how many bytes, and so how many lines, belong to the key.
+    After the magic come length-prefixed cipher, key derivation and its options, the number of keys, their public parts
+    and the private section.
     """
-    parts: list[str] = []
-    ends: list[int] = []
-    letters, missing = 0, None
-    for part, end in _base64_lines(text, at):
-        parts.append(part)
-        ends.append(end)
-        letters += len(part)
-        if missing is None and letters >= 24:
-            start = "".join(parts)[:24]
-            if start.startswith("b3BlbnNz"):
-                missing = float("inf")
-            else:
-                missing = _der_letters(_decoded(start) or b"\0")
-            if missing is None:
-                return None
-        if missing is not None and letters >= missing:
-            data = _decoded("".join(parts)) if missing >= MIN_BASE64 else None
-            return ("key_base64", end) if data and is_private_key(data) else None
-    if missing == float("inf"):
-        for many in (len(parts), 1):
-            if is_openssh_key(_decoded("".join(parts[:many])) or b""):
-                return "key_openssh", ends[many - 1]
-    return None
-
-
-def _der_letters(head: bytes) -> int | None:
-    """How many letters a private key with this beginning has, or None if it can't be one."""
-    if head[0] != SEQUENCE:
-        return None
-    size = head[1] & 0x7F if head[1] & 0x80 else 0
-    if size > 4:
-        return None
-    inner = head[2 + size]
-    if inner not in (SEQUENCE, INTEGER) or (inner == INTEGER and head[3 + size] != 1):
-        return None
-    total = 2 + size + (int.from_bytes(head[2 : 2 + size]) if size else head[1])
-    return -(-total * 4 // 3)
+    at = len(OPENSSH_MAGIC)
+    if read(0, at) != OPENSSH_MAGIC:
+        return False, None
 
+    def skipped(at: int) -> int | None:
+        size = read(at, 4)
+        end = at + 4 + int.from_bytes(size)
+        return end if len(size) == 4 and read(end - 1, 1) else None
 
-def is_openssh_key(data: bytes) -> bool:
-    """An OpenSSH private key file: the magic, then length-prefixed cipher, key derivation and its options."""
-    magic = b"openssh-key-v1\0"
-    if not data.startswith(magic):
-        return False
-    at = len(magic)
     for _ in range(3):
-        size = int.from_bytes(data[at : at + 4])
-        if at + 4 + size > len(data):
-            return False
-        at += 4 + size
-    return at + 4 <= len(data) and int.from_bytes(data[at : at + 4]) >= 1
+        at = skipped(at)
+        if at is None:
+            return False, None
+    keys = int.from_bytes(read(at, 4)) if len(read(at, 4)) == 4 else 0
+    end = skipped(at + 4) if keys == 1 else None
+    return keys >= 1, end and skipped(end)
+
+
+class _Run:
+    """The letters of lines that follow each other, joined, and where each line is in the text."""
+
+    def __init__(self, text: str, at: int, line: re.Pattern, hexadecimal: bool):
+        self.text, self.hexadecimal = text, hexadecimal
+        parts: list[str] = []
+        #: Of each line: where it begins and ends in the text, and its first letter's number.
+        self.starts: dict[int, int] = {}
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        self.firsts = [0]
+        found = line.match(text, at)
+        while found:
+            self.starts[found.start()] = len(parts)
+            self.begins.append(found.start())
+            self.ends.append(found.end())
+            parts.append(found[0].rstrip("=").replace("\\", ""))
+            self.firsts.append(self.firsts[-1] + len(parts[-1]))
+            between = None if found[0].endswith("=") else BETWEEN.match(text, found.end())
+            found = between and line.match(text, between.end())
+        self.letters = "".join(parts)
+
+    def reader(self, line: int) -> Read:
+        """Reads bytes of what the letters from a line on say: fewer at the end."""
+        base = self.firsts[line]
+
+        def read(at: int, n: int) -> bytes:
+            if self.hexadecimal:
+                digits = self.letters[base + 2 * at : base + 2 * (at + n)]
+                return bytes.fromhex(digits[: len(digits) // 2 * 2])
+            first = at // 3 * 4
+            letters = self.letters[base + first : base + -(-(at + n) // 3) * 4]
+            if len(letters) % 4 == 1:
+                letters = letters[:-1]
+            return base64.b64decode(letters + "=" * (-len(letters) % 4))[at % 3 : at % 3 + n]
+
+        return read
+
+    def end_of(self, line: int, n: int) -> tuple[int, bool]:
+        """Where n bytes from a line on end in the text, and whether a line ends there."""
+        letters = self.firsts[line] + (2 * n if self.hexadecimal else n // 3 * 4 + (0, 2, 3)[n % 3])
+        last = bisect_left(self.firsts, letters) - 1
+        if self.firsts[last + 1] == letters:
+            return self.ends[last], True
+        at, missing = self.begins[last], letters - self.firsts[last]
+        while missing:
+            missing -= self.text[at] != "\\"
+            at += 1
+        return at, False
+
+
+def _keys(text: str, start: re.Pattern, line: re.Pattern, hexadecimal: bool) -> Iterator[tuple[str, int, int]]:
+    """Keys that begin where a pattern says, at the begin of a line, and may go on over following lines.
+
+    Lines are joined once for all places in them, and a place is judged by heads and lengths: work grows with the text.
+    """
+    run: _Run | None = None
+    found = start.search(text)
+    while found:
+        at, behind = found.start(), found.start() + 1
+        if run is None or at not in run.starts:
+            run = _Run(text, at, line, hexadecimal)
+        here = run.starts[at]
+        read = run.reader(here)
+        if not hexadecimal and found[0].startswith("b3"):
+            is_key, size = openssh_length(read)
+            if is_key:
+                # One whose lengths lead beyond what is there is cut off: it goes as far as the lines do.
+                behind = run.end_of(here, size)[0] if size else run.ends[-1]
+                yield "key_openssh", at, behind
+        else:
+            size = key_length(read)
+            end, line_ends = run.end_of(here, size) if size else (0, False)
+            least = MIN_KEY_HEX // 2 if hexadecimal else MIN_BASE64 * 3 // 4
+            if size and line_ends and size >= least:
+                behind = end
+                yield "key_hex" if hexadecimal else "key_base64", at, end
+        found = start.search(text, behind)
 
 
 def _json_object(part: str) -> dict | None:
@@ -209,16 +262,9 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     if b"eyJ" in raw:
         out += [("jwt", m.start(), m.end()) for m in JWT_RUN.finditer(text) if is_signed_token(m[1], m[2])]
     plain = ESCAPED_END.sub(lambda m: "\n" * len(m[0]), text) if "\\" in text else text
-    start = KEY_START.search(plain)
-    while start:
-        found = _base64_key(plain, start.start())
-        if found:
-            out.append((found[0], start.start(), found[1]))
-        start = KEY_START.search(plain, found[1] if found else start.start() + 1)
-    if b"h" * MIN_KEY_HEX in raw.translate(_HEX_CLASS):
-        for m in HEX_RUN.finditer(text):
-            if len(m[0]) % 2 == 0 and is_private_key(bytes.fromhex(m[0])):
-                out.append(("key_hex", m.start(), m.end()))
+    out += _keys(plain, KEY_START, BASE64_LINE, False)
+    if b"h" * MIN_HEX_LINE in raw.translate(_HEX_CLASS):
+        out += _keys(plain, HEX_START, HEX_LINE, True)
     return out
 
 
