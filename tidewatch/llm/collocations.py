@@ -39,7 +39,7 @@ FILTER_BITS = 1 << 25
 #: Score of a phrase whose words come only together; a longer candidate with this share in percent covers a shorter one.
 UNIT, COVERED = 1_000_000, 80
 #: Bytes of text that are counted at the same time (a longer text on its own).
-PORTION = 8 << 20
+PORTION = 16 << 20
 #: Parts of a language whose best phrases are found apart before they meet in one task.
 PARTS = 64
 
@@ -155,8 +155,11 @@ def counted(seen: Words, names: list[str], filters: list[Filter], step: int, sha
 
 
 def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases that a filter has: lang, phrase, k, n."""
+    """Counts of the phrases that a filter has: lang, phrase, k, n; and of all words, as the phrase of no word."""
     many = max(1, len(seen.dictionary))
+    total = np.bincount(seen.lang, minlength=len(names))
+    nothing = [pa.array([""] * len(names)), pa.array(np.zeros(len(names), dtype=np.int32))]
+    yield pa.record_batch([pa.array(names, pa.string()), *nothing, pa.array(total, pa.int64())], schema=SPELLED)
     for k, place, h, _ in passing(seen, names, [frequent]):
         place = place[frequent.has(h)]
         if not len(place):
@@ -197,27 +200,14 @@ def _scan(shard: DataFrame, step: int, shards: int, filters: list) -> DataFrame:
 
 
 def _spell(texts: DataFrame, frequent) -> DataFrame:
-    """lang, phrase, k, f of the phrases in a broadcast filter, if they reach the threshold."""
+    """lang, phrase, k, f of the phrases in a broadcast filter, if they reach the threshold, and of all words with k = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(frequent.value)
         yield from _each(batches, lambda seen, names: spelled(seen, names, known))
 
     found = texts.mapInArrow(run, "lang string, phrase string, k int, n long")
-    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where(F.col("f") >= THRESHOLD)
-
-
-def _totals(texts: DataFrame) -> DataFrame:
-    """lang, n: all words of each language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def words(seen: Words, names: list[str]) -> Iterator[pa.RecordBatch]:
-            n = np.bincount(seen.lang, minlength=len(names))
-            yield pa.record_batch([pa.array(names, pa.string()), pa.array(n, pa.int64())], names=["lang", "n"])
-
-        yield from _each(batches, words)
-
-    return texts.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where((F.col("f") >= THRESHOLD) | (F.col("k") == 0))
 
 
 def _with_bits(bits: np.ndarray, reached: DataFrame) -> np.ndarray:
@@ -265,8 +255,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, shards: int = SHARDS, bits:
         active = counts.where(~complete)
         step += 1
     whole = texts.select("lang", "text")
-    phrases = scratch.keep(_spell(whole, spark.sparkContext.broadcast(frequent)), "phrases")
-    return phrases, _totals(whole)
+    found = scratch.keep(_spell(whole, spark.sparkContext.broadcast(frequent)), "phrases")
+    return found.where("k > 0"), found.where("k = 0 and f > 0").select("lang", F.col("f").alias("n"))
 
 
 def _cut(k: str, first: bool) -> F.Column:
