@@ -1,0 +1,79 @@
+"""Two signals from one read: the rows of the separate series, nulls included, and how often tables are read."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+from dataclasses import replace
+
+import pytest
+from conftest import SF
+from pyspark.sql import functions as F
+
+from tidewatch.functions import fixed_values as fv
+from tidewatch.operators import joint, series
+from tidewatch.plans.pipeline import Pipeline
+from tidewatch.sources.star import STAR_SETTINGS, StarSources
+from tidewatch.spec import Settings
+
+FACTS = "ts date, sd string, sgg string, emd string, movement_type string, price double, population double"
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=str)
+
+
+def separate(facts, settings):
+    price = facts.select("ts", "sd", "sgg", "emd", F.lit(fv.PRICE_LEVEL).alias("region_level"), "price")
+    population = facts.select("ts", "sd", "sgg", F.lit(fv.POPULATION_LEVEL).alias("region_level"), "movement_type", "population")
+    return series.price_series(price, settings).unionByName(series.pop_series(population, settings))
+
+
+def test_the_rows_are_those_of_both_series(spark):
+    sources = StarSources(spark, SF)
+    both = joint.price_and_pop_series(sources.joint("price", "population"), STAR_SETTINGS)
+    alone = series.series_of("price", sources, STAR_SETTINGS).unionByName(series.series_of("pop", sources, STAR_SETTINGS))
+    assert both.dtypes == alone.dtypes
+    assert rows_of(both) == rows_of(alone)
+
+
+@pytest.mark.parametrize("late", [True, False])
+def test_nulls_and_absent_measures(frame, late):
+    m, n = dt.date(2024, 3, 1), dt.date(2022, 3, 1)
+    here, other, moved = fv.CITY, "elsewhere", fv.MOVE_IN
+    rows = [
+        (m, here, "A", "x", moved, 0.1, 1.5), (m, here, "A", "x", moved, 0.2, None), (m, here, "A", "y", "out", None, 7.0),
+        (m, here, "A", "y", "out", None, 8.0), (m, here, "B", None, moved, 5.0, 2.0), (n, here, "B", "z", moved, None, None),
+        (m, here, None, "x", moved, 3.0, 4.0), (None, here, "A", "x", moved, 9.0, 9.0), (m, other, "A", "x", moved, 9.0, 9.0),
+        (m, here, "C", "x", None, 1.0, 1.0), (m, None, "A", "x", moved, 9.0, 9.0),
+    ]
+    settings = Settings()
+    if not late:
+        signals = tuple(replace(s, cutoff=replace(s.cutoff, late_day=None, late_districts=())) for s in settings.signals)
+        settings = replace(settings, signals=signals)
+    facts = frame(rows, FACTS)
+    assert rows_of(joint.price_and_pop_series(facts, settings)) == rows_of(separate(facts, settings))
+    assert joint.price_and_pop_series(frame([], FACTS), settings).count() == 0
+
+
+def test_a_fall_back_to_districts_keeps_to_the_separate_series(spark):
+    settings = replace(STAR_SETTINGS, grain_fallback=True, grain_points=60)
+    sources = StarSources(spark, SF)
+    alone = [series.series_of(s.name, sources, settings) for s in settings.signals]
+    every = alone[0].unionByName(alone[1]).unionByName(alone[2]).unionByName(alone[3])
+    assert rows_of(series.all_series(sources, settings)) == rows_of(every)
+
+
+def test_orders_are_read_once_for_prices_and_movements(spark):
+    def scans(df, table):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        return len(re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", plan))
+
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    try:
+        every = Pipeline(StarSources(spark, SF), STAR_SETTINGS).series
+        # One for prices and movements; the lines of telecom look up their order.
+        assert scans(every, "orders") == 2 and scans(every, "customer") == 2 and scans(every, "lineitem") == 2
+        assert scans(Pipeline(StarSources(spark, SF), STAR_SETTINGS).alerts, "orders") == 2
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import exprs as X
-from tidewatch.sources.catalog import Sources
+from tidewatch.operators import joint
+from tidewatch.sources.catalog import JointSources, Sources
 from tidewatch.spec import Settings, SourceFilter
 
 
@@ -163,8 +164,18 @@ def series_of(signal: str, sources: Sources, settings: Settings) -> DataFrame:
 
 
 def all_series(sources: Sources, settings: Settings) -> DataFrame:
-    """All signals in one long frame."""
-    every = reduce(DataFrame.unionByName, [series_of(s.name, sources, settings) for s in settings.signals])
+    """All signals in one long frame.
+
+    Where the sources say that prices and movements are measures of the same rows, those rows are read once for both.
+    """
+    names = [s.name for s in settings.signals]
+    parts, facts = [], None
+    if not settings.grain_fallback and set(joint.SIGNALS) <= set(names):
+        facts = sources.joint("price", "population") if isinstance(sources, JointSources) else None
+    if facts is not None:
+        parts.append(joint.price_and_pop_series(facts, settings))
+        names = [n for n in names if n not in joint.SIGNALS]
+    every = reduce(DataFrame.unionByName, [*parts, *[series_of(n, sources, settings) for n in names]])
     return densified(every, settings) if settings.densify else every
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,15 @@ from tidewatch.sources.schemas import SOURCES, conform
 Sources = Mapping[str, DataFrame]
 
 
+@runtime_checkable
+class JointSources(Protocol):
+    """Sources of which some are measures of the same rows."""
+
+    def joint(self, *names: str) -> DataFrame | None:
+        """Rows that hold the measures of all the named sources, or None if they don't share their rows."""
+        ...
+
+
 def load_sources(spark: SparkSession, locations: Mapping[str, str], file_format: str = "parquet") -> dict[str, DataFrame]:
     """Read the sources named in ``locations``: a path (with a slash) or a catalog table name."""
     unknown = set(locations) - set(SOURCES)

@@ -97,6 +97,21 @@ def population(table: Tables) -> DataFrame:
     )
 
 
+def area_facts(table: Tables) -> DataFrame:
+    """Prices and movements of the same orders."""
+    orders = table("orders")
+    region = table.customer_region
+    return orders.join(region, orders.o_custkey == region.c_custkey).select(
+        X.month_of("o_orderdate").alias("ts"),
+        F.lit(fv.CITY).alias("sd"),
+        "sgg",
+        "emd",
+        F.col("o_orderstatus").alias("movement_type"),
+        F.col("o_totalprice").alias("price"),
+        F.col("o_totalprice").alias("population"),
+    )
+
+
 def telecom(table: Tables) -> DataFrame:
     lines = table("lineitem")
     orders = table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -254,3 +269,9 @@ class StarSources(dict):
     def __missing__(self, name: str) -> DataFrame:
         self[name] = ADAPTERS[name](self.table)
         return self[name]
+
+    def joint(self, *names: str) -> DataFrame | None:
+        """Prices and movements together; a source that was given or replaced is read on its own."""
+        if set(names) != {"price", "population"} or type(self).__missing__ is not StarSources.__missing__:
+            return None
+        return None if {"price", "population"} & self.keys() else area_facts(self.table)
