@@ -79,4 +79,4 @@ def test_stages_take_nulls_and_other_columns(spark):
 
 def test_every_numbered_query_is_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5
