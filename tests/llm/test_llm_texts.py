@@ -231,11 +231,14 @@ def test_short_lines_wrapped_paragraphs_and_monotonous_lines_count(frame):
     for i, body in enumerate(texts):
         own = body if isinstance(body, str) else " ".join(body)
         rows.append(doc(i, " ".join(wide(30)) + "\n" + own + "\n" + " ".join(wide(30))))
-    found = {r["doc_id"]: r for r in D.repeated(frame(rows, DOCS)).collect()}
+    found = {r["doc_id"]: r for r in D.repeated(frame(rows, DOCS), short_lines=True).collect()}
     assert set(found) == {1, 3, 5, 6, 7, 8, 9, 10, 11}
-    spans = {i: [tuple(s) for s in found[i]["repeated"]] for i in (1, 5, 6, 9, 10)}
+    spans = {i: [tuple(s) for s in found[i]["short_lines" if i < 8 else "repeated"]] for i in (1, 5, 6, 9, 10)}
     assert spans == {i: [(30, 30 + n)] for i, n in ((1, 18), (5, 18), (6, 6), (9, 120), (10, 30))}
-    assert [found[i]["n_removed"] for i in (1, 3, 5, 6, 7, 8, 9, 10, 11)] == [0, 18, 18, 0, 6, 0, 120, 0, 30]
+    assert [found[i]["n_removed"] for i in (8, 9, 10, 11)] == [0, 120, 0, 30]
+    assert [(found[i]["n_short"], found[i]["n_words"], found[i]["first_doc"]) for i in (3, 7)] == [(18, 0, None), (6, 0, None)]
+    passages = {r["doc_id"]: r for r in D.repeated(frame(rows, DOCS)).collect()}
+    assert passages == {i: found[i] for i in (8, 9, 10, 11)}
 
 
 def test_a_longer_match_with_a_later_document_is_covered_too(frame):
@@ -249,6 +252,68 @@ def test_a_longer_match_with_a_later_document_is_covered_too(frame):
     assert spans[2] == ([(50, 110)], [(50, 110)])
 
 
+def test_hashes_of_words_know_words_and_lines(monkeypatch):
+    draw = random.Random(21)
+    parts = ["a", "b", "ab", "ba", "é", "日本", "A", "x" * 39, "x" * 40, "x" * 41, "y" * 130]
+    known = {}
+    for size in (D.CHUNK, 40):
+        monkeypatch.setattr(D, "CHUNK", size)
+        for _ in range(300):
+            text = "".join(draw.choice(parts) + draw.choice([" ", "\n", "\n\n", "\t", " \r\n", "\x0b", ""]) for _ in range(12))
+            own = text.encode().lower()
+            hashes, in_lines = D.words_of(text)
+            assert in_lines == [len(line.split()) for line in own.split(b"\n")]
+            assert len(hashes) == len(own.split())
+            for word, found in zip(own.split(), hashes.tolist(), strict=True):
+                assert known.setdefault((size, word), found) == found
+    assert len(set(known.values())) == len({(size if len(word) >= 40 else 0, word) for size, word in known})
+    assert D.words_of("")[1] == [0] and len(D.words_of(" \n ")[0]) == 0
+
+
+def plain_extensions(texts, seeds):
+    """Spans beside windows, by comparing every occurrence of a window with every other."""
+    out = set()
+    for content, i, at, left, right in seeds:
+        own = texts[i].split()
+        for is_left, most in ((True, left), (False, right)):
+            best = {}
+            for n in range(1, most + 1):
+                begin = at - n if is_left else at + D.WINDOW
+                if begin < 0 or begin + n > len(own):
+                    break
+                alike = []
+                for other, j, place, *_ in seeds:
+                    words = texts[j].split()
+                    first = place - n if is_left else place + D.WINDOW
+                    if other == content and 0 <= first <= len(words) - n and words[first : first + n] == own[begin : begin + n]:
+                        alike.append((j, place))
+                if len({j for j, _ in alike}) > 1:
+                    best[min(alike) == (i, at)] = (begin, n)
+            out |= {(i, *span, kept) for kept, span in best.items()}
+    return out
+
+
+def test_extensions_match_all_pairs_of_occurrences(frame):
+    draw = random.Random(20)
+    passages = [[f"p{k}w{n}" for n in range(D.WINDOW + 12)] for k in range(4)]
+    texts, seeds = [], []
+    for i in range(40):
+        body, places = [], []
+        for k in draw.sample(range(4), draw.randrange(1, 4)):
+            cut, end = draw.randrange(7), draw.randrange(7)
+            body += [f"u{draw.randrange(3)}" for _ in range(draw.randrange(8))]
+            places.append((k, len(body) + 6 - cut))
+            body += passages[k][cut : len(passages[k]) - end]
+        texts.append(" ".join(body))
+        seeds += [(k, i, at) for k, at in places]
+    contents = [int(D._mixed(D.hashes_of(" ".join(p[6 : 6 + D.WINDOW]))[None, :])[0]) for p in passages]
+    wanted = [(contents[k], i, at, 3 + 5 * k, 2 + 7 * k) for k, i, at in seeds]
+    rows = frame(wanted, "component long, doc_id long, first_word int, left int, right int")
+    docs = frame([doc(i, t) for i, t in enumerate(texts)], DOCS)
+    found = D.extensions(rows, docs, D.Scratch(docs.sparkSession)).collect()
+    assert {(r["doc_id"], r["first_word"], r["n_words"], r["kept"]) for r in found} == plain_extensions(texts, wanted)
+
+
 def test_units_of_a_text_cover_every_passage():
     draw = random.Random(9)
     for _ in range(200):

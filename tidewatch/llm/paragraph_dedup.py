@@ -11,6 +11,9 @@ windows too, whatever its lines: they start at words that the text itself picks
 with the smallest hash), so that a passage of MIN_PASSAGE words has a window at the same place wherever it occurs. Windows
 have a single band made of their whole content: they collide when they are equal.
 
+Shorter paragraphs than MIN_REPORTED words (headings, greetings, set phrases) repeat between documents that have nothing
+else in common. They are found and listed like passages, but apart from them, and nothing of them is removed.
+
 An equal window is only a seed: it is extended word by word to both sides as far as another document goes on alike. For
 each number of words the window and its neighbours are hashed together, so an occurrence meets all others that share so
 much with it, not just the first, and no pairs are compared. Between two windows of a passage there are at most START
@@ -22,16 +25,18 @@ bounded size, so no group has to fit a task and no pairs are written, only links
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.shared import Scratch, with_roots
-from tidewatch.llm.simhash import roots_of, shingle_hashes
+from tidewatch.llm.simhash import roots_of
 
 # Parameters: words in a shingle, similarity, bands and their rows, words from which a line is no part of a wrapped
 # paragraph, words of a window and of the run that one of its starts is picked from, different shingles of a banded
@@ -42,11 +47,24 @@ MIN_WORDS = 25
 WINDOW, START = 20, 25
 MIN_DIFFERENT = 10
 BLOCK = 256
+#: Words from which a paragraph is a passage; a shorter one that repeats is a short line, and counted apart.
+MIN_REPORTED = 20
 #: A repeated passage of so many words has a window of its own in every copy.
 MIN_PASSAGE = START + WINDOW
 
+#: Bytes of a text whose words are hashed together.
+CHUNK = 1 << 16
+
 _MIX = np.random.default_rng(5).integers(0, 2**63, size=(BANDS * ROWS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = np.random.default_rng(6).integers(0, 2**63, WINDOW - SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_OF_BYTE = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = np.cumprod(np.full(CHUNK, _BASE, dtype=np.uint64))
+_INVERSES = np.cumprod(np.full(CHUNK, pow(_BASE, -1, 2**64), dtype=np.uint64))
+_NEXT_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]|\Z")
+_IN_SHINGLE = np.random.default_rng(8).integers(0, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BESIDE = np.random.default_rng(9).integers(0, 2**63, (2, START), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 UNITS = "content long, doc_id {id_type}, first_word int, n_words int, bands array<long>"
 
 
@@ -55,12 +73,11 @@ def recall_at(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - similarity**rows) ** bands
 
 
-def paragraphs(text: str) -> list[tuple[int, int]]:
+def paragraphs(in_lines: list[int]) -> list[tuple[int, int]]:
     """(first word, words) of every line with a shingle, and of every two or more short lines in a row, as one."""
     out, at = [], 0
     first, lines = 0, 0
-    for line in [*text.encode("utf-8", "replace").split(b"\n"), b""]:
-        n = len(line.split())
+    for n in [*in_lines, 0]:
         if not 0 < n < MIN_WORDS:
             if lines > 1 and at - first >= SHINGLE:
                 out.append((first, at - first))
@@ -73,10 +90,61 @@ def paragraphs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def words_of(text: str) -> tuple[np.ndarray, list[int]]:
+    """A hash of each word, and the number of words in each line. Only A-Z is lower-cased, only ASCII white space parts words.
+
+    A word's hash is the sum over its bytes, each byte's number times a power that grows along the word. The sums of all
+    words of a chunk come from one running sum; a word that is longer than a chunk is hashed by itself.
+    """
+    held = text.encode("utf-8", "replace").lower()
+    hashes, ends_of_lines, at, n_words = [], [], 0, 0
+    while at < len(held):
+        behind = len(held)
+        if behind - at >= CHUNK:
+            behind = at + CHUNK
+            while behind > at and not _BLANK[held[behind - 1]]:
+                behind -= 1
+            if behind == at:
+                behind = _NEXT_BLANK.search(held, at).start()
+                hashes.append(np.array([xxhash.xxh64_intdigest(held[at:behind])], dtype=np.uint64))
+                at, n_words = behind, n_words + 1
+                continue
+        own = np.frombuffer(held, np.uint8, behind - at, at)
+        filled = np.zeros(len(own) + 2, dtype=np.int8)
+        filled[1:-1] = ~_BLANK[own]
+        edges = np.diff(filled)
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        sums = np.zeros(len(own) + 1, dtype=np.uint64)
+        np.cumsum(_OF_BYTE[own] * _POWERS[: len(own)], out=sums[1:])
+        hashes.append(_finished((sums[ends] - sums[starts]) * _INVERSES[starts]))
+        ends_of_lines.append(np.searchsorted(starts, np.flatnonzero(own == 10)) + n_words)
+        at, n_words = behind, n_words + len(starts)
+    if not hashes:
+        return np.zeros(0, dtype=np.uint64), [0]
+    return np.concatenate(hashes), np.diff(np.concatenate([[0], *ends_of_lines, [n_words]])).tolist()
+
+
 def hashes_of(text: str) -> np.ndarray:
     """Hash of the shingle that starts at each word, over the whole text."""
-    parts = list(shingle_hashes(text, SHINGLE))
-    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+    return shingled(words_of(text)[0])
+
+
+def shingled(words: np.ndarray) -> np.ndarray:
+    """Hash of the shingle that starts at each word, from the words' hashes; fewer words than SHINGLE make one."""
+    width = min(SHINGLE, len(words))
+    many = len(words) - width + 1
+    if not width:
+        return np.zeros(0, dtype=np.uint64)
+    out = np.zeros(many, dtype=np.uint64)
+    for k in range(width):
+        out += words[k : k + many] * _IN_SHINGLE[k]
+    return _finished(out)
+
+
+def _finished(sums: np.ndarray) -> np.ndarray:
+    """Sums of hashes with every bit depending on all others."""
+    sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return sums ^ (sums >> np.uint64(32))
 
 
 def picked_starts(hashes: np.ndarray) -> np.ndarray:
@@ -95,12 +163,12 @@ def _content(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), len(hashes)) - 2**63
 
 
-def lines_of(text: str, hashes: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
+def lines_of(in_lines: list[int], hashes: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
     """(content, first word, words, bands) of the paragraphs of a text; no bands where only equal ones count."""
     exact, kept = [], []
-    for at, n in paragraphs(text):
+    for at, n in paragraphs(in_lines):
         held = hashes[at : at + n - SHINGLE + 1]
-        if len(held) >= MIN_DIFFERENT and len(np.unique(held)) >= MIN_DIFFERENT:
+        if len(set(held[:32].tolist())) >= MIN_DIFFERENT or len(np.unique(held)) >= MIN_DIFFERENT:
             kept.append((at, n))
         else:
             exact.append((_content(held), at, n, []))
@@ -135,15 +203,15 @@ def windows_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _mixed(held: np.ndarray) -> np.ndarray:
     """The contents of windows, from rows of their shingles' hashes."""
-    content = (held * _PLACES).sum(axis=1, dtype=np.uint64)
-    return ((content ^ (content >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    return _finished((held * _PLACES).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
 def units_of(text: str | None) -> list[tuple[int, int, int, list[int] | None]]:
     """(content, first word, words, bands) of the paragraphs and windows of a text; windows have no bands."""
-    hashes = hashes_of(text or "")
+    words, in_lines = words_of(text or "")
+    hashes = shingled(words)
     found = zip(*(x.tolist() for x in windows_of(hashes)), strict=True)
-    return [*lines_of(text or "", hashes), *[(content, first, WINDOW, None) for content, first in found]]
+    return [*lines_of(in_lines, hashes), *[(content, first, WINDOW, None) for content, first in found]]
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -155,8 +223,9 @@ def units(docs: DataFrame) -> DataFrame:
             windows: list[tuple] = []
             waiting = 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                hashes = hashes_of(text or "")
-                lines += [(content, doc_id, at, n, bands) for content, at, n, bands in lines_of(text or "", hashes)]
+                words, in_lines = words_of(text or "")
+                hashes = shingled(words)
+                lines += [(content, doc_id, at, n, bands) for content, at, n, bands in lines_of(in_lines, hashes)]
                 contents, firsts = windows_of(hashes)
                 windows.append((doc_id, contents, firsts))
                 waiting += len(firsts)
@@ -287,9 +356,10 @@ def merged(spans: Column) -> Column:
 
 
 def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, first_word, n_words, first_doc and kept of every paragraph or window that repeats in another document.
+    """doc_id, first_word, n_words, first_doc, kept and is_short of every paragraph or window that repeats in another document.
 
-    first_doc is the smallest doc_id that its component occurs in; the occurrence first by doc_id and word is kept.
+    first_doc is the smallest doc_id that its component occurs in; the occurrence first by doc_id and word is kept. A
+    paragraph under MIN_REPORTED words is short.
     """
     scratch = Scratch(docs.sparkSession)
     everything = scratch.keep(units(docs), "units")
@@ -306,7 +376,8 @@ def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     same_window = everything.where("bands is null").withColumn("component", F.col("content"))
     windows = scratch.keep(across_documents(same_window), "windows")
     around = extensions(reaches(windows), docs, scratch)
-    return across_documents(same_line).drop("component").unionAll(windows.drop("component")).unionAll(around)
+    paragraphs = across_documents(same_line).drop("component").withColumn("is_short", F.col("n_words") < MIN_REPORTED)
+    return paragraphs.unionAll(windows.drop("component").unionAll(around).withColumn("is_short", F.lit(False)))
 
 
 def reaches(windows: DataFrame) -> DataFrame:
@@ -330,61 +401,99 @@ def reaches(windows: DataFrame) -> DataFrame:
 
 
 def extensions(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, first_word, n_words, first_doc and kept of the words beside windows that go on alike in another document."""
+    """doc_id, first_word, n_words, first_doc and kept of the words beside windows that go on alike in another document.
+
+    A row of contexts holds the keys of one window and side, for each number of words. Where all occurrences of a window
+    go on alike as far as they try, their last key says so; only the others are compared number by number.
+    """
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("component", "first_word", "left", "right")).alias("wanted"))
     texts = docs.select("doc_id", "text").join(lists, "doc_id").select("doc_id", "text", "wanted")
-
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text, seeds in zip(batch["doc_id"], batch["text"], batch["wanted"], strict=True):
-                rows += [(key, doc_id, *place) for key, *place in contexts_of(text or "", seeds)]
-                if len(rows) >= 50_000:
-                    yield pd.DataFrame(rows, columns=["key", "doc_id", "first_word", "many"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "doc_id", "first_word", "many"])
-
     kind = texts.schema["doc_id"].dataType.simpleString()
-    tried = texts.mapInPandas(extend, f"key long, doc_id {kind}, first_word int, many int")
-    tried = scratch.keep(tried, "contexts")
-    spread = tried.groupBy("key").agg(
-        F.min(F.struct("doc_id", "first_word")).alias("first"), F.max("doc_id").alias("last_doc")
+    columns = "component long, first_word int, is_left boolean, keys array<long>"
+    tried = scratch.keep(texts.mapInArrow(_contexts, f"doc_id {kind}, {columns}"), "contexts")
+
+    place = F.struct("doc_id", "first_word")
+    last = F.element_at("keys", -1)
+    sides = tried.groupBy("component", "is_left").agg(
+        F.min(place).alias("first"), F.max("doc_id").alias("last_doc"), F.min(last).alias("k1"), F.max(last).alias("k2")
+    )
+    sides = sides.select("component", "is_left", "first", "last_doc", (F.col("k1") == F.col("k2")).alias("alike"))
+    sides = scratch.keep(sides, "sides")
+    whole = sides.where("alike and first.doc_id <> last_doc").select("component", "is_left", "first")
+    agreed = tried.select("doc_id", "first_word", "component", "is_left", F.size("keys").alias("many"))
+    agreed = agreed.join(whole, ["component", "is_left"])
+
+    parted = sides.where("not alike").select("component", "is_left")
+    several = tried.join(parted, ["component", "is_left"], "left_semi")
+    several = several.select("doc_id", "first_word", "is_left", F.posexplode("keys").alias("at", "key"))
+    spread = several.groupBy("key").agg(F.min(place).alias("first"), F.max("doc_id").alias("last_doc"))
+    shared = several.join(spread.where("first.doc_id <> last_doc").select("key", "first"), "key")
+    found = agreed.select("doc_id", "first_word", "is_left", "many", "first").unionAll(
+        shared.select("doc_id", "first_word", "is_left", F.col("at") + 1, "first")
     )
-    alike = tried.join(spread.where("first.doc_id <> last_doc").select("key", "first"), "key")
     is_first = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.first_word") == F.col("first_word"))
-    most = alike.groupBy("doc_id", "first_word", (F.col("many") < 0).alias("is_left"), is_first.alias("kept")).agg(
-        F.max(F.abs("many")).alias("n_words"), F.min("first.doc_id").alias("first_doc")
+    most = found.groupBy("doc_id", "first_word", "is_left", is_first.alias("kept")).agg(
+        F.max("many").alias("n_words"), F.min("first.doc_id").alias("first_doc")
     )
     begin = F.when(F.col("is_left"), F.col("first_word") - F.col("n_words")).otherwise(F.col("first_word") + WINDOW)
     return most.select("doc_id", begin.alias("first_word"), "n_words", "first_doc", "kept")
 
 
-def contexts_of(text: str, seeds) -> list[tuple[int, int, int]]:
-    """(key, first word, many) of the windows listed in seeds with the words beside them: many on the right, -many left.
-
-    A seed whose window isn't in the text, but in that of another row with the same doc_id, gives none.
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of contexts_of for batches of (doc_id, text, wanted), some 100,000 keys at a time."""
+    for batch in batches:
+        ids, texts, wanted = (batch.column(name) for name in ("doc_id", "text", "wanted"))
+        rows: list[int] = []
+        parts: list[tuple] = []
+        waiting = 0
+        for row in range(len(batch)):
+            seeds = wanted[row].values
+            seeds = [seeds.field(k).to_numpy(zero_copy_only=False) for k in ("component", "first_word", "left", "right")]
+            found = contexts_of(texts[row].as_py() or "", *seeds)
+            rows += [row] * len(found[0])
+            parts.append(found)
+            waiting += len(found[4])
+            if waiting >= 100_000:
+                yield _context_rows(ids, rows, parts)
+                rows, parts, waiting = [], [], 0
+        if rows:
+            yield _context_rows(ids, rows, parts)
+
+
+def _context_rows(ids: pa.Array, rows: list[int], parts: list[tuple]) -> pa.RecordBatch:
+    component, first_word, is_left, sizes, keys = (np.concatenate(column) for column in zip(*parts, strict=True))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    columns = [
+        ids.take(pa.array(rows, pa.int64())), pa.array(component, pa.int64()), pa.array(first_word, pa.int32()),
+        pa.array(is_left, pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys, pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "component", "first_word", "is_left", "keys"])
+
+
+def contexts_of(text: str, contents: np.ndarray, firsts: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple:
+    """(content, first word, is left, number of keys) of windows' sides, and all their keys, one for each number of words.
+
+    A window that isn't in the text, but in that of another row with the same doc_id, gives none.
     """
-    words = text.encode("utf-8", "replace").lower().split()
-    digest, out = xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        content, at, left, right = seed["component"], seed["first_word"], seed["left"], seed["right"]
-        behind = at + WINDOW
-        if behind > len(words) or _window_content(b" ".join(words[at:behind])) != content:
-            continue
-        own = content % 2**64
-        for many in range(1, min(right, len(words) - behind) + 1):
-            key = digest(b"r " + b" ".join(words[behind : behind + many]), own)
-            out.append((key - 2**63, at, many))
-        for many in range(1, min(left, at) + 1):
-            out.append((digest(b"l " + b" ".join(words[at - many : at]), own) - 2**63, at, -many))
-    return out
-
-
-def _window_content(words: bytes) -> int:
-    """The content of a window of these words."""
-    held = hashes_of(words.decode("utf-8", "replace"))
-    return int(_mixed(held[None, :])[0]) if len(held) == len(_PLACES) else 0
+    words, _ = words_of(text)
+    hashes = shingled(words)
+    own = np.flatnonzero(firsts + len(_PLACES) <= len(hashes))
+    if len(own):
+        own = own[_mixed(hashes[firsts[own, None] + np.arange(len(_PLACES))]) == contents[own]]
+    contents, firsts = contents[own], firsts[own]
+    steps = np.arange(START)
+    out: list[tuple] = []
+    for is_left, wanted in ((False, right[own]), (True, left[own])):
+        room = firsts if is_left else len(words) - firsts - WINDOW
+        many = np.minimum(np.minimum(wanted, room), START)
+        beside = firsts[:, None] - 1 - steps if is_left else firsts[:, None] + WINDOW + steps
+        inside = steps < many[:, None]
+        met = np.where(inside, words[np.where(inside, beside, 0)], np.uint64(0)) if len(own) else inside.astype(np.uint64)
+        sums = np.cumsum(met * _BESIDE[int(is_left)], axis=1, dtype=np.uint64) + contents.view(np.uint64)[:, None]
+        some = many > 0
+        keys = _finished(sums).view(np.int64)[inside]
+        out.append((contents[some], firsts[some], np.full(some.sum(), is_left), many[some], keys))
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
 
 def across_documents(found: DataFrame) -> DataFrame:
@@ -404,27 +513,36 @@ def across_documents(found: DataFrame) -> DataFrame:
     )
 
 
-def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def repeated(docs: DataFrame, similarity: float = SIMILARITY, short_lines: bool = False) -> DataFrame:
     """One row per document with a passage that repeats in another: doc_id, first_doc, repeated, removed, n_words, n_removed.
 
     docs has rows (doc_id, text). repeated and removed are spans of words (first_word, behind): all that occurs elsewhere
     too, and what goes because an earlier occurrence stays. n_words and n_removed are their lengths; first_doc is the
-    smallest doc_id that any passage is shared with, the own included. Words are cut at ASCII white space, case is ignored.
-    Lines under SHINGLE words are no paragraphs of their own; paragraphs with under MIN_DIFFERENT different shingles, such as
-    short lines or one word over and over, repeat only if equal. Null and empty texts have none; rows that share a doc_id are one document; rows without an id take
-    no part; other columns are ignored; an empty table gives no rows.
+    smallest doc_id that any passage is shared with, the own included. short_lines and n_short are the spans and words of
+    paragraphs under MIN_REPORTED words that repeat; of them nothing is removed. With the option short_lines documents that
+    share nothing else have rows too, without passages and with a null first_doc.
+
+    Words are cut at ASCII white space, case is ignored. Lines under SHINGLE words are no paragraphs of their own; paragraphs
+    with under MIN_DIFFERENT different shingles, such as short lines or one word over and over, repeat only if equal. Null
+    and empty texts have none; rows that share a doc_id are one document; rows without an id take no part; other columns are
+    ignored; an empty table gives no rows.
     """
     spans = F.struct("first_word", (F.col("first_word") + F.col("n_words")).alias("behind"))
     by_doc = (
         members(docs, similarity)
         .groupBy("doc_id")
         .agg(
-            F.min("first_doc").alias("first_doc"),
-            F.sort_array(F.collect_set(spans)).alias("all"),
-            F.sort_array(F.collect_set(F.when(~F.col("kept"), spans))).alias("gone"),
+            F.min(F.when(~F.col("is_short"), F.col("first_doc"))).alias("first_doc"),
+            F.sort_array(F.collect_set(F.when(~F.col("is_short"), spans))).alias("all"),
+            F.sort_array(F.collect_set(F.when(~F.col("kept") & ~F.col("is_short"), spans))).alias("gone"),
+            F.sort_array(F.collect_set(F.when(F.col("is_short"), spans))).alias("short"),
         )
     )
-    covered = by_doc.select("doc_id", "first_doc", merged(F.col("all")).alias("r"), merged(F.col("gone")).alias("g"))
+    if not short_lines:
+        by_doc = by_doc.where(F.size("all") > 0)
+    covered = by_doc.select(
+        "doc_id", "first_doc", *[merged(F.col(c)).alias(to) for c, to in (("all", "r"), ("gone", "g"), ("short", "s"))]
+    )
     return covered.select(
         "doc_id",
         "first_doc",
@@ -432,4 +550,6 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         F.col("g.spans").alias("removed"),
         "r.n_words",
         F.col("g.n_words").alias("n_removed"),
+        F.col("s.spans").alias("short_lines"),
+        F.col("s.n_words").alias("n_short"),
     )
