@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import Scratch, with_roots
+from tidewatch.llm.shared import Scratch, shuffles_released, with_roots
 from tidewatch.llm.simhash import roots_of
 
 # Parameters: words in a shingle, similarity, bands and their rows, words from which a line is no part of a wrapped
@@ -163,7 +163,7 @@ def _content(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), len(hashes)) - 2**63
 
 
-def lines_of(in_lines: list[int], hashes: np.ndarray) -> list[tuple[int, int, int, list[int]]]:
+def lines_of(in_lines: list[int], hashes: np.ndarray) -> list[tuple]:
     """(content, first word, words, bands) of the paragraphs of a text; no bands where only equal ones count."""
     exact, kept = [], []
     for at, n in paragraphs(in_lines):
@@ -183,7 +183,7 @@ def lines_of(in_lines: list[int], hashes: np.ndarray) -> list[tuple[int, int, in
     folded = (banded[:, :, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ banded[:, :, 1:].sum(axis=2, dtype=np.uint64)
     return exact + [
         (_content(hashes[at : at + n - SHINGLE + 1]), at, n, bands)
-        for (at, n), bands in zip(kept, folded.view(np.int64).tolist(), strict=True)
+        for (at, n), bands in zip(kept, folded.view(np.int64), strict=True)
     ]
 
 
@@ -217,36 +217,43 @@ def units_of(text: str | None) -> list[tuple[int, int, int, list[int] | None]]:
 def units(docs: DataFrame) -> DataFrame:
     """content, doc_id, first_word, n_words and bands of the paragraphs and windows of docs (doc_id, text)."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id")
             lines: list[tuple] = []
             windows: list[tuple] = []
             waiting = 0
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                words, in_lines = words_of(text or "")
+            for row, text in enumerate(batch.column("text")):
+                words, in_lines = words_of(text.as_py() or "")
                 hashes = shingled(words)
-                lines += [(content, doc_id, at, n, bands) for content, at, n, bands in lines_of(in_lines, hashes)]
+                lines += [(row, *line) for line in lines_of(in_lines, hashes)]
                 contents, firsts = windows_of(hashes)
-                windows.append((doc_id, contents, firsts))
+                windows.append((np.full(len(firsts), row), contents, firsts))
                 waiting += len(firsts)
                 if waiting + len(lines) >= 50_000:
-                    yield from _unit_rows(lines, windows)
+                    yield from _unit_rows(ids, lines, windows)
                     lines, windows, waiting = [], [], 0
-            yield from _unit_rows(lines, windows)
+            yield from _unit_rows(ids, lines, windows)
 
     named = docs.where("doc_id is not null").select("doc_id", "text")
-    return named.mapInPandas(cut, UNITS.format(id_type=named.schema["doc_id"].dataType.simpleString()))
+    return named.mapInArrow(cut, UNITS.format(id_type=named.schema["doc_id"].dataType.simpleString()))
 
 
-def _unit_rows(lines: list[tuple], windows: list[tuple]) -> Iterator[pd.DataFrame]:
-    names = ["content", "doc_id", "first_word", "n_words", "bands"]
+def _unit_rows(ids: pa.Array, lines: list[tuple], windows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Units as rows; lines and windows name the rows of their documents among ids."""
+
+    def rows(content, row, first, n, bands) -> pa.RecordBatch:
+        columns = [pa.array(content, pa.int64()), ids.take(pa.array(row, pa.int64())), pa.array(first, pa.int32())]
+        columns += [pa.array(n, pa.int32()), bands]
+        return pa.RecordBatch.from_arrays(columns, names=["content", "doc_id", "first_word", "n_words", "bands"])
+
     if lines:
-        yield pd.DataFrame(lines, columns=names)
-    if any(len(firsts) for _, _, firsts in windows):
-        contents = np.concatenate([c for _, c, _ in windows])
-        firsts = np.concatenate([f for _, _, f in windows])
-        ids = pd.Series([d for d, c, _ in windows for _ in range(len(c))])
-        yield pd.DataFrame(dict(zip(names, (contents, ids, firsts, WINDOW, None), strict=True)))
+        row, content, first, n, bands = zip(*lines, strict=True)
+        yield rows(content, row, first, n, pa.array(bands, pa.list_(pa.int64())))
+    row, content, first = (np.concatenate(x) for x in zip(*windows, strict=True)) if windows else ((), (), ())
+    if len(row):
+        none = pa.nulls(len(row), pa.list_(pa.int64()))
+        yield rows(content, row, first, np.full(len(row), WINDOW), none)
 
 
 def collisions(contents: DataFrame) -> DataFrame:
@@ -264,21 +271,37 @@ def shingles_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("content", "first_word", "n_words")).alias("wanted"))
     texts = docs.select("doc_id", "text").join(lists, "doc_id").select("text", "wanted")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contents: list[int] = []
+        sets: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
-            for text, lines in zip(batch["text"], batch["wanted"], strict=True):
-                hashes = hashes_of(text or "")
-                contents, sets = [], []
-                for line in lines:
+            for row, text in enumerate(batch.column("text")):
+                words, _ = words_of(text.as_py() or "")
+                hashes = shingled(words)
+                for line in batch.column("wanted")[row].as_py():
                     at, n = line["first_word"], line["n_words"]
                     held = hashes[at : at + n - SHINGLE + 1]
                     if len(held) and _content(held) == line["content"]:
                         contents.append(line["content"])
                         sets.append(np.unique(held).view(np.int64))
-                if contents:
-                    yield pd.DataFrame({"content": contents, "shingles": sets})
+                        waiting += len(held)
+                if waiting >= 200_000:
+                    yield _sets(contents, sets)
+                    contents, sets, waiting = [], [], 0
+        if contents:
+            yield _sets(contents, sets)
+
+    return texts.mapInArrow(cut, "content long, shingles array<long>").dropDuplicates(["content"])
 
-    return texts.mapInPandas(cut, "content long, shingles array<long>").dropDuplicates(["content"])
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts), pa.int64()))
+
+
+def _sets(contents: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), _lists(sets)], names=["content", "shingles"])
 
 
 def verified(found: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -362,6 +385,11 @@ def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     paragraph under MIN_REPORTED words is short.
     """
     scratch = Scratch(docs.sparkSession)
+    with shuffles_released(docs.sparkSession):
+        return _members(docs, similarity, scratch)
+
+
+def _members(docs: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     everything = scratch.keep(units(docs), "units")
     lines = everything.where("bands is not null")
     place = F.struct("doc_id", "first_word", "n_words")
@@ -371,6 +399,8 @@ def members(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     wanted = wanted.groupBy("content").agg(F.min(place).alias("p")).select("content", "p.*")
     shingles = scratch.keep(shingles_of(wanted, docs), "shingles")
     links = scratch.keep(verified(found, shingles, similarity), "links")
+    scratch.drop("shingles")
+    scratch.drop("collisions")
     roots = with_roots(links, scratch).select(F.col("node").alias("content"), "root")
     same_line = lines.join(roots, "content", "left").withColumn("component", F.coalesce("root", "content"))
     same_window = everything.where("bands is null").withColumn("component", F.col("content"))
