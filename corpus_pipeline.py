@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import language_id, mixing, packing, queries, secret_scan, simhash
+from tidewatch.llm import language_id, mixing, packing, queries, secret_scan, simhash, token_counts
 from tidewatch.llm.shared import Scratch, free_name
 
 #: Documents whose language is this uncertain go, as do those without a letter.
@@ -26,7 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates."""
+    """The first document of every group of near-duplicates, row by row: ids may repeat or be missing."""
     return simhash.first_of_group(docs)
 
 
@@ -45,8 +45,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences' pieces."""
-    return packing.packed(docs)
+    """The sequences' pieces, in tokens of the public vocabulary."""
+    return packing.packed(docs, n_tokens=token_counts.token_count(F.col("text")))
 
 
 STAGES = [
