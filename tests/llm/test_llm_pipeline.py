@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewatch.llm import language_id, packing, secret_scan, simhash
+from tidewatch.llm import language_id, packing, secret_scan, simhash, token_counts
 from tidewatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -34,8 +34,9 @@ def test_each_stage_takes_effect(spark, tmp_path):
         elif name == "mixing":
             assert {r["doc_id"] for r in rows} <= ids and len(rows) != len(ids)
         else:
-            words = sum(len(r["text"].encode().split()) for r in before.collect())
-            assert sum(r["n_tokens"] for r in rows) == words
+            encoding, _ = token_counts.Vocabulary().encoder()
+            tokens = sum(len(encoding.encode_ordinary(r["text"])) for r in before.collect())
+            assert sum(r["n_tokens"] for r in rows) == tokens
             assert all(r["bin_length"] in packing.LENGTHS for r in rows if r["bin_id"] is not None)
 
 

@@ -68,11 +68,38 @@ def test_null_empty_repeated_and_missing_ids(frame):
     expected = [(5, zero, 3), (3, zero, 3), (9, zero, 3), (7, two, 7), (7, two, 7), (None, two, 7), (None, alone, None)]
     assert found == sorted(expected, key=str)
     kept = simhash.first_of_group(frame(rows, DOCS)).select("doc_id", "component_id").collect()
-    assert sorted(map(str, (r["doc_id"] for r in kept))) == ["3", "7", "None", "None"]
+    assert sorted(map(str, (r["doc_id"] for r in kept))) == ["3", "7", "None"]
     assert simhash.near_duplicates(frame([], DOCS)).count() == 0
     assert simhash.first_of_group(frame([], DOCS)).columns == frame([], DOCS).columns
 
 
+def test_rows_that_share_an_id_or_have_none_are_judged_by_their_own_text(frame):
+    draw = np.random.default_rng(4)
+    a, b, c, d = (" ".join(f"w{w}" for w in draw.integers(0, 10**6, 40)) for _ in "abcd")
+    rows = [(1, a), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (4, a), (4, a)]
+    docs = frame([(i, t, "group", 7) for i, t in rows], "doc_id long, text string, `rank` string, `group` long")
+    kept = simhash.first_of_group(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (1, b), (3, c), (None, d)], key=str
+    )
+
+
+def test_one_row_stays_of_each_group_of_random_rows(frame):
+    draw = np.random.default_rng(6)
+    texts = [" ".join(f"w{w}" for w in draw.integers(0, 10**6, 30)) for _ in range(12)] + ["", None]
+    rows = [(None if i > 7 else int(i), texts[t]) for i, t in draw.integers(0, [10, 14], (120, 2)).tolist()]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.first_of_group(frame(rows, "doc_id long, text string")).collect()]
+    prints = {t: plain_fingerprint(t or "") for t in texts}
+    label = plain_components({k: prints[t] for k, t in enumerate(texts)}, 4)
+    first: dict = {}
+    for i, t in rows:
+        order = (i is None, i or 0, t is not None, t or "")
+        group = label[texts.index(t)]
+        first[group] = min(first.get(group, (order, (i, t))), (order, (i, t)), key=lambda x: x[0])
+    assert sorted(kept, key=str) == sorted((x[1] for x in first.values()), key=str)
+
+
 def test_letters_beyond_a_to_z_keep_their_case():
     assert simhash.fingerprint_of("Él Él Él Él uno") != simhash.fingerprint_of("él él él él uno")
     assert simhash.fingerprint_of("EL EL EL EL UNO") == simhash.fingerprint_of("el el el el uno")

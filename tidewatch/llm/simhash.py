@@ -177,25 +177,44 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), words_per_shingle).alias("fp"))
     own = scratch.keep(own, "fingerprints")
+    named = _components(own, radius, scratch).select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _components(own: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """fp, root (a fingerprint of its component, the same for all of it) and component_id, from rows (doc_id, fp)."""
     prints = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     edges = scratch.keep(links(prints, radius), "edges")
     roots = with_roots(edges, scratch).select(F.col("node").alias("fp"), "root")
     placed = prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(smallest, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    return placed.join(smallest, "root").select("fp", "root", "component_id")
 
 
-def first_of_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay: of every group of near-duplicates the one with the smallest id.
+def first_of_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words_per_shingle: int = 4
+) -> DataFrame:
+    """The rows of docs that stay: one of every group of near-duplicates, the first by id (none last), then text (null first).
 
-    Of rows with the same id one stays, the one with the smallest text. Rows without an id can't be named by a decision
-    and all stay.
+    Rows are judged one by one, by the component of their own text: rows with the same id and texts that aren't alike
+    stay, each for its group, and of rows without an id one stays of a group in which no row has one. Of repeated rows one
+    stays. Links are those of near_duplicates.
     """
-    found = near_duplicates(docs, id_col=id_col, **options)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    named = docs.join(stay, docs[id_col] == stay["stays"], "left_semi")
-    rank = free_name(docs, "rank")
-    order = Window.partitionBy(id_col).orderBy(options.get("text_col", "text"))
-    first = named.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank)
-    return first.unionByName(docs.where(F.col(id_col).isNull()))
+    if radius % 2:
+        raise ValueError("radius must be even: two balls of half of it meet in the middle")
+    scratch = Scratch(docs.sparkSession)
+    # A text is named by a hash that the JVM makes, so that fingerprints are computed once and texts don't move with them.
+    text_key = F.xxhash64(F.col(text_col))
+    own = docs.select(
+        F.col(id_col).alias("doc_id"), text_key.alias("text_key"), fingerprint(F.col(text_col), words_per_shingle).alias("fp")
+    )
+    own = scratch.keep(own, "fingerprints")
+    group, key, first, rank = (free_name(docs, name) for name in ("group", "text_key", "first_id", "rank"))
+    rows = own.groupBy("doc_id", "text_key", "fp").agg(F.lit(1).alias("one")).join(_components(own, radius, scratch), "fp")
+    stay = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+        F.col("root").alias(group), F.col("text_key").alias(key), F.col("doc_id").alias(first)
+    )
+    same = F.col(id_col).eqNullSafe(F.col(first)) & (text_key == F.col(key))
+    order = Window.partitionBy(group).orderBy(text_col)
+    ranked = docs.join(stay, same).withColumn(rank, F.row_number().over(order))
+    return ranked.where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
