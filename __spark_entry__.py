@@ -15,8 +15,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from oracle.statements import STATEMENTS, statement  # noqa: E402
 from tidewatch.functions import exprs as X  # noqa: E402
-from tidewatch.operators import checks, context, detect, fuse, marts, partials, profile, prompts, select  # noqa: E402
-from tidewatch.operators import sketches, state_space  # noqa: E402
+from tidewatch.operators import checks, context, detect, fuse, key_match, marts, partials, profile, prompts  # noqa: E402
+from tidewatch.operators import select, sketches, state_space  # noqa: E402
 from tidewatch.operators import series as series_ops  # noqa: E402
 from tidewatch.plans.pipeline import Pipeline  # noqa: E402
 from tidewatch.sources.catalog import sample_scan  # noqa: E402
@@ -184,6 +184,20 @@ def _key_reconciliation(p: Pipeline) -> DataFrame:
     )
 
 
+def _key_suggestions(p: Pipeline) -> DataFrame:
+    """Areas of the prices against the master's, as another system may spell them: a third of the names lack a letter."""
+    src = p.sources
+    area = X.region_key("|", F.col("sgg"), F.col("emd"))
+    master = X.region_key(" ", F.initcap("city_kor_name"), F.initcap("district_kor_name"))
+    shorter = F.when(F.col("district_code") % 3 == 0, F.substring(master, F.lit(1), F.length(master) - 1)).otherwise(master)
+    return key_match.key_suggestions(
+        [
+            ("price area / district", src["price"], area, src["district"], shorter),
+            ("price area / city", src["price"], area, src["telecom"], F.col("install_city")),
+        ]
+    )
+
+
 QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
     # series
     "price_series": _series_of("price"),
@@ -298,6 +312,8 @@ QUERIES: dict[str, Callable[[Pipeline], DataFrame]] = {
         p.sources["card"], F.col("district_code"), p.sources["district"], F.col("district_code")
     ),
     "key_reconciliation": _key_reconciliation,
+    "key_suggestions": _key_suggestions,
+    "key_mapping": lambda p: key_match.key_mapping(_key_suggestions(p), "price area / district"),
     "coverage_by_city": lambda p: checks.coverage_by_city(p.sources["telecom"]),
     "date_range": lambda p: checks.date_range(p.sources["price"], ["NATION_3", "NATION_11", "NATION_19"]),
     "distinct_values": lambda p: checks.distinct_values(p.sources["telecom"], "install_city"),

@@ -304,6 +304,12 @@ STATEMENTS: dict[str, str] = {
               WHERE standard_year_month = (SELECT max(standard_year_month) FROM income_src))
           WHERE key IS NOT NULL GROUP BY pair, key)
         GROUP BY pair""",
+    "key_suggestions": "SELECT pair, side, key, suggestion, distance, n_nearest FROM suggested_keys",
+    "key_mapping": """
+        SELECT key, suggestion AS mapped_key FROM suggested_keys s
+        WHERE pair = 'price area / district' AND side = 'left' AND n_nearest = 1 AND NOT EXISTS (
+          SELECT 1 FROM suggested_keys o WHERE o.pair = s.pair AND o.side = s.side AND o.n_nearest = 1
+            AND o.suggestion = s.suggestion AND o.key <> s.key AND o.distance <= s.distance)""",
     "coverage_by_city": """
         SELECT install_state, install_city, min(ts) AS min_ym, max(ts) AS max_ym, count(*) AS cnt FROM telecom_src
         GROUP BY install_state, install_city ORDER BY install_state, cnt DESC, install_city LIMIT 50""",

@@ -68,7 +68,7 @@ def date_range(price: DataFrame, districts: list[str]) -> DataFrame:
     )
 
 
-def _keys_of(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
+def keys_of(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
     """Every key of each pair of sources, and which of them has it: one scan of each side and one grouping."""
 
     def side(pair: str, df: DataFrame, key: Column, left: bool) -> DataFrame:
@@ -85,7 +85,7 @@ def _keys_of(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> D
 
 def key_reconciliation(pairs: list[tuple[str, DataFrame, Column, DataFrame, Column]]) -> DataFrame:
     """Keys of two sources compared: how many are in both, only left, only right."""
-    return _keys_of(pairs).groupBy("pair").agg(
+    return keys_of(pairs).groupBy("pair").agg(
         F.count_if(F.col("in_left") & F.col("in_right")).alias("in_both"),
         F.count_if(~F.col("in_right")).alias("left_only"),
         F.count_if(~F.col("in_left")).alias("right_only"),
@@ -94,7 +94,7 @@ def key_reconciliation(pairs: list[tuple[str, DataFrame, Column, DataFrame, Colu
 
 def key_mismatches(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column) -> DataFrame:
     """Keys that only one of two sources has, with the side that has them."""
-    keyed = _keys_of([("", left, left_key, right, right_key)])
+    keyed = keys_of([("", left, left_key, right, right_key)])
     side = F.when(~F.col("in_right"), "left").when(~F.col("in_left"), "right")
     return keyed.select("key", side.alias("side")).where(F.col("side").isNotNull())
 
