@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -140,3 +141,31 @@ def test_words_in_a_row_keep_pieces_and_texts_apart():
     assert spelled == [b"a", b"b", b"c", b"d", b"e", b"f"]
     assert seen.together.tolist() == [True, False, False, False, True]
     assert seen.lang.tolist() == [0, 0, 0, 2, 3, 3]
+
+
+def test_a_scan_holds_little_beside_its_portion_and_sends_small_batches(monkeypatch):
+    monkeypatch.setattr(C, "PORTION", 4 << 20)
+    monkeypatch.setattr(C, "ROWS", 1000, raising=False)
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(3000)])
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(900)]
+    size = sum(map(len, texts))
+    assert 3 << 20 < size < 4 << 20
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    full, none = np.full(1 << 12, 255, dtype=np.uint8), np.zeros(1 << 12, dtype=np.uint8)
+    filters = [C.Filter(full), C.Filter(none), C.Filter(none)]
+    tracemalloc.start()
+    most = sum(1 for _ in filter(lambda b: b.num_rows > 1000, C._each(iter([batch]), lambda s, n: C.counted(s, n, filters, 1, 2))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not most
+    assert peak < 13 * size
+
+
+def test_portions_of_a_batch_are_of_about_the_same_size(monkeypatch):
+    monkeypatch.setattr(C, "PORTION", 1000)
+    batch = pa.record_batch([pa.array(["en"] * 21), pa.array(["x " * 25] * 21)], names=["lang", "text"])
+    seen = []
+    assert not [*C._each(iter([batch]), lambda s, n: seen.append(len(s.word)) or ())]
+    assert sum(seen) == 21 * 25
+    assert max(seen) <= 500 and min(seen) >= 200

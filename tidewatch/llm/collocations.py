@@ -20,6 +20,7 @@ phrase of a portion.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ SHARDS = 2
 FILTER_BITS = 1 << 25
 #: Score of a phrase whose words come only together; a longer candidate with this share in percent covers a shorter one.
 UNIT, COVERED = 1_000_000, 80
-#: Bytes of text that are counted at the same time (a longer text on its own).
-PORTION = 16 << 20
+#: Bytes of text that are counted at the same time (a longer text on its own), rows that leave a task together.
+PORTION, ROWS = 20 << 20, 1 << 16
+#: Bytes of texts that go to Python together.
+BATCH = 2 << 20
 #: Parts of a language whose best phrases are found apart before they meet in one task.
 PARTS = 64
 
@@ -87,12 +90,17 @@ class Filter:
         self.bits = bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), dtype=bool)
-        last = np.uint64(len(self.bits) * 8 - 1)
-        for place in (h & last, (h >> np.uint64(32)) & last):
-            found &= (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1) > 0
+        found = self._bit(h)
+        some = np.flatnonzero(found)
+        found[some] = self._bit(h[some] >> np.uint64(32))
         return found
 
+    def _bit(self, place: np.ndarray) -> np.ndarray:
+        place = place & np.uint64(len(self.bits) * 8 - 1)
+        of_byte = (place & np.uint64(7)).astype(np.uint8)
+        place >>= np.uint64(3)
+        return (self.bits[place.view(np.int64)] >> of_byte & 1) > 0
+
 
 class Words:
     """The words of texts in a row, as numbers: of the word, of its language, and whether the next one is in its piece."""
@@ -108,17 +116,21 @@ class Words:
         begins = rows[:-1][rows[:-1] < len(raw)]
         first[begins] = inside[begins]
         last[begins[begins > 0] - 1] = inside[begins[begins > 0] - 1]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        row = np.searchsorted(rows, starts, "right") - 1
-        breaks = np.searchsorted(np.flatnonzero(kind == 2), starts)
-        self.together = (np.diff(row) == 0) & (np.diff(breaks) == 0)
+        starts = np.flatnonzero(first)
+        offsets = np.zeros(len(starts) + 1, dtype=np.int32)
+        np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
+        del first, last
+        row = (np.searchsorted(rows, starts, "right") - 1).astype(np.int32)
+        self.lang = lang[row].astype(np.int32)
+        self.together = np.diff(row) == 0
+        del row
+        self.together &= np.diff(np.searchsorted(np.flatnonzero(kind == 2), starts)) == 0
         letters = FOLD[raw[inside[:-1]]]
-        offsets = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(ends - starts)]).astype(np.int32)
+        del kind, inside
         spelled = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = spelled.dictionary_encode()
         self.dictionary = coded.dictionary
-        self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.lang = lang[row].astype(np.int64)
+        self.word = coded.indices.to_numpy(zero_copy_only=False)
 
 
 def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -127,7 +139,7 @@ def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tu
     """
     hashes = _hashes(seen.dictionary)
     seeds = _hashes(pa.array([n.encode() for n in names], pa.binary()))
-    place = np.arange(len(seen.word))
+    place = np.arange(len(seen.word), dtype=np.int32)
     h = _joined(seeds[seen.lang], hashes[seen.word])
     had = [np.ones(len(place), dtype=bool) for _ in filters]
     for k in range(1, LONGEST + 1):
@@ -145,13 +157,15 @@ def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tu
 def counted(seen: Words, names: list[str], filters: list[Filter], step: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Counts of what is active in a step: h, k, since, n, with the step since when."""
     for k, place, h, age in passing(seen, names, filters):
-        if k == 1:
-            age = np.full(len(place), step, dtype=np.int32)
-        active = np.flatnonzero(age < shards)
-        if len(active):
-            different, one, n = np.unique(h[active], return_index=True, return_counts=True)
-            columns = [different.view(np.int64), np.full(len(n), k, dtype=np.int32), step - age[active][one], n]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
+        for old in range(shards):
+            if k == 1 and old != step:  # words are counted from the first shard on
+                continue
+            different, n = np.unique(h if k == 1 else h[age == old], return_counts=True)
+            same = np.full(min(len(n), ROWS), k, dtype=np.int32), np.full(min(len(n), ROWS), step - old, dtype=np.int32)
+            for at in range(0, len(n), ROWS):
+                some = min(ROWS, len(n) - at)
+                columns = [different[at : at + some].view(np.int64), *[c[:some] for c in same], n[at : at + some]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
 
 
 def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.RecordBatch]:
@@ -164,31 +178,70 @@ def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.Reco
         place = place[frequent.has(h)]
         if not len(place):
             continue
-        which = seen.lang[place]
-        columns: list[np.ndarray] = []
+        key, most = seen.lang[place].astype(np.int64), max(1, len(names))
+        shorter: dict[int, np.ndarray] = {}  # what keys stood for when they would have passed 63 bits
         for i in range(k):
-            different, which, n = np.unique(which * many + seen.word[place + i], return_inverse=True, return_counts=True)
-            before, word = different // many, different % many
-            columns = [c[before] for c in columns] + [word] if i else [before, word]
+            if most * many >= 1 << 63:
+                shorter[i], key = np.unique(key, return_inverse=True)
+                most = len(shorter[i])
+            key, most = key * many + seen.word[place + i], most * many
+        key, n = np.unique(key, return_counts=True)
+        columns: list[np.ndarray] = []
+        for i in reversed(range(k)):
+            key, word = np.divmod(key, many)
+            columns.insert(0, word)
+            if i in shorter:
+                key = shorter[i][key]
+        columns.insert(0, key)
         words = [seen.dictionary.take(pa.array(c)) for c in columns[1:]]
         phrase = words[0] if k == 1 else pc.binary_join_element_wise(*words, b" ")
         langs = pa.array(names, pa.string()).take(pa.array(columns[0]))
         length = pa.array(np.full(len(n), k, dtype=np.int32))
-        yield pa.record_batch([langs, phrase.cast(pa.string()), length, pa.array(n, pa.int64())], schema=SPELLED)
+        found = pa.record_batch([langs, phrase.cast(pa.string()), length, pa.array(n, pa.int64())], schema=SPELLED)
+        yield from (found.slice(at, ROWS) for at in range(0, len(n), ROWS))
 
 
 def _each(batches: Iterator[pa.RecordBatch], of_words) -> Iterator[pa.RecordBatch]:
     """What a function of the words, and of their languages' names, makes of each portion of rows (lang, text)."""
-    for batch in batches:
+    for batch in _gathered(batches):
         lang, text = batch.column("lang").dictionary_encode(), batch.column("text")
         number, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
         _, rows = text_bytes(text)
-        for a, b in portions(rows, PORTION):
+        even = int(rows[-1]) // (int(rows[-1]) // PORTION + 1) + 1  # no small one is left at the end
+        for a, b in portions(rows, min(PORTION, even + int(np.diff(rows).max(initial=0)))):
             seen = Words(text.slice(a, b - a), number[a:b])
             if len(seen.word):
                 yield from of_words(seen, names)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in larger ones, of up to PORTION bytes; a larger one stays as it is."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if held and size + batch.nbytes > PORTION:
+            whole, held, size = pa.concat_batches(held), [], 0
+            yield whole
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        whole = pa.concat_batches(held)
+        held.clear()
+        yield whole
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """In the block, texts go to Python in batches of some BATCH bytes, which take that much less beside the heap."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _scan(shard: DataFrame, step: int, shards: int, filters: list) -> DataFrame:
     """Counts of what is active, of a shard of rows (lang, text); the broadcast filters are newest first."""
 
@@ -305,7 +358,7 @@ def collocations(docs: DataFrame, shards: int = SHARDS, bits: int = FILTER_BITS)
     counted whole, however long. Other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
-    with shuffles_released(docs.sparkSession):
+    with shuffles_released(docs.sparkSession), _small_batches(docs.sparkSession):
         phrases, words = phrase_counts(docs, scratch, shards, bits)
     found = scratch.keep(uncovered(scored(phrases)), "scored")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
