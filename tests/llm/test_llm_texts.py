@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import license_scan as C
@@ -357,3 +358,24 @@ def test_blocks_are_linked_like_all_pairs():
     a, b = np.array(pairs).T
     c, d = np.array(links).T
     assert roots_of(a, b, 30).tolist() == roots_of(c, d, 30).tolist()
+
+
+def test_units_of_texts_together_are_those_of_each():
+    rng = random.Random(11)
+    texts = ["", " \n", "a b", "a b c d e", "Ä é\x0b" * 50, "y" * 70_000 + " z" * 30, "x " * 40_000, "\n".join(["a b c d"] * 9)]
+    lines = lambda: [" ".join(rng.choices("ABcdefghijkl", k=rng.randrange(60))) for _ in range(rng.randrange(9))]
+    texts += ["\n".join(lines()) for _ in range(200)]
+    rows = []
+    groups = list(D._groups(pa.array(texts)))
+    assert [row for own, _ in groups for row in own] == list(range(len(texts)))
+    assert len(groups) < 10  # few calls for many texts
+    for own, held in groups:
+        if sum(map(len, held)) + len(held) > D.CHUNK:
+            assert len(held) == 1
+            continue
+        found, windows = D.units_together(held)
+        rows += [(own[i], content, first, n, list(bands)) for i, content, first, n, bands in found]
+        rows += [(own[i], content, first, D.WINDOW, None) for i, content, first in zip(*(x.tolist() for x in windows), strict=True)]
+    plain = [(i, c, f, n, None if b is None else list(b)) for i, t in enumerate(texts) if len(t) < 60_000 for c, f, n, b in D.units_of(t)]
+    assert len(plain) > 1000
+    assert sorted(map(repr, rows)) == sorted(map(repr, plain))

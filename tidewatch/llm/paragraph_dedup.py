@@ -90,13 +90,14 @@ def paragraphs(in_lines: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def words_of(text: str) -> tuple[np.ndarray, list[int]]:
+def words_of(text: str | bytes) -> tuple[np.ndarray, list[int]]:
     """A hash of each word, and the number of words in each line. Only A-Z is lower-cased, only ASCII white space parts words.
+    Bytes are lower-cased UTF-8 already.
 
     A word's hash is the sum over its bytes, each byte's number times a power that grows along the word. The sums of all
     words of a chunk come from one running sum; a word that is longer than a chunk is hashed by itself.
     """
-    held = text.encode("utf-8", "replace").lower()
+    held = text.encode("utf-8", "replace").lower() if isinstance(text, str) else text
     hashes, ends_of_lines, at, n_words = [], [], 0, 0
     while at < len(held):
         behind = len(held)
@@ -110,13 +111,8 @@ def words_of(text: str) -> tuple[np.ndarray, list[int]]:
                 at, n_words = behind, n_words + 1
                 continue
         own = np.frombuffer(held, np.uint8, behind - at, at)
-        filled = np.zeros(len(own) + 2, dtype=np.int8)
-        filled[1:-1] = ~_BLANK[own]
-        edges = np.diff(filled)
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        sums = np.zeros(len(own) + 1, dtype=np.uint64)
-        np.cumsum(_OF_BYTE[own] * _POWERS[: len(own)], out=sums[1:])
-        hashes.append(_finished((sums[ends] - sums[starts]) * _INVERSES[starts]))
+        starts, own_hashes = _words_in(own)
+        hashes.append(own_hashes)
         ends_of_lines.append(np.searchsorted(starts, np.flatnonzero(own == 10)) + n_words)
         at, n_words = behind, n_words + len(starts)
     if not hashes:
@@ -124,6 +120,17 @@ def words_of(text: str) -> tuple[np.ndarray, list[int]]:
     return np.concatenate(hashes), np.diff(np.concatenate([[0], *ends_of_lines, [n_words]])).tolist()
 
 
+def _words_in(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in the bytes of a chunk, and their hashes."""
+    filled = np.zeros(len(own) + 2, dtype=np.int8)
+    filled[1:-1] = ~_BLANK[own]
+    edges = np.diff(filled)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    sums = np.zeros(len(own) + 1, dtype=np.uint64)
+    np.cumsum(_OF_BYTE[own] * _POWERS[: len(own)], out=sums[1:])
+    return starts, _finished((sums[ends] - sums[starts]) * _INVERSES[starts])
+
+
 def hashes_of(text: str) -> np.ndarray:
     """Hash of the shingle that starts at each word, over the whole text."""
     return shingled(words_of(text)[0])
@@ -174,17 +181,20 @@ def lines_of(in_lines: list[int], hashes: np.ndarray) -> list[tuple]:
             exact.append((_content(held), at, n, []))
     if not kept:
         return exact
-    spans = np.array([(at, at + n - SHINGLE + 1) for at, n in kept]).ravel()
-    smallest = np.empty((len(kept), BANDS * ROWS), dtype=np.uint64)
+    bands = _bands(hashes, kept)
+    return exact + [(_content(hashes[at : at + n - SHINGLE + 1]), at, n, own) for (at, n), own in zip(kept, bands, strict=True)]
+
+
+def _bands(hashes: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
+    """The bands of paragraphs (first word, words), a row for each."""
+    places = np.array([(at, at + n - SHINGLE + 1) for at, n in spans]).ravel()
+    smallest = np.empty((len(spans), BANDS * ROWS), dtype=np.uint64)
     padded = np.append(hashes, np.uint64(0))
     for k, (factor, term) in enumerate(_MIX):
-        smallest[:, k] = np.minimum.reduceat(padded * factor + term, spans)[::2]
-    banded = smallest.reshape(len(kept), BANDS, ROWS)
+        smallest[:, k] = np.minimum.reduceat(padded * factor + term, places)[::2]
+    banded = smallest.reshape(len(spans), BANDS, ROWS)
     folded = (banded[:, :, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ banded[:, :, 1:].sum(axis=2, dtype=np.uint64)
-    return exact + [
-        (_content(hashes[at : at + n - SHINGLE + 1]), at, n, bands)
-        for (at, n), bands in zip(kept, folded.view(np.int64), strict=True)
-    ]
+    return folded.view(np.int64)
 
 
 def windows_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +224,61 @@ def units_of(text: str | None) -> list[tuple[int, int, int, list[int] | None]]:
     return [*lines_of(in_lines, hashes), *[(content, first, WINDOW, None) for content, first in found]]
 
 
+def units_together(held: list[bytes]) -> tuple[list[tuple], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, content, first word, words, bands) of the paragraphs of several lower-cased texts, and columns text, content,
+    first word of their windows: the units of each text, as units_of gives them. All texts together are under a CHUNK.
+    """
+    own = np.frombuffer(b"\n".join(held), np.uint8)
+    starts, words = _words_in(own)
+    nothing = np.zeros(0, dtype=np.int64)
+    if len(words) < SHINGLE:
+        return [], (nothing, nothing, nothing)
+    hashes = shingled(words)
+    behind = np.cumsum([len(x) + 1 for x in held]) - 1  # the byte behind each text
+    ends = np.searchsorted(starts, behind)
+    begins = np.concatenate([[0], ends[:-1]])
+    breaks = np.flatnonzero(own == 10)
+    in_lines = np.diff(np.concatenate([[0], np.searchsorted(starts, breaks), [len(words)]])).tolist()
+    last_lines = np.searchsorted(breaks, behind).tolist()
+
+    exact, kept = [], []
+    line = 0
+    for text, (begin, last) in enumerate(zip(begins.tolist(), last_lines, strict=True)):
+        for first, n in paragraphs(in_lines[line : last + 1]):
+            at = begin + first
+            shingles = hashes[at : at + n - SHINGLE + 1]
+            if len(set(shingles[:32].tolist())) >= MIN_DIFFERENT or len(np.unique(shingles)) >= MIN_DIFFERENT:
+                kept.append((text, at, first, n, _content(shingles)))
+            else:
+                exact.append((text, _content(shingles), first, n, []))
+        line = last + 1
+    if kept:
+        bands = _bands(hashes, [(at, n) for _, at, _, n, _ in kept])
+        exact += [(text, content, first, n, own) for (text, _, first, n, content), own in zip(kept, bands, strict=True)]
+
+    many = WINDOW - SHINGLE + 1
+    text_of = np.repeat(np.arange(len(held)), ends - begins)[: len(hashes)]
+    room = ends[text_of] - SHINGLE + 1 - np.arange(len(hashes))  # shingles from each one to the last of its text
+    picked = _smallest_ahead(hashes)
+    picked = np.unique(picked[room[: len(picked)] >= START])
+    picked = picked[room[picked] >= many]
+    contents = _mixed(seen := hashes[picked[:, None] + np.arange(many)])
+    varied = (np.diff(np.sort(seen, axis=1), axis=1) != 0).sum(axis=1) + 1 >= MIN_DIFFERENT
+    picked = picked[varied]
+    return exact, (text_of[picked], contents[varied], picked - begins[text_of[picked]])
+
+
+def _smallest_ahead(hashes: np.ndarray) -> np.ndarray:
+    """For each START hashes in a row, the place of the smallest, the first of equal ones."""
+    place, wide = np.arange(len(hashes)), 1
+    while wide < START and len(hashes) >= START:
+        step = min(wide, START - wide)
+        left, right = place[:-step], place[step:]
+        place = np.where(hashes[left] <= hashes[right], left, right)
+        wide += step
+    return place if len(hashes) >= START else place[:0]
+
+
 def units(docs: DataFrame) -> DataFrame:
     """content, doc_id, first_word, n_words and bands of the paragraphs and windows of docs (doc_id, text)."""
 
@@ -223,12 +288,17 @@ def units(docs: DataFrame) -> DataFrame:
             lines: list[tuple] = []
             windows: list[tuple] = []
             waiting = 0
-            for row, text in enumerate(batch.column("text")):
-                words, in_lines = words_of(text.as_py() or "")
-                hashes = shingled(words)
-                lines += [(row, *line) for line in lines_of(in_lines, hashes)]
-                contents, firsts = windows_of(hashes)
-                windows.append((np.full(len(firsts), row), contents, firsts))
+            for rows, held in _groups(batch.column("text")):
+                if len(held) > 1 or len(held[0]) < CHUNK:
+                    found, (row, contents, firsts) = units_together(held)
+                    lines += [(rows[i], *line) for i, *line in found]
+                    windows.append((np.array(rows)[row], contents, firsts))
+                else:
+                    words, in_lines = words_of(held[0])
+                    hashes = shingled(words)
+                    lines += [(rows[0], *line) for line in lines_of(in_lines, hashes)]
+                    contents, firsts = windows_of(hashes)
+                    windows.append((np.full(len(firsts), rows[0]), contents, firsts))
                 waiting += len(firsts)
                 if waiting + len(lines) >= 50_000:
                     yield from _unit_rows(ids, lines, windows)
@@ -239,6 +309,23 @@ def units(docs: DataFrame) -> DataFrame:
     return named.mapInArrow(cut, UNITS.format(id_type=named.schema["doc_id"].dataType.simpleString()))
 
 
+def _groups(texts: pa.Array) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Rows and lower-cased texts that are under a CHUNK together; a longer text on its own."""
+    rows: list[int] = []
+    held: list[bytes] = []
+    size = 0
+    for row, text in enumerate(texts):
+        lowered = (text.as_py() or "").encode("utf-8", "replace").lower()
+        if held and size + len(lowered) + 1 >= CHUNK:
+            yield rows, held
+            rows, held, size = [], [], 0
+        rows.append(row)
+        held.append(lowered)
+        size += len(lowered) + 1
+    if held:
+        yield rows, held
+
+
 def _unit_rows(ids: pa.Array, lines: list[tuple], windows: list[tuple]) -> Iterator[pa.RecordBatch]:
     """Units as rows; lines and windows name the rows of their documents among ids."""
 
