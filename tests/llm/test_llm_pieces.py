@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -110,3 +111,20 @@ def test_codec_keeps_its_memory_bounded(codec, monkeypatch):
     text = " ".join(f"word{i}" for i in range(200))
     assert codec.decode(codec.encode(text)) == text
     assert len(codec.pairs) <= 10
+
+
+def test_many_texts_are_coded_at_once_as_one_by_one(codec, library):
+    rng = random.Random(7)
+    texts = [None, "", " ", "  a", "▁x", "é😀မ<0x41>", "\x00", "日本 語"]
+    texts += ["".join(rng.choices(LETTERS, k=rng.randrange(40))) for _ in range(300)]
+    ids = codec.encode_all(texts)
+    assert ids.to_pylist() == [library.encode(t or "") for t in texts]
+    assert codec.decode_all(ids).to_pylist() == [library.decode(x) for x in ids.to_pylist()]
+    assert codec.decode_all(ids.slice(5, 9)).to_pylist() == [library.decode(x) for x in ids.slice(5, 9).to_pylist()]
+    broken = [[codec.byte_ids[0xE6], codec.byte_ids[0x97]], [codec.byte_ids[0xFF], *codec.encode("a")], [1, 5], []]
+    assert codec.decode_all(pa.array(broken, pa.list_(pa.int32()))).to_pylist() == [codec.decode(x) for x in broken]
+
+
+def test_remembered_parts_hold_no_lists_of_numbers(codec):
+    codec.encode("the words of this text are remembered")
+    assert codec.parts and all(isinstance(ids, bytes) for ids in codec.parts.values())

@@ -20,7 +20,9 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from tidewatch.llm.shared import PORTION, over_texts
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Parts of texts (twice as many) and pairs of pieces that a process remembers at most; parts up to this length.
-REMEMBERED, PAIRS, PART = 80_000, 300_000, 40
+REMEMBERED, PAIRS, PART = 250_000, 300_000, 40
 
 
 def model_path() -> str:
@@ -111,9 +113,9 @@ class Codec:
             self.ids[letter] = self._bytes(letter)
         known = "".join(map(re.escape, sorted(alphabet - {SPACE})))
         self.part = re.compile(f"{SPACE}*[{known}]+|{SPACE}+|[^{known}{SPACE}]", re.DOTALL)
-        #: Tokens by number: as text, as ids, and the number of the next shorter one that it begins with, -1 for a letter.
+        #: Tokens by number: as text, as bytes of ids, and the number of the next shorter one that it begins with, -1 for a letter.
         self.tokens_of = list(self.ids)
-        self.token_ids = list(self.ids.values())
+        self.token_ids = list(map(self._stored, self.ids.values()))
         self.sizes = list(map(len, self.tokens_of))
         number = {token: i for i, token in enumerate(self.tokens_of)}
         beginnings = ([number.get(token[:n], -1) for n in range(len(token) - 1, 0, -1)] for token in self.tokens_of)
@@ -124,12 +126,21 @@ class Codec:
         self.longest.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.parts: dict[str, list[int]] = {}
-        self.former: dict[str, list[int]] = {}
+        #: Ids of remembered parts, as the bytes of 32-bit numbers.
+        self.parts: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
+        #: What ids are decoded to, and behind these, what they are decoded to at the begin of a text.
+        at_begin = [x[1:] if i in self.ordinary and x[:1] == b" " else x for i, x in enumerate(self.surface)]
+        self.surfaces = pa.array(self.surface + at_begin, pa.binary())
+        self.is_control = np.isin(np.arange(len(self.surface)), list(self.control))
 
     def _bytes(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode("utf-8", "replace")]
 
+    @staticmethod
+    def _stored(ids: list[int]) -> bytes:
+        return np.array(ids, dtype=np.int32).tobytes()
+
     def _best(self, parts: list[str]) -> tuple[float, int]:
         """The best score of two neighbours, and where the leftmost with it begin; -1 if nothing merges."""
         best, at, get = -self.never, -1, self.scores.get
@@ -231,27 +242,61 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a whole text, without begin or end; none for null or empty."""
-        if not text:
-            return []
-        out: list[int] = []
-        for part in self.part.findall(self.prefix + text.replace(" ", SPACE)):
-            out += self.parts.get(part) or self._part(part)
-        return out
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
-    def _part(self, part: str) -> list[int]:
+    def encoded(self, text: str | None) -> bytes:
+        """Token ids of a whole text as the bytes of 32-bit numbers."""
+        if not text:
+            return b""
+        parts = self.part.findall(self.prefix + text.replace(" ", SPACE))
+        out = [*map(self.parts.get, parts)]
+        if None in out:
+            out = [self._part(part) if ids is None else ids for part, ids in zip(parts, out, strict=True)]
+        return b"".join(out)
+
+    def encode_all(self, texts: list[str | None]) -> pa.ListArray:
+        """Token ids of many texts."""
+        found = [*map(self.encoded, texts)]
+        offsets = np.zeros(len(found) + 1, dtype=np.int32)
+        np.cumsum([len(ids) >> 2 for ids in found], out=offsets[1:])
+        return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+    def _part(self, part: str) -> bytes:
         """Ids of a part, which is remembered if it is short; what was used least lately is forgotten."""
+        known = self.parts.get(part)
+        if known is not None:
+            return known
         ids = self.former.get(part)
         if ids is None:
             if part[-1] == SPACE or part[-1] in self.ids:
-                ids = [i for token in self.tokens(part) for i in self.token_ids[token]]
+                ids = b"".join([self.token_ids[token] for token in self.tokens(part)])
             else:
-                ids = self._bytes(part)
+                ids = self._stored(self._bytes(part))
         if len(part) <= PART:
             if len(self.parts) >= REMEMBERED:
                 self.former, self.parts = self.parts, {}
             self.parts[part] = ids
         return ids
 
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of many lists of token ids, none of them null.
+
+        The pieces of all are joined at once. Texts with control pieces, or with bytes that form no letter, go one by one.
+        """
+        numbers = ids.values.to_numpy()[ids.offsets[0].as_py() : ids.offsets[-1].as_py()]
+        at = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+        if len(numbers) and self.is_control[numbers].any():
+            return pa.array([self.decode(x) for x in ids.to_pylist()], pa.string())
+        if self.prefix and len(numbers):
+            numbers = numbers.copy()
+            begins = at[:-1][np.diff(at) > 0]
+            numbers[begins] += len(self.surface)
+        joined = pc.binary_join(pa.ListArray.from_arrays(at, self.surfaces.take(pa.array(numbers))), b"")
+        try:
+            return joined.cast(pa.string())
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(x) for x in ids.to_pylist()], pa.string())
+
     def decode(self, ids: list[int] | None) -> str | None:
         """The text of token ids: the mark before a text goes, bytes that form no letter become U+FFFD one by one."""
         if ids is None:
@@ -298,7 +343,6 @@ def coded(docs: DataFrame, model: Model | None = None) -> DataFrame:
     table gives no rows.
     """
     model = model or Model()
-    kinds = [pa.list_(pa.int32()), pa.string()]
 
     @F.arrow_udf("ids array<int>, decoded string")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -306,8 +350,8 @@ def coded(docs: DataFrame, model: Model | None = None) -> DataFrame:
         for batch in batches:
             parts = []
             for at in range(0, max(1, len(batch)), PORTION):
-                ids = [codec.encode(t) for t in batch.slice(at, PORTION).to_pylist()]
-                columns = [pa.array(ids, kinds[0]), pa.array([codec.decode(i) for i in ids], kinds[1])]
+                ids = codec.encode_all(batch.slice(at, PORTION).to_pylist())
+                columns = [ids, codec.decode_all(ids)]
                 parts.append(pa.StructArray.from_arrays(columns, ["ids", "decoded"]))
             yield pa.concat_arrays(parts)
 
