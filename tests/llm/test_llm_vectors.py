@@ -176,3 +176,51 @@ def test_neighbours_edge_cases(frame):
     assert I.nearest(none, none["vec_id"] % 20 == 0).count() == 0
     no_query = frame(rows[1:3], VECTORS)
     assert I.nearest(no_query, no_query["vec_id"] % 20 == 0).count() == 0
+
+
+def test_equal_vectors_are_sought_once_for_count_pivots_and_index(frame):
+    draw = np.random.default_rng(6)
+    df = frame([row(i, draw.standard_normal(4), 0) for i in range(60)], VECTORS)
+    found = I.nearest(df, df["vec_id"] % 20 == 0, k=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1  # the rank; what led to the entries is written already
+    assert len(found.collect()) == 9
+
+
+@pytest.mark.parametrize("pivots, represent", [(40, 12), (300, 280)])
+def test_files_give_the_footrule_distance(pivots, represent):
+    draw = np.random.default_rng(7)
+    vectors = draw.standard_normal((200, 6))
+    longest = np.sqrt((vectors * vectors).sum(axis=1).max())
+    chosen = np.hstack([draw.standard_normal((pivots, 6)), np.zeros((pivots, 1))])
+    files = I.InvertedFiles(vectors, chosen, longest, represent)
+    assert files.files.shape == (pivots, 200)
+    added = np.sqrt(np.maximum(longest**2 - (vectors * vectors).sum(axis=1), 0.0))
+    orders = files.orders(np.hstack([vectors, added[:, None]]))
+
+    def places(order):
+        out = np.full(pivots, represent)
+        out[order] = np.arange(represent)
+        return out
+
+    far = np.array([[np.abs(places(a) - places(b)).sum() for b in orders] for a in orders[:20]])
+    for order, distance in zip(orders, far, strict=False):
+        assert files.by_footrule(order, 50).tolist() == np.flatnonzero(distance <= np.sort(distance)[49]).tolist()
+        assert files.by_footrule(order, 200).tolist() == list(range(200))
+
+
+def test_the_best_are_judged_by_their_own_products():
+    """Products that differ by rounding only, and equal ones, which go by id."""
+    draw = np.random.default_rng(8)
+    vectors = np.repeat(draw.standard_normal((30, 64)), 4, axis=0)
+    vectors[::2] = np.nextafter(vectors[::2], 9)
+    ids = draw.permutation(120)
+    longest = np.sqrt((vectors * vectors).sum(axis=1).max())
+    files = I.InvertedFiles(vectors, np.hstack([vectors[:8], np.zeros((8, 1))]), longest, 8)
+    some = np.sort(draw.permutation(120)[:100])
+    for query in vectors[:20]:
+        scores = (vectors[some] * query).sum(axis=1)
+        want = np.lexsort((ids[some], -scores))[:7]
+        best, found = files.best_of(some, ids, query, longest, 7)
+        assert best.tolist() == some[want].tolist()
+        assert found.tolist() == scores[want].tolist()

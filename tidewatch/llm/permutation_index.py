@@ -9,6 +9,9 @@ and answers one block. Both sizes are parameters, so memory is bounded, whatever
 merged by query. Inner products are turned into nearness by one more component that gives all indexed vectors the same
 length. Pivots are a bounded sample; every row is indexed.
 
+A file holds a small number for each vector of its shard, the weight of the pivot's place, so files are read whole and added
+up without look-ups. The work grows with queries times vectors, as the share that is reranked does.
+
 Equal vectors are one entry with their smallest ids, as many as an answer can name, so a large group of copies neither
 fills the share that is reranked nor hides other vectors, and the smaller ids are always the ones named.
 """
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.projection_dedup import takes_part
+from tidewatch.llm.shared import Scratch
 
 # Parameters: pivots, pivots that represent a vector, share of a shard that is reranked, vectors in a shard, queries in a
 # block.
@@ -39,17 +43,22 @@ def matrix(vectors, dim: int) -> np.ndarray:
 
 
 class InvertedFiles:
-    """Postings of one shard: for each pivot the vectors that it represents, and its place in their order."""
+    """Postings of one shard: for each pivot its weight in the order of each vector: nearest for the first place, 1 for the
+    last, 0 if it doesn't represent the vector.
+    """
 
     def __init__(self, vectors: np.ndarray, pivots: np.ndarray, longest: float, nearest: int):
         """vectors: rows; pivots: rows with the added component; longest: largest length of an indexed vector."""
         self.vectors, self.pivots, self.nearest = vectors, pivots, min(nearest, len(pivots))
         added = np.sqrt(np.maximum(longest**2 - (vectors * vectors).sum(axis=1), 0.0))
         order = self.orders(np.hstack([vectors, added[:, None]]))
-        by_pivot = np.argsort(order.ravel(), kind="stable")
-        self.posted = by_pivot // self.nearest
-        self.place = (by_pivot % self.nearest).astype(np.int32)
-        self.bounds = np.searchsorted(order.ravel()[by_pivot], np.arange(len(pivots) + 1))
+        weights = np.arange(self.nearest, 0, -1, dtype=np.uint8 if self.nearest < 256 else np.uint32)
+        self.files = np.zeros((len(pivots), len(vectors)), dtype=weights.dtype)
+        self.files[order, np.arange(len(vectors))[:, None]] = weights
+        # A query's own weights, laid out as the files it reads; equal for all queries.
+        self.asked = np.repeat(weights[:, None], len(vectors), axis=1)
+        self.read = np.empty_like(self.asked)
+        self.sums = np.uint16 if self.nearest < 256 else np.uint64
 
     def orders(self, augmented: np.ndarray) -> np.ndarray:
         """The nearest pivots of each row, nearest first."""
@@ -63,17 +72,28 @@ class InvertedFiles:
     def by_footrule(self, order: np.ndarray, many: int) -> np.ndarray:
         """The many vectors with the least footrule distance to an order, and all that are as near as the last of them.
 
-        An absent pivot counts as just behind the last.
-        Starting from the distance of a vector with none of the query's pivots, each posting takes off what it saves.
+        An absent pivot counts as just behind the last. What a pivot takes off the distance of two orders without a common
+        one is twice the lesser of its two weights.
         """
-        saved = np.zeros(len(self.vectors), dtype=np.int32)
-        for place, pivot in enumerate(order.tolist()):
-            at = slice(self.bounds[pivot], self.bounds[pivot + 1])
-            saved[self.posted[at]] += (self.nearest - place) + (self.nearest - self.place[at]) - np.abs(self.place[at] - place)
-        if many >= len(saved):
-            return np.arange(len(saved))
+        if many >= len(self.vectors):
+            return np.arange(len(self.vectors))
+        np.take(self.files, order, axis=0, out=self.read, mode="clip")
+        np.minimum(self.read, self.asked, out=self.read)
+        saved = np.add.reduce(self.read, axis=0, dtype=self.sums)
         return np.flatnonzero(saved >= np.partition(saved, len(saved) - many)[len(saved) - many])
 
+    def best_of(self, some: np.ndarray, ids: np.ndarray, query: np.ndarray, longest: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of some vectors the k with the largest inner products, ties by smaller id, and these products.
+
+        One matrix product leaves out what is further from the best than its rounding may account for.
+        """
+        rough = self.vectors.take(some, axis=0) @ query
+        slack = 4 * (len(query) + 1) * np.finfo(float).eps * longest * np.sqrt(query @ query)
+        some = some[~(rough < np.partition(rough, len(rough) - k)[len(rough) - k] - slack)]
+        scores = (self.vectors[some] * query).sum(axis=1)
+        best = _best(ids[some], scores, k)
+        return some[best], scores[best]
+
 
 def nearest(
     vectors: DataFrame,
@@ -92,16 +112,19 @@ def nearest(
     Shorter vectors are read as if zeros followed. Other columns are ignored; an empty table gives no rows.
     """
     usable = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
-    rows = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    scratch = Scratch(vectors.sparkSession)
+    # Both are written once: rows serve the queries and the entries, entries the count, the pivots and the index.
+    rows = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("asks", is_query)
+    rows = scratch.keep(rows, "rows")
     squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    asked = F.sum(F.when(is_query, 1).otherwise(0))
+    asked = F.sum(F.when(F.col("asks"), 1).otherwise(0))
     n_queries, dim, longest = rows.agg(
         F.coalesce(asked, F.lit(0)), F.max(F.size("embedding")), F.sqrt(F.max(squares))
     ).first()
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     smallest = rows.withColumn("rank", F.row_number().over(alike)).where(F.col("rank") <= k + 1)
     entries = smallest.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = entries.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding")
+    entries = scratch.keep(entries.select(F.col("ids")[0].alias("vec_id"), "ids", "embedding"), "entries")
     n = entries.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -121,7 +144,7 @@ def nearest(
     indexed = entries.select(
         "ids", "embedding", own_shard.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     )
-    asking = rows.where(is_query).select(
+    asking = rows.where("asks").select(
         "vec_id", "embedding", own_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
     )
     found = (
@@ -146,11 +169,10 @@ def _answers(index, asking, pivots, dim, longest, represent, share, k) -> Iterat
     many = max(int(np.ceil(share * len(ids))), 8 * k)
     for own, query, order in zip(asking["vec_id"].to_numpy(), queries, orders, strict=True):
         some = files.by_footrule(order, many)
-        scores = (files.vectors[some] * query).sum(axis=1)
         # One entry more than asked for, as an entry may hold no id but the query's own.
-        best = _best(ids[some], scores, min(k + 1, len(some)))
-        named = np.concatenate([groups[e] for e in some[best]])
-        score = np.repeat(scores[best], [len(groups[e]) for e in some[best]])
+        best, scores = files.best_of(some, ids, query, longest, min(k + 1, len(some)))
+        named = np.concatenate([groups[e] for e in best])
+        score = np.repeat(scores, [len(groups[e]) for e in best])
         named, score = named[named != own], score[named != own]
         first = np.lexsort((named, -score))[:k]
         yield np.full(len(first), own), named[first], score[first]
