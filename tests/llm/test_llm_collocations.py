@@ -169,3 +169,38 @@ def test_portions_of_a_batch_are_of_about_the_same_size(monkeypatch):
     assert not [*C._each(iter([batch]), lambda s, n: seen.append(len(s.word)) or ())]
     assert sum(seen) == 21 * 25
     assert max(seen) <= 500 and min(seen) >= 200
+
+
+def test_a_task_adds_up_its_portions(monkeypatch):
+    """Also when it may hold so little that sums leave early."""
+    rng = random.Random(5)
+    rows = [(t, rng.choice(["l1", "l2"])) for t in texts(rng, 400)]
+    batch = pa.record_batch([pa.array([lang for _, lang in rows]), pa.array([t for t, _ in rows])], names=["lang", "text"])
+    full = C.Filter(np.full(1 << 12, 255, dtype=np.uint8))
+    monkeypatch.setattr(C, "PORTION", 2000)
+    counts, total = plain_counts(rows)
+    want = {(lang, p): n for lang, of in counts.items() for p, n in of.items()} | {(lang, ""): n for lang, n in total.items()}
+    for held in (C.HELD, 50_000, 1000):
+        monkeypatch.setattr(C, "HELD", held)
+        found = [*C.summed(C._each(iter([batch]), lambda seen, names: C.spelled(seen, names, full)))]
+        rows_out = [tuple(r.values()) for b in found for r in b.to_pylist()]
+        got = Counter()
+        for lang, phrase, _, n in rows_out:
+            got[lang, phrase] += n
+        assert got == want
+        if held > 1 << 20:
+            assert len(rows_out) == len(want)
+    assert [*C.summed(iter([]))] == []
+
+
+def test_rows_of_the_last_scan_go_by_the_cores_not_by_the_input(frame):
+    spark = frame([], DOCS).sparkSession
+    parts = 6 * C.TASKS * spark.sparkContext.defaultParallelism
+    docs = frame([(i, "one two three", "l", "", 0, 0) for i in range(4 * parts)], DOCS).select("lang", "text").repartition(parts)
+    full = spark.sparkContext.broadcast(np.full(1 << 12, 255, dtype=np.uint8))
+    rows = C._spelled_by_task(docs, full).collect()
+    assert len(rows) <= 7 * C.TASKS * spark.sparkContext.defaultParallelism
+    counts = Counter()
+    for r in rows:
+        counts[r["phrase"]] += r["n"]
+    assert counts == {"": 12 * parts} | dict.fromkeys(["one", "two", "three", "one two", "two three", "one two three"], 4 * parts)

@@ -14,7 +14,8 @@ as one, so a count may be too high, never too low. The phrases of the hashes tha
 counted in one last scan, which is exact; however full a filter is, that costs time but no count is wrong.
 
 Work in a task is on the bytes of many texts at once, by numbers for words; what leaves it is a row for each different
-phrase of a portion.
+phrase of a portion. The last scan has a few tasks for each core, however large the input, and a task sums over its portions
+what it may hold, so that a phrase leaves it about once.
 """
 
 from __future__ import annotations
@@ -43,6 +44,10 @@ UNIT, COVERED = 1_000_000, 80
 PORTION, ROWS = 20 << 20, 1 << 16
 #: Bytes of texts that go to Python together.
 BATCH = 2 << 20
+#: Bytes of spelled phrases that a task holds to sum them over its portions, tasks of the last scan for each core.
+HELD, TASKS = 40 << 20, 2
+#: Portions of the last scan are so many times smaller than the others', as it holds sums beside them.
+SMALLER = 8
 #: Parts of a language whose best phrases are found apart before they meet in one task.
 PARTS = 64
 
@@ -149,8 +154,9 @@ def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tu
         begins = begins[has[0][begins] & has[0][begins + 1]]
         if not len(begins):
             return
-        h = _joined(h[begins], hashes[seen.word[place[begins] + k]])
         place = place[begins]
+        h = h[begins]
+        h = _joined(h, hashes[seen.word[place + k]])
         had = [x[begins] & x[begins + 1] for x in has]
 
 
@@ -160,12 +166,16 @@ def counted(seen: Words, names: list[str], filters: list[Filter], step: int, sha
         for old in range(shards):
             if k == 1 and old != step:  # words are counted from the first shard on
                 continue
-            different, n = np.unique(h if k == 1 else h[age == old], return_counts=True)
-            same = np.full(min(len(n), ROWS), k, dtype=np.int32), np.full(min(len(n), ROWS), step - old, dtype=np.int32)
-            for at in range(0, len(n), ROWS):
-                some = min(ROWS, len(n) - at)
-                columns = [different[at : at + some].view(np.int64), *[c[:some] for c in same], n[at : at + some]]
+            ordered = np.sort(h if k == 1 else h[age == old])
+            ends = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], len(ordered) > 0))
+            same = np.full(min(len(ends), ROWS), k, dtype=np.int32), np.full(min(len(ends), ROWS), step - old, dtype=np.int32)
+            for at in range(0, len(ends), ROWS):
+                last = ends[at : at + ROWS]
+                n = np.diff(last, prepend=ends[at - 1] if at else -1)
+                columns = [ordered[last].view(np.int64), *[c[: len(last)] for c in same], n]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, COUNTED.types, strict=True)], schema=COUNTED)
+            del ordered, ends
+        del place, h, age  # before the next ones are made
 
 
 def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.RecordBatch]:
@@ -201,33 +211,69 @@ def spelled(seen: Words, names: list[str], frequent: Filter) -> Iterator[pa.Reco
         yield from (found.slice(at, ROWS) for at in range(0, len(n), ROWS))
 
 
-def _each(batches: Iterator[pa.RecordBatch], of_words) -> Iterator[pa.RecordBatch]:
-    """What a function of the words, and of their languages' names, makes of each portion of rows (lang, text)."""
-    for batch in _gathered(batches):
+def summed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that spelled makes of several portions, with a phrase's counts added up.
+
+    They are added up whenever HELD bytes have come together. Sums that still take over half of that leave early, so a phrase
+    may have several rows in the end.
+    """
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in found:
+        held.append(batch)
+        size += batch.nbytes
+        if size > HELD:
+            held = _sums(held)
+            pa.default_memory_pool().release_unused()
+            size = sum(b.nbytes for b in held)
+            if size > HELD // 2:
+                yield from held
+                held, size = [], 0
+    yield from _sums(held)
+
+
+def _sums(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    sums = pa.Table.from_batches(held, SPELLED).group_by(SPELLED.names[:-1], use_threads=False).aggregate([("n", "sum")])
+    sums = sums.select([*SPELLED.names[:-1], "n_sum"]).rename_columns(SPELLED.names)
+    return sums.combine_chunks().to_batches(max_chunksize=ROWS)
+
+
+def _each(batches: Iterator[pa.RecordBatch], of_words, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """What a function of the words, and of their languages' names, makes of each portion of rows (lang, text).
+
+    Portions are of PORTION bytes, or of that many parts of it.
+    """
+    portion = max(1, PORTION // parts)
+    for batch in _gathered(batches, portion):
         lang, text = batch.column("lang").dictionary_encode(), batch.column("text")
         number, names = lang.indices.to_numpy(zero_copy_only=False), lang.dictionary.to_pylist()
         _, rows = text_bytes(text)
-        even = int(rows[-1]) // (int(rows[-1]) // PORTION + 1) + 1  # no small one is left at the end
-        for a, b in portions(rows, min(PORTION, even + int(np.diff(rows).max(initial=0)))):
+        even = int(rows[-1]) // (int(rows[-1]) // portion + 1) + 1  # no small one is left at the end
+        for a, b in portions(rows, min(portion, even + int(np.diff(rows).max(initial=0)))):
             seen = Words(text.slice(a, b - a), number[a:b])
             if len(seen.word):
                 yield from of_words(seen, names)
+            del seen  # before the next ones are made
+        del batch, lang, text, number, rows
+        pa.default_memory_pool().release_unused()
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of small batches in larger ones, of up to PORTION bytes; a larger one stays as it is."""
+def _gathered(batches: Iterator[pa.RecordBatch], portion: int) -> Iterator[pa.RecordBatch]:
+    """The rows of small batches in larger ones, of up to a portion's bytes; a larger one stays as it is."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if held and size + batch.nbytes > PORTION:
-            whole, held, size = pa.concat_batches(held), [], 0
-            yield whole
+        if held and size + batch.nbytes > portion:
+            whole = [pa.concat_batches(held)]
+            held.clear()
+            size = 0
+            yield whole.pop()
         held.append(batch)
         size += batch.nbytes
     if held:
-        whole = pa.concat_batches(held)
+        whole = [pa.concat_batches(held)]
         held.clear()
-        yield whole
+        yield whole.pop()
 
 
 @contextmanager
@@ -252,14 +298,23 @@ def _scan(shard: DataFrame, step: int, shards: int, filters: list) -> DataFrame:
     return shard.mapInArrow(run, "h long, k int, since int, n long")
 
 
-def _spell(texts: DataFrame, frequent) -> DataFrame:
-    """lang, phrase, k, f of the phrases in a broadcast filter, if they reach the threshold, and of all words with k = 0."""
+def _spelled_by_task(texts: DataFrame, frequent) -> DataFrame:
+    """lang, phrase, k, n: counts of the phrases in a broadcast filter, and of all words with k = 0, added up in each task.
+
+    A frequent phrase is in nearly all texts' tasks, so its rows would grow with their number; it goes by the cores instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Filter(frequent.value)
-        yield from _each(batches, lambda seen, names: spelled(seen, names, known))
+        yield from summed(_each(batches, lambda seen, names: spelled(seen, names, known), SMALLER))
+
+    tasks = TASKS * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(tasks).mapInArrow(run, "lang string, phrase string, k int, n long")
+
 
-    found = texts.mapInArrow(run, "lang string, phrase string, k int, n long")
+def _spell(texts: DataFrame, frequent) -> DataFrame:
+    """lang, phrase, k, f of the phrases in a broadcast filter, if they reach the threshold, and of all words with k = 0."""
+    found = _spelled_by_task(texts, frequent)
     return found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).where((F.col("f") >= THRESHOLD) | (F.col("k") == 0))
 
 
