@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sequences' pieces, in tokens of the public vocabulary."""
-    return packing.packed(docs, n_tokens=token_counts.token_count(F.col("text")))
+    return packing.packed(docs, start=token_counts.counter())
 
 
 STAGES = [

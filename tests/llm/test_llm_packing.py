@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,21 @@ def test_small_lots_do_not_share_bins(frame):
     for r in found:
         used[r["bin_id"]] = used.get(r["bin_id"], 0) + r["n_tokens"]
     assert max(used.values()) <= 8
+
+
+def test_tokens_are_counted_in_the_worker_that_packs(spark, frame):
+    from tidewatch.llm import queries, token_counts
+
+    rows = [(i, "some words and more " * (i % 400), "", 0, "") for i in range(700)] + [(2**53 + 1, "a b", "", 0, ""), (None, None, "", 0, "")]
+    docs = frame(rows, DOCS).coalesce(1)
+    found = P.packed(docs, start=token_counts.counter(), lot=300)
+    by_column = P.packed(docs, n_tokens=token_counts.token_count(F.col("text")), lot=300)
+    assert found.collect() == by_column.collect()
+    assert {r["doc_id"] for r in found.collect()} == {r[0] for r in rows}  # exact beside a missing one
+    plan = queries.op7_packing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("EvalPython|MapInPandas|MapInArrow", plan)) == 1
+
+
+def test_rows_leave_with_ids_of_any_type(frame):
+    found = P.packed(frame([("a", "x y"), (None, "z"), ("b", None)], "doc_id string, text string")).collect()
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in found) == [("", 1), ("a", 2), ("b", 0)]

@@ -16,13 +16,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.shared import over_texts
+from tidewatch.llm.shared import PORTION, over_texts
 
 #: A word is a run of letters, with the marks that follow them.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -188,28 +187,32 @@ def learn(labelled: DataFrame, path: str | None = None, smooth: float = 0.5) ->
     size = processor.get_piece_size()
     special = [processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i) for i in range(size)]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("lang", pa.string()), ("piece", pa.int64()), ("n", pa.float64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces: dict[str, np.ndarray] = {}
         texts: Counter = Counter()
         pending: dict[str, Counter] = {}
         for batch in batches:
-            for text, lang in zip(batch["text"], batch["lang"], strict=True):
+            parts = (batch.slice(at, PORTION).columns for at in range(0, batch.num_rows, PORTION))
+            for text, lang in (row for part in parts for row in zip(*(c.to_pylist() for c in part), strict=True)):
                 words = words_of(text)
                 if words:
                     texts[lang] += 1
                     pending.setdefault(lang, Counter()).update(words)
                     if len(pending[lang]) > REMEMBERED:
                         _cut(cutter, pending.pop(lang), pieces.setdefault(lang, np.zeros(size)))
+            pa.default_memory_pool().release_unused()
         for lang, words in pending.items():
             _cut(cutter, words, pieces.setdefault(lang, np.zeros(size)))
         for lang, counts in pieces.items():
             used = np.flatnonzero(counts)
-            yield pd.DataFrame({"lang": lang, "piece": used, "n": counts[used]})
-            yield pd.DataFrame({"lang": [lang], "piece": [-1], "n": [float(texts[lang])]})
+            rows = [lang] * (len(used) + 1), np.append(used, -1), np.append(counts[used], texts[lang])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(rows, kinds.types, strict=True)], schema=kinds)
 
     taught = labelled.where("lang is not null and text is not null").select("text", "lang")
-    rows = taught.mapInPandas(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
+    rows = taught.mapInArrow(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     found = rows.toPandas()
     languages = sorted(found["lang"].unique())
     column = {lang: i for i, lang in enumerate(languages)}

@@ -16,11 +16,13 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.shared import PORTION
+
 # Parameters: permitted sequence lengths in tokens, pieces packed together, fixed price of a sequence in tokens.
 LENGTHS = (256, 512, 1024, 2048, 4096)
 LOT = 100_000
@@ -29,6 +31,7 @@ OVERHEAD = 16.0
 FILLED = (1.0, 0.97, 0.9, 0.5)
 
 ROWS = "doc_id {id_type}, piece int, first long, n_tokens int, bin_id long, bin_length int, bin_offset int"
+KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
 #: Bins are numbered from partition x this, lot after lot.
 BINS_PER_TASK = 1 << 36
 
@@ -96,41 +99,50 @@ def packed(
     lengths: Sequence[int] = LENGTHS,
     lot: int = LOT,
     price: Callable[[int], float] = token_price,
+    start: Callable[[], Callable[[list], list]] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece (from 0), first (the piece's first token), n_tokens, bin_id, bin_length, bin_offset.
 
-    n_tokens: tokens of a row, the words of `text` unless given. A row without tokens (null, empty or blank text, or a
+    n_tokens: tokens of a row, the words of `text` unless given. start: counts the tokens of `text` instead, as over_texts
+    has it, in the worker that packs them; a column that is computed in Python takes a second worker in every task. A row without tokens (null, empty or blank text, or a
     count below 1) gives one row with n_tokens 0 and no bin. A very long text takes as many pieces as it needs. Repeated
     rows are packed as often as they come, rows without an id too. Equally long pieces keep the order of the input, and of
     bins with equal room the one filled last is taken. Other columns are ignored. bin_id is unique over the result.
     """
     lengths = sorted(set(lengths))
     longest = lengths[-1]
-    counted = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce((word_count(F.col("text")) if n_tokens is None else n_tokens).cast("long"), F.lit(0)).alias("n"),
-    )
+    if start is not None:
+        counted = F.col("text")
+    else:
+        counted = F.coalesce((word_count(F.col("text")) if n_tokens is None else n_tokens).cast("long"), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), counted.alias("n"))
 
-    def in_lots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def in_lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         next_bin = (context.partitionId() if context else 0) * BINS_PER_TASK
+        count = start() if start is not None else lambda numbers: numbers
         waiting: list[tuple] = []
         for batch in batches:
-            empty = batch[batch["n"] <= 0]
-            if len(empty):
-                yield _rows([(d, 0, 0, 0, None, None, None) for d in empty["doc_id"]])
-            filled_rows = batch[batch["n"] > 0]
-            for doc_id, n in zip(filled_rows["doc_id"], filled_rows["n"].tolist(), strict=True):
-                for piece, first in enumerate(range(0, n, longest)):
-                    waiting.append((doc_id, piece, first, min(longest, n - first)))
-                    if len(waiting) == lot:
-                        rows, next_bin = _lot(waiting, lengths, price, next_bin)
-                        waiting = []
-                        yield rows
+            kind = batch.schema.field(0).type
+            for at in range(0, batch.num_rows, PORTION):
+                ids, counts = (c.slice(at, PORTION).to_pylist() for c in batch.columns)
+                empty: list[tuple] = []
+                for doc_id, n in zip(ids, count(counts), strict=True):
+                    if n <= 0:
+                        empty.append((doc_id, 0, 0, 0, None, None, None))
+                    for piece, first in enumerate(range(0, n, longest)):
+                        waiting.append((doc_id, piece, first, min(longest, n - first)))
+                        if len(waiting) == lot:
+                            packing, next_bin = _lot(waiting, lengths, price, next_bin)
+                            waiting = []
+                            yield _rows(packing, kind)
+                if empty:
+                    yield _rows(empty, kind)
+            pa.default_memory_pool().release_unused()
         if waiting:
-            yield _lot(waiting, lengths, price, next_bin)[0]
+            yield _rows(_lot(waiting, lengths, price, next_bin)[0], kind)
 
-    return counted.mapInPandas(in_lots, ROWS.format(id_type=counted.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(in_lots, ROWS.format(id_type=rows.schema["doc_id"].dataType.simpleString()))
 
 
 def cheapest(sizes: Sequence[int], lengths: Sequence[int], price: Callable[[int], float] = token_price):
@@ -139,16 +151,16 @@ def cheapest(sizes: Sequence[int], lengths: Sequence[int], price: Callable[[int]
     return min(tried, key=lambda packing: sum(map(price, packing[2])))
 
 
-def _lot(pieces: list[tuple], lengths: Sequence[int], price: Callable, next_bin: int) -> tuple[pd.DataFrame, int]:
+def _lot(pieces: list[tuple], lengths: Sequence[int], price: Callable, next_bin: int) -> tuple[list[tuple], int]:
     bins, offsets, bin_lengths = cheapest([p[3] for p in pieces], lengths, price)
     placed = zip(pieces, bins, offsets, strict=True)
-    return _rows([(*p, next_bin + b, bin_lengths[b], o) for p, b, o in placed]), next_bin + len(bin_lengths)
+    return [(*p, next_bin + b, bin_lengths[b], o) for p, b, o in placed], next_bin + len(bin_lengths)
 
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
+def _rows(rows: list[tuple], id_kind: pa.DataType) -> pa.RecordBatch:
     names = ["doc_id", "piece", "first", "n_tokens", "bin_id", "bin_length", "bin_offset"]
-    frame = pd.DataFrame(rows, columns=names, dtype=object)
-    return frame.where(frame.notna(), None)
+    columns = zip(zip(*rows, strict=True), (id_kind, *KINDS), strict=True)
+    return pa.record_batch([pa.array(values, kind) for values, kind in columns], names)
 
 
 def sequences(packed_rows: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), n_tokens=token_counts.token_count(F.col("text")))
+    return packing.packed(table(spark, sf_dir, "documents"), start=token_counts.counter())
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,7 @@ def over_texts(
         for batch in batches:
             parts = (of_texts(batch.slice(at, portion).to_pylist()) for at in range(0, len(batch), portion))
             yield pa.array([x for part in parts for x in part], type=kind)
+            pa.default_memory_pool().release_unused()  # a worker lives on between tasks and stages
 
     return run.asNondeterministic()(text)
 

@@ -12,7 +12,7 @@ longest document. The vocabulary is read on the driver from a path and sent to t
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -172,15 +172,20 @@ def field_tokens(
     return rows.withColumn("tokens", count(F.struct(*[F.col(f).cast("string").alias(f) for f in fields])))
 
 
-def token_count(text: Column, vocabulary: Vocabulary | None = None) -> Column:
-    """Tokens of each text, encoded whole; none for null."""
+def counter(vocabulary: Vocabulary | None = None) -> Callable[[], Callable[[list], list]]:
+    """What starts counting in a task, as over_texts has it: from a list of texts to the tokens of each."""
     vocabulary = vocabulary or Vocabulary()
 
     def start():
         encoder = vocabulary.encoder()
         return lambda texts: [len(token_ends(t or "", encoder)) for t in texts]
 
-    return over_texts(text, "long", pa.int64(), start)
+    return start
+
+
+def token_count(text: Column, vocabulary: Vocabulary | None = None) -> Column:
+    """Tokens of each text, encoded whole; none for null."""
+    return over_texts(text, "long", pa.int64(), counter(vocabulary))
 
 
 def _checked(vocabulary: Vocabulary | None, rule: str) -> Vocabulary:
