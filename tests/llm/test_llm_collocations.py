@@ -204,3 +204,24 @@ def test_rows_of_the_last_scan_go_by_the_cores_not_by_the_input(frame):
     for r in rows:
         counts[r["phrase"]] += r["n"]
     assert counts == {"": 12 * parts} | dict.fromkeys(["one", "two", "three", "one two", "two three", "one two three"], 4 * parts)
+
+
+def test_hashes_tell_words_of_any_length_apart():
+    words = [b"x" * n for n in range(1, 40)] + [b"x" * n + b"\0" for n in range(20)] + [b"y" + b"x" * n for n in range(20)]
+    once = C._word_hashes(pa.array(words, pa.binary()))
+    assert len(set(once.tolist())) == len(set(words))
+    again = C._word_hashes(pa.array([b"before", *words[::-1], b"behind"], pa.binary()).slice(1, len(words)))
+    assert (again[::-1] == once).all() and len(C._word_hashes(pa.array([], pa.binary()))) == 0
+
+
+def test_counting_scans_make_no_dictionary_and_hold_little():
+    texts = pa.array(["some words, and Others of a text. " * 1000] * 30)
+    size = sum(len(t.as_py()) for t in texts)
+    seen = C.Words(texts, np.zeros(len(texts), dtype=np.int32), numbered=False)
+    assert not hasattr(seen, "word") and len(seen.hashes) == len(seen.lang) == 7 * 30_000
+    full = C.Filter(np.full(1 << 16, 255, dtype=np.uint8))
+    tracemalloc.start()
+    for batch in C.counted(seen, ["l"], [full] * 3, 3, 2):
+        assert batch.num_rows
+    assert tracemalloc.get_traced_memory()[1] < 11 * size
+    tracemalloc.stop()

@@ -13,7 +13,7 @@ passes rightly or by chance. While they are active, phrases are counted by their
 as one, so a count may be too high, never too low. The phrases of the hashes that reach the threshold are then spelled and
 counted in one last scan, which is exact; however full a filter is, that costs time but no count is wrong.
 
-Work in a task is on the bytes of many texts at once, by numbers for words; what leaves it is a row for each different
+Work in a task is on the bytes of many texts at once, by hashes or numbers for words; what leaves it is a row for each different
 phrase of a portion. The last scan has a few tasks for each core, however large the input, and a task sums over its portions
 what it may hold, so that a phrase leaves it about once.
 """
@@ -46,29 +46,34 @@ PORTION, ROWS = 20 << 20, 1 << 16
 BATCH = 2 << 20
 #: Bytes of spelled phrases that a task holds to sum them over its portions, tasks of the last scan for each core.
 HELD, TASKS = 40 << 20, 2
+#: Bytes of the longest words that are hashed by eight bytes.
+SHORT = 16
 #: Portions of the last scan are so many times smaller than the others', as it holds sums beside them.
 SMALLER = 8
 #: Parts of a language whose best phrases are found apart before they meet in one task.
 PARTS = 64
 
-#: Folded bytes, and what each byte is: part of a word, a blank between words, an end of a piece.
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[0x41:0x5B] += 32
-KIND = np.zeros(256, dtype=np.uint8)
-KIND[[0x20, 0x09]] = 1
-KIND[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = 2
+#: Folded bytes, and what each byte is: part of a word, a blank between words, an end of a piece. They are looked up by
+#: bytes.translate, as numpy would make an index of 8 bytes for each one.
+FOLD = bytes(range(256)).lower()
+BLANKS, ENDS = b" \t", b".,;:!?\n\x0B\f\r"
+KIND = bytes(1 if b in BLANKS else 2 if b in ENDS else 0 for b in range(256))
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+#: The first so many bytes of eight, as they lie in memory.
+_FIRST = np.array([[255] * n + [0] * (8 - n) for n in range(9)], dtype=np.uint8).view(np.uint64)[:, 0]
 COUNTED = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("since", pa.int32()), ("n", pa.int64())])
 SPELLED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("n", pa.int64())])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers; wraps around."""
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    h = (h ^ (h >> np.uint64(29))) * _MIX
-    return h ^ (h >> np.uint64(32))
+    """Spreads 64-bit numbers where they are; wraps around."""
+    h ^= h >> np.uint64(32)
+    for shift in (29, 32):
+        h *= _MIX
+        h ^= h >> np.uint64(shift)
+    return h
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -85,7 +90,30 @@ def _hashes(words: pa.Array) -> np.ndarray:
 
 def _joined(h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The hash of a phrase with one more word."""
-    return _mixed(h * _ODD + word)
+    h = h * _ODD
+    h += word
+    return _mixed(h)
+
+
+def _word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word in a row: one of up to SHORT bytes by eight of them at a time, a longer one by places."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = np.zeros(int(at[-1] - at[0]) + SHORT, dtype=np.uint8)
+    raw[: len(raw) - SHORT] = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]]
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view(np.uint64), shape=(len(raw) - 7,), strides=(1,))
+    h = np.empty(len(words), dtype=np.uint64)
+    for first in range(0, len(words), ROWS):  # few at a time, as each takes some numbers on the way
+        here = at[first : first + ROWS + 1]
+        sizes, begins = np.diff(here), here[:-1] - at[0]
+        own = _joined(sizes.astype(np.uint64), eight[begins] & _FIRST[np.minimum(sizes, 8)])
+        more = np.flatnonzero((sizes > 8) & (sizes <= SHORT))
+        own[more] = _joined(own[more], eight[begins[more] + 8] & _FIRST[sizes[more] - 8])
+        longer = np.flatnonzero(sizes > SHORT)
+        if len(longer):
+            own[longer] = _hashes(words.take(pa.array(longer + first)))
+        h[first : first + len(own)] = own
+    return h
 
 
 class Filter:
@@ -95,9 +123,13 @@ class Filter:
         self.bits = bits
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        found = self._bit(h)
-        some = np.flatnonzero(found)
-        found[some] = self._bit(h[some] >> np.uint64(32))
+        found = np.empty(len(h), dtype=bool)
+        for at in range(0, len(h), ROWS):  # few at a time, as each takes some numbers on the way
+            own = h[at : at + ROWS]
+            first = self._bit(own)
+            some = np.flatnonzero(first)
+            first[some] = self._bit(own[some] >> np.uint64(32))
+            found[at : at + ROWS] = first
         return found
 
     def _bit(self, place: np.ndarray) -> np.ndarray:
@@ -108,11 +140,14 @@ class Filter:
 
 
 class Words:
-    """The words of texts in a row, as numbers: of the word, of its language, and whether the next one is in its piece."""
+    """The words of texts in a row: their hashes, the numbers of their languages, and whether the next one is in its piece.
+
+    If they shall be spelled, also numbers of the words and a dictionary, which take longer than hashes.
+    """
 
-    def __init__(self, texts: pa.Array, lang: np.ndarray):
+    def __init__(self, texts: pa.Array, lang: np.ndarray, numbered: bool = True):
         raw, rows = text_bytes(texts)
-        kind = KIND[raw]
+        kind = np.frombuffer(raw.tobytes().translate(KIND), dtype=np.uint8)
         inside = np.zeros(len(raw) + 1, dtype=bool)
         np.equal(kind, 0, out=inside[:-1])
         first, last = inside[:-1].copy(), inside[:-1].copy()
@@ -125,39 +160,42 @@ class Words:
         offsets = np.zeros(len(starts) + 1, dtype=np.int32)
         np.cumsum(np.flatnonzero(last) + 1 - starts, out=offsets[1:])
         del first, last
-        row = (np.searchsorted(rows, starts, "right") - 1).astype(np.int32)
-        self.lang = lang[row].astype(np.int32)
-        self.together = np.diff(row) == 0
-        del row
-        self.together &= np.diff(np.searchsorted(np.flatnonzero(kind == 2), starts)) == 0
-        letters = FOLD[raw[inside[:-1]]]
-        del kind, inside
-        spelled = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-        coded = spelled.dictionary_encode()
-        self.dictionary = coded.dictionary
-        self.word = coded.indices.to_numpy(zero_copy_only=False)
+        # There are fewer texts and ends than words, so they are searched among the words.
+        of_row = np.searchsorted(starts, rows)
+        self.lang = np.repeat(lang.astype(np.int32), np.diff(of_row))
+        self.together = np.ones(max(0, len(starts) - 1), dtype=bool)
+        for next_word in (of_row, np.searchsorted(starts, np.flatnonzero(kind == 2))):
+            self.together[next_word[(next_word > 0) & (next_word < len(starts))] - 1] = False
+        many = len(starts)
+        del kind, inside, starts, of_row, next_word
+        letters = raw.tobytes().translate(FOLD, BLANKS + ENDS)
+        spelled = pa.BinaryArray.from_buffers(pa.binary(), many, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+        self.hashes = _word_hashes(spelled)
+        if numbered:
+            coded = spelled.dictionary_encode()
+            self.dictionary = coded.dictionary
+            self.word = coded.indices.to_numpy(zero_copy_only=False)
 
 
 def passing(seen: Words, names: list[str], filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each length k: where phrases begin whose subphrases the first filter has, their hashes, and how many of the
     other filters, older and older ones, have them too. The words come first, as if all filters had what they are made of.
     """
-    hashes = _hashes(seen.dictionary)
     seeds = _hashes(pa.array([n.encode() for n in names], pa.binary()))
-    place = np.arange(len(seen.word), dtype=np.int32)
-    h = _joined(seeds[seen.lang], hashes[seen.word])
+    place = np.arange(len(seen.lang), dtype=np.int32)
+    h = _joined(seeds[seen.lang], seen.hashes)
     had = [np.ones(len(place), dtype=bool) for _ in filters]
     for k in range(1, LONGEST + 1):
-        yield k, place, h, np.sum(had[1:], axis=0, dtype=np.int32) if len(had) > 1 else np.zeros(len(place), dtype=np.int32)
+        yield k, place, h, sum((x.astype(np.int8) for x in had[1:]), np.zeros(len(place), dtype=np.int8))
         has = [over & f.has(h) for over, f in zip(had, filters, strict=True)]
-        begins = np.flatnonzero(seen.together if k == 1 else np.diff(place) == 1)
-        begins = begins[has[0][begins] & has[0][begins + 1]]
+        begins = seen.together if k == 1 else np.diff(place) == 1
+        begins = np.flatnonzero(begins & has[0][:-1] & has[0][1:])
         if not len(begins):
             return
         place = place[begins]
         h = h[begins]
-        h = _joined(h, hashes[seen.word[place + k]])
-        had = [x[begins] & x[begins + 1] for x in has]
+        h = _joined(h, seen.hashes[place + k])
+        had = [(x[:-1] & x[1:])[begins] for x in has]
 
 
 def counted(seen: Words, names: list[str], filters: list[Filter], step: int, shards: int) -> Iterator[pa.RecordBatch]:
@@ -238,10 +276,10 @@ def _sums(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
     return sums.combine_chunks().to_batches(max_chunksize=ROWS)
 
 
-def _each(batches: Iterator[pa.RecordBatch], of_words, parts: int = 1) -> Iterator[pa.RecordBatch]:
+def _each(batches: Iterator[pa.RecordBatch], of_words, parts: int = 1, numbered: bool = True) -> Iterator[pa.RecordBatch]:
     """What a function of the words, and of their languages' names, makes of each portion of rows (lang, text).
 
-    Portions are of PORTION bytes, or of that many parts of it.
+    Portions are of PORTION bytes, or of that many parts of it. numbered: whether words have numbers and a dictionary.
     """
     portion = max(1, PORTION // parts)
     for batch in _gathered(batches, portion):
@@ -250,8 +288,8 @@ def _each(batches: Iterator[pa.RecordBatch], of_words, parts: int = 1) -> Iterat
         _, rows = text_bytes(text)
         even = int(rows[-1]) // (int(rows[-1]) // portion + 1) + 1  # no small one is left at the end
         for a, b in portions(rows, min(portion, even + int(np.diff(rows).max(initial=0)))):
-            seen = Words(text.slice(a, b - a), number[a:b])
-            if len(seen.word):
+            seen = Words(text.slice(a, b - a), number[a:b], numbered)
+            if len(seen.lang):
                 yield from of_words(seen, names)
             del seen  # before the next ones are made
         del batch, lang, text, number, rows
@@ -293,7 +331,7 @@ def _scan(shard: DataFrame, step: int, shards: int, filters: list) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Filter(f.value) for f in filters]
-        yield from _each(batches, lambda seen, names: counted(seen, names, known, step, shards))
+        yield from _each(batches, lambda seen, names: counted(seen, names, known, step, shards), numbered=False)
 
     return shard.mapInArrow(run, "h long, k int, since int, n long")
 
