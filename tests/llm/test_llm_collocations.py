@@ -225,3 +225,23 @@ def test_counting_scans_make_no_dictionary_and_hold_little():
         assert batch.num_rows
     assert tracemalloc.get_traced_memory()[1] < 11 * size
     tracemalloc.stop()
+
+
+def test_a_counting_worker_holds_as_much_for_more_text_and_counts_it_all():
+    """Two workers share an executor with the heap, so what one holds must not go by what its task reads."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"word{i}" for i in range(5000)])
+    texts = [" ".join(rng.choice(words, 500)) for _ in range(1000)]
+    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    full, none = C.Filter(np.full(1 << 12, 255, dtype=np.uint8)), C.Filter(np.zeros(1 << 12, dtype=np.uint8))
+    counts, peaks = [], []
+    for times in (2, 4):
+        n = Counter()
+        tracemalloc.start()
+        for b in C._each(iter([batch] * times), lambda s, names: C.counted(s, names, [full, none, none], 1, 2), numbered=False):
+            n[b.column("k")[0].as_py()] += b.column("n").to_numpy().sum()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        counts.append(n)
+    assert counts == [{k: times * 1000 * (501 - k) for k in range(1, 5)} for times in (2, 4)]
+    assert peaks[1] < 1.2 * peaks[0] and peaks[1] < 90 << 20

@@ -40,8 +40,9 @@ SHARDS = 2
 FILTER_BITS = 1 << 25
 #: Score of a phrase whose words come only together; a longer candidate with this share in percent covers a shorter one.
 UNIT, COVERED = 1_000_000, 80
-#: Bytes of text that are counted at the same time (a longer text on its own), rows that leave a task together.
-PORTION, ROWS = 20 << 20, 1 << 16
+#: Bytes of text that are counted at the same time (a longer text on its own), rows that leave a task together. A worker
+#: holds some 16 bytes for each of the portion, beside an executor's heap; what several portions have is added up in Spark.
+PORTION, ROWS = 6 << 20, 1 << 16
 #: Bytes of texts that go to Python together.
 BATCH = 2 << 20
 #: Bytes of spelled phrases that a task holds to sum them over its portions, tasks of the last scan for each core.
@@ -49,7 +50,7 @@ HELD, TASKS = 40 << 20, 2
 #: Bytes of the longest words that are hashed by eight bytes.
 SHORT = 16
 #: Portions of the last scan are so many times smaller than the others', as it holds sums beside them.
-SMALLER = 8
+SMALLER = 3
 #: Parts of a language whose best phrases are found apart before they meet in one task.
 PARTS = 64
 
